@@ -118,7 +118,7 @@ def dim_mean(df: DataFrame, column: str = "embedding") -> DataFrame:
 def center(df: DataFrame, column: str = "embedding") -> DataFrame:
     """Vectors less the mean vector, which enters as a one-value subquery."""
     mean = df.agg(mean_vector(column)).scalar()
-    return df.withColumn(column, subtract(as_doubles(column), mean))
+    return df.withColumn("_mean", mean).withColumn(column, subtract(as_doubles(column), "_mean")).drop("_mean")
 
 
 def vector_frame(spark: SparkSession, vector: np.ndarray) -> DataFrame:

