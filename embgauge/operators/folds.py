@@ -68,12 +68,14 @@ def rank_cuts(df: DataFrame, strata: list[str], ranks, seed: int, key: str = "ro
 
 
 def _bounded(cuts: DataFrame) -> DataFrame:
-    """The cut table, checked to be small enough to send to every executor."""
-    cuts = cuts.persist()
-    strata = cuts.count()
-    if strata > MAX_STRATA:
-        raise ValueError(f"{strata} strata are too many; the label is no class label")
-    return F.broadcast(cuts)
+    """The cut table, fetched once and checked to be small enough to send to every executor.
+
+    Fetching it fixes the cuts and keeps the plans of everything built on the folds short.
+    """
+    rows = cuts.limit(MAX_STRATA + 1).collect()
+    if len(rows) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata; the label is no class label")
+    return F.broadcast(cuts.sparkSession.createDataFrame(rows, cuts.schema))
 
 
 def _position(cuts: Column, empty: Column, own: Column) -> Column:

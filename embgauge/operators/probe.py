@@ -13,7 +13,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
@@ -21,10 +21,8 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from embgauge.functions.kernels import to_lists, to_matrix
@@ -221,7 +219,7 @@ class ProbeSettings:
     depth: int = 20
     svm_width: int = 512
     svm_iter: int = 30
-    parallelism: int = 4
+    parallelism: int = 8
 
 
 def _estimator(name: str, rows: int, width: int, n_classes: int, s: ProbeSettings):
@@ -271,22 +269,33 @@ def _predicted(model, test: DataFrame, classes: list) -> DataFrame:
 
 
 def _in_threads(work, items, threads: int) -> list:
+    """Independent driver-side jobs side by side, each in a thread of its own."""
     with ThreadPool(min(threads, len(items))) as pool:
-        return pool.map(inheritable_thread_target(work), items)
-
-
-def grid_scores(table: DataFrame, outer: int, estimator, s: ProbeSettings) -> list[float]:
-    """Mean inner-fold accuracy (percent, two places) of each L2 setting within one outer train set."""
-    train = table.where(F.col("fold") != outer).withColumn("inner_fold", F.col("inner")[outer])
-    cv = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=ParamGridBuilder().addGrid(estimator.regParam, list(s.l2_grid)).build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol="label_ix", metricName="accuracy"),
-        numFolds=s.k,
-        foldCol="inner_fold",
-        parallelism=s.parallelism,
-    )
-    return [round(100 * float(v), 2) for v in cv.fit(train).avgMetrics]
+        return pool.map(work, items, chunksize=1)
+
+
+def grid_scores(table: DataFrame, outer: list[int], estimator, s: ProbeSettings) -> dict:
+    """Mean inner-fold accuracy (percent, two places) of each L2 setting, per outer fold.
+
+    All (outer fold, setting, inner fold) fits are independent jobs over the cached table and run
+    side by side.
+    """
+
+    def score(task):
+        held_out, reg, inner = task
+        at = F.col("inner")[held_out]
+        model = estimator.copy({estimator.regParam: reg}).fit(table.where(at != inner))
+        hit = F.avg((F.col("prediction") == F.col("label_ix")).cast("int"))
+        return model.transform(table.where(at == inner)).agg(hit).first()[0]
+
+    tasks = [(o, reg, i) for o in outer for reg in s.l2_grid for i in range(s.k)]
+    found = dict(zip(tasks, _in_threads(score, tasks, s.parallelism)))
+
+    def mean(held_out, reg):
+        scored = [v for i in range(s.k) if (v := found[(held_out, reg, i)]) is not None]
+        return round(100 * float(np.mean(scored)), 2)
+
+    return {o: [mean(o, reg) for reg in s.l2_grid] for o in outer}
 
 
 @dataclass
@@ -361,13 +370,15 @@ def probe(
     table = _table(folds, classes)
     sizes = {r["fold"]: r["n"] for r in table.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     total, width = sum(sizes.values()), len(table.first()["embedding"])
+    wanted = sorted(sizes) if outer is None else outer
+    tuning = grid_scores(table, wanted, _estimator("softmax", total, width, len(classes), s), s) if classifier == "softmax" else {}
     fold_stats = group_moments(table.select("fold", "embedding"), ["fold"]) if classifier == "svm" else {}
 
     def run(held_out: int):
         train, test = table.where(F.col("fold") != held_out), table.where(F.col("fold") == held_out)
         estimator = _estimator(classifier, total - sizes[held_out], width, len(classes), s)
         if classifier == "softmax":
-            return _tuned(table, held_out, estimator, classes, s)
+            return _tuned(table, held_out, tuning[held_out], estimator, classes, s)
         if classifier == "svm":
             fit = _sum([m for (f,), m in fold_stats.items() if f != held_out])
             lifted = fourier_features(table.drop("features"), fit, s.svm_width, s.seed)
@@ -378,14 +389,13 @@ def probe(
             return _predicted(model, lifted.where(F.col("fold") == held_out), classes), []
         return _predicted(estimator.fit(train), test, classes), []
 
-    done = _in_threads(run, sorted(sizes) if outer is None else outer, s.parallelism)
+    done = _in_threads(run, wanted, s.parallelism)
     predictions = reduce(DataFrame.unionByName, [p for p, _ in done]).persist(StorageLevel.MEMORY_AND_DISK)
     return ProbeResult(predictions, classes, [row for _, rows in done for row in rows], [table, predictions])
 
 
-def _tuned(table: DataFrame, outer: int, estimator, classes: list, s: ProbeSettings):
-    """Pick the L2 setting on inner folds, then fit on the outer train set less a 5 % dev split."""
-    scores = grid_scores(table, outer, estimator, s)
+def _tuned(table: DataFrame, outer: int, scores: list, estimator, classes: list, s: ProbeSettings):
+    """Take the best L2 setting, the first among equals, and fit on the outer train set less a 5 % dev split."""
     best = int(np.argmax(scores))
     train = table.where(F.col("fold") != outer)
     model = estimator.copy({estimator.regParam: s.l2_grid[best]}).fit(train.where(~F.col("dev")))
