@@ -9,6 +9,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -35,7 +36,7 @@ def encode(df: DataFrame, build, text_col: str = "text", profile: Profile = Prof
     """
     others = list(df.columns)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
-    size, name = profile.batch_size, f"{profile.name}:{getattr(build, 'cache_key', id(build))}"
+    size, name = profile.batch_size, hashlib.md5(cloudpickle.dumps(build)).hexdigest()
 
     def run(batches):
         encoder = _loaded(name, build)
@@ -74,11 +75,7 @@ class HashedNgrams:
 
 
 def hashed_ngrams(width: int = 32, n: int = 2):
-    def build():
-        return HashedNgrams(width, n)
-
-    build.cache_key = f"hashed_ngrams:{width}:{n}"
-    return build
+    return lambda: HashedNgrams(width, n)
 
 
 def encode_hashed(
