@@ -28,8 +28,14 @@ def _loaded(name: str, build):
     return getattr(kept, name)
 
 
-def encode(df: DataFrame, build, text_col: str = "text", profile: Profile = Profile("plain"), out: str = "embedding"):
-    """Add ``out`` = encoder(text). No shuffle: each partition streams through the encoder.
+def encode(
+    df: DataFrame,
+    build,
+    text_col: str = "text",
+    profile: Profile = Profile("plain"),
+    out: str = "embedding",
+) -> DataFrame:
+    """Add ``out`` = encoder(text): each partition streams through the encoder, nothing is grouped.
 
     ``build()`` runs on the worker and returns an object whose ``encode(texts)`` gives one row per
     text. Texts go in batches of ``profile.batch_size`` after the profile's null rule and prompt.
@@ -49,7 +55,8 @@ def encode(df: DataFrame, build, text_col: str = "text", profile: Profile = Prof
                 columns = [*batch.columns[:-1], to_lists(np.vstack(parts))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*others, prepare_text(F.col(text_col), profile).alias("_prepared")).mapInArrow(run, schema)
+    prepared = df.select(*others, prepare_text(F.col(text_col), profile).alias("_prepared"))
+    return prepared.mapInArrow(run, schema)
 
 
 def _ngrams(tokens: list[str], n: int) -> list[str]:
