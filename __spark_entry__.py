@@ -216,7 +216,7 @@ def sts_whitened(spark, sf):
 
 
 def eval_sts(spark, sf):
-    _, figures = evaluate_sts(t.sides(spark, sf), t.gold(spark, sf))
+    figures = evaluate_sts(t.sides(spark, sf), t.gold(spark, sf))
     return figures.select(label_of("whitening").alias("whitening"), "metric", at_places(F.col("value")).alias("value"))
 
 
@@ -245,7 +245,7 @@ def pool_layer(spark, sf):
 
 
 def pool_range(spark, sf):
-    return t.entries(pool.pool(t.tokens(spark, sf), "range", 2), "row_id")
+    return t.entries(pool.pool(t.tokens(spark, sf), "range", 2, layers=t.LAYERS), "row_id")
 
 
 def pool_pair(spark, sf):
@@ -253,7 +253,7 @@ def pool_pair(spark, sf):
 
 
 def pool_last(spark, sf):
-    return t.entries(pool.last_token(t.tokens(spark, sf)), "row_id")
+    return t.entries(pool.last_token(t.tokens(spark, sf), layers=t.LAYERS), "row_id")
 
 
 def encode_hash(spark, sf):

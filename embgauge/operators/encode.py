@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from embgauge.functions.kernels import to_lists
 from embgauge.functions.text import Profile, prepare_text, words
-from embgauge.session import parallelism
+from embgauge.session import keep, parallelism
 from embgauge.sources.embeddings import write_embeddings
 
 
@@ -123,7 +123,7 @@ def encode_word2vec(
     df: DataFrame, key: str = "row_id", text_col: str = "text", width: int = 32, seed: int = 0, min_count: int = 5
 ) -> DataFrame:
     """Mean of word vectors learned from the same texts: ``(key, embedding)``."""
-    tokens = df.select(key, words(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")).persist()
+    tokens = keep(df.select(key, words(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")))
     frequent = tokens.select(F.explode("_t").alias("w")).groupBy("w").count().where(F.col("count") >= min_count).count()
     if frequent * width > MAX_WORD_VECTORS:
         raise ValueError(f"a vocabulary of {frequent} words is too large; raise min_count")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from embgauge.operators.ranks import running_totals
+from embgauge.session import keep
 
 
 def confusion(predictions: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -49,10 +50,8 @@ def roc_auc_weighted(
     by = list(by)
     long = predictions.select(*by, "label", F.posexplode(scores).alias("_c", "_score"))
     positive = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("_c") + 1) == F.col("label")
-    values = (
-        long.groupBy(*by, "_c", "_score")
-        .agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-        .persist()
+    values = keep(
+        long.groupBy(*by, "_c", "_score").agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
     )
     below = running_totals(values, "_score", ["neg"], [*by, "_c"])
     per_class = below.groupBy(*by, "_c").agg(

@@ -15,8 +15,9 @@ from embgauge.functions.vectors import as_doubles, mean_vector
 DEFAULT_LAYER = 32
 
 
-def _last_layer(tokens: DataFrame) -> Column:
-    return tokens.agg(F.max("layer")).scalar()
+def _last_layer(tokens: DataFrame, layers: int | None) -> Column:
+    """Number of the last layer: known from the model, or else looked up in the table."""
+    return tokens.agg(F.max("layer")).scalar() if layers is None else F.lit(layers - 1)
 
 
 def mean_pool(tokens: DataFrame, key: str = "row_id", masked: bool = False) -> DataFrame:
@@ -25,13 +26,20 @@ def mean_pool(tokens: DataFrame, key: str = "row_id", masked: bool = False) -> D
     return rows.groupBy(key).agg(mean_vector("embedding").alias("embedding"))
 
 
-def last_token(tokens: DataFrame, key: str = "row_id") -> DataFrame:
+def last_token(tokens: DataFrame, key: str = "row_id", layers: int | None = None) -> DataFrame:
     """Vector of the last position of the last layer."""
-    last = tokens.where(F.col("layer") == _last_layer(tokens))
+    last = tokens.where(F.col("layer") == _last_layer(tokens, layers))
     return last.groupBy(key).agg(F.max_by(as_doubles("embedding"), "token_pos").alias("embedding"))
 
 
-def pool(tokens: DataFrame, strategy: str = "layer", pooling=DEFAULT_LAYER, key: str = "row_id", masked: bool = False):
+def pool(
+    tokens: DataFrame,
+    strategy: str = "layer",
+    pooling=DEFAULT_LAYER,
+    key: str = "row_id",
+    masked: bool = False,
+    layers: int | None = None,
+) -> DataFrame:
     """``layer``: one layer; ``range``: mean of the last k layers; ``pair``: sum of two layers.
 
     Each is followed by the mean over tokens. As all layers hold the same positions, the mean over
@@ -41,7 +49,7 @@ def pool(tokens: DataFrame, strategy: str = "layer", pooling=DEFAULT_LAYER, key:
     if strategy == "layer" and whole:
         return mean_pool(tokens.where(F.col("layer") == pooling), key, masked)
     if strategy == "range" and whole:
-        return mean_pool(tokens.where(F.col("layer") > _last_layer(tokens) - pooling), key, masked)
+        return mean_pool(tokens.where(F.col("layer") > _last_layer(tokens, layers) - pooling), key, masked)
     if strategy == "pair" and isinstance(pooling, tuple) and len(pooling) == 2:
         rows = tokens.where(F.col("layer").isin(*pooling))
         rows = rows.where(F.col("attended")) if masked else rows

@@ -13,7 +13,6 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
@@ -29,6 +28,7 @@ from embgauge.functions.kernels import to_lists, to_matrix
 from embgauge.functions.vectors import as_doubles
 from embgauge.operators import metrics
 from embgauge.operators.folds import holdout, nested_folds, stratified_folds
+from embgauge.session import fetched, keep
 
 # The L2 settings tried, the forest size, and the share added to variances.
 L2_GRID = [1e-5, 1e-4, 1e-3, 1e-2]
@@ -245,8 +245,8 @@ def _estimator(name: str, rows: int, width: int, n_classes: int, s: ProbeSetting
     raise ValueError(f"unknown classifier {name!r}")
 
 
-def _table(df: DataFrame, classes: list) -> DataFrame:
-    """Cached ML table with class positions as labels."""
+def _table(df: DataFrame, classes: list, vectors: list) -> DataFrame:
+    """Cached ML table with class positions as labels and the vector columns a classifier reads."""
     position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
     extra = [c for c in ("inner", "dev") if c in df.columns]
     return df.select(
@@ -255,17 +255,16 @@ def _table(df: DataFrame, classes: list) -> DataFrame:
         "fold",
         *extra,
         position.cast("double").alias("label_ix"),
-        as_doubles("embedding").alias("embedding"),
-        array_to_vector(as_doubles("embedding")).alias("features"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+        *vectors,
+    )
 
 
 def _predicted(model, test: DataFrame, classes: list) -> DataFrame:
     out = model.transform(test)
     pred = F.element_at(F.array(*[F.lit(int(c)) for c in classes]), F.col("prediction").cast("int") + 1)
     scored = next((c for c in ("probability", "rawPrediction") if c in out.columns), None)
-    scores = vector_to_array(scored) if scored else F.lit(None).cast("array<double>")
-    return out.select("row_id", "fold", "label", pred.alias("pred"), scores.alias("scores"))
+    scores = [vector_to_array(scored).alias("scores")] if scored else []
+    return out.select("row_id", "fold", "label", pred.alias("pred"), *scores)
 
 
 def _in_threads(work, items, threads: int) -> list:
@@ -300,12 +299,12 @@ def grid_scores(table: DataFrame, outer: list[int], estimator, s: ProbeSettings)
 
 @dataclass
 class ProbeResult:
-    """Out-of-fold predictions, and for the tuned classifier the grid scores per outer fold."""
+    """Out-of-fold predictions, and for the tuned classifier its settings and dev figures per fold."""
 
     predictions: DataFrame
     classes: list
+    scored: bool
     tuning: list
-    cached: list
 
     def results(self) -> DataFrame:
         """``(metric, fold, value)``: per-fold figures, and their means under a null fold."""
@@ -313,7 +312,7 @@ class ProbeResult:
             metrics.f1_weighted(self.predictions, ["fold"]), "fold"
         )
         names = ["accuracy", "f1_weighted"]
-        if "scores" in self.predictions.columns and self.has_scores:
+        if self.scored:
             auc = metrics.roc_auc_weighted(self.predictions, self.classes, ["fold"])
             by_fold = by_fold.join(auc, "fold", "left")
             names.append("rocauc_weighted")
@@ -322,19 +321,9 @@ class ProbeResult:
             spark = self.predictions.sparkSession
             tuned = spark.createDataFrame(self.tuning, "fold int, metric string, value double")
             long = long.unionByName(tuned)
-        long = long.persist()
-        mean = metrics.fold_summary(long.where(F.col("metric") != "best_l2"), ["metric"]).withColumn(
-            "fold", F.lit(None).cast("int")
-        )
-        return long.unionByName(mean)
-
-    @property
-    def has_scores(self) -> bool:
-        return bool(self.predictions.where(F.col("scores").isNotNull()).limit(1).count())
-
-    def release(self) -> None:
-        for frame in self.cached:
-            frame.unpersist()
+        long = fetched(long)
+        mean = metrics.fold_summary(long.where(F.col("metric") != "best_l2"), ["metric"])
+        return long.unionByName(mean.withColumn("fold", F.lit(None).cast("int")))
 
 
 def with_folds(df: DataFrame, classifier: str, settings: ProbeSettings = ProbeSettings()) -> DataFrame:
@@ -361,15 +350,15 @@ def probe(
     if not split:
         folds = with_folds(folds, classifier, s)
     if classifier == "nb":
-        folds = folds.persist(StorageLevel.MEMORY_AND_DISK)
-        predictions = nb_predictions(folds).drop("reg")
+        predictions = nb_predictions(keep(folds)).drop("reg")
         if outer is not None:
             predictions = predictions.where(F.col("fold").isin(outer))
-        predictions = predictions.persist(StorageLevel.MEMORY_AND_DISK)
-        return ProbeResult(predictions, classes, [], [folds, predictions])
-    table = _table(folds, classes)
+        return ProbeResult(keep(predictions), classes, True, [])
+    embedding, features = as_doubles("embedding"), array_to_vector(as_doubles("embedding"))
+    vector = embedding.alias("embedding") if classifier == "svm" else features.alias("features")
+    table = keep(_table(folds, classes, [vector]))
     sizes = {r["fold"]: r["n"] for r in table.groupBy("fold").agg(F.count("*").alias("n")).collect()}
-    total, width = sum(sizes.values()), len(table.first()["embedding"])
+    total, width = sum(sizes.values()), df.select(F.size("embedding")).first()[0]
     wanted = sorted(sizes) if outer is None else outer
     tuning = grid_scores(table, wanted, _estimator("softmax", total, width, len(classes), s), s) if classifier == "softmax" else {}
     fold_stats = group_moments(table.select("fold", "embedding"), ["fold"]) if classifier == "svm" else {}
@@ -381,17 +370,18 @@ def probe(
             return _tuned(table, held_out, tuning[held_out], estimator, classes, s)
         if classifier == "svm":
             fit = _sum([m for (f,), m in fold_stats.items() if f != held_out])
-            lifted = fourier_features(table.drop("features"), fit, s.svm_width, s.seed)
-            lifted = lifted.withColumn("features", array_to_vector("embedding"))
-            cached = lifted.where(F.col("fold") != held_out).persist(StorageLevel.MEMORY_AND_DISK)
+            lifted = fourier_features(table, fit, s.svm_width, s.seed)
+            lifted = lifted.withColumn("features", array_to_vector("embedding")).drop("embedding")
+            cached = lifted.where(F.col("fold") != held_out).persist()
             model = estimator.fit(cached)
             cached.unpersist()
             return _predicted(model, lifted.where(F.col("fold") == held_out), classes), []
         return _predicted(estimator.fit(train), test, classes), []
 
     done = _in_threads(run, wanted, s.parallelism)
-    predictions = reduce(DataFrame.unionByName, [p for p, _ in done]).persist(StorageLevel.MEMORY_AND_DISK)
-    return ProbeResult(predictions, classes, [row for _, rows in done for row in rows], [table, predictions])
+    predictions = keep(reduce(DataFrame.unionByName, [p for p, _ in done]))
+    scored = "scores" in predictions.columns
+    return ProbeResult(predictions, classes, scored, [row for _, rows in done for row in rows])
 
 
 def _tuned(table: DataFrame, outer: int, scores: list, estimator, classes: list, s: ProbeSettings):

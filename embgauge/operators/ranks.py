@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from embgauge.session import checkpointed
+from embgauge.session import checkpointed, keep
 
 # Up to this many rows a running total is one window sort and its result may be broadcast.
 SMALL_ROWS = 1_000_000
@@ -75,7 +75,7 @@ def _running_totals_by_range(df: DataFrame, order: str, amounts: list[str], by:
 
 def average_ranks(df: DataFrame, column: str, by: list[str] = (), small_rows: int = SMALL_ROWS) -> DataFrame:
     """``(*by, column, n, avg_rank)``: rank of every distinct value, ties sharing their mean rank."""
-    values = df.groupBy(*by, column).agg(F.count("*").alias("n")).persist()
+    values = keep(df.groupBy(*by, column).agg(F.count("*").alias("n")))
     ranked = running_totals(values, column, ["n"], by, small_rows)
     return ranked.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / 2).drop("before_n")
 
@@ -90,7 +90,7 @@ def with_average_rank(
     is joined by shuffle.
     """
     by = list(by)
-    ranks = average_ranks(df, column, by, small_rows).persist()
+    ranks = keep(average_ranks(df, column, by, small_rows))
     size = ranks.agg(F.count("*").alias("values"), F.sum("n").alias("rows")).first()
     keys = [*by, column]
     if size["values"] <= small_rows:

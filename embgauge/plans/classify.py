@@ -4,21 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from embgauge.operators.metrics import fold_summary
 from embgauge.operators.moments import isoscore_of, moments
 from embgauge.operators.probe import ProbeSettings, probe, with_folds
 from embgauge.operators.whiten import NONE, solve_whitening, whiten
 from embgauge.plans.sweep import Sweep, load_features, run_sweep
-
-RESULT_COLUMNS = ["whitening", "metric", "fold", "value"]
-
-
-def _constant(spark: SparkSession, whitening: str, metric: str, value: float) -> DataFrame:
-    return spark.createDataFrame(
-        [(whitening, metric, None, float(value))], "whitening string, metric string, fold int, value double"
-    )
+from embgauge.session import cache_scope, fetched, keep
 
 
 def evaluate_classification(
@@ -36,49 +29,42 @@ def evaluate_classification(
     """
     if fit_on not in ("all", "train"):
         raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
-    spark = rows.sparkSession
-    base = with_folds(rows.select("row_id", "label", "embedding"), classifier, settings).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    whole = moments(base)
-    parts = []
-    for method in methods:
-        if method == NONE:
-            parts.append(_finished(probe(base, classifier, settings), method))
-            parts.append(_constant(spark, method, "isoscore", whole.isoscore))
-            continue
+    with cache_scope():
+        base = keep(with_folds(rows.select("row_id", "label", "embedding"), classifier, settings))
+        whole = moments(base)
+        parts = [_one_method(base, whole, m, classifier, settings, fit_on) for m in methods]
+        return reduce(DataFrame.unionByName, parts)
+
+
+def _one_method(base: DataFrame, whole, method: str, classifier: str, settings: ProbeSettings, fit_on: str):
+    if method == NONE:
+        isotropy, found = whole.isoscore, _figures(base, classifier, settings)
+    else:
         model = solve_whitening(whole, method)
-        iso = isoscore_of(model.whiten @ whole.cov @ model.whiten.T)
-        parts.append(_constant(spark, method, "isoscore", iso))
+        isotropy = isoscore_of(model.whiten @ whole.cov @ model.whiten.T)
         if fit_on == "all":
-            parts.append(_finished(probe(whiten(base, [model]).drop("whitening"), classifier, settings), method))
-            continue
-        for held_out in range(settings.k):
-            seen = solve_whitening(moments(base.where(F.col("fold") != held_out)), method)
-            mapped = whiten(base, [seen]).drop("whitening")
-            parts.append(_finished(probe(mapped, classifier, settings, [held_out]), method))
-    found = reduce(DataFrame.unionByName, parts)
-    base.unpersist()
-    if fit_on == "all":
-        return found
-    # Runs of single folds: their means are taken over all folds of a method.
-    per_fold = found.where(F.col("fold").isNotNull() | (F.col("metric") == "isoscore"))
-    means = (
-        per_fold.where(F.col("fold").isNotNull() & (F.col("metric") != "best_l2"))
-        .groupBy("whitening", "metric")
-        .agg(F.bround(F.avg("value"), 2).alias("value"))
-        .withColumn("fold", F.lit(None).cast("int"))
-    )
-    return per_fold.unionByName(means)
-
-
-def _finished(result, method: str) -> DataFrame:
-    """The result's few figures, computed now so that its cached tables can go."""
-    figures = result.results().withColumn("whitening", F.lit(method)).select(*RESULT_COLUMNS)
-    spark = figures.sparkSession
-    rows = [tuple(r) for r in figures.collect()]
-    result.release()
-    return spark.createDataFrame(rows, "whitening string, metric string, fold int, value double")
+            found = _figures(whiten(base, [model]).drop("whitening"), classifier, settings)
+        else:
+            found = _figures_by_fold(base, method, classifier, settings)
+    constant = base.sparkSession.createDataFrame([("isoscore", None, isotropy)], "metric string, fold int, value double")
+    return found.unionByName(constant).select(F.lit(method).alias("whitening"), "metric", "fold", "value")
+
+
+def _figures(table: DataFrame, classifier: str, settings: ProbeSettings, outer: list | None = None) -> DataFrame:
+    """``(metric, fold, value)``; the tables cached for it are released."""
+    with cache_scope():
+        return fetched(probe(table, classifier, settings, outer).results().select("metric", "fold", "value"))
+
+
+def _figures_by_fold(base: DataFrame, method: str, classifier: str, settings: ProbeSettings) -> DataFrame:
+    """As ``_figures``, with the map fitted anew without each held-out fold."""
+    parts = []
+    for held_out in range(settings.k):
+        seen = solve_whitening(moments(base.where(F.col("fold") != held_out)), method)
+        parts.append(_figures(whiten(base, [seen]).drop("whitening"), classifier, settings, [held_out]))
+    per_fold = reduce(DataFrame.unionByName, parts).where(F.col("fold").isNotNull())
+    means = fold_summary(per_fold.where(F.col("metric") != "best_l2"), ["metric"])
+    return per_fold.unionByName(means.withColumn("fold", F.lit(None).cast("int")))
 
 
 def eval_classify(spark: SparkSession, sweep: Sweep) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embgauge.operators.cluster import BATCH_RAW, BATCH_WHITENED, RUNS, mini_batch_kmeans
@@ -11,6 +10,7 @@ from embgauge.operators.probe import classes_of
 from embgauge.operators.silhouette import silhouette
 from embgauge.operators.whiten import METHODS, NONE, solve_whitening, whiten
 from embgauge.plans.sweep import Sweep, load_features, run_sweep
+from embgauge.session import cache_scope, keep
 
 
 def evaluate_clustering(rows: DataFrame, methods: list = (NONE, *METHODS), runs: int = RUNS, seed: int = 0) -> DataFrame:
@@ -19,23 +19,26 @@ def evaluate_clustering(rows: DataFrame, methods: list = (NONE, *METHODS), runs:
     As many clusters as classes. The runs of one method share the assigning scan and the
     distances. Values are percentages with two places.
     """
-    base = rows.select("row_id", "label", "embedding").persist(StorageLevel.MEMORY_AND_DISK)
-    k = len(classes_of(base))
-    whole = moments(base) if any(m != NONE for m in methods) else None
-    parts = []
-    for method in methods:
-        mapped = base if method == NONE else whiten(base, [solve_whitening(whole, method)]).drop("whitening")
-        batch = BATCH_RAW if method == NONE else BATCH_WHITENED
-        clustered = mini_batch_kmeans(mapped, k, runs, batch, seed).persist(StorageLevel.MEMORY_AND_DISK)
-        scores = silhouette(clustered).collect()
-        clustered.unpersist()
-        parts += [(method, "silhouette", r["run"], round(100 * r["silhouette"], 2)) for r in scores]
-    base.unpersist()
+    with cache_scope():
+        base = keep(rows.select("row_id", "label", "embedding"))
+        k = len(classes_of(base))
+        whole = moments(base) if any(m != NONE for m in methods) else None
+        parts = [row for m in methods for row in _runs_of(base, whole, m, k, runs, seed)]
     found = rows.sparkSession.createDataFrame(parts, "whitening string, metric string, fold int, value double")
     means = found.groupBy("whitening", "metric").agg(F.bround(F.avg("value"), 2).alias("value"))
     return found.unionByName(means.withColumn("fold", F.lit(None).cast("int")))
 
 
+def _runs_of(base: DataFrame, whole, method: str, k: int, runs: int, seed: int) -> list:
+    """Silhouette of every run of one method."""
+    mapped = base if method == NONE else whiten(base, [solve_whitening(whole, method)]).drop("whitening")
+    batch = BATCH_RAW if method == NONE else BATCH_WHITENED
+    with cache_scope():
+        clustered = keep(mini_batch_kmeans(mapped, k, runs, batch, seed))
+        scores = silhouette(clustered).collect()
+    return [(method, "silhouette", r["run"], round(100 * r["silhouette"], 2)) for r in scores]
+
+
 def eval_cluster(spark: SparkSession, sweep: Sweep) -> DataFrame:
     """The sweep over datasets, encoders and whitening methods."""
 

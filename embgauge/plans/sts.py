@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embgauge.operators.moments import moments
@@ -10,6 +11,7 @@ from embgauge.operators.pairs import check_sides, join_sides
 from embgauge.operators.ranks import anisotropy, pearson, spearman
 from embgauge.operators.whiten import METHODS, NONE, Unchanged, solve_whitening, whitened_pair_cosine
 from embgauge.plans.sweep import Sweep, label_of, run_sweep
+from embgauge.session import cache_scope, fetched, keep
 from embgauge.sources.embeddings import read_embeddings
 from embgauge.sources.results import write_pair_scores
 
@@ -39,11 +41,19 @@ def correlations(scores: DataFrame, by: list[str] = ("whitening",)) -> DataFrame
     )
 
 
-def evaluate_sts(rows: DataFrame, gold: DataFrame, methods: list = (NONE, *METHODS)) -> tuple[DataFrame, DataFrame]:
-    """Pair scores, and ``(whitening, metric, fold, value)`` rows."""
-    scores = score_pairs(rows, gold, methods).persist(StorageLevel.MEMORY_AND_DISK)
-    figures = correlations(scores).unpivot("whitening", ["pearson", "spearman", "anisotropy"], "metric", "value")
-    return scores, figures.withColumn("fold", F.lit(None).cast("int"))
+def evaluate_sts(
+    rows: DataFrame,
+    gold: DataFrame,
+    methods: list = (NONE, *METHODS),
+    write: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
+    """``(whitening, metric, value, fold)`` rows; ``write`` gets the pair scores they come from."""
+    with cache_scope():
+        scores = keep(score_pairs(rows, gold, methods))
+        if write:
+            write(scores)
+        figures = correlations(scores).unpivot("whitening", ["pearson", "spearman", "anisotropy"], "metric", "value")
+        return fetched(figures.withColumn("fold", F.lit(None).cast("int")))
 
 
 def eval_sts(spark: SparkSession, sweep: Sweep) -> DataFrame:
@@ -52,12 +62,11 @@ def eval_sts(spark: SparkSession, sweep: Sweep) -> DataFrame:
     def work(dataset, encoder, methods):
         rows = read_embeddings(spark, sweep.store, dataset, encoder).withColumnRenamed("row_id", "pair_id")
         check_sides(rows)
-        scores, figures = evaluate_sts(rows, sweep.gold(spark, dataset), methods)
-        if sweep.pair_scores:
-            named = scores.withColumns(
-                {"dataset": F.lit(dataset), "encoder": F.lit(encoder), "whitening": label_of("whitening")}
-            )
-            write_pair_scores(named, sweep.pair_scores)
-        return figures
+
+        def write(scores):
+            names = {"dataset": F.lit(dataset), "encoder": F.lit(encoder), "whitening": label_of("whitening")}
+            write_pair_scores(scores.withColumns(names), sweep.pair_scores)
+
+        return evaluate_sts(rows, sweep.gold(spark, dataset), methods, write if sweep.pair_scores else None)
 
     return run_sweep(spark, sweep, "sts", "cosine", work)

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[list | None] = ContextVar("cache_scope", default=None)
+
 
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
@@ -27,3 +32,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="embgauge-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a table that is read more than once; a surrounding ``cache_scope`` drops it."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(kept)
+    return kept
+
+
+@contextmanager
+def cache_scope():
+    """Everything kept inside is released at the end, so a long sweep holds one step's tables."""
+    outer = _scope.set([])
+    try:
+        yield
+    finally:
+        for df in _scope.get():
+            df.unpersist()
+        _scope.reset(outer)
+
+
+def fetched(df: DataFrame) -> DataFrame:
+    """A result of a few rows, computed now; it no longer depends on cached tables."""
+    rows = df.collect()
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema)

@@ -115,7 +115,6 @@ def test_every_classifier_separates_blobs(spark, blobs, classifier):
     assert means["accuracy"] > 95 and means["f1_weighted"] > 95 and means["rocauc_weighted"] > 95
     if classifier == "softmax":
         assert {"dev_accuracy", "holdout_accuracy"} <= set(means)
-    found.release()
 
 
 def test_naive_bayes_matches_brute_force(spark, blobs):
