@@ -75,7 +75,7 @@ def prepare_text(text: Column, profile: Profile) -> Column:
 
 def words(text: Column) -> Column:
     """Tokens at runs of blanks, tabs and line ends; blank text has none."""
-    trimmed = F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    trimmed = F.btrim(text, F.lit(" \t\r\n"))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t\r\n]+"))
 
 

@@ -94,12 +94,12 @@ def encode_hashed(
     the shuffle.
     """
     tokens = words(F.coalesce(F.col(text_col), F.lit("")))
-    sized = lambda size: F.transform(
-        F.sequence(F.lit(1), F.size("_t") - (size - 1)), lambda i: F.concat_ws(" ", F.slice("_t", i, size))
-    )
-    empty = F.array().cast("array<string>")
-    grams = F.concat(*[F.when(F.size("_t") >= size, sized(size)).otherwise(empty) for size in range(1, n + 1)])
-    exploded = df.select(key, tokens.alias("_t")).select(key, F.explode_outer(grams).alias("gram"))
+    grams = [F.col("_t")]
+    for size in range(2, n + 1):
+        left = F.greatest(F.size("_t") - (size - 1), F.lit(0))
+        join = lambda a, b: F.concat_ws(" ", a, b)
+        grams.append(F.zip_with(F.slice(grams[-1], F.lit(1), left), F.slice("_t", F.lit(size), left), join))
+    exploded = df.select(key, tokens.alias("_t")).select(key, F.explode_outer(F.concat(*grams)).alias("gram"))
     digest = F.md5(F.col("gram"))
     hashed = exploded.select(
         key,

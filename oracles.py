@@ -114,7 +114,7 @@ TOKENS = r"""tk AS (SELECT row_id, unnest(generate_series(0, len(ts)-1))::INT AS
    (SELECT doc_id AS row_id, string_split_regex(t, '[ \t\r\n]+') AS ts FROM
       (SELECT doc_id, regexp_replace(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS t FROM documents) WHERE t <> ''))"""
 STATES = """h AS (SELECT row_id, layer, token_pos, length(token) > 2 AS attended, dim,
-   ((bits >> (7 * dim)) & 127) * 2e0 / 127 - 1 AS v
+   sqrt(((bits >> (7 * dim)) & 127)::DOUBLE + 1) / 6 - 1 AS v
    FROM (SELECT row_id, layer, token_pos, token,
            ('0x' || substr(md5(layer || ':' || token), 1, 15))::BIGINT AS bits FROM tk, (SELECT unnest(range(4)) AS layer)),
         (SELECT unnest(range(8))::INT AS dim))"""

@@ -79,13 +79,15 @@ def pair_labels(spark: SparkSession, sf: str) -> DataFrame:
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Hidden states of all tokens of all documents: ``(row_id, layer, token_pos, attended, embedding)``.
 
-    The vector is eight 7-bit numbers from the digest of layer and token, scaled to [-1, 1].
+    The vector is made of eight 7-bit numbers from the digest of layer and token; their roots keep
+    means off exact decimal halves, which two engines may round apart.
     """
     layers = F.explode(F.sequence(F.lit(0), F.lit(LAYERS - 1))).alias("layer")
     rows = token_table(documents(spark, sf)).select("row_id", "token_pos", "token", layers)
     digest = F.md5(F.concat_ws(":", F.col("layer").cast("string"), F.col("token")))
     bits = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
-    entry = lambda i: F.shiftright("bits", 7 * i).bitwiseAND(F.lit(127).cast("bigint")) * F.lit(2.0) / 127 - 1
+    number = lambda i: F.shiftright("bits", 7 * i).bitwiseAND(F.lit(127).cast("bigint")).cast("double")
+    entry = lambda i: F.sqrt(number(i) + 1) / 6 - 1
     return rows.withColumn("bits", bits).select(
         "row_id",
         "layer",
