@@ -20,6 +20,7 @@ from embgauge.plans.classify import evaluate_classification
 from embgauge.plans.clustering import evaluate_clustering
 from embgauge.plans.sts import evaluate_sts, score_pairs
 from embgauge.plans.sweep import label_of
+from embgauge.session import keep
 from embgauge.sources.datasets import apply_contract
 from embgauge.sources.embeddings import from_wide, to_wide
 
@@ -176,6 +177,15 @@ def isoscore(spark, sf):
     return spark.createDataFrame([(value,)], "v double").select(at_places(F.col("v")).alias("isoscore"))
 
 
+def isoscore_whitened(spark, sf):
+    found = moments.moments(t.vectors(spark, sf))
+    maps = [whiten.solve_whitening(found, m) for m in whiten.METHODS]
+    values = [(m.method, moments.isoscore_of(m.whiten @ found.cov @ m.whiten.T)) for m in maps]
+    return spark.createDataFrame(values, "whitening string, v double").select(
+        "whitening", at_places(F.col("v")).alias("isoscore")
+    )
+
+
 def anisotropy(spark, sf):
     return ranks.anisotropy(_scored(spark, sf)).select(at_places(F.col("anisotropy")).alias("anisotropy"))
 
@@ -343,13 +353,28 @@ def eval_classify(spark, sf):
     return evaluate_classification(t.vectors(spark, sf), "lr")
 
 
+def _report(frame):
+    return frame.withColumn("value", at_places(F.col("value")))
+
+
+def eval_classify_nb(spark, sf):
+    return _report(evaluate_classification(t.vectors(spark, sf), "nb"))
+
+
 def eval_classify_whitened(spark, sf):
-    return evaluate_classification(t.vectors(spark, sf), "nb", whiten.METHODS)
+    return _report(evaluate_classification(t.vectors(spark, sf), "nb", whiten.METHODS))
 
 
 def eval_classify_pairs(spark, sf):
     rows = pairs.labelled_pair_features(pairs.join_sides(t.sides(spark, sf)), t.pair_labels(spark, sf))
-    return evaluate_classification(rows.withColumnRenamed("pair_id", "row_id"), "nb")
+    return _report(evaluate_classification(rows.withColumnRenamed("pair_id", "row_id"), "nb"))
+
+
+def encode_classify(spark, sf):
+    rows = encode(t.labelled_documents(spark, sf), hashed_ngrams(), profile=Profile.of("all-mpnet-base-v2"))
+    rounded = F.transform("embedding", lambda v: at_places(v))
+    coded = folds.stratified_folds(rows.select("row_id", "label", rounded.alias("embedding")))
+    return metrics.accuracy(probe.nb_predictions(keep(coded)), ["fold"])
 
 
 # ------------------------------------------------------------------ clustering
@@ -392,11 +417,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         src_dataset, src_embeddings, src_union_splits, contract, assemble, class_count, text_clean, prompt, truncate,
         sts_pairs, pair_labels, sts_scores, pairwise_l2, pair_features, pair_integrity,
-        center, dim_mean, dim_std, cov, cor_matrix, isoscore, anisotropy, pearson, spearman,
+        center, dim_mean, dim_std, cov, cor_matrix, isoscore, isoscore_whitened, anisotropy, pearson, spearman,
         dewhiten, sts_whitened, eval_sts, pca2d,
         pool_mean, pool_masked, pool_layer, pool_range, pool_pair, pool_last, encode_hash, encode_job, encode_w2v,
         stratified_folds, nested_folds, holdout, clf_nb, accuracy, f1_weighted, confusion, rocauc_weighted,
-        fold_summary, best_reg, standardize, nested_cv, eval_classify, eval_classify_whitened, eval_classify_pairs,
+        fold_summary, best_reg, standardize, nested_cv, eval_classify, eval_classify_nb, eval_classify_whitened,
+        eval_classify_pairs, encode_classify,
         kmeans_lloyd, kmeans, kmeans_runs, eval_cluster,
     ]
     named = {f.__name__: f for f in plain}

@@ -8,9 +8,12 @@ class with most of the rows is spread over all hash prefixes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-PREFIX_DIGITS = 4
+# 4096 prefixes per class: the rows looked into are a few 4096ths of the class.
+PREFIX_DIGITS = 3
 MAX_STRATA = 100_000
 
 
@@ -18,10 +21,6 @@ def shuffle_key(seed: int, key: str = "row_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _sort_key(seed: int, key: str) -> Column:
-    return F.struct(shuffle_key(seed, key).alias("h"), F.col(key).alias("id"))
-
-
 def _fold_ends(n: Column, k: int) -> Column:
     """Last rank of folds 0..k-2 when n rows are dealt into k folds."""
     return F.array(*[F.floor(n * f / k) for f in range(1, k)])
@@ -78,8 +77,20 @@ def _bounded(cuts: DataFrame) -> DataFrame:
     return F.broadcast(cuts.sparkSession.createDataFrame(rows, cuts.schema))
 
 
-def _position(cuts: Column, empty: Column, own: Column) -> Column:
-    return (empty + F.size(F.filter(cuts, lambda c: c < own))).cast("int")
+def _position(cut: Column, own: Column, k: int) -> Column:
+    """Fold of a row: the cuts before it. Spelled out per cut, so it stays generated code."""
+    passed = [F.coalesce(F.get(cut["cuts"], F.lit(i)) < own, F.lit(False)).cast("int") for i in range(k - 1)]
+    return reduce(lambda a, b: a + b, passed, cut["empty"]).cast("int")
+
+
+def _with_sort_key(df: DataFrame, seed: int, key: str) -> DataFrame:
+    own = F.struct(shuffle_key(seed, key).alias("h"), F.col(key).cast("bigint").alias("id"))
+    return df.withColumn("_own", own)
+
+
+def _labelled(df: DataFrame, label: str) -> DataFrame:
+    """A row without a label belongs to no class; it must not vanish in the join by class."""
+    return df.withColumn(label, F.coalesce(label, F.raise_error(f"row without a {label}").cast(df.schema[label].dataType)))
 
 
 def stratified_folds(
@@ -88,10 +99,10 @@ def stratified_folds(
     """Add ``fold`` in 0..k-1; within each class fold sizes differ by at most one."""
     if k < 2:
         raise ValueError("k-fold needs k >= 2")
+    df = _labelled(df, label)
     cuts = rank_cuts(df, [label], lambda n: _fold_ends(n, k), seed, key)
-    own = _sort_key(seed, key).cast("struct<h:string,id:bigint>")
-    placed = df.join(_bounded(cuts), label)
-    return placed.withColumn(out, _position(F.col("cuts"), F.col("empty"), own)).select(*df.columns, out)
+    placed = _with_sort_key(df, seed, key).join(_bounded(cuts.select(label, F.struct("empty", "cuts").alias("_cut"))), label)
+    return placed.withColumn(out, _position(F.col("_cut"), F.col("_own"), k)).select(*df.columns, out)
 
 
 def nested_folds(
@@ -107,16 +118,13 @@ def nested_folds(
     narrow = outer.select(label, key, "fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("outer"))
     narrow = narrow.where(F.col("outer") != F.col("fold"))
     cuts = rank_cuts(narrow, ["outer", label], lambda n: _fold_ends(n, k), inner_seed, key)
-    per_label = cuts.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("outer", "empty", "cuts"))).alias("per"))
-    own = _sort_key(inner_seed, key).cast("struct<h:string,id:bigint>")
-    placed = outer.join(_bounded(per_label), label)
-    # A class whose rows all sit in one fold has no entry for that outer fold.
-    entry = lambda o: F.get(F.filter(F.col("per"), lambda e: e["outer"] == o), F.lit(0))
-    inner = F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda o: F.when(o != F.col("fold"), _position(entry(o)["cuts"], entry(o)["empty"], own)),
-    )
-    return placed.withColumn("inner", inner).select(*outer.columns, "inner")
+    names = [f"_cut{o}" for o in range(k)]
+    per_label = cuts.groupBy(label).pivot("outer", list(range(k))).agg(F.first(F.struct("empty", "cuts")))
+    placed = _with_sort_key(outer, inner_seed, key).join(_bounded(per_label.toDF(label, *names)), label)
+    inner = [
+        F.when(F.col("fold") != o, _position(F.col(name), F.col("_own"), k)) for o, name in enumerate(names)
+    ]
+    return placed.withColumn("inner", F.array(*inner)).select(*outer.columns, "inner")
 
 
 def holdout(df: DataFrame, share: float = 0.05, seed: int = 0, key: str = "row_id", out: str = "dev") -> DataFrame:
@@ -125,6 +133,7 @@ def holdout(df: DataFrame, share: float = 0.05, seed: int = 0, key: str = "row_i
         raise ValueError("share must be between 0 and 1")
     whole = df.withColumn("_all", F.lit(0))
     cuts = rank_cuts(whole, ["_all"], lambda n: F.array(F.floor(n * F.lit(share))), seed, key)
-    own = _sort_key(seed, key).cast("struct<h:string,id:bigint>")
-    placed = whole.join(_bounded(cuts), "_all")
-    return placed.withColumn(out, (F.col("empty") == 0) & (own <= F.col("cuts")[0])).select(*df.columns, out)
+    placed = _with_sort_key(whole, seed, key).join(_bounded(cuts), "_all")
+    return placed.withColumn(out, (F.col("empty") == 0) & (F.col("_own") <= F.get("cuts", F.lit(0)))).select(
+        *df.columns, out
+    )

@@ -76,28 +76,35 @@ def folds(source: str, k: int = 5, seed: int = 0, key: str = "row_id", name: str
                 count(*) OVER (PARTITION BY label) AS n FROM {source}))"""
 
 
-def naive_bayes(smoothing=(1e-9,)) -> str:
+NB_ROWS = "nx AS (SELECT row_id, label, e FROM x)"
+
+
+def naive_bayes_parts(smoothing=(1e-9,)) -> list[str]:
+    """Out-of-fold predictions ``pr`` and joint log likelihoods ``j`` for the rows of ``nx``."""
     grid = ", ".join(f"({s!r}::DOUBLE)" for s in smoothing)
-    return with_(
-        X,
-        LONG,
-        folds("x"),
+    return [
+        "nl AS (SELECT row_id, label, unnest(generate_series(0, len(e)-1))::INT AS dim, unnest(e) AS v FROM nx)",
+        folds("nx"),
         f"g(reg) AS (VALUES {grid})",
         "o AS (SELECT unnest(range(5)) AS outer_fold)",
-        """t AS (SELECT o.outer_fold, l.label, l.dim, avg(v) AS m, var_pop(v) AS s2, count(*) AS n
-               FROM l JOIN f USING (row_id) JOIN o ON f.fold <> o.outer_fold GROUP BY ALL)""",
-        """wide AS (SELECT outer_fold, max(s2) AS top FROM (SELECT o.outer_fold, l.dim, var_pop(v) AS s2
-               FROM l JOIN f USING (row_id) JOIN o ON f.fold <> o.outer_fold GROUP BY ALL) GROUP BY ALL)""",
+        """t AS (SELECT o.outer_fold, nl.label, nl.dim, avg(v) AS m, var_pop(v) AS s2, count(*) AS n
+               FROM nl JOIN f USING (row_id) JOIN o ON f.fold <> o.outer_fold GROUP BY ALL)""",
+        """wide AS (SELECT outer_fold, max(s2) AS top FROM (SELECT o.outer_fold, nl.dim, var_pop(v) AS s2
+               FROM nl JOIN f USING (row_id) JOIN o ON f.fold <> o.outer_fold GROUP BY ALL) GROUP BY ALL)""",
         """n AS (SELECT outer_fold, label, max(n) AS n, sum(max(n)) OVER (PARTITION BY outer_fold) AS total
                FROM t GROUP BY outer_fold, label)""",
-        """j AS (SELECT l.row_id, f.fold, g.reg, f.label, t.label AS class,
+        """j AS (SELECT nl.row_id, f.fold, g.reg, f.label, t.label AS class,
                any_value(ln(n.n / n.total)) - 0.5 * sum(ln(2 * pi() * (t.s2 + g.reg * wide.top))
-                 + (l.v - t.m) * (l.v - t.m) / (t.s2 + g.reg * wide.top)) AS joint
-               FROM l JOIN f USING (row_id) JOIN t ON t.outer_fold = f.fold AND t.dim = l.dim
+                 + (nl.v - t.m) * (nl.v - t.m) / (t.s2 + g.reg * wide.top)) AS joint
+               FROM nl JOIN f USING (row_id) JOIN t ON t.outer_fold = f.fold AND t.dim = nl.dim
                JOIN wide ON wide.outer_fold = f.fold JOIN n ON n.outer_fold = f.fold AND n.label = t.label
                CROSS JOIN g GROUP BY ALL)""",
         "pr AS (SELECT row_id, fold, reg, label, arg_max(class, joint) AS pred FROM j GROUP BY ALL)",
-    )
+    ]
+
+
+def naive_bayes(smoothing=(1e-9,)) -> str:
+    return with_(X, NB_ROWS, *naive_bayes_parts(smoothing))
 
 
 ACCURACY = "round_even(100 * avg((label = pred)::INT), 2)"
@@ -108,6 +115,32 @@ f1 AS (SELECT fold, round_even(100 * sum(support * (2.0 * tp / (support + coales
          AS f1_weighted FROM tr LEFT JOIN gs USING (fold, label) GROUP BY fold)"""
 
 
+AUC = """rk AS (SELECT fold, class, label = class AS hit, rank() OVER (PARTITION BY fold, class ORDER BY joint)
+     + (count(*) OVER (PARTITION BY fold, class, joint) - 1) / 2.0 AS r FROM j),
+au AS (SELECT fold, class, count_if(hit)::DOUBLE AS p, count_if(NOT hit)::DOUBLE AS n, sum(r) FILTER (hit) AS sr
+     FROM rk GROUP BY ALL),
+ra AS (SELECT fold, 100 * sum(p * ((sr - p * (p + 1) / 2) / (p * n))) / sum(p) AS rocauc_weighted
+     FROM au WHERE p > 0 AND n > 0 GROUP BY fold)"""
+
+
+def classification(before: list[str], rows: str, method: str, shape: str) -> str:
+    """Report of naive Bayes on ``rows``; ``shape`` is the covariance as ``(i, j, v)`` rows."""
+    return with_(
+        *before,
+        rows,
+        *naive_bayes_parts(),
+        F1,
+        AUC,
+        f"""fg AS (SELECT fold, 'accuracy' AS metric, {ACCURACY} AS value FROM pr GROUP BY fold
+            UNION ALL SELECT fold, 'f1_weighted', f1_weighted FROM f1
+            UNION ALL SELECT fold, 'rocauc_weighted', rocauc_weighted FROM ra)""",
+        recursive=True,
+    ) + f"""SELECT '{method}' AS whitening, metric, fold, {r6('value')} AS value FROM fg
+      UNION ALL SELECT '{method}', metric, NULL, round_even(avg(value), 2) FROM fg GROUP BY metric
+      UNION ALL SELECT '{method}', 'isoscore', NULL, {r6('((t * t) / q - 1) / (d - 1)')} FROM (
+        SELECT sum(CASE WHEN i = j THEN v END) AS t, sum(v * v) AS q, max(i) + 1 AS d FROM {shape})"""
+
+
 # ------------------------------------------------------------------ pooling and encoding
 
 TOKENS = r"""tk AS (SELECT row_id, unnest(generate_series(0, len(ts)-1))::INT AS token_pos, unnest(ts) AS token FROM
@@ -233,9 +266,9 @@ PCA = with_(
 FROM (SELECT row_id, list_transform(list_zip(e, m), lambda t: t[1] - t[2]) AS c FROM x, ml), sg"""
 
 
-def principal_whitening(source: str, scaled: bool, width: int = 64) -> str:
+def principal_whitening(source: str, scaled: bool, width: int = 64) -> list[str]:
     """Rows on all axes over the root of the eigenvalue; an axis has a diagonal entry >= 0."""
-    return with_(
+    return [
         X,
         LONG,
         COV,
@@ -244,11 +277,14 @@ def principal_whitening(source: str, scaled: bool, width: int = 64) -> str:
         """pw AS (SELECT list_transform(axes, lambda u, j: list_transform(u, lambda v:
               v * CASE WHEN u[j] < 0 THEN -1 ELSE 1 END / sqrt(lams[j] + 1e-5))) AS a FROM ax)""",
         sphered("pw", scaled),
-        recursive=True,
-    ) + ENTRIES
+    ]
+
+
+def symmetric_whitening(source: str, scaled: bool) -> list[str]:
+    return [X, LONG, COV, listed("ridge", source, "1e-5"), inverse_root("ir", "ridge"), sphered("ir", scaled)]
 
 
-CHOLESKY = with_(
+CHOLESKY = [
     X,
     LONG,
     COV,
@@ -264,8 +300,20 @@ CHOLESKY = with_(
              FROM ch WHERE k <= len(left_over)))""",
     "lo AS (SELECT cols AS a FROM ch WHERE k = len(left_over) + 1)",
     sphered("lo", False),
-    recursive=True,
-) + ENTRIES
+]
+WHITENED = {
+    "pca": principal_whitening("cv", False),
+    "zca": symmetric_whitening("cv", False),
+    "pca_cor": principal_whitening("cc", True),
+    "zca_cor": symmetric_whitening("cc", True),
+    "cholesky": CHOLESKY,
+}
+
+
+def whitened_shape(z: str = "w") -> str:
+    """Covariance of the whitened rows as ``(i, j, v)``."""
+    return f"""wl AS (SELECT row_id, unnest(generate_series(0, len(z)-1))::INT AS dim, unnest(z) AS v FROM {z}),
+wc AS (SELECT a.dim AS i, b.dim AS j, covar_samp(a.v, b.v) AS v FROM wl a JOIN wl b USING (row_id) GROUP BY ALL)"""
 
 
 def sql() -> dict[str, str]:
@@ -323,13 +371,6 @@ def sql() -> dict[str, str]:
             FROM (SELECT list_cosine_similarity(e1, e2) AS c, score FROM p))""",
         "eval_sts": STS,
         "sts_whitened": WHITENED_PAIRS + f"SELECT pair_id, whitening, {r6('cos_sim')} AS cos_sim FROM cs WHERE whitening <> 'none'",
-        "whiten_zca": with_(X, LONG, COV, listed("ridge", "cv", "1e-5"), inverse_root("ir", "ridge"),
-                            sphered("ir", False), recursive=True) + ENTRIES,
-        "whiten_zca_cor": with_(X, LONG, COV, listed("ridge", "cc", "1e-5"), inverse_root("ir", "ridge"),
-                                sphered("ir", True), recursive=True) + ENTRIES,
-        "whiten_cholesky": CHOLESKY,
-        "whiten_pca": principal_whitening("cv", False),
-        "whiten_pca_cor": principal_whitening("cc", True),
         "dewhiten": base + f"""SELECT whitening, row_id, dim, {r6('v')} AS value
             FROM l, (SELECT unnest(['pca', 'zca', 'pca_cor', 'zca_cor']) AS whitening)""",
         "pca2d": PCA,
@@ -358,13 +399,7 @@ def sql() -> dict[str, str]:
         "accuracy": bayes + f"SELECT fold, {ACCURACY} AS accuracy FROM pr GROUP BY fold",
         "confusion": bayes + "SELECT label, pred, count(*) AS n FROM pr GROUP BY ALL",
         "f1_weighted": bayes + f", {F1} SELECT fold, f1_weighted FROM f1",
-        "rocauc_weighted": bayes + f""", sc AS (SELECT fold, class, label = class AS hit, joint FROM j),
-            rk AS (SELECT *, rank() OVER (PARTITION BY fold, class ORDER BY joint)
-                     + (count(*) OVER (PARTITION BY fold, class, joint) - 1) / 2.0 AS r FROM sc),
-            au AS (SELECT fold, class, count_if(hit)::DOUBLE AS p, count_if(NOT hit)::DOUBLE AS n, sum(r) FILTER (hit) AS sr
-                   FROM rk GROUP BY ALL)
-            SELECT fold, {r6('100 * sum(p * ((sr - p * (p + 1) / 2) / (p * n))) / sum(p)')} AS rocauc_weighted
-            FROM au WHERE p > 0 AND n > 0 GROUP BY fold""",
+        "rocauc_weighted": bayes + f", {AUC} SELECT fold, {r6('rocauc_weighted')} AS rocauc_weighted FROM ra",
         "fold_summary": bayes + f""", {F1}, ac AS (SELECT fold, {ACCURACY} AS accuracy FROM pr GROUP BY fold)
             SELECT 'accuracy' AS metric, round_even(avg(accuracy), 2) AS value FROM ac
             UNION ALL SELECT 'f1_weighted', round_even(avg(f1_weighted), 2) FROM f1""",
@@ -380,4 +415,38 @@ def sql() -> dict[str, str]:
         ) + f"SELECT row_id, own AS cluster, {r6('CASE WHEN a IS NULL THEN 0e0 ELSE (b - a) / greatest(a, b) END')} AS silhouette FROM ab",
         "kmeans_lloyd": lloyd(10, 3),
     }
+    for method, parts in WHITENED.items():
+        out[f"whiten_{method}"] = with_(*parts, recursive=True) + ENTRIES
+    out["isoscore_whitened"] = " UNION ALL ".join(
+        f"""SELECT * FROM ({with_(*parts, whitened_shape(), recursive=True)}
+        SELECT '{method}' AS whitening, {r6('((t * t) / q - 1) / (d - 1)')} AS isoscore FROM (
+          SELECT sum(CASE WHEN i = j THEN v END) AS t, sum(v * v) AS q, max(i) + 1 AS d FROM wc))"""
+        for method, parts in WHITENED.items()
+    )
+    out["eval_classify_nb"] = classification([X, LONG, COV], NB_ROWS, "none", "cv")
+    out["eval_classify_whitened"] = " UNION ALL ".join(
+        f"""SELECT * FROM ({classification([*parts, whitened_shape()],
+            "nx AS (SELECT row_id, label, z AS e FROM w JOIN x USING (row_id))", method, "wc")})"""
+        for method, parts in WHITENED.items()
+    )
+    out["eval_classify_pairs"] = classification(
+        [
+            X,
+            PAIRS,
+            """pf AS (SELECT pair_id AS row_id, label, list_concat(
+                list_transform(list_zip(e1, e2), lambda t: abs(t[1] - t[2])),
+                list_transform(list_zip(e1, e2), lambda t: t[1] * t[2])) AS e FROM p)""",
+            "pl AS (SELECT row_id, unnest(generate_series(0, len(e)-1))::INT AS dim, unnest(e) AS v FROM pf)",
+            "pc AS (SELECT a.dim AS i, b.dim AS j, covar_samp(a.v, b.v) AS v FROM pl a JOIN pl b USING (row_id) GROUP BY ALL)",
+        ],
+        "nx AS (SELECT row_id, label, e FROM pf)",
+        "none",
+        "pc",
+    )
+    out["encode_classify"] = with_(
+        f"hs AS ({HASHED})",
+        """nx AS (SELECT row_id, any_value(l.quality) AS label, list(value ORDER BY dim) AS e
+             FROM hs JOIN labels l ON l.doc_id = row_id GROUP BY row_id)""",
+        *naive_bayes_parts(),
+    ) + f"SELECT fold, {ACCURACY} AS accuracy FROM pr GROUP BY fold"
     return out
