@@ -98,23 +98,18 @@ def kmeans(df: DataFrame, k: int, seed: int = 0, max_iter: int = 20, column: str
 # ------------------------------------------------------------------ mini-batch
 
 
-def batch_rows(df: DataFrame, batch_size: int, seed: int, key: str = "row_id", column: str = "embedding") -> np.ndarray:
-    """Rows for the mini-batches, drawn by one scan: a seeded hash below a threshold.
+def batch_rows(df: DataFrame, batch_size: int, seed: int, key: str = "row_id", column: str = "embedding") -> DataFrame:
+    """Rows ``(h, v)`` for the mini-batches, drawn by one scan: a seeded hash below a threshold.
 
     Drawing small batches is what the algorithm does; the number of drawn rows does not grow with
-    the table. A table smaller than that is taken whole.
+    the table.
     """
     shape = df.agg(F.count("*").alias("n"), F.max(F.size(column)).alias("d")).first()
-    if not shape["n"]:
-        raise ValueError("no rows to cluster")
-    wanted = max(batch_size, min(MAX_BATCHES * batch_size, SAMPLE_BYTES // (8 * shape["d"])))
-    rows = df
-    if shape["n"] > wanted:
-        bound = format(int(wanted / shape["n"] * 16**8), "08x")
-        rows = df.where(F.substring(shuffle_key(seed, key), 1, 8) < bound)
-    drawn = rows.select(shuffle_key(seed, key).alias("h"), as_doubles(column).alias("v")).toArrow()
-    order = np.argsort(drawn.column("h").to_numpy(), kind="stable")
-    return to_matrix(drawn.column("v"))[order]
+    wanted = max(batch_size, min(MAX_BATCHES * batch_size, SAMPLE_BYTES // (8 * max(shape["d"] or 1, 1))))
+    rows = df.select(shuffle_key(seed, key).alias("h"), as_doubles(column).alias("v"))
+    if shape["n"] <= wanted:
+        return rows
+    return rows.where(F.substring("h", 1, 8) < format(int(wanted / shape["n"] * 16**8), "08x"))
 
 
 def spread_centers(x: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
@@ -158,6 +153,26 @@ def mini_batch_centers(x: np.ndarray, k: int, batch_size: int, seed: int) -> np.
     return centers
 
 
+def fit_mini_batches(drawn: DataFrame, k: int, runs: int, batch_size: int, seed: int) -> np.ndarray:
+    """Centers (runs x k x d); every run is a task of its own over the drawn rows."""
+
+    def one_run(group: tuple, table: pa.Table) -> pa.Table:
+        run = group[0].as_py()
+        order = np.argsort(table.column("h").to_numpy(), kind="stable")
+        x = to_matrix(table.column("v"))[order]
+        if len(x) < k:
+            raise ValueError(f"{len(x)} rows cannot form {k} clusters")
+        centers = mini_batch_centers(x, k, batch_size, seed + run)
+        numbers = [pa.array(np.full(k, run, dtype=np.int32)), pa.array(np.arange(k, dtype=np.int32))]
+        return pa.Table.from_arrays([*numbers, to_lists(centers)], names=["run", "c", "v"])
+
+    per_run = drawn.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    found = per_run.groupBy("run").applyInArrow(one_run, "run int, c int, v array<double>").collect()
+    if not found:
+        raise ValueError("no rows to cluster")
+    return np.array([r["v"] for r in sorted(found, key=lambda r: (r["run"], r["c"]))]).reshape(runs, k, -1)
+
+
 def mini_batch_kmeans(
     df: DataFrame, k: int, runs: int = RUNS, batch_size: int = BATCH_RAW, seed: int = 0, column: str = "embedding"
 ) -> DataFrame:
@@ -165,8 +180,5 @@ def mini_batch_kmeans(
 
     Two scans whatever the number of runs: one draws the batch rows, one assigns every row.
     """
-    sample = batch_rows(df, batch_size, seed, column=column)
-    if len(sample) < k:
-        raise ValueError(f"{len(sample)} rows cannot form {k} clusters")
-    centers = np.stack([mini_batch_centers(sample, k, batch_size, seed + run) for run in range(runs)])
-    return assign(df, centers, column)
+    drawn = batch_rows(df, batch_size, seed, column=column)
+    return assign(df, fit_mini_batches(drawn, k, runs, batch_size, seed), column)
