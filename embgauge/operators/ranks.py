@@ -16,17 +16,22 @@ HOT_SHARE = 10_000
 
 
 def running_totals(
-    df: DataFrame, order: str, amounts: list[str], by: list[str] = (), small_rows: int = SMALL_ROWS
+    df: DataFrame,
+    order: str,
+    amounts: list[str],
+    by: list[str] = (),
+    small_rows: int = SMALL_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``before_<amount>``: the sum over rows of the group that sort before this row.
 
-    ``(*by, order)`` must be unique. A small table is one window sort. A large one is
+    ``(*by, order)`` must be unique. ``rows`` is the row count where the caller knows it. A small table is one window sort. A large one is
     range-sorted over the cluster, each partition adds up its own rows, and the totals of earlier
     partitions are added from a table of one row per partition and group; no task sees a whole
     group, so a group with most of the rows is no bottleneck.
     """
     by = list(by)
-    if df.count() <= small_rows:
+    if (df.count() if rows is None else rows) <= small_rows:
         window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({f"before_{a}": F.coalesce(F.sum(a).over(window), F.lit(0)) for a in amounts})
     return _running_totals_by_range(df, order, amounts, by)
@@ -73,11 +78,16 @@ def _running_totals_by_range(df: DataFrame, order: str, amounts: list[str], by:
     )
 
 
+def _ranked(values: DataFrame, column: str, by: list[str], small_rows: int, rows: int) -> DataFrame:
+    """Average rank per distinct value from the number of rows that hold it."""
+    totals = running_totals(values, column, ["n"], by, small_rows, rows)
+    return totals.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / 2).drop("before_n")
+
+
 def average_ranks(df: DataFrame, column: str, by: list[str] = (), small_rows: int = SMALL_ROWS) -> DataFrame:
     """``(*by, column, n, avg_rank)``: rank of every distinct value, ties sharing their mean rank."""
     values = keep(df.groupBy(*by, column).agg(F.count("*").alias("n")))
-    ranked = running_totals(values, column, ["n"], by, small_rows)
-    return ranked.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / 2).drop("before_n")
+    return _ranked(values, column, list(by), small_rows, values.count())
 
 
 def with_average_rank(
@@ -90,11 +100,13 @@ def with_average_rank(
     is joined by shuffle.
     """
     by = list(by)
-    ranks = keep(average_ranks(df, column, by, small_rows))
-    size = ranks.agg(F.count("*").alias("values"), F.sum("n").alias("rows")).first()
     keys = [*by, column]
+    values = keep(df.groupBy(*keys).agg(F.count("*").alias("n")))
+    size = values.agg(F.count("*").alias("values"), F.sum("n").alias("rows")).first()
+    ranks = _ranked(values, column, by, small_rows, size["values"])
     if size["values"] <= small_rows:
         return df.join(F.broadcast(ranks.select(*keys, F.col("avg_rank").alias(out))), keys)
+    ranks = keep(ranks)
     is_hot = F.col("n") > size["rows"] / HOT_SHARE
     hot = ranks.where(is_hot).select(*keys, F.col("avg_rank").alias("_hot"))
     cold = ranks.where(~is_hot).select(*keys, F.col("avg_rank").alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embgauge.operators.moments import moments
 from embgauge.operators.pairs import check_sides, join_sides
-from embgauge.operators.ranks import anisotropy, pearson, spearman
+from embgauge.operators.ranks import spearman
 from embgauge.operators.whiten import METHODS, NONE, Unchanged, solve_whitening, whitened_pair_cosine
 from embgauge.plans.sweep import Sweep, label_of, run_sweep
 from embgauge.session import cache_scope, fetched, keep
@@ -34,7 +34,7 @@ def score_pairs(rows: DataFrame, gold: DataFrame, methods: list = (NONE, *METHOD
 def correlations(scores: DataFrame, by: list[str] = ("whitening",)) -> DataFrame:
     """``(*by, pearson, spearman, anisotropy)``, the correlations as percentages."""
     by = list(by)
-    linear = pearson(scores, "cos_sim", "score", by).join(anisotropy(scores, by=by), by)
+    linear = scores.groupBy(*by).agg(F.corr("cos_sim", "score").alias("pearson"), F.avg("cos_sim").alias("anisotropy"))
     ranked = spearman(scores, "cos_sim", "score", by)
     return linear.join(ranked, by).select(
         *by, (100 * F.col("pearson")).alias("pearson"), (100 * F.col("spearman")).alias("spearman"), "anisotropy"
