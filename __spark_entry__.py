@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import oracles
 import testbed as t
 from embgauge.functions.text import Profile, clean_text, decorate, token_table, truncate_tokens
-from embgauge.functions.vectors import at_places, cosine, euclidean
+from embgauge.functions.vectors import as_doubles, at_places, cosine, euclidean
 from embgauge.operators import cluster, folds, metrics, moments, pairs, pool, probe, ranks, silhouette, whiten
 from embgauge.operators.encode import encode, encode_hashed, encode_word2vec, hashed_ngrams
 from embgauge.plans.classify import evaluate_classification
@@ -38,7 +38,7 @@ def src_dataset(spark, sf):
 
 
 def src_embeddings(spark, sf):
-    e = F.col("embedding")
+    e = as_doubles("embedding")
     add = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
     return t.vectors(spark, sf).select(
         "row_id",
@@ -106,7 +106,7 @@ def truncate(spark, sf):
 
 def sts_pairs(spark, sf):
     pairs_ = pairs.join_sides(t.sides(spark, sf))
-    both = pairs_.select("pair_id", F.posexplode(F.arrays_zip("e1", "e2")).alias("dim", "v"))
+    both = pairs_.select("pair_id", F.posexplode(F.arrays_zip(as_doubles("e1").alias("e1"), as_doubles("e2").alias("e2"))).alias("dim", "v"))
     return both.select("pair_id", "dim", at_places(F.col("v.e1")).alias("v1"), at_places(F.col("v.e2")).alias("v2"))
 
 

@@ -1,4 +1,7 @@
-"""Column functions on ``array<double>`` vectors."""
+"""Column functions on vectors, ``array<float>`` or ``array<double>``.
+
+Vectors are stored, shuffled and handed to Arrow as they are; arithmetic is in double precision.
+"""
 
 from __future__ import annotations
 
@@ -25,19 +28,19 @@ def assemble(columns) -> Column:
 
 
 def abs_diff(a, b) -> Column:
-    return F.zip_with(_col(a), _col(b), lambda x, y: F.abs(x - y))
+    return F.zip_with(as_doubles(a), as_doubles(b), lambda x, y: F.abs(x - y))
 
 
 def hadamard(a, b) -> Column:
-    return F.zip_with(_col(a), _col(b), lambda x, y: x * y)
+    return F.zip_with(as_doubles(a), as_doubles(b), lambda x, y: x * y)
 
 
 def add(a, b) -> Column:
-    return F.zip_with(_col(a), _col(b), lambda x, y: x + y)
+    return F.zip_with(as_doubles(a), as_doubles(b), lambda x, y: x + y)
 
 
 def subtract(a, b) -> Column:
-    return F.zip_with(_col(a), _col(b), lambda x, y: x - y)
+    return F.zip_with(as_doubles(a), as_doubles(b), lambda x, y: x - y)
 
 
 def pair_features(a, b) -> Column:
@@ -64,11 +67,11 @@ def _euclidean(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def cosine(a, b) -> Column:
-    return _cosine(as_doubles(a), as_doubles(b))
+    return _cosine(_col(a), _col(b))
 
 
 def euclidean(a, b) -> Column:
-    return _euclidean(as_doubles(a), as_doubles(b))
+    return _euclidean(_col(a), _col(b))
 
 
 def mean_vector(vector) -> Column:

@@ -40,12 +40,12 @@ def assign(df: DataFrame, centers: np.ndarray, column: str = "embedding", out: s
             chosen = to_lists(picks).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], chosen], names=schema.names)
 
-    return df.select(*others, as_doubles(column).alias("_v")).mapInArrow(nearest, schema)
+    return df.select(*others, F.col(column).alias("_v")).mapInArrow(nearest, schema)
 
 
 def first_rows(df: DataFrame, k: int, seed: int = 0, key: str = "row_id", column: str = "embedding") -> np.ndarray:
     """Start centers: the k rows that come first in seeded hash order."""
-    top = df.select(as_doubles(column).alias("v"), shuffle_key(seed, key).alias("h"), key).orderBy("h", key).limit(k)
+    top = df.select(F.col(column).alias("v"), shuffle_key(seed, key).alias("h"), key).orderBy("h", key).limit(k)
     return np.array([r["v"] for r in top.collect()], dtype=np.float64)
 
 
@@ -57,7 +57,7 @@ def lloyd(df: DataFrame, centers: np.ndarray, iterations: int, column: str = "em
     """
     centers = np.array(centers, dtype=np.float64)
     runs, k, width = centers.shape
-    vectors = df.select(as_doubles(column).alias("v"))
+    vectors = df.select(F.col(column).alias("v"))
 
     def step(current):
         def fold(batches):
@@ -106,7 +106,7 @@ def batch_rows(df: DataFrame, batch_size: int, seed: int, key: str = "row_id", c
     """
     shape = df.agg(F.count("*").alias("n"), F.max(F.size(column)).alias("d")).first()
     wanted = max(batch_size, min(MAX_BATCHES * batch_size, SAMPLE_BYTES // (8 * max(shape["d"] or 1, 1))))
-    rows = df.select(shuffle_key(seed, key).alias("h"), as_doubles(column).alias("v"))
+    rows = df.select(shuffle_key(seed, key).alias("h"), F.col(column).alias("v"))
     if shape["n"] <= wanted:
         return rows
     return rows.where(F.substring("h", 1, 8) < format(int(wanted / shape["n"] * 16**8), "08x"))

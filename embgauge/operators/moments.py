@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embgauge.functions.kernels import MAX_WIDTH, to_lists, to_matrix
-from embgauge.functions.vectors import as_doubles, mean_vector, subtract, sum_vector
+from embgauge.functions.vectors import mean_vector, subtract, sum_vector
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def _gram_rows(df: DataFrame, column: str, origin: np.ndarray) -> DataFrame:
                 index = pa.array(np.arange(start, start + len(part), dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([index, to_lists(part)], names=["i", "g"])
 
-    partial = df.select(as_doubles(column).alias("v")).mapInArrow(fold, "i int, g array<double>")
+    partial = df.select(column).mapInArrow(fold, "i int, g array<double>")
     return partial.groupBy("i").agg(sum_vector("g").alias("g"))
 
 
@@ -91,7 +91,7 @@ def moments(df: DataFrame, column: str = "embedding") -> Moments:
     The data are shifted by one of their own rows, which keeps the one-pass sums free of
     cancellation. Only the (d+1)^2 sums reach the driver; d is bounded.
     """
-    first = df.select(as_doubles(column).alias("v")).first()
+    first = df.select(F.col(column).alias("v")).first()
     if first is None or first.v is None:
         raise ValueError("moments need at least one vector")
     origin = np.asarray(first.v, dtype=np.float64)
@@ -118,7 +118,7 @@ def dim_mean(df: DataFrame, column: str = "embedding") -> DataFrame:
 def center(df: DataFrame, column: str = "embedding") -> DataFrame:
     """Vectors less the mean vector, which enters as a one-value subquery."""
     mean = df.agg(mean_vector(column)).scalar()
-    return df.withColumn("_mean", mean).withColumn(column, subtract(as_doubles(column), "_mean")).drop("_mean")
+    return df.withColumn("_mean", mean).withColumn(column, subtract(column, "_mean")).drop("_mean")
 
 
 def vector_frame(spark: SparkSession, vector: np.ndarray) -> DataFrame:

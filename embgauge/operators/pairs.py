@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from embgauge.functions.vectors import as_doubles, cosine, pair_features
+from embgauge.functions.vectors import cosine, pair_features
 
 
 def side(df: DataFrame, number: int, out: str, key: str = "pair_id", column: str = "embedding") -> DataFrame:
-    return df.where(F.col("side") == number).select(key, as_doubles(column).alias(out))
+    return df.where(F.col("side") == number).select(key, F.col(column).alias(out))
 
 
 def join_sides(df: DataFrame, key: str = "pair_id", column: str = "embedding") -> DataFrame:

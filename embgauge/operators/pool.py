@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from embgauge.functions.vectors import as_doubles, mean_vector
+from embgauge.functions.vectors import mean_vector
 
 # Fixed value: the layer pooled by default.
 DEFAULT_LAYER = 32
@@ -29,7 +29,7 @@ def mean_pool(tokens: DataFrame, key: str = "row_id", masked: bool = False) -> D
 def last_token(tokens: DataFrame, key: str = "row_id", layers: int | None = None) -> DataFrame:
     """Vector of the last position of the last layer."""
     last = tokens.where(F.col("layer") == _last_layer(tokens, layers))
-    return last.groupBy(key).agg(F.max_by(as_doubles("embedding"), "token_pos").alias("embedding"))
+    return last.groupBy(key).agg(F.max_by("embedding", "token_pos").alias("embedding"))
 
 
 def pool(

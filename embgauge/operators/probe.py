@@ -110,7 +110,7 @@ def _scaled(df: DataFrame, column: str, m: GroupMoments) -> DataFrame:
             z = (to_matrix(batch.column(batch.num_columns - 1), len(mean)) - mean) / std
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], to_lists(z)], names=schema.names)
 
-    return df.select(*others, as_doubles(column).alias(column)).mapInArrow(scale, schema)
+    return df.select(*others, column).mapInArrow(scale, schema)
 
 
 # ------------------------------------------------------------------ Gaussian naive Bayes
@@ -154,7 +154,7 @@ def nb_predictions(df: DataFrame, fold: str = "fold", smoothing: list[float] = (
                 )
 
     rows = df.select(
-        F.col("row_id").cast("bigint"), F.col(fold).cast("int"), F.col("label").cast("int"), as_doubles("embedding")
+        F.col("row_id").cast("bigint"), F.col(fold).cast("int"), F.col("label").cast("int"), "embedding"
     )
     return rows.mapInArrow(score, schema)
 
@@ -202,7 +202,7 @@ def fourier_features(df: DataFrame, fit: GroupMoments, out_width: int, seed: int
             z = np.sqrt(2.0 / out_width) * np.cos(x @ directions + phase)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], to_lists(z)], names=schema.names)
 
-    return df.select(*others, as_doubles(column).alias(column)).mapInArrow(lift, schema)
+    return df.select(*others, column).mapInArrow(lift, schema)
 
 
 # ------------------------------------------------------------------ MLlib classifiers
@@ -354,8 +354,8 @@ def probe(
         if outer is not None:
             predictions = predictions.where(F.col("fold").isin(outer))
         return ProbeResult(keep(predictions), classes, True, [])
-    embedding, features = as_doubles("embedding"), array_to_vector(as_doubles("embedding"))
-    vector = embedding.alias("embedding") if classifier == "svm" else features.alias("features")
+    features = array_to_vector(as_doubles("embedding")).alias("features")
+    vector = F.col("embedding") if classifier == "svm" else features
     table = keep(_table(folds, classes, [vector]))
     sizes = {r["fold"]: r["n"] for r in table.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     total, width = sum(sizes.values()), df.select(F.size("embedding")).first()[0]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from embgauge.functions.kernels import row_chunks, to_lists, to_matrix
-from embgauge.functions.vectors import as_doubles, sum_vector
+from embgauge.functions.vectors import sum_vector
 from embgauge.session import parallelism
 
 BLOCK_BYTES = 32 << 20
@@ -44,7 +44,7 @@ def silhouette_samples(
     rows = df.select(
         F.col(key).cast("bigint").alias("id"),
         F.col(clusters).cast("array<int>").alias("clusters"),
-        as_doubles(column).alias("v"),
+        F.col(column).alias("v"),
     )
     sizes = _cluster_sizes(rows)
     runs = 1 + max(run for run, _ in sizes)

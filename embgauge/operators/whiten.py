@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from embgauge.functions.kernels import MAX_BROADCAST_BYTES, to_lists, to_matrix
-from embgauge.functions.vectors import as_doubles, cosine_of
+from embgauge.functions.vectors import cosine_of
 from embgauge.operators.moments import Moments, moments
 
 # Method names, and the constants added to and bounding the eigenvalues.
@@ -112,7 +112,7 @@ def whiten(df: DataFrame, models: list, column: str = "embedding", inverse: bool
                 method = pa.array([model.method] * len(x), pa.string())
                 yield pa.RecordBatch.from_arrays([*rest, method, to_lists(z)], names=schema.names)
 
-    return df.select(*others, as_doubles(column).alias(column)).mapInArrow(project, schema)
+    return df.select(*others, column).mapInArrow(project, schema)
 
 
 def whitened_pair_cosine(pairs: DataFrame, models: list, a: str = "e1", b: str = "e2") -> DataFrame:
@@ -137,7 +137,7 @@ def whitened_pair_cosine(pairs: DataFrame, models: list, a: str = "e1", b: str =
                 method = pa.array([model.method] * len(x), pa.string())
                 yield pa.RecordBatch.from_arrays([*rest, method, cos], names=schema.names)
 
-    return pairs.select(*others, as_doubles(a).alias(a), as_doubles(b).alias(b)).mapInArrow(score, schema)
+    return pairs.select(*others, a, b).mapInArrow(score, schema)
 
 
 def whiten_pairs(df: DataFrame, method: str, column: str = "embedding") -> DataFrame:

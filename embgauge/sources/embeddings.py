@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embgauge.functions.vectors import as_doubles, assemble
+from embgauge.functions.vectors import assemble
 
 PARTITIONS = ["dataset", "encoder"]
 
@@ -22,7 +22,7 @@ def read_embeddings(spark: SparkSession, root: str, dataset: str, encoder: str,
     rows = spark.read.parquet(root).where((F.col("dataset") == dataset) & (F.col("encoder") == encoder))
     if split is not None:
         rows = rows.where(F.col("split") == split)
-    return rows.withColumn("embedding", as_doubles("embedding"))
+    return rows
 
 
 def from_wide(df: DataFrame, leading: int = 2) -> DataFrame:

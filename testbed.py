@@ -50,12 +50,12 @@ def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """``(row_id, label, embedding)`` of every vector."""
     rows = read_dataset(spark, "vectors", catalogue(sf))
-    return rows.select("row_id", "label", as_doubles("embedding").alias("embedding"))
+    return rows.select("row_id", "label", "embedding")
 
 
 def sides(spark: SparkSession, sf: str) -> DataFrame:
     """Two consecutive vectors are the two sides of a pair: ``(pair_id, side, label, embedding)``."""
-    pair, side = F.floor(F.col("row_id") / 2).cast("bigint"), (F.col("row_id") % 2 + 1).cast("int")
+    pair, side = F.expr("row_id div 2"), (F.col("row_id") % 2 + 1).cast("int")
     return vectors(spark, sf).select(pair.alias("pair_id"), side.alias("side"), "label", "embedding")
 
 
@@ -109,6 +109,6 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def entries(df: DataFrame, *keys: str, column: str = "embedding", places: int = 6) -> DataFrame:
     """One row per vector entry, rounded."""
-    return df.select(*keys, F.posexplode(column).alias("dim", "v")).select(
+    return df.select(*keys, F.posexplode(as_doubles(column)).alias("dim", "v")).select(
         *keys, "dim", at_places(F.col("v"), places).alias("value")
     )
