@@ -213,7 +213,7 @@ def _whitened(method):
 def dewhiten(spark, sf):
     rows = t.vectors(spark, sf).select("row_id", "embedding")
     models = whiten.fit_whitening(rows, ["pca", "zca", "pca_cor", "zca_cor"])
-    back = [whiten.whiten(whiten.whiten(rows, [m]), [m], inverse=True) for m in models]
+    back = [whiten.dewhiten(whiten.whiten(rows, [m]), [m]) for m in models]
     stacked = back[0]
     for frame in back[1:]:
         stacked = stacked.unionByName(frame)

@@ -67,18 +67,23 @@ def decorate(text: Column, template: str) -> Column:
     return F.concat(F.lit(before), text, F.lit(after))
 
 
-def prepare_text(text: Column, profile: Profile) -> Column:
-    """Null and blank rule first, then the prompt template."""
-    cleaned = clean_text(text, profile.rule)
-    return cleaned if profile.template is None else decorate(cleaned, profile.template)
-
-
 def words(text: Column) -> Column:
     """Tokens at runs of blanks, tabs and line ends; blank text has none."""
     trimmed = F.btrim(text, F.lit(" \t\r\n"))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t\r\n]+"))
 
 
+def prepare_text(text: Column, profile: Profile) -> Column:
+    """Null and blank rule, then the prompt template, then the profile's token limit if it has one."""
+    prepared = clean_text(text, profile.rule)
+    if profile.template is not None:
+        prepared = decorate(prepared, profile.template)
+    if profile.max_tokens is not None:
+        kept = F.slice(words(prepared), 1, profile.max_tokens)
+        prepared = F.when(F.size(words(prepared)) > profile.max_tokens, F.concat_ws(" ", kept)).otherwise(prepared)
+    return prepared
+
+
 def token_table(df: DataFrame, key: str = "row_id", text_col: str = "text") -> DataFrame:
     """One row per token: ``(key, token_pos, token)`` with positions from 0."""
     return df.select(key, F.posexplode(words(F.col(text_col))).alias("token_pos", "token"))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from embgauge.functions.kernels import MAX_BROADCAST_BYTES, to_lists, to_matrix
 from embgauge.functions.vectors import cosine_of
@@ -140,6 +140,29 @@ def whitened_pair_cosine(pairs: DataFrame, models: list, a: str = "e1", b: str =
     return pairs.select(*others, a, b).mapInArrow(score, schema)
 
 
+def dewhiten(df: DataFrame, models: list, column: str = "embedding") -> DataFrame:
+    """Undo the maps: back to the original vectors."""
+    return whiten(df, models, column, inverse=True)
+
+
+MODEL_SCHEMA = "method string, mean array<double>, whiten array<array<double>>, dewhiten array<array<double>>"
+
+
+def models_frame(spark: SparkSession, models: list[Whitening]) -> DataFrame:
+    """Fitted maps as rows, to be stored."""
+    return spark.createDataFrame(
+        [(m.method, m.mean.tolist(), m.whiten.tolist(), m.dewhiten.tolist()) for m in models], MODEL_SCHEMA
+    )
+
+
+def read_models(df: DataFrame) -> list[Whitening]:
+    """Maps from stored rows; there are as many as methods."""
+    return [
+        Whitening(r["method"], np.array(r["mean"]), np.array(r["whiten"]), np.array(r["dewhiten"]))
+        for r in df.select("method", "mean", "whiten", "dewhiten").collect()
+    ]
+
+
 def whiten_pairs(df: DataFrame, method: str, column: str = "embedding") -> DataFrame:
     """Both sides of a pair table under one map fitted on the two sides stacked.
 

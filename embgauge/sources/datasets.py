@@ -10,18 +10,14 @@ from embgauge.session import parallelism
 from embgauge.sources.catalogue import Catalogue
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated file with a header; quoted fields may hold line ends."""
-    return (
-        spark.read.option("sep", "\t")
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("mode", "FAILFAST")
-        .schema(schema)
-        .csv(path)
-    )
+TSV_OPTIONS = {"sep": "\t", "header": True, "quote": '"', "escape": '"'}
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Tab-separated file with a header; quoted fields may hold line ends. Without a schema all
+    columns are strings, named by the header; nothing is inferred."""
+    reader = spark.read.options(**TSV_OPTIONS, multiLine=True, mode="FAILFAST")
+    return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def with_row_ids(df: DataFrame, column: str = "row_id") -> DataFrame:

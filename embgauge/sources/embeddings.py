@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embgauge.functions.vectors import assemble
+from embgauge.sources.datasets import TSV_OPTIONS, read_tsv, with_row_ids
 
 PARTITIONS = ["dataset", "encoder"]
 
@@ -31,6 +32,17 @@ def from_wide(df: DataFrame, leading: int = 2) -> DataFrame:
     return df.select(*keep, assemble([F.col(f"`{c}`") for c in dims]).alias("embedding"))
 
 
+def read_wide(spark: SparkSession, path: str, leading: int = 2) -> DataFrame:
+    """Wide TSV embeddings as ``(row_id, <leading columns>, embedding)``, numbered in file order."""
+    wide = with_row_ids(read_tsv(spark, path))
+    return from_wide(wide, leading + 1)
+
+
+def write_wide(df: DataFrame, width: int, path: str) -> None:
+    """Embeddings as wide TSV, one column per dimension, in ``row_id`` order."""
+    to_wide(df.orderBy("row_id").drop("row_id"), width).write.options(**TSV_OPTIONS).mode("overwrite").csv(path)
+
+
 def to_wide(df: DataFrame, width: int) -> DataFrame:
     """Vector column to one column per dimension, named by position."""
     keep = [c for c in df.columns if c != "embedding"]

@@ -30,6 +30,12 @@ def test_encoder_gets_prepared_texts_in_batches(spark):
     assert rows[0].text is None
 
 
+def test_token_limit_applies_after_the_prompt(spark):
+    df = spark.createDataFrame([(0, "a b c d e"), (1, "a  b")], "row_id long, text string")
+    rows = encode.encode(df, lengths(), profile=Profile("short", template="> {text}", max_tokens=4)).orderBy("row_id")
+    assert [r.embedding[0] for r in rows.collect()] == [len("> a b c"), len("> a  b")]
+
+
 def test_text_without_a_rule_must_not_be_missing(spark):
     df = spark.createDataFrame([(0, None)], "row_id long, text string")
     with pytest.raises(Exception, match="no rule for missing text"):

@@ -143,6 +143,22 @@ def test_naive_bayes_matches_brute_force(spark, blobs):
         assert found.pred[test].tolist() == joint.argmax(axis=1).tolist()
 
 
+def test_logistic_regression_solves_the_stated_objective(spark):
+    draw = np.random.default_rng(6)
+    x, labels = draw.normal(size=(120, 3)), draw.integers(0, 2, 120)
+    found = probe.probe(frame(spark, x, labels), "lr", probe.ProbeSettings(k=3, seed=2))
+    rows = found.predictions.orderBy("row_id").toPandas()
+    for f in range(3):
+        train, test = (rows.fold != f).to_numpy(), (rows.fold == f).to_numpy()
+        a = np.c_[x[train], np.ones(train.sum())]
+        w, penalty = np.zeros(4), np.diag([1.0, 1.0, 1.0, 0.0])
+        for _ in range(30):  # Newton steps on |w|^2 / 2 + sum of losses, intercept free
+            p = 1 / (1 + np.exp(-a @ w))
+            w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + penalty, a.T @ (p - labels[train]) + penalty @ w)
+        expected = 1 / (1 + np.exp(-np.c_[x[test], np.ones(test.sum())] @ w))
+        np.testing.assert_allclose([s[1] for s in rows.scores[test]], expected, atol=2e-3)
+
+
 def test_standardize_keeps_constant_dimension(spark):
     x = np.array([[1.0, 5.0], [3.0, 5.0], [8.0, 5.0]])
     z = matrix(probe.standardize(frame(spark, x)))

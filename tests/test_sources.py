@@ -82,6 +82,20 @@ def test_wide_layout_round_trip(spark):
     assert embeddings.from_wide(wide).first().embedding == [0.5, 1.5, 2.5]
 
 
+def test_wide_tsv_round_trip(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    texts = ["plain", "tab\tand\nline", 'a "quoted" word', "x" * 5000]
+    rows = spark.createDataFrame(
+        [(i, t, i % 2, [i + 0.25, -1.5e-7 * i]) for i, t in enumerate(texts)],
+        "row_id long, text string, label int, embedding array<double>",
+    )
+    embeddings.write_wide(rows.repartition(3), 2, path)
+    back = datasets.apply_contract(embeddings.read_wide(spark, path))
+    found = {r.text: (r.label, r.embedding) for r in back.collect()}
+    assert found == {r.text: (r.label, r.embedding) for r in rows.collect()}
+    assert sorted(r.row_id for r in back.collect()) == [0, 1, 2, 3]
+
+
 def test_results_resume(spark, tmp_path):
     root = str(tmp_path / "results")
     assert results.read_results(spark, root).count() == 0

@@ -98,6 +98,21 @@ def test_whitening_of_few_rows_and_unknown_method(spark):
         whiten.fit_whitening(frame(spark, x), ["ica"])
 
 
+def test_models_can_be_stored(spark, x, tmp_path):
+    models = whiten.fit_whitening(frame(spark, x), ["zca", "pca_cor"])
+    whiten.models_frame(spark, models).write.parquet(str(tmp_path / "m"))
+    back = {m.method: m for m in whiten.read_models(spark.read.parquet(str(tmp_path / "m")))}
+    for m in models:
+        np.testing.assert_array_equal(back[m.method].whiten, m.whiten)
+        np.testing.assert_array_equal(back[m.method].dewhiten, m.dewhiten)
+
+
+def test_float_vectors_are_computed_in_double(spark, x):
+    floats = frame(spark, x).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    single = x.astype(np.float32).astype(np.float64)
+    np.testing.assert_allclose(moments.moments(floats).cov, np.cov(single.T), rtol=1e-9)
+
+
 def sided(spark, x):
     return frame(spark, x).selectExpr(
         "cast(row_id div 2 as bigint) pair_id", "cast(row_id % 2 + 1 as int) side", "embedding"
