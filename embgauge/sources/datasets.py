@@ -20,25 +20,30 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def with_row_ids(df: DataFrame, column: str = "row_id") -> DataFrame:
-    """Number keyless rows in file order, once, at load.
+def with_row_ids(df: DataFrame, column: str = "row_id", first: list[str] = ()) -> DataFrame:
+    """Number keyless rows once, at load: by the columns ``first``, then file name, then file position.
 
-    Row index within the partition plus the rows of all earlier partitions; only one count per
-    partition is shuffled. The numbering is positional: call it on a freshly read table and write
-    the result before joining on it.
+    A row's index within its file block plus the rows of all earlier blocks; only one count per
+    block is shuffled. Call it on a freshly read table and write the result before joining on it.
     """
-    index_bits = F.lit((1 << 33) - 1)
-    tagged = df.withColumn("_part", F.spark_partition_id()).withColumn(
-        "_index", F.monotonically_increasing_id().bitwiseAND(index_bits)
+    block = [*first, "_path", "_start", "_part"]
+    tagged = df.withColumns(
+        {
+            "_path": F.input_file_name(),
+            "_start": F.input_file_block_start(),
+            "_part": F.spark_partition_id(),
+            "_id": F.monotonically_increasing_id(),
+        }
     )
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tagged.groupBy("_part")
-        .agg(F.count("*").alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+        tagged.groupBy(*block)
+        .agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+        .select(*block, "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     )
-    return tagged.join(F.broadcast(offsets), "_part").select(
-        (F.col("_offset") + F.col("_index")).alias(column), *df.columns
+    kept = [c for c in df.columns if c not in first]
+    return tagged.join(F.broadcast(offsets), block).select(
+        (F.col("_offset") + F.col("_id") - F.col("_first")).alias(column), *kept
     )
 
 
@@ -52,19 +57,19 @@ def read_dataset(spark: SparkSession, name: str, catalogue: Catalogue, schema: s
     """
     entry = catalogue[name]
     parts, scans = [], 0
-    for split, path in entry.files.items():
+    for number, (split, path) in enumerate(entry.files.items()):
         part = spark.read.parquet(path) if entry.format == "parquet" else read_tsv(spark, path, schema)
         if entry.columns:
             part = part.select(*[F.col(theirs).alias(ours) for ours, theirs in entry.columns.items()])
         scans += part.rdd.getNumPartitions()
-        parts.append(part.withColumn("split", F.lit(split)))
+        parts.append(part.withColumns({"split": F.lit(split), "_number": F.lit(number)}))
     rows = reduce(DataFrame.unionByName, parts)
     if "row_id" not in rows.columns:
-        rows = with_row_ids(rows)
+        rows = with_row_ids(rows, first=["_number"])
     cores = parallelism(spark)
     if scans < cores:
         rows = rows.repartition(cores, "row_id")
-    rest = [c for c in rows.columns if c not in ("row_id", "split")]
+    rest = [c for c in rows.columns if c not in ("row_id", "split", "_number")]
     return rows.select(
         F.lit(entry.base_name).alias("dataset"),
         "split",
@@ -80,11 +85,13 @@ def read_scores(spark: SparkSession, path: str, key: str = "pair_id") -> DataFra
 
 
 def read_pair_labels(spark: SparkSession, train: str, test: str) -> DataFrame:
-    """Pair labels of both splits stacked: ``(pair_id, split, label)``."""
-    stacked = read_tsv(spark, train, "score int").withColumn("split", F.lit("train")).unionByName(
-        read_tsv(spark, test, "score int").withColumn("split", F.lit("test"))
-    )
-    return with_row_ids(stacked, "pair_id").select("pair_id", "split", F.col("score").alias("label"))
+    """Pair labels of both splits stacked, train first: ``(pair_id, split, label)``."""
+    parts = [
+        read_tsv(spark, path, "score int").withColumns({"split": F.lit(split), "_number": F.lit(number)})
+        for number, (split, path) in enumerate([("train", train), ("test", test)])
+    ]
+    stacked = with_row_ids(parts[0].unionByName(parts[1]), "pair_id", ["_number"])
+    return stacked.select("pair_id", "split", F.col("score").alias("label"))
 
 
 def apply_contract(df: DataFrame, aliases: dict | None = None) -> DataFrame:

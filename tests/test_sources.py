@@ -93,7 +93,20 @@ def test_wide_tsv_round_trip(spark, tmp_path):
     back = datasets.apply_contract(embeddings.read_wide(spark, path))
     found = {r.text: (r.label, r.embedding) for r in back.collect()}
     assert found == {r.text: (r.label, r.embedding) for r in rows.collect()}
-    assert sorted(r.row_id for r in back.collect()) == [0, 1, 2, 3]
+    assert [r.text for r in back.orderBy("row_id").collect()] == texts
+    assert [r.row_id for r in back.orderBy("row_id").collect()] == [0, 1, 2, 3]
+
+
+def test_row_ids_follow_file_names_whatever_their_size(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    expected = []
+    for name, count in (("a", 3), ("b", 400), ("c", 20), ("d", 1)):
+        lines = [f"{name}{i}" for i in range(count)]
+        write(folder / f"{name}.csv", "text", *lines)
+        expected += lines
+    rows = datasets.with_row_ids(datasets.read_tsv(spark, str(folder), "text string")).orderBy("row_id").collect()
+    assert [r.text for r in rows] == expected and [r.row_id for r in rows] == list(range(424))
 
 
 def test_results_resume(spark, tmp_path):
