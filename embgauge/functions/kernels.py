@@ -33,6 +33,13 @@ def to_lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix, dtype=np.float64).ravel()))
 
 
+def share(spark, model, nbytes: int, what: str):
+    """Send a model to the executors, if it is small enough for that."""
+    if nbytes > MAX_BROADCAST_BYTES:
+        raise ValueError(f"{what} of {nbytes} bytes are too large to send to every executor")
+    return spark.sparkContext.broadcast(model)
+
+
 def row_chunks(rows: int, width: int, target_bytes: int = 64 << 20):
     """Slices whose ``slice x width`` float64 matrix stays near ``target_bytes``."""
     step = max(1, target_bytes // (8 * max(width, 1)))

@@ -8,7 +8,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from embgauge.functions.kernels import to_lists, to_matrix
+from embgauge.functions.kernels import share, to_lists, to_matrix
 from embgauge.functions.vectors import as_doubles, sum_vector
 from embgauge.operators.folds import shuffle_key
 
@@ -32,11 +32,12 @@ def assign(df: DataFrame, centers: np.ndarray, column: str = "embedding", out: s
     """Add the nearest center per run; ``centers`` is runs x k x d and small."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     others = df.columns
+    shared = share(df.sparkSession, centers, centers.nbytes, "cluster centers")
 
     def nearest(batches):
         for batch in batches:
             x = to_matrix(batch.column(batch.num_columns - 1))
-            picks = np.stack([squared_distances(x, c).argmin(axis=1) for c in centers], axis=1).astype(np.float64)
+            picks = np.stack([squared_distances(x, c).argmin(axis=1) for c in shared.value], axis=1).astype(np.float64)
             chosen = to_lists(picks).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], chosen], names=schema.names)
 
@@ -60,12 +61,14 @@ def lloyd(df: DataFrame, centers: np.ndarray, iterations: int, column: str = "em
     vectors = df.select(F.col(column).alias("v"))
 
     def step(current):
+        shared = share(df.sparkSession, current, current.nbytes, "cluster centers")
+
         def fold(batches):
             sums, sizes = np.zeros((runs * k, width)), np.zeros(runs * k, dtype=np.int64)
             for batch in batches:
                 x = to_matrix(batch.column(0), width)
                 for run in range(runs):
-                    pick = squared_distances(x, current[run]).argmin(axis=1)
+                    pick = squared_distances(x, shared.value[run]).argmin(axis=1)
                     marks = np.zeros((len(x), k))
                     marks[np.arange(len(x)), pick] = 1.0
                     sums[run * k : (run + 1) * k] += marks.T @ x

@@ -24,7 +24,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from embgauge.functions.kernels import to_lists, to_matrix
+from embgauge.functions import kernels
+from embgauge.functions.kernels import share, to_lists, to_matrix
 from embgauge.functions.vectors import as_doubles
 from embgauge.operators import metrics
 from embgauge.operators.folds import holdout, nested_folds, stratified_folds
@@ -78,9 +79,14 @@ class GroupMoments:
 
 
 def group_moments(df: DataFrame, by: list[str], column: str = "embedding") -> dict:
-    """Moments per group from one scan; the groups are folds and classes, so few."""
+    """Moments per group from one scan. The groups are folds and classes; what is fetched is bounded."""
+    first = df.select(F.size(column).alias("d")).first()
+    most = kernels.MAX_BROADCAST_BYTES // (16 * max(first["d"] if first else 1, 1))
     stats = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(as_doubles(column)))
-    rows = df.groupBy(*by).agg(stats.alias("s")).select(*by, "s.count", "s.mean", "s.variance").collect()
+    found = df.groupBy(*by).agg(stats.alias("s")).select(*by, "s.count", "s.mean", "s.variance")
+    rows = found.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} groups; their moments are too large to fetch")
     return {
         tuple(r[c] for c in by): GroupMoments(
             r["count"], r["mean"].toArray(), r["variance"].toArray() * max(r["count"] - 1, 0)
@@ -135,6 +141,8 @@ def nb_predictions(df: DataFrame, fold: str = "fold", smoothing: list[float] = (
 
     schema = "row_id bigint, fold int, reg double, label int, pred int, scores array<double>"
     class_codes = np.asarray(classes)
+    size = sum(part.nbytes for grid in models.values() for weights in grid for part in weights)
+    shared = share(df.sparkSession, models, size, "class models")
 
     def score(batches):
         for batch in batches:
@@ -144,7 +152,7 @@ def nb_predictions(df: DataFrame, fold: str = "fold", smoothing: list[float] = (
                 joint = np.empty((len(x), len(class_codes)))
                 for f in np.unique(at):
                     mine = at == f
-                    square, linear, constant = models[int(f)][index]
+                    square, linear, constant = shared.value[int(f)][index]
                     joint[mine] = (x[mine] ** 2) @ square + x[mine] @ linear + constant
                 pred = pa.array(class_codes[joint.argmax(axis=1)].astype(np.int32))
                 reg = pa.array(np.full(len(x), float(setting)))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from embgauge.functions.kernels import MAX_BROADCAST_BYTES, to_lists, to_matrix
+from embgauge.functions.kernels import share, to_lists, to_matrix
 from embgauge.functions.vectors import cosine_of
 from embgauge.operators.moments import Moments, moments
 
@@ -85,10 +85,7 @@ def fit_whitening(
 
 
 def _shared(df: DataFrame, models: list):
-    size = sum(model.nbytes for model in models)
-    if size > MAX_BROADCAST_BYTES:
-        raise ValueError(f"whitening models of {size} bytes are too large to send to every executor")
-    return df.sparkSession.sparkContext.broadcast(models)
+    return share(df.sparkSession, models, sum(model.nbytes for model in models), "whitening maps")
 
 
 def whiten(df: DataFrame, models: list, column: str = "embedding", inverse: bool = False) -> DataFrame:

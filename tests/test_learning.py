@@ -4,6 +4,7 @@ import pytest
 from conftest import frame, matrix
 from pyspark.sql import functions as F
 
+from embgauge.functions import kernels
 from embgauge.operators import cluster, folds, metrics, probe, silhouette
 
 # ------------------------------------------------------------------ folds
@@ -159,6 +160,15 @@ def test_logistic_regression_solves_the_stated_objective(spark):
         np.testing.assert_allclose([s[1] for s in rows.scores[test]], expected, atol=2e-3)
 
 
+def test_models_too_large_to_send_are_refused(spark, blobs, monkeypatch):
+    x, _, df = blobs
+    monkeypatch.setattr(kernels, "MAX_BROADCAST_BYTES", 200)
+    with pytest.raises(ValueError, match="too large"):
+        cluster.assign(df, x[None, :6])
+    with pytest.raises(ValueError, match="too large"):
+        probe.group_moments(df, ["row_id"])
+
+
 def test_standardize_keeps_constant_dimension(spark):
     x = np.array([[1.0, 5.0], [3.0, 5.0], [8.0, 5.0]])
     z = matrix(probe.standardize(frame(spark, x)))
