@@ -105,8 +105,8 @@ def truncate(spark, sf):
 
 
 def sts_pairs(spark, sf):
-    pairs_ = pairs.join_sides(t.sides(spark, sf))
-    both = pairs_.select("pair_id", F.posexplode(F.arrays_zip(as_doubles("e1").alias("e1"), as_doubles("e2").alias("e2"))).alias("dim", "v"))
+    zipped = F.arrays_zip(as_doubles("e1").alias("e1"), as_doubles("e2").alias("e2"))
+    both = pairs.join_sides(t.sides(spark, sf)).select("pair_id", F.posexplode(zipped).alias("dim", "v"))
     return both.select("pair_id", "dim", at_places(F.col("v.e1")).alias("v1"), at_places(F.col("v.e2")).alias("v2"))
 
 
@@ -121,7 +121,8 @@ def _scored(spark, sf):
 
 
 def sts_scores(spark, sf):
-    return _scored(spark, sf).select("pair_id", at_places(F.col("cos_sim")).alias("cos_sim"), at_places(F.col("score")).alias("score"))
+    rounded = [at_places(F.col(c)).alias(c) for c in ("cos_sim", "score")]
+    return _scored(spark, sf).select("pair_id", *rounded)
 
 
 def cosine_query(spark, sf):

@@ -368,7 +368,9 @@ def probe(
     sizes = {r["fold"]: r["n"] for r in table.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     total, width = sum(sizes.values()), df.select(F.size("embedding")).first()[0]
     wanted = sorted(sizes) if outer is None else outer
-    tuning = grid_scores(table, wanted, _estimator("softmax", total, width, len(classes), s), s) if classifier == "softmax" else {}
+    tuning = {}
+    if classifier == "softmax":
+        tuning = grid_scores(table, wanted, _estimator(classifier, total, width, len(classes), s), s)
     fold_stats = group_moments(table.select("fold", "embedding"), ["fold"]) if classifier == "svm" else {}
 
     def run(held_out: int):
@@ -386,7 +388,8 @@ def probe(
             return _predicted(model, lifted.where(F.col("fold") == held_out), classes), []
         return _predicted(estimator.fit(train), test, classes), []
 
-    done = _in_threads(run, wanted, s.parallelism)
+    # An SVM fold caches its own wide features, so few of them run at once.
+    done = _in_threads(run, wanted, 2 if classifier == "svm" else s.parallelism)
     predictions = keep(reduce(DataFrame.unionByName, [p for p, _ in done]))
     scored = "scores" in predictions.columns
     return ProbeResult(predictions, classes, scored, [row for _, rows in done for row in rows])

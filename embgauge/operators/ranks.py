@@ -25,10 +25,11 @@ def running_totals(
 ) -> DataFrame:
     """Add ``before_<amount>``: the sum over rows of the group that sort before this row.
 
-    ``(*by, order)`` must be unique. ``rows`` is the row count where the caller knows it. A small table is one window sort. A large one is
-    range-sorted over the cluster, each partition adds up its own rows, and the totals of earlier
-    partitions are added from a table of one row per partition and group; no task sees a whole
-    group, so a group with most of the rows is no bottleneck.
+    ``(*by, order)`` must be unique. ``rows`` is the row count where the caller knows it. A small
+    table is one window sort. A large one is range-sorted over the cluster, each partition adds up
+    its own rows, and the totals of earlier partitions are added from a table of one row per
+    partition and group; no task sees a whole group, so a group with most of the rows is no
+    bottleneck.
     """
     by = list(by)
     if (df.count() if rows is None else rows) <= small_rows:

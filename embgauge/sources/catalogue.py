@@ -9,7 +9,10 @@ from embgauge.functions.text import strip_side
 # Dataset names by family.
 SPLIT = ["yelpp", "imdb", "agnews", "yelpf", "trec", "sstf", "mrpc", "mrpc1", "mrpc2"]
 UNSPLIT = ["mr", "cr", "subj", "mpqa"]
-SIMILARITY = [f"{name}{side}" for name in ["stsb", "sts12", "sts13", "sts14", "sts15", "sts16"] for side in (1, 2)]
+SIMILARITY = [
+    "stsb1", "stsb2", "sts121", "sts122", "sts131", "sts132",
+    "sts141", "sts142", "sts151", "sts152", "sts161", "sts162",
+]
 PAIR_CLASSIFICATION = ["mrpc1", "mrpc2"]
 
 

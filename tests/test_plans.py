@@ -1,11 +1,8 @@
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import frame
-from embgauge.operators import probe, whiten
+from embgauge.operators import probe
 from embgauge.plans import classify, clustering, sts
 from embgauge.plans.sweep import Sweep
 from embgauge.sources.embeddings import write_embeddings

@@ -53,7 +53,7 @@ def scaled_covariance(x, method):
     return np.linalg.inv(scale) @ cov @ np.linalg.inv(scale), scale
 
 
-def reference_map(x, method):
+def textbook_map(x, method):
     """Whitening matrix by its textbook formula."""
     inner, scale = scaled_covariance(x, method)
     inner = inner + 1e-5 * np.eye(len(inner))
@@ -70,9 +70,9 @@ def reference_map(x, method):
 def test_whitening(spark, x, method):
     rows = frame(spark, x)
     (model,) = whiten.fit_whitening(rows, [method])
-    np.testing.assert_allclose(model.whiten, reference_map(x, method), rtol=1e-6, atol=1e-8)
+    np.testing.assert_allclose(model.whiten, textbook_map(x, method), rtol=1e-6, atol=1e-8)
     z = matrix(whiten.whiten(rows, [model]))
-    np.testing.assert_allclose(z, (x - x.mean(axis=0)) @ reference_map(x, method).T, atol=1e-6)
+    np.testing.assert_allclose(z, (x - x.mean(axis=0)) @ textbook_map(x, method).T, atol=1e-6)
     # The added 1e-5 leaves an eigenvalue l at l / (l + 1e-5) instead of 1.
     smallest = np.linalg.eigvalsh(scaled_covariance(x, method)[0])[0]
     assert np.abs(np.cov(z.T) - np.eye(6)).max() < 1.01e-5 / smallest
