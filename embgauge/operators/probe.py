@@ -29,7 +29,7 @@ from embgauge.functions.kernels import share, to_lists, to_matrix
 from embgauge.functions.vectors import as_doubles
 from embgauge.operators import metrics
 from embgauge.operators.folds import holdout, nested_folds, stratified_folds
-from embgauge.session import fetched, keep
+from embgauge.session import checkpointed, fetched, keep
 
 # The L2 settings tried, the forest size, and the share added to variances.
 L2_GRID = [1e-5, 1e-4, 1e-3, 1e-2]
@@ -364,7 +364,8 @@ def probe(
         return ProbeResult(keep(predictions), classes, True, [])
     features = array_to_vector(as_doubles("embedding")).alias("features")
     vector = F.col("embedding") if classifier == "svm" else features
-    table = keep(_table(folds, classes, [vector]))
+    # Written once: the many fits then plan against a plain table and survive lost executors.
+    table = keep(checkpointed(_table(folds, classes, [vector])))
     sizes = {r["fold"]: r["n"] for r in table.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     total, width = sum(sizes.values()), df.select(F.size("embedding")).first()[0]
     wanted = sorted(sizes) if outer is None else outer

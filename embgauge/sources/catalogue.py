@@ -21,6 +21,7 @@ class Entry:
     """One dataset: family, files per split, file format.
 
     ``columns`` maps our column names to the file's, for Parquet files with names of their own.
+    ``spread`` deals coarsely stored files out over all cores, for long texts to be tokenised.
     """
 
     name: str
@@ -28,6 +29,7 @@ class Entry:
     files: dict = field(hash=False)
     format: str = "tsv"
     columns: dict | None = field(default=None, hash=False)
+    spread: bool = False
 
     @property
     def paired(self) -> bool:

@@ -51,9 +51,9 @@ def read_dataset(spark: SparkSession, name: str, catalogue: Catalogue, schema: s
     """One dataset as ``(dataset, split, side, row_id, <schema columns>)``.
 
     A keyless TSV gets ``row_id`` by position, counted over its splits together; a Parquet entry
-    must carry ``row_id`` itself. Files that are read as fewer partitions than there are cores
-    (whole-file TSV, one row group) are dealt out over all cores by ``row_id``, which a later
-    aggregation by that key reuses; larger tables are not shuffled.
+    must carry ``row_id`` itself. Where the entry asks for it, files that are read as fewer
+    partitions than there are cores (whole-file TSV, one row group) are dealt out over all cores by
+    ``row_id``, which a later aggregation by that key reuses; larger tables are not shuffled.
     """
     entry = catalogue[name]
     parts, scans = [], 0
@@ -67,7 +67,7 @@ def read_dataset(spark: SparkSession, name: str, catalogue: Catalogue, schema: s
     if "row_id" not in rows.columns:
         rows = with_row_ids(rows, first=["_number"])
     cores = parallelism(spark)
-    if scans < cores:
+    if entry.spread and scans < cores:
         rows = rows.repartition(cores, "row_id")
     rest = [c for c in rows.columns if c not in ("row_id", "split", "_number")]
     return rows.select(

@@ -20,7 +20,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def catalogue(sf: str) -> Catalogue:
     return Catalogue(
         [
-            Entry("docs", "unsplit", {"all": f"{sf}/documents.parquet"}, "parquet", {"row_id": "doc_id", "text": "text"}),
+            Entry(
+                "docs",
+                "unsplit",
+                {"all": f"{sf}/documents.parquet"},
+                "parquet",
+                {"row_id": "doc_id", "text": "text"},
+                spread=True,
+            ),
             Entry(
                 "vectors",
                 "unsplit",
