@@ -298,7 +298,7 @@ def holdout(spark, sf):
 
 
 def _bayes(spark, sf, smoothing=(probe.VAR_SMOOTHING,)):
-    return probe.nb_predictions(folds.stratified_folds(t.vectors(spark, sf)), smoothing=smoothing)
+    return probe.nb_predictions(keep(folds.stratified_folds(t.vectors(spark, sf))), smoothing=smoothing)
 
 
 def clf_nb(spark, sf):
