@@ -24,6 +24,11 @@ from embgauge.session import keep
 from embgauge.sources.datasets import apply_contract
 from embgauge.sources.embeddings import from_wide, to_wide
 
+try:
+    from embgauge.llm import queries as llm
+except ImportError:  # the subpackage may be left out
+    llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 SMOOTHING_GRID = (1e-3, 1e-2, 1e-1, 1.0)
 PROMPT = 'Sentence: "{text}" means in one word:'
@@ -430,8 +435,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named |= {"cosine": cosine_query, "silhouette": silhouette_query}
     named |= {f"whiten_{m}": _whitened(m) for m in whiten.METHODS}
     named |= {f"clf_{c}": _probed(c) for c in ("softmax", "mlp", "lr", "svm", "rf")}
-    return named
+    return named | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql()
+    return oracles.sql() | (llm.oracle_sql() if llm else {})
