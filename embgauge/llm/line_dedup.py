@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from embgauge.llm import rarity, words
-from embgauge.llm.shared import id_filter, may_hold, stored
+from embgauge.llm.shared import discard, id_filter, may_hold, stored
 
 #: Bytes of text that one numpy step works on.
 BLOCK = 4 << 20
@@ -154,6 +154,7 @@ def kept_lines(
         F.min(F.struct("id", "line")).alias("first"), F.first("sketch").alias("sketch")
     )
     sets = stored(sets.select("first", "n", "sketch"))
+    discard(scan)
     # smaller sets are similar to equal ones only
     large = sets.where(F.col("n") * (den - num) >= num)
 
@@ -173,6 +174,7 @@ def kept_lines(
         .select("first", F.lit(True).alias("decided"))
     )
     decided = stored(decided)
+    discard(pairs, held)
 
     # undecided sets against all that can match them
     large = stored(large.join(decided, "first", "left").select("first", "n", F.coalesce("decided", F.lit(False)).alias("decided")))
@@ -190,6 +192,7 @@ def kept_lines(
     follow = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     enough = follow * (num + den) >= (F.col("n") + F.col("m")) * num
     pairs = stored(left.join(right, "token").where(close & enough & order).select("q", "s").distinct())
+    discard(rare, large)
     lines = pairs.select(F.explode(F.array("q", "s")).alias("at")).select("at.*").distinct()
     held = stored(_fetch(texts, lines, lambda wanted: _token_rows(n, wanted), TOKENS))
     found = (

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from embgauge.llm import rarity, words
-from embgauge.llm.shared import components, id_filter, may_hold, stored
+from embgauge.llm.shared import components, discard, id_filter, may_hold, stored
 
 #: Bytes of text that one numpy step works on.
 BLOCK = 4 << 20
@@ -164,6 +164,7 @@ def jaccard_components(
         .select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     )
     stars = stored(stars)
+    discard(near, held)
     tied = components(stars)
     member = sets.select("rep", "n").join(tied, F.col("rep") == F.col("node"), "left")
     member = member.select("rep", "n", F.coalesce("component", "rep").alias("comp"))
@@ -184,6 +185,7 @@ def jaccard_components(
     query = rare.select(F.explode("tokens").alias("token"), F.col("rep").alias("q"), F.col("comp").alias("own"), "n")
     match = (F.col("own") != F.col("comp")) & (F.col("n") >= F.col("low")) & (F.col("high") * den >= F.col("n") * num)
     open_ = stored(query.join(matrix, "token").where(match).select("q", "n", "comp", "chunk").distinct())
+    discard(rare)
 
     # bound by the union of the group's tokens, then compare with its members
     ids = open_.select(F.col("q").alias("id")).unionByName(

@@ -25,15 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage is cut, a lost executor costs a re-read.
 
-    The table is deleted when the application ends.
+    The table is deleted by ``discard``, or when the application ends. The shuffles it came from are of no more
+    use; a collection on the driver lets Spark's cleaner delete their files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    spark.sparkContext._jvm.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for table in tables:
+        place, files = _place(table.sparkSession, table.stored_at)
+        files.delete(place, True)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -57,7 +72,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = linked.select("v", F.col("m").alias("u")).unionByName(
             linked.where(F.col("u") != F.col("m")).select(F.col("u").alias("v"), F.col("m").alias("u"))
         )
-        pairs = stored(small.distinct())
+        last, pairs = pairs, stored(small.distinct())
+        discard(last)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
