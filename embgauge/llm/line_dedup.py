@@ -23,7 +23,7 @@ from embgauge.llm.shared import discard, id_filter, may_hold, stored
 BLOCK = 4 << 20
 NEWLINE, BLANKS = 0x0A, " \t\n\x0b\x0c\r"
 
-LINES = "id long, line int, n int, k1 long, k2 long, sketch long, bucket int, cnt long"
+LINES = "id long, line int, n int, k1 long, k2 long, m1 long, m2 long, bucket int, cnt long"
 TOKENS = "id long, line int, tokens array<long>"
 PREFIX = "id long, line int, short int, tokens array<long>"
 
@@ -67,11 +67,11 @@ def place_column(ids, lines):
 
 
 def _scan(n: int):
-    """All lines that have words, with what names their set and a pair of min-hashes; then the rarity counters."""
+    """All lines that have words, with what names their set and two min-hashes; then the rarity counters."""
 
     def run(batches):
         seen = rarity.Counters()
-        names = ["id", "line", "n", "k1", "k2", "sketch", "bucket", "cnt"]
+        names = ["id", "line", "n", "k1", "k2", "m1", "m2", "bucket", "cnt"]
         for batch in batches:
             for ids, lines, tokens, at in _lines(batch, n):
                 seen.add(tokens)
@@ -82,10 +82,10 @@ def _scan(n: int):
                 a, b = (np.minimum.reduceat(words.mix(tokens ^ np.uint64(s)), at[full]) for s in (0xB3, 0xC9))
                 none = pa.nulls(len(full), pa.int32()), pa.nulls(len(full), pa.int64())
                 columns = [pa.array(ids[full]), pa.array(lines[full]), pa.array(np.diff(at)[full].astype(np.int32))]
-                columns += [words.signed(s) for s in (*sums, words.mix(a ^ (b << np.uint64(1))))]
+                columns += [words.signed(s) for s in (*sums, a, b)]
                 yield pa.RecordBatch.from_arrays([*columns, *none], names=names)
         bucket, cnt = seen.rows()
-        void = [pa.nulls(len(bucket), t) for t in (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3)]
+        void = [pa.nulls(len(bucket), t) for t in (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4)]
         yield pa.RecordBatch.from_arrays([*void, bucket, cnt], names=names)
 
     return run
@@ -151,9 +151,9 @@ def kept_lines(
         rarity.levels(scan.where("bucket is not null").select("bucket", F.col("cnt").alias("n")))
     )
     sets = scan.where("bucket is null").groupBy("k1", "k2", "n").agg(
-        F.min(F.struct("id", "line")).alias("first"), F.first("sketch").alias("sketch")
+        F.min(F.struct("id", "line")).alias("first"), F.first("m1").alias("m1"), F.first("m2").alias("m2")
     )
-    sets = stored(sets.select("first", "n", "sketch"))
+    sets = stored(sets.select("first", "n", "m1", "m2"))
     discard(scan)
     # smaller sets are similar to equal ones only
     large = sets.where(F.col("n") * (den - num) >= num)
@@ -162,9 +162,13 @@ def kept_lines(
         both = F.size(F.array_intersect(t1, t2))
         return both * (num + den) >= (F.size(t1) + F.size(t2)) * num
 
-    # every set against the earliest one of its min-hashes
-    hubs = large.groupBy("sketch").agg(F.min("first").alias("hub"), F.count("*").alias("held")).where("held > 1")
-    pairs = stored(large.join(hubs, "sketch").where("first <> hub").select("first", "hub"))
+    # every set against the earliest ones of its min-hashes, if their sizes are close
+    slots = large.select("first", "n", F.explode(F.array("m1", "m2")).alias("least"))
+    hubs = slots.groupBy("least").agg(F.min(F.struct("first", "n")).alias("hub"), F.count("*").alias("held"))
+    m = F.col("hub.n")
+    close = (m * den >= F.col("n") * num) & (F.col("n") * den >= m * num) & (F.col("first") != F.col("hub.first"))
+    pairs = slots.join(hubs.where("held > 1"), "least").where(close)
+    pairs = stored(pairs.select("first", F.col("hub.first").alias("hub")).distinct())
     lines = pairs.select(F.explode(F.array("first", "hub")).alias("at")).select("at.*").distinct()
     held = stored(_fetch(texts, lines, lambda wanted: _token_rows(n, wanted), TOKENS))
     decided = (
@@ -172,6 +176,7 @@ def kept_lines(
         .join(held.select(F.col("at").alias("hub"), F.col("tokens").alias("t2")), "hub")
         .where(similar("t1", "t2"))
         .select("first", F.lit(True).alias("decided"))
+        .distinct()
     )
     decided = stored(decided)
     discard(pairs, held)
