@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from embgauge.llm import ann, decontaminate, html_extract, line_dedup, ngram_join, piece_bpe, secrets, sharding
-from embgauge.llm import suffix_dedup, toxicity
+from embgauge.llm import sql, suffix_dedup, toxicity
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 SLOTS = 2039
@@ -48,7 +48,7 @@ def op3_decontamination(spark, sf):
     found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select(
-        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", items, "contaminated", F.col("longest").cast("long")
+        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", items, "contaminated"
     )
 
 
@@ -107,4 +107,10 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_ngram_jaccard_join": sql.OP1,
+        "op3_decontamination": sql.OP3,
+        "op4_sharding": sql.op4(SHARDS, SLOTS),
+        "op5_secret_scan": sql.op5(secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.LOOSE, secrets.ASSIGN_LEAST, 3),
+        "op7_line_dedup": sql.OP7,
+    }
