@@ -17,10 +17,9 @@ RUNS = 5
 BATCH_RAW = 500
 BATCH_WHITENED = 5000
 
-# The rows that all mini-batches are drawn from are bounded in number and in bytes.
-MAX_BATCHES = 100
-SAMPLE_BYTES = 256 << 20
-PATIENCE = 10
+# Steps of a run, if it does not settle before; rows for the start centers, per center.
+STEPS = 20
+START_ROWS = 10
 
 
 def squared_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -101,20 +100,6 @@ def kmeans(df: DataFrame, k: int, seed: int = 0, max_iter: int = 20, column: str
 # ------------------------------------------------------------------ mini-batch
 
 
-def batch_rows(df: DataFrame, batch_size: int, seed: int, key: str = "row_id", column: str = "embedding") -> DataFrame:
-    """Rows ``(h, v)`` for the mini-batches, drawn by one scan: a seeded hash below a threshold.
-
-    Drawing small batches is what the algorithm does; the number of drawn rows does not grow with
-    the table.
-    """
-    shape = df.agg(F.count("*").alias("n"), F.max(F.size(column)).alias("d")).first()
-    wanted = max(batch_size, min(MAX_BATCHES * batch_size, SAMPLE_BYTES // (8 * max(shape["d"] or 1, 1))))
-    rows = df.select(shuffle_key(seed, key).alias("h"), F.col(column).alias("v"))
-    if shape["n"] <= wanted:
-        return rows
-    return rows.where(F.substring("h", 1, 8) < format(int(wanted / shape["n"] * 16**8), "08x"))
-
-
 def spread_centers(x: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
     """Start centers far from each other: each new one drawn by squared distance to the nearest."""
     centers = [x[draw.integers(len(x))]]
@@ -127,61 +112,82 @@ def spread_centers(x: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarr
     return np.array(centers)
 
 
-def mini_batch_centers(x: np.ndarray, k: int, batch_size: int, seed: int) -> np.ndarray:
-    """Centers after passing over random batches; each center moves by the running share of a batch."""
-    draw = np.random.default_rng(seed)
-    start = x[draw.choice(len(x), min(len(x), 3 * batch_size), replace=False)]
-    centers, seen = spread_centers(start, k, draw), np.zeros(k)
-    smooth = best = None
-    stale = 0
-    for _ in range(MAX_BATCHES):
-        batch = x[draw.integers(len(x), size=min(batch_size, len(x)))]
-        gaps = squared_distances(batch, centers)
-        pick = gaps.argmin(axis=1)
-        sizes = np.bincount(pick, minlength=k)
-        marks = np.zeros((len(batch), k))
-        marks[np.arange(len(batch)), pick] = 1.0
-        seen += sizes
-        hit = sizes > 0
-        centers[hit] += (marks.T @ batch - sizes[:, None] * centers)[hit] / seen[hit, None]
-        cost = gaps[np.arange(len(batch)), pick].mean()
-        weight = min(1.0, 2.0 * len(batch) / (len(x) + 1))
-        smooth = cost if smooth is None else smooth * (1 - weight) + cost * weight
-        if best is None or smooth < best:
-            best, stale = smooth, 0
-        else:
-            stale += 1
-            if stale >= PATIENCE:
-                break
-    return centers
-
+def batch_of(step: int, share: float, runs: int, seed: int, key: str = "row_id"):
+    """The runs whose batch of this step a row belongs to: a hash of seed, step and key below ``share``."""
+    limit = "g" if share >= 1 else format(int(share * 16**8), "08x")
+    digest = lambda run: F.md5(F.concat_ws(":", (run + seed).cast("string"), F.lit(str(step)), F.col(key).cast("string")))
+    return F.filter(F.array(*[F.lit(r) for r in range(runs)]), lambda run: F.substring(digest(run), 1, 8) < limit)
 
-def fit_mini_batches(drawn: DataFrame, k: int, runs: int, batch_size: int, seed: int) -> np.ndarray:
-    """Centers (runs x k x d); every run is a task of its own over the drawn rows."""
 
-    def one_run(group: tuple, table: pa.Table) -> pa.Table:
-        run = group[0].as_py()
-        order = np.argsort(table.column("h").to_numpy(), kind="stable")
-        x = to_matrix(table.column("v"))[order]
-        if len(x) < k:
-            raise ValueError(f"{len(x)} rows cannot form {k} clusters")
-        centers = mini_batch_centers(x, k, batch_size, seed + run)
-        numbers = [pa.array(np.full(k, run, dtype=np.int32)), pa.array(np.arange(k, dtype=np.int32))]
-        return pa.Table.from_arrays([*numbers, to_lists(centers)], names=["run", "c", "v"])
+def batch_sums(rows: DataFrame, centers: np.ndarray) -> list:
+    """``(run * k + center, n, sum)`` of ``rows (v, runs)``: a partial sum per task, run and center is shuffled."""
+    runs, k, width = centers.shape
+    shared = share(rows.sparkSession, centers, centers.nbytes, "cluster centers")
 
-    per_run = drawn.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    found = per_run.groupBy("run").applyInArrow(one_run, "run int, c int, v array<double>").collect()
-    if not found:
-        raise ValueError("no rows to cluster")
-    return np.array([r["v"] for r in sorted(found, key=lambda r: (r["run"], r["c"]))]).reshape(runs, k, -1)
+    def fold(batches):
+        sums, sizes = np.zeros((runs * k, width)), np.zeros(runs * k, dtype=np.int64)
+        for batch in batches:
+            x = to_matrix(batch.column(0), width)
+            lists = batch.column(1)
+            row = np.repeat(np.arange(len(x)), np.diff(np.asarray(lists.offsets)))
+            member = lists.flatten().to_numpy()
+            for run in range(runs):
+                own = x[row[member == run]]
+                pick = run * k + squared_distances(own, shared.value[run]).argmin(axis=1)
+                np.add.at(sums, pick, own)
+                sizes += np.bincount(pick, minlength=runs * k)
+        held = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(held.astype(np.int32)), pa.array(sizes[held]), to_lists(sums[held])], names=["c", "n", "s"]
+        )
+
+    partial = rows.mapInArrow(fold, "c int, n bigint, s array<double>")
+    found = partial.groupBy("c").agg(F.sum("n").alias("n"), sum_vector("s").alias("s")).collect()
+    shared.unpersist()
+    return found
+
+
+def fit_mini_batches(
+    df: DataFrame,
+    k: int,
+    runs: int,
+    batch_size: int,
+    seed: int,
+    steps: int = STEPS,
+    tolerance: float = 1e-4,
+    key: str = "row_id",
+    column: str = "embedding",
+) -> tuple[np.ndarray, int, bool]:
+    """Centers (runs x k x d), the number of steps, and whether the last one moved them less than ``tolerance``.
+
+    Start centers come from the ``START_ROWS * k`` rows that are first in a run's hash order. A step draws a
+    new batch of about ``batch_size`` rows for each run from the whole table, in one scan for all runs, and
+    moves every center by the batch's share of the rows it has seen.
+    """
+    n = df.count()
+    if n < k:
+        raise ValueError(f"{n} rows cannot form {k} clusters")
+    start = [first_rows(df, START_ROWS * k, seed + run, key, column) for run in range(runs)]
+    centers = np.stack([spread_centers(x, k, np.random.default_rng(seed + run)) for run, x in enumerate(start)])
+    width, seen = centers.shape[2], np.zeros(runs * k)
+    scale = max(float(np.concatenate(start).var(axis=0).sum()), 1e-300)
+    for step in range(steps):
+        rows = df.select(F.col(column).alias("v"), batch_of(step, batch_size / n, runs, seed, key).alias("runs"))
+        moved = centers.reshape(runs * k, width).copy()
+        for row in batch_sums(rows.where(F.size("runs") > 0), centers):
+            c = row["c"]
+            seen[c] += row["n"]
+            moved[c] += (np.asarray(row["s"]) - row["n"] * moved[c]) / seen[c]
+        shift = ((moved - centers.reshape(runs * k, width)) ** 2).sum(axis=1).max() / scale
+        centers = moved.reshape(runs, k, width)
+        if shift < tolerance:
+            return centers, step + 1, True
+    return centers, steps, False
 
 
 def mini_batch_kmeans(
     df: DataFrame, k: int, runs: int = RUNS, batch_size: int = BATCH_RAW, seed: int = 0, column: str = "embedding"
 ) -> DataFrame:
-    """Add ``clusters``: one mini-batch clustering per run, seeds ``seed .. seed + runs - 1``.
-
-    Two scans whatever the number of runs: one draws the batch rows, one assigns every row.
-    """
-    drawn = batch_rows(df, batch_size, seed, column=column)
-    return assign(df, fit_mini_batches(drawn, k, runs, batch_size, seed), column)
+    """Add ``clusters``: one mini-batch clustering per run, seeds ``seed .. seed + runs - 1``; one scan per step."""
+    centers, _, _ = fit_mini_batches(df, k, runs, batch_size, seed, column=column)
+    return assign(df, centers, column)

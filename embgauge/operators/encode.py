@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from embgauge.functions.kernels import to_lists
 from embgauge.functions.text import Profile, prepare_text, words
-from embgauge.session import keep, parallelism
+from embgauge.session import keep
 from embgauge.sources.embeddings import write_embeddings
 
 
@@ -120,9 +120,18 @@ MAX_WORD_VECTORS = 100_000_000
 
 
 def encode_word2vec(
-    df: DataFrame, key: str = "row_id", text_col: str = "text", width: int = 32, seed: int = 0, min_count: int = 5
+    df: DataFrame,
+    key: str = "row_id",
+    text_col: str = "text",
+    width: int = 32,
+    seed: int = 0,
+    min_count: int = 5,
+    parts: int = 8,
 ) -> DataFrame:
-    """Mean of word vectors learned from the same texts: ``(key, embedding)``."""
+    """Mean of word vectors learned from the same texts: ``(key, embedding)``.
+
+    The vectors depend on ``parts``, the number of pieces that are learned from at a time.
+    """
     tokens = keep(df.select(key, words(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")))
     frequent = tokens.select(F.explode("_t").alias("w")).groupBy("w").count().where(F.col("count") >= min_count).count()
     if frequent * width > MAX_WORD_VECTORS:
@@ -131,7 +140,7 @@ def encode_word2vec(
         vectorSize=width,
         minCount=min_count,
         seed=seed,
-        numPartitions=parallelism(df.sparkSession),
+        numPartitions=parts,
         inputCol="_t",
         outputCol="_v",
     ).fit(tokens)
@@ -145,4 +154,4 @@ def encode_sweep(datasets: DataFrame, encoders: dict, root: str, text_col: str =
     """
     for profile, build in encoders.items():
         rows = encode(datasets, build, text_col, profile).withColumn("encoder", F.lit(profile.name))
-        write_embeddings(rows, root)
+        write_embeddings(rows, root, "replace")

@@ -12,7 +12,8 @@ def side(df: DataFrame, number: int, out: str, key: str = "pair_id", column: str
 
 
 def join_sides(df: DataFrame, key: str = "pair_id", column: str = "embedding") -> DataFrame:
-    """``(key, e1, e2)`` by an equi-join on the pair key, which is unique on each side."""
+    """``(key, e1, e2)`` by an equi-join on the pair key, which each side must hold once."""
+    check_sides(df, key)
     return side(df, 1, "e1", key, column).join(side(df, 2, "e2", key, column), key)
 
 
@@ -34,12 +35,27 @@ def check_sides(df: DataFrame, key: str = "pair_id") -> None:
         raise ValueError(f"pair sides do not match: {found.asDict()}")
 
 
+def check_keys(left: DataFrame, right: DataFrame, what: str, key: str = "pair_id") -> None:
+    """An error with counts unless both tables hold the same keys, each once; only keys are shuffled."""
+    both = left.select(key, F.lit(1).alias("side")).unionByName(right.select(key, F.lit(2).alias("side")))
+    found = pair_integrity(both, key).first()
+    if found["unmatched"]:
+        raise ValueError(
+            f"pairs and {what} do not match: {found['side_1']} pairs, {found['side_2']} {what}, "
+            f"{found['unmatched']} keys without exactly one of each"
+        )
+
+
 def pair_cosine(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("cos_sim", cosine("e1", "e2"))
 
 
 def labelled_pair_features(pairs: DataFrame, labels: DataFrame, key: str = "pair_id") -> DataFrame:
-    """``(key, text, label, embedding)``: ``[|e1-e2| ; e1*e2]`` with the pair's label."""
+    """``(key, text, label, embedding)``: ``[|e1-e2| ; e1*e2]`` with the pair's label.
+
+    Every pair must have one label and every label a pair.
+    """
+    check_keys(pairs, labels, "labels", key)
     features = pairs.select(key, pair_features("e1", "e2").alias("embedding"))
     return features.join(labels.select(key, "label"), key).select(
         key, F.lit("text").alias("text"), "label", "embedding"

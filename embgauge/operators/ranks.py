@@ -8,37 +8,20 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from embgauge.session import checkpointed, keep
 
-# Up to this many rows a running total is one window sort and its result may be broadcast.
-SMALL_ROWS = 1_000_000
 # A value held by more than 1/HOT_SHARE of the rows is joined by broadcast; there are at most
 # HOT_SHARE such values per column, whatever the size of the table.
 HOT_SHARE = 10_000
 
 
-def running_totals(
-    df: DataFrame,
-    order: str,
-    amounts: list[str],
-    by: list[str] = (),
-    small_rows: int = SMALL_ROWS,
-    rows: int | None = None,
-) -> DataFrame:
+def running_totals(df: DataFrame, order: str, amounts: list[str], by: list[str] = ()) -> DataFrame:
     """Add ``before_<amount>``: the sum over rows of the group that sort before this row.
 
-    ``(*by, order)`` must be unique. ``rows`` is the row count where the caller knows it. A small
-    table is one window sort. A large one is range-sorted over the cluster, each partition adds up
-    its own rows, and the totals of earlier partitions are added from a table of one row per
+    ``(*by, order)`` must be unique. The table is range-sorted over the cluster, each partition adds
+    up its own rows, and the totals of earlier partitions are added from a table of one row per
     partition and group; no task sees a whole group, so a group with most of the rows is no
     bottleneck.
     """
     by = list(by)
-    if (df.count() if rows is None else rows) <= small_rows:
-        window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({f"before_{a}": F.coalesce(F.sum(a).over(window), F.lit(0)) for a in amounts})
-    return _running_totals_by_range(df, order, amounts, by)
-
-
-def _running_totals_by_range(df: DataFrame, order: str, amounts: list[str], by: list[str]) -> DataFrame:
     group = by or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
     local = [f"before_{a}" for a in amounts]
@@ -79,36 +62,29 @@ def _running_totals_by_range(df: DataFrame, order: str, amounts: list[str], by:
     )
 
 
-def _ranked(values: DataFrame, column: str, by: list[str], small_rows: int, rows: int) -> DataFrame:
+def _ranked(values: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Average rank per distinct value from the number of rows that hold it."""
-    totals = running_totals(values, column, ["n"], by, small_rows, rows)
+    totals = running_totals(values, column, ["n"], by)
     return totals.withColumn("avg_rank", F.col("before_n") + (F.col("n") + 1) / 2).drop("before_n")
 
 
-def average_ranks(df: DataFrame, column: str, by: list[str] = (), small_rows: int = SMALL_ROWS) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     """``(*by, column, n, avg_rank)``: rank of every distinct value, ties sharing their mean rank."""
-    values = keep(df.groupBy(*by, column).agg(F.count("*").alias("n")))
-    return _ranked(values, column, list(by), small_rows, values.count())
+    return _ranked(df.groupBy(*by, column).agg(F.count("*").alias("n")), column, list(by))
 
 
-def with_average_rank(
-    df: DataFrame, column: str, out: str, by: list[str] = (), small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def with_average_rank(df: DataFrame, column: str, out: str, by: list[str] = ()) -> DataFrame:
     """Attach the average rank of ``column`` within ``by``.
 
-    The ranks are one row per distinct value. Few values are broadcast. Otherwise the values that
-    many rows share (their number is bounded) are broadcast and the rest, none of which is hot,
-    is joined by shuffle.
+    The ranks are one row per distinct value. Values that many rows share are broadcast, at most
+    ``HOT_SHARE`` of them; the rest, none of which is hot, is joined by shuffle.
     """
     by = list(by)
     keys = [*by, column]
     values = keep(df.groupBy(*keys).agg(F.count("*").alias("n")))
-    size = values.agg(F.count("*").alias("values"), F.sum("n").alias("rows")).first()
-    ranks = _ranked(values, column, by, small_rows, size["values"])
-    if size["values"] <= small_rows:
-        return df.join(F.broadcast(ranks.select(*keys, F.col("avg_rank").alias(out))), keys)
-    ranks = keep(ranks)
-    is_hot = F.col("n") > size["rows"] / HOT_SHARE
+    rows = values.agg(F.sum("n").alias("rows")).first()["rows"] or 0
+    ranks = keep(_ranked(values, column, by))
+    is_hot = F.col("n") > rows / HOT_SHARE
     hot = ranks.where(is_hot).select(*keys, F.col("avg_rank").alias("_hot"))
     cold = ranks.where(~is_hot).select(*keys, F.col("avg_rank").alias(out))
     tagged = df.join(F.broadcast(hot), keys, "left")
@@ -121,13 +97,11 @@ def pearson(df: DataFrame, a: str, b: str, by: list[str] = (), out: str = "pears
     return df.groupBy(*by).agg(F.corr(a, b).alias(out))
 
 
-def spearman(
-    df: DataFrame, a: str, b: str, by: list[str] = (), out: str = "spearman", small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, by: list[str] = (), out: str = "spearman") -> DataFrame:
     """Rank correlation with average ranks for ties."""
     narrow = df.select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    ranked = with_average_rank(narrow, "_a", "_ra", by, small_rows)
-    ranked = with_average_rank(ranked, "_b", "_rb", by, small_rows)
+    ranked = with_average_rank(narrow, "_a", "_ra", by)
+    ranked = with_average_rank(ranked, "_b", "_rb", by)
     return ranked.groupBy(*by).agg(F.corr("_ra", "_rb").alias(out))
 
 

@@ -34,9 +34,11 @@ class Whitening:
     def invert(self, z: np.ndarray) -> np.ndarray:
         return z @ self.dewhiten.T + self.mean
 
-    @property
-    def nbytes(self) -> int:
-        return self.mean.nbytes + self.whiten.nbytes + self.dewhiten.nbytes
+    def plain(self, inverse: bool = False) -> tuple:
+        """``(method, before, matrix, after)``: ``(x - before) @ matrix + after``, in arrays that any worker can read."""
+        if inverse:
+            return self.method, None, self.dewhiten.T, self.mean
+        return self.method, self.mean, self.whiten.T, None
 
 
 @dataclass(frozen=True)
@@ -44,11 +46,21 @@ class Unchanged:
     """The raw vectors, as one more method of a sweep."""
 
     method: str = NONE
-    nbytes: int = 0
 
     def apply(self, x: np.ndarray) -> np.ndarray:
         return x
 
+    def plain(self, inverse: bool = False) -> tuple:
+        return self.method, None, None, None
+
+
+def mapped(x: np.ndarray, plain: tuple) -> np.ndarray:
+    """Rows under a map in plain form."""
+    _, before, matrix, after = plain
+    x = x if before is None else x - before
+    x = x if matrix is None else x @ matrix
+    return x if after is None else x + after
+
 
 def principal_axes(symmetric: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues descending with their axes as columns, each axis with a diagonal entry >= 0."""
@@ -84,8 +96,10 @@ def fit_whitening(
     return [solve_whitening(m, method, regularization) for method in methods]
 
 
-def _shared(df: DataFrame, models: list):
-    return share(df.sparkSession, models, sum(model.nbytes for model in models), "whitening maps")
+def _shared(df: DataFrame, models: list, inverse: bool = False):
+    maps = [model.plain(inverse) for model in models]
+    size = sum(part.nbytes for one in maps for part in one[1:] if part is not None)
+    return share(df.sparkSession, maps, size, "whitening maps")
 
 
 def whiten(df: DataFrame, models: list, column: str = "embedding", inverse: bool = False) -> DataFrame:
@@ -93,7 +107,7 @@ def whiten(df: DataFrame, models: list, column: str = "embedding", inverse: bool
 
     One matrix product per Arrow batch and method, no shuffle. ``inverse`` undoes the map instead.
     """
-    shared = _shared(df, models)
+    shared = _shared(df, models, inverse)
     others = [c for c in df.columns if c not in (column, "whitening")]
     schema = T.StructType(
         [df.schema[c] for c in others]
@@ -104,10 +118,9 @@ def whiten(df: DataFrame, models: list, column: str = "embedding", inverse: bool
         for batch in batches:
             x = to_matrix(batch.column(batch.num_columns - 1))
             rest = batch.columns[:-1]
-            for model in shared.value:
-                z = model.invert(x) if inverse else model.apply(x)
-                method = pa.array([model.method] * len(x), pa.string())
-                yield pa.RecordBatch.from_arrays([*rest, method, to_lists(z)], names=schema.names)
+            for one in shared.value:
+                method = pa.array([one[0]] * len(x), pa.string())
+                yield pa.RecordBatch.from_arrays([*rest, method, to_lists(mapped(x, one))], names=schema.names)
 
     return df.select(*others, column).mapInArrow(project, schema)
 
@@ -129,9 +142,9 @@ def whitened_pair_cosine(pairs: DataFrame, models: list, a: str = "e1", b: str =
         for batch in batches:
             x, y = (to_matrix(batch.column(batch.num_columns - k)) for k in (2, 1))
             rest = batch.columns[:-2]
-            for model in shared.value:
-                cos = pa.array(cosine_of(model.apply(x), model.apply(y)))
-                method = pa.array([model.method] * len(x), pa.string())
+            for one in shared.value:
+                cos = pa.array(cosine_of(mapped(x, one), mapped(y, one)))
+                method = pa.array([one[0]] * len(x), pa.string())
                 yield pa.RecordBatch.from_arrays([*rest, method, cos], names=schema.names)
 
     return pairs.select(*others, a, b).mapInArrow(score, schema)

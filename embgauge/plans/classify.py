@@ -74,4 +74,4 @@ def eval_classify(spark: SparkSession, sweep: Sweep) -> DataFrame:
         rows = load_features(spark, sweep, dataset, encoder)
         return evaluate_classification(rows, sweep.classifier, methods, sweep.settings, sweep.fit_on)
 
-    return run_sweep(spark, sweep, "classification", sweep.classifier, work)
+    return run_sweep(spark, sweep, "classification", sweep.classifier, work, (sweep.settings, sweep.fit_on))

@@ -43,6 +43,6 @@ def eval_cluster(spark: SparkSession, sweep: Sweep) -> DataFrame:
     """The sweep over datasets, encoders and whitening methods."""
 
     def work(dataset, encoder, methods):
-        return evaluate_clustering(load_features(spark, sweep, dataset, encoder), methods, sweep.runs)
+        return evaluate_clustering(load_features(spark, sweep, dataset, encoder), methods, sweep.runs, sweep.settings.seed)
 
-    return run_sweep(spark, sweep, "clustering", "mini_batch_k_means", work)
+    return run_sweep(spark, sweep, "clustering", "mini_batch_k_means", work, (sweep.runs, sweep.settings.seed))

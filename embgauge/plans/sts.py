@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embgauge.operators.moments import moments
-from embgauge.operators.pairs import check_sides, join_sides
+from embgauge.operators.pairs import check_keys, join_sides
 from embgauge.operators.ranks import spearman
 from embgauge.operators.whiten import METHODS, NONE, Unchanged, solve_whitening, whitened_pair_cosine
 from embgauge.plans.sweep import Sweep, label_of, run_sweep
@@ -25,8 +25,10 @@ def pair_models(rows: DataFrame, methods: list) -> list:
 def score_pairs(rows: DataFrame, gold: DataFrame, methods: list = (NONE, *METHODS)) -> DataFrame:
     """``(pair_id, score, whitening, cos_sim)``.
 
-    The sides meet in one equi-join on raw vectors; all methods are scored inside that stage.
+    The sides meet in one equi-join on raw vectors; all methods are scored inside that stage. Every
+    pair must have both sides and one gold score, and every gold score a pair.
     """
+    check_keys(rows.where("side = 1"), gold, "gold scores")
     pairs = join_sides(rows).join(gold.select("pair_id", "score"), "pair_id")
     return whitened_pair_cosine(pairs, pair_models(rows, list(methods)))
 
@@ -61,7 +63,6 @@ def eval_sts(spark: SparkSession, sweep: Sweep) -> DataFrame:
 
     def work(dataset, encoder, methods):
         rows = read_embeddings(spark, sweep.store, dataset, encoder).withColumnRenamed("row_id", "pair_id")
-        check_sides(rows)
 
         def write(scores):
             names = {"dataset": F.lit(dataset), "encoder": F.lit(encoder), "whitening": label_of("whitening")}
@@ -69,4 +70,4 @@ def eval_sts(spark: SparkSession, sweep: Sweep) -> DataFrame:
 
         return evaluate_sts(rows, sweep.gold(spark, dataset), methods, write if sweep.pair_scores else None)
 
-    return run_sweep(spark, sweep, "sts", "cosine", work)
+    return run_sweep(spark, sweep, "sts", "cosine", work, ())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -65,15 +66,18 @@ def load_features(spark: SparkSession, sweep: Sweep, dataset: str, encoder: str)
 
 
 def run_sweep(
-    spark: SparkSession, sweep: Sweep, task: str, model: str, work: Callable[[str, str, list], DataFrame]
+    spark: SparkSession, sweep: Sweep, task: str, model: str, work: Callable[[str, str, list], DataFrame], settings: tuple
 ) -> DataFrame:
     """Run ``work(dataset, encoder, methods)`` for what has no result yet and append its rows.
 
     ``work`` returns ``(whitening, metric, fold, value)``. Results are written after each dataset
-    and encoder, so a stopped sweep goes on where it ended. Returns all results of the task.
+    and encoder, so a stopped sweep goes on where it ended. ``settings`` holds what else the figures
+    depend on; results under other settings do not count as done. Returns the task's results under
+    these settings.
     """
+    identity = hashlib.md5(repr(settings).encode()).hexdigest()
     labels = {method_label(m): m for m in sweep.methods}
-    wanted = [(task, d, e, w, model) for d in sweep.datasets for e in sweep.encoders for w in labels]
+    wanted = [(task, d, e, w, model, identity) for d in sweep.datasets for e in sweep.encoders for w in labels]
     open_keys = pending(spark, spark.createDataFrame(wanted, ", ".join(f"{c} string" for c in SWEEP_KEY)), sweep.results)
     todo: dict = {}
     for row in open_keys.collect():
@@ -94,9 +98,11 @@ def run_sweep(
                 F.col("fold").cast("int").alias("fold"),
                 F.col("value").cast("double").alias("value"),
                 F.lit(sweep.run_id).alias("run_id"),
+                F.lit(identity).alias("settings"),
+                F.current_timestamp().alias("written_at"),
             )
             append_results(keyed, sweep.results)
-    return read_results(spark, sweep.results).where(F.col("task") == task).select(
+    return read_results(spark, sweep.results).where((F.col("task") == task) & (F.col("settings") == identity)).select(
         *[part.split()[0] for part in RESULT_SCHEMA.split(", ")]
     )
 

@@ -21,7 +21,7 @@ class Entry:
     """One dataset: family, files per split, file format.
 
     ``columns`` maps our column names to the file's, for Parquet files with names of their own.
-    ``spread`` deals coarsely stored files out over all cores, for long texts to be tokenised.
+    ``spread`` deals the rows out by ``row_id``, for long texts in coarsely stored files.
     """
 
     name: str

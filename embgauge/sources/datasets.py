@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from embgauge.session import parallelism
 from embgauge.sources.catalogue import Catalogue
 
 
@@ -51,24 +50,21 @@ def read_dataset(spark: SparkSession, name: str, catalogue: Catalogue, schema: s
     """One dataset as ``(dataset, split, side, row_id, <schema columns>)``.
 
     A keyless TSV gets ``row_id`` by position, counted over its splits together; a Parquet entry
-    must carry ``row_id`` itself. Where the entry asks for it, files that are read as fewer
-    partitions than there are cores (whole-file TSV, one row group) are dealt out over all cores by
-    ``row_id``, which a later aggregation by that key reuses; larger tables are not shuffled.
+    must carry ``row_id`` itself. Where the entry asks for it, rows are dealt out by ``row_id``, which
+    a later aggregation by that key reuses.
     """
     entry = catalogue[name]
-    parts, scans = [], 0
+    parts = []
     for number, (split, path) in enumerate(entry.files.items()):
         part = spark.read.parquet(path) if entry.format == "parquet" else read_tsv(spark, path, schema)
         if entry.columns:
             part = part.select(*[F.col(theirs).alias(ours) for ours, theirs in entry.columns.items()])
-        scans += part.rdd.getNumPartitions()
         parts.append(part.withColumns({"split": F.lit(split), "_number": F.lit(number)}))
     rows = reduce(DataFrame.unionByName, parts)
     if "row_id" not in rows.columns:
         rows = with_row_ids(rows, first=["_number"])
-    cores = parallelism(spark)
-    if entry.spread and scans < cores:
-        rows = rows.repartition(cores, "row_id")
+    if entry.spread:
+        rows = rows.repartition("row_id")
     rest = [c for c in rows.columns if c not in ("row_id", "split", "_number")]
     return rows.select(
         F.lit(entry.base_name).alias("dataset"),

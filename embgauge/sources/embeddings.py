@@ -11,11 +11,17 @@ PARTITIONS = ["dataset", "encoder"]
 
 
 def write_embeddings(df: DataFrame, root: str, mode: str = "append") -> None:
-    """Write ``(dataset, encoder, split, side, row_id, text, label, embedding)`` rows."""
+    """Write ``(dataset, encoder, split, side, row_id, text, label, embedding)`` rows.
+
+    ``mode`` is ``append``, or ``replace`` for the datasets and encoders that are written.
+    """
     missing = [c for c in (*PARTITIONS, "row_id", "embedding") if c not in df.columns]
     if missing:
         raise ValueError(f"embedding rows lack {missing}")
-    df.write.mode(mode).partitionBy(*PARTITIONS).parquet(root)
+    writer = df.write.mode("overwrite" if mode == "replace" else mode)
+    if mode == "replace":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*PARTITIONS).parquet(root)
 
 
 def read_embeddings(spark: SparkSession, root: str, dataset: str, encoder: str, split: str | None = None) -> DataFrame:

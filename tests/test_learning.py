@@ -256,10 +256,28 @@ def test_mini_batch_runs_find_the_blobs(spark, blobs):
         cluster.mini_batch_kmeans(df.where("row_id < 2"), 3)
 
 
-def test_batch_rows_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "MAX_BATCHES", 4)
-    drawn = cluster.batch_rows(frame(spark, np.random.default_rng(0).normal(size=(3000, 3))), 50, 0)
-    assert 120 < drawn.count() < 290
+def test_batches_are_new_in_every_step_and_follow_the_seed(spark):
+    rows = spark.range(3000).withColumnRenamed("id", "row_id")
+    drawn = lambda step, seed: {
+        r.row_id: tuple(r.runs)
+        for r in rows.select("row_id", cluster.batch_of(step, 0.1, 2, seed).alias("runs")).where(F.size("runs") > 0).collect()
+    }
+    first, second = drawn(0, 0), drawn(1, 0)
+    for found in (first, second):
+        assert all(200 < sum(run in runs for runs in found.values()) < 400 for run in (0, 1))
+    assert first != second and first == drawn(0, 0)
+    assert {i for i, runs in first.items() if 1 in runs} == {i for i, runs in drawn(0, 1).items() if 0 in runs}
+
+
+def test_a_mini_batch_step_matches_numpy(spark, blobs):
+    x, _, df = blobs
+    found, steps, settled = cluster.fit_mini_batches(df, 3, 2, len(x), 4, steps=1)
+    assert steps == 1 and not settled
+    for run in range(2):
+        start = cluster.first_rows(df, 30, 4 + run)
+        centers = cluster.spread_centers(start, 3, np.random.default_rng(4 + run))
+        pick = cluster.squared_distances(x, centers).argmin(axis=1)
+        np.testing.assert_allclose(found[run], [x[pick == c].mean(axis=0) for c in range(3)], atol=1e-9)
 
 
 def test_mllib_kmeans(spark, blobs):

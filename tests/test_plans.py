@@ -2,10 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from embgauge.operators import probe
+from embgauge.operators import pairs, probe
 from embgauge.plans import classify, clustering, sts
 from embgauge.plans.sweep import Sweep
 from embgauge.sources.embeddings import write_embeddings
+from embgauge.sources.results import write_pair_scores
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +74,30 @@ def test_whitening_fitted_without_the_test_fold(spark, blobs):
     assert accuracy[None] == pytest.approx(np.mean([accuracy[f] for f in range(3)]), abs=0.01)
     with pytest.raises(ValueError):
         classify.evaluate_classification(df, "nb", ["pca"], quick, fit_on="half")
+
+
+def test_missing_gold_labels_or_sides_are_errors(spark, blobs):
+    _, _, df = blobs
+    rows = df.selectExpr("cast(row_id div 2 as bigint) pair_id", "cast(row_id % 2 + 1 as int) side", "embedding")
+    with pytest.raises(ValueError, match="gold scores do not match: 90 pairs, 50"):
+        sts.score_pairs(rows, gold(spark, "x").where("pair_id < 50"))
+    with pytest.raises(ValueError, match="do not match"):
+        sts.score_pairs(rows.where("not (pair_id = 1 and side = 2)"), gold(spark, "x"))
+    joined = pairs.join_sides(rows)
+    with pytest.raises(ValueError, match="labels do not match"):
+        pairs.labelled_pair_features(joined, labels(spark, "x").unionByName(labels(spark, "x").limit(1)))
+
+
+def test_other_settings_are_run_and_repeats_double_nothing(spark, store, tmp_path):
+    make = lambda k, fit_on: Sweep(
+        store, str(tmp_path / "r"), ["mr"], ["bert"], ["zca"], "nb", probe.ProbeSettings(k=k), fit_on=fit_on
+    )
+    folds = lambda found: {r.fold for r in found if r.metric == "accuracy"}
+    assert folds(classify.eval_classify(spark, make(3, "all")).collect()) == {0, 1, 2, None}
+    assert folds(classify.eval_classify(spark, make(4, "all")).collect()) == {0, 1, 2, 3, None}
+    assert len(spark.read.parquet(str(tmp_path / "r")).select("settings").distinct().collect()) == 2
+    scores = spark.range(5).selectExpr("'d' dataset", "'e' encoder", "'none' whitening", "id pair_id", "1D cos_sim", "1D score")
+    for _ in range(2):
+        write_pair_scores(scores, str(tmp_path / "p"))
+    write_pair_scores(scores.withColumn("whitening", F.lit("zca")), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 10
