@@ -25,7 +25,7 @@ from embgauge.llm import words
 
 SPACE = "▁"
 #: Bytes of text that one numpy step works on; words kept at a time; pairs whose compatibility is kept.
-BLOCK, MOST_WORDS, MOST_PAIRS = 2 << 20, 1 << 20, 1 << 21
+BLOCK, MOST_WORDS, MOST_PAIRS = 2 << 20, 1 << 20, 1 << 19
 NORMAL, BYTE = 1, 6
 SHIFT = 21
 

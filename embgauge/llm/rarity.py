@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Tokens share 2^18 counters by their leading bits, whatever the size of the corpus.
-BUCKET_BITS = 18
+#: Tokens share 2^16 counters by their leading bits, whatever the size of the corpus.
+BUCKET_BITS = 16
 
 
 class Counters:
