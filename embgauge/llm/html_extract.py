@@ -44,6 +44,9 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 
+#: Shares of a host's pages that meet its template apart from each other.
+SALTS = 32
+
 TOKENS = "host string, page long, path string, depth int, n int, chars long, main boolean"
 
 
@@ -224,6 +227,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows give a result row each. A host of one page is its own template. Of other columns none is read.
     """
     top = templates(equivalence_classes(pages, id_col, url_col, html_col))
-    rows = _named(pages, id_col, url_col, html_col).drop("page").join(top, "host", "left")
+    # a host with a third of the pages is dealt out over SALTS tasks
+    top = top.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = _named(pages, id_col, url_col, html_col).withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
+    rows = rows.join(top, ["host", "salt"], "left")
     kind = dict(rows.dtypes)["page_id"]
     return rows.select("page_id", "url", "html", "top").mapInArrow(_texts, f"page_id {kind}, url string, text string")
