@@ -57,13 +57,19 @@ def _lines(batch: pa.RecordBatch, n: int, wanted: np.ndarray | None = None):
         yield at, number.astype(np.int32), *words.distinct(tokens, row, len(at))
 
 
+#: Odd multipliers of fewer than 32 bits: products of 31-bit numbers with them stay within a long.
+SPREAD = 0x5E3779B1, 0x46EBCA77
+
+
 def place(ids, lines):
-    """A long for a line of a document, for filters; the same in ``place_column``."""
-    return ids ^ (lines.astype(np.int64) << 24)
+    """A long for a line of a document, for filters, with its bits spread; the same in ``place_column``."""
+    low = (ids ^ (ids.view(np.uint64) >> np.uint64(31)).view(np.int64)) & 0x7FFFFFFF
+    return low * SPREAD[0] ^ lines.astype(np.int64) * SPREAD[1]
 
 
 def place_column(ids, lines):
-    return F.col(ids).bitwiseXOR(F.shiftleft(F.col(lines).cast("long"), 24))
+    low = F.col(ids).bitwiseXOR(F.shiftrightunsigned(ids, 31)).bitwiseAND(F.lit(0x7FFFFFFF))
+    return (low * F.lit(SPREAD[0]).cast("long")).bitwiseXOR(F.col(lines).cast("long") * F.lit(SPREAD[1]).cast("long"))
 
 
 def _scan(n: int):
