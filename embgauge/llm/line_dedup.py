@@ -139,12 +139,18 @@ def _prefixes(n: int, num: int, den: int, level, wanted):
 
 
 def _fetch(texts: DataFrame, lines: DataFrame, kernel, schema: str) -> DataFrame:
-    """What ``kernel`` finds for each ``(id, line)`` of ``lines``, as column ``at`` and its own."""
+    """What ``kernel`` finds for each ``(id, line)`` of ``lines``: column ``at``, its own, and the others of ``lines``."""
     wanted = id_filter(lines.select(place_column("id", "line").alias("id")))
-    found = texts.mapInArrow(kernel(wanted), schema).join(lines, ["id", "line"], "left_semi")
+    found = texts.mapInArrow(kernel(wanted), schema).join(lines, ["id", "line"])
     return found.dropDuplicates(["id", "line"]).select(F.struct("id", "line").alias("at"), *found.columns[2:])
 
 
+def _first(*columns: str) -> list:
+    """The row of the smallest ``(id, line)`` of a group; one number orders it, so groups are hashed, not sorted."""
+    place = F.col("id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+    return [F.min_by(c, place).alias(c) for c in ("id", "line", *columns)]
+
+
 def kept_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
@@ -157,9 +163,9 @@ def kept_lines(
         rarity.levels(scan.where("bucket is not null").select("bucket", F.col("cnt").alias("n")))
     )
     sets = scan.where("bucket is null").groupBy("k1", "k2", "n").agg(
-        F.min(F.struct("id", "line")).alias("first"), F.first("m1").alias("m1"), F.first("m2").alias("m2")
+        *_first(), F.min("m1").alias("m1"), F.min("m2").alias("m2")
     )
-    sets = stored(sets.select("first", "n", "m1", "m2"))
+    sets = stored(sets.select(F.struct("id", "line").alias("first"), "n", "m1", "m2"))
     discard(scan)
     # smaller sets are similar to equal ones only
     large = sets.where(F.col("n") * (den - num) >= num)
@@ -170,11 +176,11 @@ def kept_lines(
 
     # every set against the earliest ones of its min-hashes, if their sizes are close
     slots = large.select("first", "n", F.explode(F.array("m1", "m2")).alias("least"))
-    hubs = slots.groupBy("least").agg(F.min(F.struct("first", "n")).alias("hub"), F.count("*").alias("held"))
-    m = F.col("hub.n")
-    close = (m * den >= F.col("n") * num) & (F.col("n") * den >= m * num) & (F.col("first") != F.col("hub.first"))
-    pairs = slots.join(hubs.where("held > 1"), "least").where(close)
-    pairs = stored(pairs.select("first", F.col("hub.first").alias("hub")).distinct())
+    hubs = slots.select("first.*", "n", "least").groupBy("least").agg(*_first("n"), F.count("*").alias("held"))
+    hubs = hubs.where("held > 1").select("least", F.struct("id", "line").alias("hub"), F.col("n").alias("m"))
+    m = F.col("m")
+    close = (m * den >= F.col("n") * num) & (F.col("n") * den >= m * num) & (F.col("first") != F.col("hub"))
+    pairs = stored(slots.join(hubs, "least").where(close).select("first", "hub").distinct())
     lines = pairs.select(F.explode(F.array("first", "hub")).alias("at")).select("at.*").distinct()
     held = stored(_fetch(texts, lines, lambda wanted: _token_rows(n, wanted), TOKENS))
     decided = (
@@ -189,9 +195,9 @@ def kept_lines(
 
     # undecided sets against all that can match them
     large = stored(large.join(decided, "first", "left").select("first", "n", F.coalesce("decided", F.lit(False)).alias("decided")))
-    lines = large.select("first.*")
+    lines = large.select("first.*", "n", "decided")
     rare = _fetch(texts, lines, lambda wanted: _prefixes(n, num, den, level, wanted), PREFIX)
-    rare = stored(rare.join(large, F.col("at") == F.col("first")).select("first", "n", "decided", "short", "tokens"))
+    rare = stored(rare.withColumnRenamed("at", "first").select("first", "n", "decided", "short", "tokens"))
     left = rare.where("not decided").select(
         F.posexplode("tokens").alias("i", "token"), F.col("first").alias("q"), F.col("n").alias("n")
     )
