@@ -23,7 +23,7 @@ from embgauge.llm.shared import discard, id_filter, may_hold, stored
 BLOCK = 4 << 20
 NEWLINE, BLANKS = 0x0A, " \t\n\x0b\x0c\r"
 
-LINES = "id long, line int, n int, k1 long, k2 long, m1 long, m2 long, bucket int, cnt long"
+LINES = "id long, line int, n int, k1 long, k2 long, m1 long, m2 long, token long, cnt long"
 TOKENS = "id long, line int, tokens array<long>"
 PREFIX = "id long, line int, short int, tokens array<long>"
 
@@ -73,26 +73,25 @@ def place_column(ids, lines):
 
 
 def _scan(n: int):
-    """All lines that have words, with what names their set and two min-hashes; then the rarity counters."""
+    """All lines that have words, with what names their set and two min-hashes; and the tokens that several lines
+    of a block hold."""
 
     def run(batches):
-        seen = rarity.Counters()
-        names = ["id", "line", "n", "k1", "k2", "m1", "m2", "bucket", "cnt"]
+        names = ["id", "line", "n", "k1", "k2", "m1", "m2", "token", "cnt"]
         for batch in batches:
             for ids, lines, tokens, at in _lines(batch, n):
-                seen.add(tokens)
+                token, cnt = rarity.repeats(tokens)
+                void = [pa.nulls(len(token), t) for t in (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4)]
+                yield pa.RecordBatch.from_arrays([*void, token, cnt], names=names)
                 full = np.flatnonzero(np.diff(at))
                 if not len(full):
                     continue
                 sums = [words.row_sums(words.mix(tokens ^ np.uint64(s)), at)[full] for s in (0x51, 0xA7)]
                 a, b = (np.minimum.reduceat(words.mix(tokens ^ np.uint64(s)), at[full]) for s in (0xB3, 0xC9))
-                none = pa.nulls(len(full), pa.int32()), pa.nulls(len(full), pa.int64())
+                none = [pa.nulls(len(full), pa.int64())] * 2
                 columns = [pa.array(ids[full]), pa.array(lines[full]), pa.array(np.diff(at)[full].astype(np.int32))]
                 columns += [words.signed(s) for s in (*sums, a, b)]
                 yield pa.RecordBatch.from_arrays([*columns, *none], names=names)
-        bucket, cnt = seen.rows()
-        void = [pa.nulls(len(bucket), t) for t in (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4)]
-        yield pa.RecordBatch.from_arrays([*void, bucket, cnt], names=names)
 
     return run
 
@@ -160,9 +159,9 @@ def kept_lines(
     texts = texts.where("id is not null")
     scan = stored(texts.mapInArrow(_scan(n), LINES))
     level = spark.sparkContext.broadcast(
-        rarity.levels(scan.where("bucket is not null").select("bucket", F.col("cnt").alias("n")))
+        rarity.repeat_levels(scan.where("token is not null").select("token", F.col("cnt").alias("n")))
     )
-    sets = scan.where("bucket is null").groupBy("k1", "k2", "n").agg(
+    sets = scan.where("token is null").groupBy("k1", "k2", "n").agg(
         *_first(), F.min("m1").alias("m1"), F.min("m2").alias("m2")
     )
     sets = stored(sets.select(F.struct("id", "line").alias("first"), "n", "m1", "m2"))
