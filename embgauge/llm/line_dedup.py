@@ -189,26 +189,35 @@ def kept_lines(
         .select("first", F.lit(True).alias("decided"))
         .distinct()
     )
-    decided = stored(decided)
-    discard(pairs, held)
+    state = stored(sets.join(decided, "first", "left").select("first", "n", F.coalesce("decided", F.lit(False)).alias("decided")))
+    discard(pairs, held, sets)
 
     # undecided sets against all that can match them
-    large = stored(large.join(decided, "first", "left").select("first", "n", F.coalesce("decided", F.lit(False)).alias("decided")))
+    large = state.where(F.col("n") * (den - num) >= num)
     lines = large.select("first.*", "n", "decided")
     rare = _fetch(texts, lines, lambda wanted: _prefixes(n, num, den, level, wanted), PREFIX)
     rare = stored(rare.withColumnRenamed("at", "first").select("first", "n", "decided", "short", "tokens"))
-    left = rare.where("not decided").select(
-        F.posexplode("tokens").alias("i", "token"), F.col("first").alias("q"), F.col("n").alias("n")
+    place = F.col("first.id"), F.col("first.line")
+    left = rare.where("not decided").select(F.posexplode("tokens").alias("i", "token"), *place, "n").toDF(
+        "i", "token", "q_id", "q_line", "n"
     )
     part = F.when(F.col("decided"), F.col("tokens")).otherwise(F.slice("tokens", 1, F.col("short")))
-    right = rare.select(F.posexplode(part).alias("j", "token"), F.col("first").alias("s"), F.col("n").alias("m"), "decided")
-    later = F.col("s") < F.col("q")
+    right = rare.select(F.posexplode(part).alias("j", "token"), *place, "n", "decided").toDF(
+        "j", "token", "s_id", "s_line", "m", "decided"
+    )
+    later = (F.col("s_id") < F.col("q_id")) | ((F.col("s_id") == F.col("q_id")) & (F.col("s_line") < F.col("q_line")))
     order = F.when(F.col("decided"), later).otherwise((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & later))
     close = (F.col("m") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("m") * num)
     follow = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     enough = follow * (num + den) >= (F.col("n") + F.col("m")) * num
-    pairs = stored(left.join(right, "token").where(close & enough & order).select("q", "s").distinct())
-    discard(rare, large)
+    pairs = left.join(right, "token").where(close & enough & order).select("q_id", "q_line", "s_id", "s_line").distinct()
+    pairs = stored(
+        pairs.select(
+            F.struct(F.col("q_id").alias("id"), F.col("q_line").alias("line")).alias("q"),
+            F.struct(F.col("s_id").alias("id"), F.col("s_line").alias("line")).alias("s"),
+        )
+    )
+    discard(rare)
     lines = pairs.select(F.explode(F.array("q", "s")).alias("at")).select("at.*").distinct()
     held = stored(_fetch(texts, lines, lambda wanted: _token_rows(n, wanted), TOKENS))
     found = (
@@ -217,8 +226,7 @@ def kept_lines(
         .where(similar("t1", "t2"))
         .select(F.greatest("q", "s").alias("first"))
     )
-    gone = decided.select("first").unionByName(found)
-    kept = sets.join(gone, "first", "left_anti")
+    kept = state.where("not decided").join(found, "first", "left_anti")
     return kept.groupBy(F.col("first.id").alias("id")).agg(F.collect_list("first.line").alias("lines"))
 
 
