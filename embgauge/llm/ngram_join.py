@@ -25,7 +25,7 @@ HASHES, SHARED = 4, 2
 #: Documents in a chunk of a group, about.
 CHUNK = 64
 
-PROFILE = "id long, n long, k1 long, k2 long, mins array<long>, bucket int, cnt long"
+PROFILE = "id long, n long, k1 long, k2 long, mins array<long>, token long, cnt long"
 TOKENS = "id long, tokens array<long>"
 PREFIX = "id long, n long, short int, tokens array<long>"
 
@@ -49,29 +49,24 @@ def _sets(batch: pa.RecordBatch, n: int):
 
 def _profiles(n: int):
     def run(batches):
-        seen = rarity.Counters()
+        names = ["id", "n", "k1", "k2", "mins", "token", "cnt"]
         seeds = np.random.default_rng(7).integers(0, 1 << 64, HASHES, dtype=np.uint64)
         for batch in batches:
             for ids, tokens, at in _sets(batch, n):
-                seen.add(tokens)
+                token, cnt = rarity.repeats(tokens)
+                void = [*[pa.nulls(len(token), pa.int64())] * 4, pa.nulls(len(token), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*void, token, cnt], names=names)
                 count, full = np.diff(at), np.flatnonzero(np.diff(at))
                 least = np.zeros((len(count), HASHES), np.uint64)
                 for j, seed in enumerate(seeds):
                     if len(full):
                         least[full, j] = np.minimum.reduceat(words.mix(tokens ^ seed), at[full])
                 sums = [words.row_sums(words.mix(tokens ^ s), at) for s in (np.uint64(0x51), np.uint64(0xA7))]
-                none = pa.nulls(len(count), pa.int32()), pa.nulls(len(count), pa.int64())
+                none = [pa.nulls(len(count), pa.int64())] * 2
                 mins = _lists(least.ravel(), np.arange(len(count) + 1) * HASHES)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(count), words.signed(sums[0]), words.signed(sums[1]), mins, *none],
-                    names=["id", "n", "k1", "k2", "mins", "bucket", "cnt"],
+                    [ids, pa.array(count), words.signed(sums[0]), words.signed(sums[1]), mins, *none], names=names
                 )
-        bucket, cnt = seen.rows()
-        void = [pa.nulls(len(bucket), pa.int64()) for _ in range(4)]
-        yield pa.RecordBatch.from_arrays(
-            [*void, pa.nulls(len(bucket), pa.list_(pa.int64())), bucket, cnt],
-            names=["id", "n", "k1", "k2", "mins", "bucket", "cnt"],
-        )
 
     return run
 
@@ -138,9 +133,9 @@ def jaccard_components(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = stored(texts.mapInArrow(_profiles(n), PROFILE))
     level = spark.sparkContext.broadcast(
-        rarity.levels(profile.where("bucket is not null").select("bucket", F.col("cnt").alias("n")))
+        rarity.repeat_levels(profile.where("token is not null").select("token", F.col("cnt").alias("n")))
     )
-    rows = profile.where("bucket is null").select("id", "n", "k1", "k2", "mins")
+    rows = profile.where("token is null").select("id", "n", "k1", "k2", "mins")
     sets = stored(
         rows.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("mins").alias("mins"))
     )

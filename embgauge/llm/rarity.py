@@ -1,4 +1,4 @@
-"""An order of hashed tokens by how many sets hold them, from counts over all rows in a table of fixed size."""
+"""An order of hashed tokens by how often they repeat, from counts over all rows in a table of fixed size."""
 
 from __future__ import annotations
 
@@ -6,32 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Tokens share 2^16 counters by their leading bits, whatever the size of the corpus.
-BUCKET_BITS = 16
-
-
-class Counters:
-    """Counts of one task; ``rows()`` has them as ``(bucket, n)``."""
-
-    def __init__(self):
-        self.counts = np.zeros(1 << BUCKET_BITS, np.int64)
-
-    def add(self, tokens: np.ndarray) -> None:
-        self.counts += np.bincount((tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(self.counts))
-
-    def rows(self) -> tuple[pa.Array, pa.Array]:
-        used = np.flatnonzero(self.counts)
-        return pa.array(used.astype(np.int32)), pa.array(self.counts[used])
-
-
-def levels(counters: DataFrame) -> np.ndarray:
-    """For each bucket a level of half octaves of its count over all tasks, one byte each."""
-    found = counters.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.ones(1 << BUCKET_BITS)
-    counts[found["bucket"].to_numpy()] = np.maximum(found["n"].to_numpy(), 1)
-    return np.minimum(np.floor(2 * np.log2(counts)), 63).astype(np.uint8)
-
-
 #: Size of the table of ``repeat_levels``, and how many tokens it marks at most.
 REPEAT_BITS, MARKED = 22, 1 << 18
 
