@@ -24,6 +24,8 @@ BLOCK = 4 << 20
 HASHES, SHARED = 4, 2
 #: Documents in a chunk of a group, about.
 CHUNK = 64
+#: Passes over the groups when they are opened; a pass has its share of the token sets in shuffles.
+PASSES = 4
 
 PROFILE = "id long, n long, k1 long, k2 long, mins array<long>, token long, cnt long"
 TOKENS = "id long, tokens array<long>"
@@ -190,20 +192,26 @@ def jaccard_components(
     held = stored(
         named.mapInArrow(_token_rows(n, id_filter(ids)), TOKENS).join(ids, "id", "left_semi").dropDuplicates(["id"])
     )
-    parts = member.join(held, F.col("rep") == F.col("id")).select("comp", "chunk", "rep", F.col("n").alias("m"), "tokens")
-    unions = parts.groupBy("comp", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    asked = open_.join(held.select(F.col("id").alias("q"), F.col("tokens").alias("sought")), "q")
-    opened = asked.join(unions, ["comp", "chunk"]).where(
-        F.size(F.array_intersect("sought", "union")) * den >= F.col("n") * num
-    )
-    found = (
-        opened.drop("union")
-        .join(parts, ["comp", "chunk"])
-        .where((F.col("m") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("m") * num))
-        .where(_similar(F.size(F.array_intersect("sought", "tokens")), F.col("n"), F.col("m"), F.lit(num), F.lit(den)))
-        .select(F.col("q").alias("a"), F.col("rep").alias("b"))
-    )
-    classes = components(stars.unionByName(found))
+    found = stars
+    for nth in range(PASSES):
+        turn = F.pmod(F.xxhash64("comp", "chunk"), F.lit(PASSES)) == nth
+        parts = member.where(turn).join(held, F.col("rep") == F.col("id"))
+        parts = parts.select("comp", "chunk", "rep", F.col("n").alias("m"), "tokens")
+        unions = parts.groupBy("comp", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
+        asked = open_.where(turn).join(held.select(F.col("id").alias("q"), F.col("tokens").alias("sought")), "q")
+        opened = asked.join(unions, ["comp", "chunk"]).where(
+            F.size(F.array_intersect("sought", "union")) * den >= F.col("n") * num
+        )
+        links = (
+            opened.drop("union")
+            .join(parts, ["comp", "chunk"])
+            .where((F.col("m") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("m") * num))
+            .where(_similar(F.size(F.array_intersect("sought", "tokens")), F.col("n"), F.col("m"), F.lit(num), F.lit(den)))
+            .select(F.col("q").alias("a"), F.col("rep").alias("b"))
+        )
+        found = found.unionByName(stored(links))
+    discard(open_, ids, held)
+    classes = components(found)
     final = sets.select("k1", "k2", "n", "rep").join(classes, F.col("rep") == F.col("node"), "left")
     final = final.select("k1", "k2", "n", F.coalesce("component", "rep").alias("linked"))
     out = rows.drop("mins").join(final, ["k1", "k2", "n"], "left")
