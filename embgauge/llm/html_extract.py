@@ -1,15 +1,18 @@
 """HTML extraction by equivalence classes of tokens across the pages of a host.
 
-A token is an element's opening tag in its role: its path of enclosing elements, with classes and ids. Tokens of
-one host that occur equally often on every page share an occurrence vector and form a class. Vectors are compared
-by order-free digests that Spark sums up by host and token, so no host is ever gathered. The class of tokens that
-stand exactly once on every page is the host's outer template; tokens of nested classes repeat inside its slots.
+A token is an element's opening tag in its role (its path of enclosing elements, with classes and ids) or a block of
+text in its place. Tokens of one host that occur equally often on every page share an occurrence vector and form a
+class. Vectors are compared by order-free digests that Spark sums up by host and token, so no host is ever gathered.
+Classes of two tokens or more that stand on nearly all pages are the host's template: its elements that stand once a
+page are its slots, its text is deducted. On a page the template's text is what stands there in the template's order.
 The slot that holds the article is the innermost template element with most of the host's text that is not
-menus, notices and the like; what stands in it on each page is extracted.
+menus, notices, template and the like; what stands in it on each page is extracted.
 """
 
+import hashlib
 import html
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -47,7 +50,13 @@ _WORD = re.compile(r"[A-Za-z]+")
 #: Shares of a host's pages that meet its template apart from each other.
 SALTS = 32
 
-TOKENS = "host string, page long, path string, depth int, n int, chars long, main boolean"
+#: A template's classes stand on this share of a host's pages, blank ones left out, and have this many tokens.
+FREQUENT = 0.9
+CLASS_LEAST = 2
+#: On fewer pages no text is taken for a template's.
+PAGES_LEAST = 3
+
+TOKENS = "host string, page long, path string, text long, depth int, n int, chars long, at int, main boolean"
 
 
 def _opened(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
@@ -111,18 +120,28 @@ def _is_main(path: str) -> bool:
     return re.match(r"[a-z0-9:-]*", path.rpartition("/")[2])[0] in MAIN
 
 
+def _text_token(path: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _counted(page: str) -> dict:
-    """For each path on the page that is not hidden: how often it opens, and how much text it holds."""
-    seen: dict[str, list] = {}
+    """For each ``(path, text)`` on the page that is not hidden: its depth, how often it stands there, how much text
+    it holds, and after how many blocks of text it comes first. Elements have no text, blocks of text a digest."""
+    seen: dict[tuple, list] = {}
+    at = 0
     for path, depth, hidden, text in blocks(page):
         if hidden:
             continue
         if text is None:
-            seen.setdefault(path, [depth, 0, 0])[1] += 1
+            seen.setdefault((path, None), [depth, 0, 0, at])[1] += 1
         else:
+            token = seen.setdefault((path, _text_token(path, text)), [depth, 0, 0, at])
+            token[1] += 1
+            token[2] += len(text)
+            at += 1
             while path:
-                if path in seen:
-                    seen[path][2] += len(text)
+                if (path, None) in seen:
+                    seen[path, None][2] += len(text)
                 path = path.rpartition("/")[0]
     return seen
 
@@ -131,18 +150,33 @@ def _tokens(batches):
     for batch in batches:
         out = []
         for host, page, text in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
-            for path, (depth, n, chars) in _counted(text or "").items():
-                out.append((host, page, path, depth, n, chars, _is_main(path)))
-        columns = list(zip(*out)) or [()] * 7
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+            for (path, token), (depth, n, chars, at) in _counted(text or "").items():
+                out.append((host, page, path, token, depth, n, chars, at, token is None and _is_main(path)))
+        columns = list(zip(*out)) or [()] * 9
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.int32()] * 2, pa.int64(), pa.int32(), pa.bool_()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds)],
-            names=["host", "page", "path", "depth", "n", "chars", "main"],
+            names=["host", "page", "path", "text", "depth", "n", "chars", "at", "main"],
         )
 
 
-def article(page: str, template: str | None) -> str:
-    """The blocks in the template's slot; on a page without that element, in its own article or all that is shown."""
+def _in_order(places: list[int]) -> set[int]:
+    """The members of a longest increasing run through ``places``."""
+    tails, ends, before = [], [], {}
+    for place in places:
+        k = bisect_left(tails, place)
+        before[place] = ends[k - 1] if k else None
+        tails[k:k + 1], ends[k:k + 1] = [place], [place]
+    run, at = set(), ends[-1] if ends else None
+    while at is not None:
+        run.add(at)
+        at = before[at]
+    return run
+
+
+def article(page: str, template: str | None, fixed: list[int] | None = None) -> str:
+    """The blocks in the template's slot less its text tokens ``fixed``; on a page without that element, in its own
+    article or all that is shown. A page with none but template text is all there is to tell, and keeps it."""
     shown = [(path, text) for path, _, hidden, text in blocks(page) if not hidden]
     opened = {path for path, text in shown if text is None}
     under = lambda path, top: path == top or path.startswith(top + "/")
@@ -151,12 +185,17 @@ def article(page: str, template: str | None) -> str:
     else:
         mains = sorted((p for p in opened if _is_main(p)), key=lambda p: p.count("/"))
         tops = [p for i, p in enumerate(mains) if not any(under(p, q) for q in mains[:i])] or [""]
-    return "\n".join(text for path, text in shown if text is not None and any(under(path, top) for top in tops))
+    said = [(_text_token(path, text) if fixed else 0, path, text) for path, text in shown if text is not None]
+    place = {token: i for i, token in enumerate(fixed or ())}
+    run = _in_order([place[token] for token in dict.fromkeys(token for token, _, _ in said) if token in place])
+    held = [(token, text) for token, path, text in said if any(under(path, top) for top in tops)]
+    own = [text for token, text in held if place.get(token) not in run]
+    return "\n".join(own or [text for _, text in held])
 
 
 def _texts(batches):
     for batch in batches:
-        out = [article(text or "", top) for text, top in zip(batch.column("html").to_pylist(), batch.column("top").to_pylist())]
+        out = [article(text or "", top, fixed) for text, top, fixed in zip(*(batch.column(c).to_pylist() for c in ("html", "top", "fixed")))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"]
         )
@@ -177,43 +216,64 @@ def _named(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 def equivalence_classes(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
-    """``(host, path, depth, chars, main, vector, support, pages, size, outer)``: tokens with their classes.
+    """``(host, path, text, depth, chars, main, support, most, least, at, vector, pages, size, outer)``: tokens with
+    their classes.
 
-    Tokens of a host with equal ``vector`` and ``support`` are one class of ``size`` tokens; ``outer`` marks the class
-    that stands once on each of the host's ``pages``. ``main`` marks article and main elements.
+    ``text`` is null for elements. Tokens of a host with equal ``vector`` and ``support`` are one class of ``size``
+    tokens. ``outer`` marks elements that stand once a page on ``FREQUENT`` of the host's ``pages``, blank ones left
+    out; ``main`` article and main elements. Blocks of text on fewer pages, or fewer than ``PAGES_LEAST``, are left out.
     """
     named = _named(pages, id_col, url_col, html_col).select("host", "page", "html")
-    tokens = named.mapInArrow(_tokens, TOKENS).groupBy("host", "path").agg(
+    tokens = named.mapInArrow(_tokens, TOKENS).groupBy("host", "path", "text").agg(
         F.first("depth").alias("depth"),
         F.first("main").alias("main"),
         F.sum("chars").alias("chars"),
         F.count("*").alias("support"),
         F.max("n").alias("most"),
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
+        F.min("n").alias("least"),
+        F.avg("at").alias("at"),
+        # a sum, as repeated rows would undo each other in bit_xor
+        F.try_sum(F.shiftright(F.xxhash64("page", "n"), 20)).alias("vector"),
     )
-    held = named.groupBy("host").agg(F.count("*").alias("pages"))
+    # nearly all blocks of text stand on one page; a host's are not gathered
+    tokens = tokens.where(F.col("text").isNull() | (F.col("support") >= PAGES_LEAST))
+    held = named.where(F.col("html").rlike(r"\S")).groupBy("host").agg(F.count("*").alias("pages"))
     tokens = tokens.join(held, "host")
+    frequent = F.col("support") >= F.col("pages") * FREQUENT
+    tokens = tokens.where(F.col("text").isNull() | frequent)
     size = F.count("*").over(Window.partitionBy("host", "vector", "support"))
-    outer = (F.col("support") == F.col("pages")) & (F.col("most") == 1)
-    return tokens.select("*", size.alias("size"), outer.alias("outer")).drop("most")
+    outer = F.col("text").isNull() & frequent & (F.col("most") == 1)
+    return tokens.select("*", size.alias("size"), outer.alias("outer"))
 
 
 def templates(classes: DataFrame, share: float = 0.5) -> DataFrame:
-    """``(host, top)``: the element of each host's outer class whose slot holds the article.
+    """``(host, top, fixed)``: the element of each host's template whose slot holds the article, and the text tokens
+    of the template in their order on pages.
 
     The article or main element with the most text if there is one, else the innermost element that holds
-    ``share`` or more of the text.
+    ``share`` or more of the text. Text of the template does not count, unless the host has no other.
     """
-    outer = classes.where("outer")
-    most = outer.groupBy("host").agg(F.max("chars").alias("all"))
-    fit = F.col("main") & (F.col("chars") > 0)
+    fixed = classes.where(F.col("text").isNotNull() & (F.col("size") >= CLASS_LEAST) & (F.col("most") == F.col("least")))
+    order = F.array_sort(F.collect_list(F.struct("at", "text")))
+    tokens = fixed.groupBy("host").agg(F.transform(order, lambda t: t["text"]).alias("fixed"))
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    deducted = fixed.select("host", F.explode(above).alias("path"), F.col("chars").alias("gone"))
+    deducted = deducted.groupBy("host", "path").agg(F.sum("gone").alias("gone"))
+    outer = classes.where("outer").join(deducted, ["host", "path"], "left")
+    outer = outer.withColumn("own", F.col("chars") - F.coalesce("gone", F.lit(0)))
+    most = outer.groupBy("host").agg(F.max("own").alias("all_own"), F.max("chars").alias("all_chars"))
+    left = F.col("all_own") > 0
+    outer = outer.join(most, "host").withColumn("held", F.when(left, F.col("own")).otherwise(F.col("chars")))
+    outer = outer.withColumn("all", F.when(left, F.col("all_own")).otherwise(F.col("all_chars")))
+    fit = F.col("main") & (F.col("held") > 0)
     order = F.struct(
         fit.alias("fit"),
-        F.when(fit, F.col("chars")).otherwise((F.col("chars") >= F.col("all") * share).cast("long")).alias("worth"),
+        F.when(fit, F.col("held")).otherwise((F.col("held") >= F.col("all") * share).cast("long")).alias("worth"),
         F.when(fit, -F.col("depth")).otherwise(F.col("depth")).alias("depth"),
         F.col("path"),
     )
-    return outer.join(most, "host").groupBy("host").agg(F.max_by("path", order).alias("top"))
+    return outer.groupBy("host").agg(F.max_by("path", order).alias("top")).join(tokens, "host", "full")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -221,7 +281,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     A block's character references are decoded and its white space is one space each, trimmed. Left out are
     elements that are menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles
-    or reader comments by their tag, class, id or role.
+    or reader comments by their tag, class, id or role, and whole blocks of text that the host's pages share as their
+    template.
 
     Null and empty pages have an empty text. Rows without a url, or whose url has no host, are one host. Repeated
     rows give a result row each. A host of one page is its own template. Of other columns none is read.
@@ -232,4 +293,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = _named(pages, id_col, url_col, html_col).withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
     rows = rows.join(top, ["host", "salt"], "left")
     kind = dict(rows.dtypes)["page_id"]
-    return rows.select("page_id", "url", "html", "top").mapInArrow(_texts, f"page_id {kind}, url string, text string")
+    return rows.select("page_id", "url", "html", "top", "fixed").mapInArrow(_texts, f"page_id {kind}, url string, text string")

@@ -322,6 +322,25 @@ def test_main_text(spark):
     assert any(r.main for r in outer) and len({(r.vector, r.support) for r in outer}) == 1
 
 
+def test_text_of_the_template_is_deducted(spark):
+    inside = "<main><div class=byline>Posted by the desk</div><p>Own text {i}, {i}.</p><p>Shared by few</p><div>Thanks for reading</div></main>"
+    plain = "<div class=top>Welcome to the site</div><div class=body><p>Own words {i}.<p>More of page {i}.</div><div class=end>All rights</div>"
+    late = "<div class=end>All rights</div><div class=top>Welcome to the site</div><div class=body><p>Own words 99.</div>"
+    rows = [(i, f"https://a.example/{i}", inside.format(i=i) if i < 12 else inside.format(i=i).replace("Shared by few", "x")) for i in range(30)]
+    rows += [(100 + i, f"https://b.example/{i}", f"<html><body>{plain.format(i=i)}</body></html>") for i in range(30)]
+    rows += [(200, "https://b.example/404", "<html><body><p>Gone</body></html>"), (201, "https://b.example/x", f"<html><body>{late}</body></html>")]
+    rows += [(300 + i, f"https://b.example/blank{i}", [None, "", " \n"][i % 3]) for i in range(20)]
+    rows += [(400 + i, f"https://c.example/{i}", f"<p>{t}") for i, t in enumerate(["Same", "Same"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    assert all(found[i] == f"Own text {i}, {i}.\n" + ("Shared by few" if i < 12 else "x") for i in range(30))
+    assert all(found[100 + i] == f"Own words {i}.\nMore of page {i}." for i in range(30))
+    assert found[200] == "Gone" and "Own words 99." in found[201]
+    assert all(found[300 + i] == "" for i in range(20)) and found[400] == found[401] == "Same"
+    classes = html_extract.equivalence_classes(pages).where("text is not null").collect()
+    assert len(classes) == 4 and all(r.size > 1 for r in classes)
+
+
 def test_given_pages_hold_their_article(spark):
     for r in queries.op10_html_extraction(spark, SF).collect():
         assert r.text and r.n_chars == len(r.text)
