@@ -5,7 +5,7 @@ text in its place. Tokens of one host that occur equally often on every page sha
 class. Vectors are compared by order-free digests that Spark sums up by host and token, so no host is ever gathered.
 Classes of two tokens or more that stand on nearly all pages are the host's template: its elements that stand once a
 page are its slots, its text is deducted. On a page the template's text is what stands there in the template's order.
-The slot that holds the article is the innermost template element with most of the host's text that is not
+The slot that holds the article is the innermost template element with all of the host's text that is not
 menus, notices, template and the like; what stands in it on each page is extracted.
 """
 
@@ -246,12 +246,12 @@ def equivalence_classes(
     return tokens.select("*", size.alias("size"), outer.alias("outer"))
 
 
-def templates(classes: DataFrame, share: float = 0.5) -> DataFrame:
+def templates(classes: DataFrame) -> DataFrame:
     """``(host, top, fixed)``: the element of each host's template whose slot holds the article, and the text tokens
     of the template in their order on pages.
 
     The article or main element with the most text if there is one, else the innermost element that holds
-    ``share`` or more of the text. Text of the template does not count, unless the host has no other.
+    all of the text. Text of the template does not count, unless the host has no other.
     """
     fixed = classes.where(F.col("text").isNotNull() & (F.col("size") >= CLASS_LEAST) & (F.col("most") == F.col("least")))
     order = F.array_sort(F.collect_list(F.struct("at", "text")))
@@ -269,7 +269,7 @@ def templates(classes: DataFrame, share: float = 0.5) -> DataFrame:
     fit = F.col("main") & (F.col("held") > 0)
     order = F.struct(
         fit.alias("fit"),
-        F.when(fit, F.col("held")).otherwise((F.col("held") >= F.col("all") * share).cast("long")).alias("worth"),
+        F.when(fit, F.col("held")).otherwise((F.col("held") == F.col("all")).cast("long")).alias("worth"),
         F.when(fit, -F.col("depth")).otherwise(F.col("depth")).alias("depth"),
         F.col("path"),
     )

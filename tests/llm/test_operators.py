@@ -341,6 +341,16 @@ def test_text_of_the_template_is_deducted(spark):
     assert len(classes) == 4 and all(r.size > 1 for r in classes)
 
 
+def test_an_article_in_two_elements_is_whole(spark):
+    body = "<div class=head>The site</div><div id=content><div class=lead><p>{a}</div><div class=story><p>{b}</div></div>"
+    rows = [(i, f"https://a.example/{i}", body.format(a=f"{i} lead" * 4, b=f"{i} tale" * 6)) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    assert all(found[i] == f"{i} lead" * 4 + "\n" + f"{i} tale" * 6 for i in range(6))
+    (host,) = html_extract.templates(html_extract.equivalence_classes(pages)).collect()
+    assert host.top == "/div.content" and len(host.fixed) == 1
+
+
 def test_given_pages_hold_their_article(spark):
     for r in queries.op10_html_extraction(spark, SF).collect():
         assert r.text and r.n_chars == len(r.text)
