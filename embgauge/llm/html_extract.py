@@ -21,15 +21,19 @@ from pyspark.sql.window import Window
 # HTML elements by what they mean for text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr math semantics annotation mrow mi mn mo ms mtext mspace mfrac "
+    "msqrt mroot mstyle mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable "
+    "mtr mtd".split()
 )
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th hr option col thead tbody tfoot caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
-    "head title script style noscript template iframe svg canvas object audio video math nav footer aside form "
+    "head title script style noscript template iframe svg canvas object audio video nav footer aside form "
     "button select textarea dialog menu datalist".split()
 )
 MAIN = frozenset("article main".split())
+#: Never hidden by their names.
+KEPT = MAIN | {"html", "body"}
 # Words of classes, ids and roles that name what is not the article.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo menu nav navbar navigation "
@@ -38,6 +42,12 @@ NAMES = frozenset(
     "disqus respond pagination pager widget toolbar login search complementary contentinfo".split()
 )
 OUTER_NAMES = frozenset("header masthead topbar".split())
+COMMENTS = frozenset("comment comments reply replies disqus respond".split())
+# Words that a class may add to these without naming something else.
+PLACES = frozenset(
+    "site main top bottom left right primary secondary global bar box block section inner list links item items "
+    "button buttons icons".split()
+)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template)\b.*?(?:</\1\s*>|\Z)"
@@ -45,7 +55,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_WORD = re.compile(r"(?<![A-Za-z0-9])([a-z]+)[0-9]*(?![A-Za-z0-9])|(?<![A-Za-z0-9])[a-z][a-z0-9]+", re.I)
 
 #: Shares of a host's pages that meet its template apart from each other.
 SALTS = 32
@@ -59,13 +69,50 @@ PAGES_LEAST = 3
 TOKENS = "host string, page long, path string, text long, depth int, n int, chars long, at int, main boolean"
 
 
-def _opened(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """An element's name in paths, and whether what it holds is not the article's."""
+def _names(token: str, names: frozenset) -> bool:
+    """Whether a class, id or role says nothing but one of ``names``: each of its words does, or tells where it is."""
+    words = {found[1] or found[0] for found in _WORD.finditer(token.lower())}
+    return bool(words & names) and words <= names | PLACES
+
+
+def _opened(tag: str, attributes: str, inside: bool) -> tuple[str, bool, str | None]:
+    """An element's name in paths, whether its tag tells that what it holds is not the article's, and whether its names
+    do: ``comments`` or ``other``."""
     names = _NAMED.findall(attributes) if "=" in attributes else ()
     role = tag + "".join("." + " ".join(sorted(set((a or b or c).split()))) for _, a, b, c in names)
-    said = {w.lower() for _, a, b, c in names for w in _WORD.findall(a or b or c)}
-    hidden = tag in HIDDEN or bool(said & NAMES) or not inside and (tag == "header" or bool(said & OUTER_NAMES))
-    return role, hidden
+    hidden = tag in HIDDEN or not inside and tag == "header"
+    said = [t for _, a, b, c in names for t in (a or b or c).split()] if tag not in KEPT else []
+    of = NAMES if inside else NAMES | OUTER_NAMES
+    named = [t for t in said if _names(t, of)]
+    return role, hidden, ("comments" if any(_names(t, COMMENTS) for t in named) else "other") if named else None
+
+
+def _hidden(elements: list[list], texts: list[tuple]) -> list[bool]:
+    """For each of ``(parent, tag, hidden by tag, named)`` whether what it holds is not the article's.
+
+    Names hide no element that holds an article or main element with text, nor one with most of the page's text, unless it is
+    reader comments; and none if nothing would be left.
+    """
+    by_tag, chars, mains = [], [0] * len(elements), [False] * len(elements)
+    for parent, _, off, _ in elements:
+        by_tag.append(off or parent >= 0 and by_tag[parent])
+    total = 0
+    for element, text in texts:
+        if element < 0:
+            total += len(text)
+        elif not by_tag[element]:
+            total += len(text)
+            chars[element] += len(text)
+    for i in range(len(elements) - 1, -1, -1):
+        parent, tag, _, _ = elements[i]
+        if parent >= 0:
+            chars[parent] += chars[i]
+            mains[parent] |= mains[i] or tag in MAIN and chars[i] > 0
+    out: list[bool] = []
+    for i, (parent, _, _, named) in enumerate(elements):
+        off = named is not None and not mains[i] and (named == "comments" or 2 * chars[i] <= total)
+        out.append(by_tag[i] or off or parent >= 0 and out[parent])
+    return out if any(element < 0 or not out[element] for element, _ in texts) else by_tag
 
 
 def blocks(page: str):
@@ -73,7 +120,9 @@ def blocks(page: str):
 
     The path has the enclosing elements; inline elements and those that end by themselves are not part of it.
     """
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, hidden, inside the article
+    stack: list[tuple[str, str, int, bool]] = []  # tag, path, element, inside the article
+    elements: list[list] = []
+    events: list[tuple] = []  # path, depth, element, text
     pieces: list[str] = []
     at = 0
 
@@ -81,8 +130,8 @@ def blocks(page: str):
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            tag, path, hidden, inside = stack[-1] if stack else ("", "", False, False)
-            yield path, len(stack), hidden, text
+            _, path, element, _ = stack[-1] if stack else ("", "", -1, False)
+            events.append((path, len(stack), element, text))
 
     for found in _TOKEN.finditer(page):
         if found.start() > at:
@@ -95,7 +144,7 @@ def blocks(page: str):
             if tag == "br":
                 pieces.append(" ")
             continue
-        yield from flush()
+        flush()
         if tag in LEAF or tag in VOID:
             continue
         if found[2]:
@@ -105,15 +154,19 @@ def blocks(page: str):
             if k >= 0:
                 del stack[k:]
             continue
-        _, path, hidden, inside = stack[-1] if stack else ("", "", False, False)
-        role, off = _opened(tag, found[4], inside)
-        stack.append((tag, f"{path}/{role}", hidden or off, inside or tag in MAIN))
-        yield stack[-1][1], len(stack), stack[-1][2], None
+        _, path, parent, inside = stack[-1] if stack else ("", "", -1, False)
+        role, off, named = _opened(tag, found[4], inside)
+        elements.append([parent, tag, off, named])
+        stack.append((tag, f"{path}/{role}", len(elements) - 1, inside or tag in MAIN))
+        events.append((stack[-1][1], len(stack), len(elements) - 1, None))
         if found[4].endswith("/") and tag not in MAIN:
             stack.pop()
     if at < len(page):
         pieces.append(html.unescape(page[at:]))
-    yield from flush()
+    flush()
+    hidden = _hidden(elements, [(element, text) for _, _, element, text in events if text is not None])
+    for path, depth, element, text in events:
+        yield path, depth, element >= 0 and hidden[element], text
 
 
 def _is_main(path: str) -> bool:

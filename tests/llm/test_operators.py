@@ -351,6 +351,23 @@ def test_an_article_in_two_elements_is_whole(spark):
     assert host.top == "/div.content" and len(host.fixed) == 1
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<body class='no-sidebar'><p>Kept</p></body>", "Kept"),
+    ("<body class='sidebar'><div class='main-nav'>Go</div><p>Kept words</p></body>", "Kept words"),
+    ("<article class='post comments-open'><p>Kept</p></article>", "Kept"),
+    ("<main id=comments><p>Kept</p></main>", "Kept"),
+    ("<div class='widget-area content'><p>Kept</p></div>", "Kept"),
+    ("<div id='search-page'><div class='alert-free'>Kept</div></div>", "Kept"),
+    ("<div class='right-sidebar'><article>Kept</article><p>Not it, but long</p></div>", "Kept"),
+    ("<div class='share'><p>Nearly all of the text.</p></div><p>Bit</p>", "Nearly all of the text.\nBit"),
+    ("<p>Text</p><div id=comments>Far more than the text by its readers</div><div class='ad ad-300x250'>Buy</div>", "Text"),
+    ("<p>Text of it</p><div class='cookie-notice box'>We use</div><div id='site-footer'>End</div><ul class=nav2>Go</ul>", "Text of it"),
+    ("<p>So <math><mi>x</mi><mo>=</mo><msup><mn>2</mn></msup></math> holds</p>", "So x=2 holds"),
+])
+def test_names_hide_no_article(page, text):
+    assert html_extract.article(page, None) == text
+
+
 def test_given_pages_hold_their_article(spark):
     for r in queries.op10_html_extraction(spark, SF).collect():
         assert r.text and r.n_chars == len(r.text)
