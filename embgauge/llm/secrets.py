@@ -2,8 +2,8 @@
 
 Base patterns find assignments, access keys and hexadecimal runs. Every found value and every other long mixed
 token is a candidate; candidates are counted by value over the whole corpus: how many repositories and owners hold
-it. A value that many owners hold is a copied example; one that a single owner holds looks live. Candidates
-without a base pattern become spans of their own if one owner alone holds them.
+it. A value that many owners or many repositories hold is a copied example; one that a single owner holds in few
+repositories looks live. Candidates without a base pattern become spans of their own if they look live.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -70,12 +70,16 @@ def scan(
     repository_col: str = "doc_id",
     owner_col: str = "source",
     copied_owners: int = 3,
+    copied_repositories: int = 10,
 ) -> DataFrame:
-    """``(id, n_assign, n_access, n_hex, n_owned, n_copied, n_live, base, spans)`` for every row of ``docs``.
+    """``(id, n_assign, n_access, n_hex, n_owned, n_copied, n_live, most_owners, most_repositories, base, spans)`` for
+    every row of ``docs``.
 
     ``base`` and ``spans`` list ``kind:start:stop`` in code points, stop exclusive, by start and then kind. ``spans``
-    has the base spans and ``owned`` ones: loose tokens outside them whose value one owner alone holds. ``n_copied``
-    counts spans whose value ``copied_owners`` owners or more hold, ``n_live`` those that one owner holds.
+    has the base spans and ``owned`` ones: loose tokens outside them whose value is live. ``n_copied`` counts spans, loose
+    tokens included, whose value ``copied_owners`` owners or more hold, or ``copied_repositories`` repositories or more;
+    ``n_live`` those that one owner holds in fewer repositories. ``most_owners`` and ``most_repositories`` are the
+    largest counts of any value of the row, 0 if it has none.
 
     Null and empty texts hold nothing. A null owner or repository is one of its own. Repeated rows count each in the
     result and once in the frequencies. A row with a null id gets its spans like any other. Of other columns none
@@ -117,10 +121,14 @@ def scan(
         F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories")
     )
     spans = found.select("row", F.explode(F.concat("base", "loose")).alias("s")).select("row", "s", F.col("s.value").alias("value"))
+    copied = (F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)
+    live = (F.col("owners") == 1) & (F.col("repositories") < copied_repositories)
     judged = spans.join(held, "value").groupBy("row").agg(
-        F.collect_list(F.when((F.col("s.order") == 3) & (F.col("owners") == 1), F.col("s"))).alias("owned"),
-        F.count_if(F.col("owners") >= copied_owners).alias("n_copied"),
-        F.count_if(F.col("owners") == 1).alias("n_live"),
+        F.collect_list(F.when((F.col("s.order") == 3) & live, F.col("s"))).alias("owned"),
+        F.count_if(copied).alias("n_copied"),
+        F.count_if(live).alias("n_live"),
+        F.max("owners").alias("most_owners"),
+        F.max("repositories").alias("most_repositories"),
     )
     out = found.join(judged, "row", "left")
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -130,7 +138,7 @@ def scan(
         *[n(k) for k in KINDS[:3]],
         F.size(owned).cast("long").alias("n_owned"),
         F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "most_owners", "most_repositories")],
         _joined(F.col("base")).alias("base"),
         _joined(F.concat("base", owned)).alias("spans"),
     )

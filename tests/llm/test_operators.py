@@ -157,6 +157,19 @@ def test_secret_spans_and_ownership(spark, docs, empty):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_a_value_in_many_documents_of_one_source_is_copied(spark):
+    loose, example, few = "Qx7" * 9, "AKIA" + "EXAMPLE0" * 2, "AKIA" + "FEWTIMES" * 2
+    rows = [(i, f"{loose} {example}", "hot") for i in range(12)] + [(20 + i, f"see {few} {few}", "hot") for i in range(2)]
+    found = {r.id: r for r in secrets.scan(table(spark, [*rows, rows[0], (30, "none", "hot")])).collect()}
+    for i in range(12):
+        assert (found[i].n_copied, found[i].n_live, found[i].n_owned) == (2, 0, 0) and "owned" not in found[i].spans
+        assert (found[i].most_owners, found[i].most_repositories) == (1, 12)
+    assert (found[20].n_copied, found[20].n_live, found[20].most_repositories) == (0, 2, 2)
+    assert (found[30].most_owners, found[30].most_repositories) == (0, 0)
+    single = {r.id: r for r in secrets.scan(table(spark, rows), copied_repositories=13).collect()}
+    assert (single[0].n_copied, single[0].n_live, single[0].n_owned) == (0, 2, 1)
+
+
 def test_sharding_is_even_and_moves_little(spark, docs, empty):
     names = [f"n{i}" for i in range(12)]
     full, less = sharding.lookup_table(names, 1009), sharding.lookup_table(names[:-1], 1009)
