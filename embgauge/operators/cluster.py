@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -11,14 +14,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from embgauge.functions.kernels import share, to_lists, to_matrix
 from embgauge.functions.vectors import as_doubles, sum_vector
 from embgauge.operators.folds import shuffle_key
+from embgauge.session import cache_scope, keep
 
 # Runs per setting, and batch sizes for raw and whitened vectors.
 RUNS = 5
 BATCH_RAW = 500
 BATCH_WHITENED = 5000
 
-# Steps of a run, if it does not settle before; rows for the start centers, per center.
-STEPS = 20
+# Passes over the table, if the centers do not settle before; rows for the start centers, per center.
+PASSES = 100
 START_ROWS = 10
 
 
@@ -112,11 +116,25 @@ def spread_centers(x: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarr
     return np.array(centers)
 
 
+def steps_of_a_pass(share: float) -> int:
+    return max(math.ceil(1 / share - 1e-9), 1)
+
+
+def batch_numbers(turn: int, steps: int, runs: int, seed: int, key: str = "row_id"):
+    """For each run the step, of ``steps``, in which a row is part of the batch: a hash of seed, pass and key."""
+    digest = lambda run: F.md5(F.concat_ws(":", F.lit(str(run + seed)), F.lit(str(turn)), F.col(key).cast("string")))
+    number = lambda run: F.conv(F.substring(digest(run), 1, 8), 16, 10).cast("bigint") % steps
+    return F.array(*[number(run).cast("int") for run in range(runs)])
+
+
+def runs_at(numbers, step: int, runs: int):
+    return F.filter(F.array(*[F.lit(r) for r in range(runs)]), lambda run: F.get(numbers, run) == step)
+
+
 def batch_of(step: int, share: float, runs: int, seed: int, key: str = "row_id"):
-    """The runs whose batch of this step a row belongs to: a hash of seed, step and key below ``share``."""
-    limit = "g" if share >= 1 else format(int(share * 16**8), "08x")
-    digest = lambda run: F.md5(F.concat_ws(":", (run + seed).cast("string"), F.lit(str(step)), F.col(key).cast("string")))
-    return F.filter(F.array(*[F.lit(r) for r in range(runs)]), lambda run: F.substring(digest(run), 1, 8) < limit)
+    """The runs whose batch of this step a row belongs to. A row is in one batch of each pass."""
+    steps = steps_of_a_pass(share)
+    return runs_at(batch_numbers(step // steps, steps, runs, seed, key), step % steps, runs)
 
 
 def batch_sums(rows: DataFrame, centers: np.ndarray) -> list:
@@ -153,16 +171,18 @@ def fit_mini_batches(
     runs: int,
     batch_size: int,
     seed: int,
-    steps: int = STEPS,
+    steps: int | None = None,
     tolerance: float = 1e-4,
     key: str = "row_id",
     column: str = "embedding",
+    passes: int = PASSES,
 ) -> tuple[np.ndarray, int, bool]:
-    """Centers (runs x k x d), the number of steps, and whether the last one moved them less than ``tolerance``.
+    """Centers (runs x k x d), the number of steps, and whether the last pass moved them less than ``tolerance``.
 
-    Start centers come from the ``START_ROWS * k`` rows that are first in a run's hash order. A step draws a
-    new batch of about ``batch_size`` rows for each run from the whole table, in one scan for all runs, and
-    moves every center by the batch's share of the rows it has seen.
+    Start centers come from the ``START_ROWS * k`` rows that are first in a run's hash order. A pass deals all rows
+    into batches of about ``batch_size``, anew for each pass and run. A step takes one batch of every run, in one scan
+    for all runs, and moves every center by the batch's share of the rows it has seen. Passes go on until one of them
+    moves no center by ``tolerance``, or for ``passes``; ``steps`` ends them earlier.
     """
     n = df.count()
     if n < k:
@@ -171,23 +191,35 @@ def fit_mini_batches(
     centers = np.stack([spread_centers(x, k, np.random.default_rng(seed + run)) for run, x in enumerate(start)])
     width, seen = centers.shape[2], np.zeros(runs * k)
     scale = max(float(np.concatenate(start).var(axis=0).sum()), 1e-300)
-    for step in range(steps):
-        rows = df.select(F.col(column).alias("v"), batch_of(step, batch_size / n, runs, seed, key).alias("runs"))
-        moved = centers.reshape(runs * k, width).copy()
-        for row in batch_sums(rows.where(F.size("runs") > 0), centers):
-            c = row["c"]
-            seen[c] += row["n"]
-            moved[c] += (np.asarray(row["s"]) - row["n"] * moved[c]) / seen[c]
-        shift = ((moved - centers.reshape(runs * k, width)) ** 2).sum(axis=1).max() / scale
-        centers = moved.reshape(runs, k, width)
-        if shift < tolerance:
-            return centers, step + 1, True
-    return centers, steps, False
+    per_pass, done = steps_of_a_pass(batch_size / n), 0
+    for turn in range(passes):
+        before = centers
+        with cache_scope():
+            # dealt once a pass: a step compares numbers only
+            dealt = keep(df.select(F.col(column).alias("v"), batch_numbers(turn, per_pass, runs, seed, key).alias("at")))
+            for step in range(per_pass):
+                if done == steps:
+                    return centers, done, False
+                rows = dealt.select("v", runs_at(F.col("at"), step, runs).alias("runs"))
+                moved = centers.reshape(runs * k, width).copy()
+                for row in batch_sums(rows.where(F.size("runs") > 0), centers):
+                    c = row["c"]
+                    seen[c] += row["n"]
+                    moved[c] += (np.asarray(row["s"]) - row["n"] * moved[c]) / seen[c]
+                centers, done = moved.reshape(runs, k, width), done + 1
+        if ((centers - before) ** 2).sum(axis=2).max() / scale < tolerance:
+            return centers, done, True
+    return centers, done, False
 
 
 def mini_batch_kmeans(
     df: DataFrame, k: int, runs: int = RUNS, batch_size: int = BATCH_RAW, seed: int = 0, column: str = "embedding"
 ) -> DataFrame:
-    """Add ``clusters``: one mini-batch clustering per run, seeds ``seed .. seed + runs - 1``; one scan per step."""
-    centers, _, _ = fit_mini_batches(df, k, runs, batch_size, seed, column=column)
+    """Add ``clusters``: one mini-batch clustering per run, seeds ``seed .. seed + runs - 1``; one scan per step.
+
+    Centers that have not settled after ``PASSES`` are a warning.
+    """
+    centers, steps, converged = fit_mini_batches(df, k, runs, batch_size, seed, column=column)
+    if not converged:
+        warnings.warn(f"mini-batch k-means has not settled after {steps} steps", RuntimeWarning, stacklevel=2)
     return assign(df, centers, column)

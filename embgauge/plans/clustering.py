@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embgauge.operators.cluster import BATCH_RAW, BATCH_WHITENED, RUNS, mini_batch_kmeans
+from embgauge.operators.cluster import BATCH_RAW, BATCH_WHITENED, RUNS, assign, fit_mini_batches
 from embgauge.operators.moments import moments
 from embgauge.operators.probe import classes_of
 from embgauge.operators.silhouette import silhouette
@@ -14,7 +14,8 @@ from embgauge.session import cache_scope, keep
 
 
 def evaluate_clustering(rows: DataFrame, methods: list = (NONE, *METHODS), runs: int = RUNS, seed: int = 0) -> DataFrame:
-    """``(whitening, metric, fold, value)``: silhouette per run (``fold`` = run) and its mean.
+    """``(whitening, metric, fold, value)``: silhouette per run (``fold`` = run) and its mean, the ``steps`` that the
+    runs took, and whether their centers ``converged`` (1 or 0).
 
     As many clusters as classes. The runs of one method share the assigning scan and the
     distances. Values are percentages with two places.
@@ -25,18 +26,19 @@ def evaluate_clustering(rows: DataFrame, methods: list = (NONE, *METHODS), runs:
         whole = moments(base) if any(m != NONE for m in methods) else None
         parts = [row for m in methods for row in _runs_of(base, whole, m, k, runs, seed)]
     found = rows.sparkSession.createDataFrame(parts, "whitening string, metric string, fold int, value double")
-    means = found.groupBy("whitening", "metric").agg(F.bround(F.avg("value"), 2).alias("value"))
+    means = found.where("metric = 'silhouette'").groupBy("whitening", "metric").agg(F.bround(F.avg("value"), 2).alias("value"))
     return found.unionByName(means.withColumn("fold", F.lit(None).cast("int")))
 
 
 def _runs_of(base: DataFrame, whole, method: str, k: int, runs: int, seed: int) -> list:
-    """Silhouette of every run of one method."""
+    """Silhouette of every run of one method, and how its fit ended."""
     mapped = base if method == NONE else whiten(base, [solve_whitening(whole, method)]).drop("whitening")
     batch = BATCH_RAW if method == NONE else BATCH_WHITENED
     with cache_scope():
-        clustered = keep(mini_batch_kmeans(mapped, k, runs, batch, seed))
-        scores = silhouette(clustered).collect()
-    return [(method, "silhouette", r["run"], round(100 * r["silhouette"], 2)) for r in scores]
+        centers, steps, converged = fit_mini_batches(mapped, k, runs, batch, seed)
+        scores = silhouette(keep(assign(mapped, centers))).collect()
+    ended = [(method, "steps", None, float(steps)), (method, "converged", None, float(converged))]
+    return [(method, "silhouette", r["run"], round(100 * r["silhouette"], 2)) for r in scores] + ended
 
 
 def eval_cluster(spark: SparkSession, sweep: Sweep) -> DataFrame:

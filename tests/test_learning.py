@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from embgauge.functions import kernels
 from embgauge.operators import cluster, folds, metrics, probe, silhouette
+from embgauge.plans.clustering import evaluate_clustering
 
 # ------------------------------------------------------------------ folds
 
@@ -280,6 +281,22 @@ def test_a_mini_batch_step_matches_numpy(spark, blobs):
         np.testing.assert_allclose(found[run], [x[pick == c].mean(axis=0) for c in range(3)], atol=1e-9)
 
 
+def test_a_pass_takes_every_row_once_and_passes_go_on_until_settled(spark, blobs):
+    x, _, df = blobs
+    rows = spark.range(1000).withColumnRenamed("id", "row_id")
+    for turn in range(2):
+        steps = range(turn * 7, turn * 7 + 7)
+        found = rows.select(F.explode(F.flatten(F.array(*[cluster.batch_of(s, 0.15, 2, 3) for s in steps]))).alias("run"))
+        drawn = rows.select("row_id", F.concat(*[cluster.batch_of(s, 0.15, 2, 3) for s in steps]).alias("runs"))
+        assert found.count() == 2000 and drawn.where(F.array_sort("runs") != F.array(F.lit(0), F.lit(1))).count() == 0
+    _, steps, settled = cluster.fit_mini_batches(df, 3, 2, 10, 1)
+    assert settled and steps >= 36 and steps % 18 == 0
+    assert cluster.fit_mini_batches(df, 3, 2, 60, 1, tolerance=0.0, passes=2)[1:] == (6, False)
+    found = evaluate_clustering(df, ["none"], runs=2).where("metric <> 'silhouette'").collect()
+    ended = {r.metric: r.value for r in found}
+    assert ended["converged"] == 1 and ended["steps"] >= 2 and all(r.fold is None for r in found)
+
+
 def test_mllib_kmeans(spark, blobs):
     _, labels, df = blobs
     found = cluster.kmeans(df, 3, seed=1).withColumn("clusters", F.array("cluster"))
