@@ -37,8 +37,8 @@ PROMPT = 'Sentence: "{text}" means in one word:'
 # ------------------------------------------------------------------ sources and text
 
 
-def src_dataset(spark, sf):
-    rows = t.labelled_documents(spark, sf)
+def src_dataset(spark, sf, documents=t.labelled_documents):
+    rows = documents(spark, sf)
     return rows.select("dataset", "split", "row_id", F.md5("text").alias("text_md5"), "label")
 
 
@@ -54,14 +54,14 @@ def src_embeddings(spark, sf):
     )
 
 
-def src_union_splits(spark, sf):
-    rows = t.labelled_documents(spark, sf)
+def src_union_splits(spark, sf, documents=t.labelled_documents):
+    rows = documents(spark, sf)
     stacked = rows.where(F.col("split") == "train").unionByName(rows.where(F.col("split") == "test"))
     return stacked.groupBy("split", "label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-def contract(spark, sf):
-    raw = t.labelled_documents(spark, sf).select(
+def contract(spark, sf, documents=t.labelled_documents):
+    raw = documents(spark, sf).select(
         "row_id", F.col("label").cast("string").alias("label"), F.col("text").alias("SMILES")
     )
     return apply_contract(raw).select("row_id", F.md5("text").alias("text_md5"), "label")
@@ -75,7 +75,12 @@ def assemble(spark, sf):
 
 def class_count(spark, sf):
     counted = lambda name, rows: probe.class_count(rows).select(F.lit(name).alias("dataset"), "n_classes")
-    return counted("vectors", t.vectors(spark, sf)).unionByName(counted("docs", t.labelled_documents(spark, sf)))
+    return counted("vectors", t.vectors(spark, sf)).unionByName(counted("docs", t.all_documents(spark, sf)))
+
+
+def _of_all(query):
+    """The query over every document, with and without a label."""
+    return lambda spark, sf: query(spark, sf, t.all_documents)
 
 
 def text_clean(spark, sf):
@@ -216,9 +221,9 @@ def _whitened(method):
     return query
 
 
-def dewhiten(spark, sf):
+def dewhiten(spark, sf, methods=("pca", "zca", "pca_cor", "zca_cor")):
     rows = t.vectors(spark, sf).select("row_id", "embedding")
-    models = whiten.fit_whitening(rows, ["pca", "zca", "pca_cor", "zca_cor"])
+    models = whiten.fit_whitening(rows, list(methods))
     back = [whiten.dewhiten(whiten.whiten(rows, [m]), [m]) for m in models]
     stacked = back[0]
     for frame in back[1:]:
@@ -226,6 +231,10 @@ def dewhiten(spark, sf):
     return t.entries(stacked, "whitening", "row_id")
 
 
+def dewhiten_cholesky(spark, sf):
+    return dewhiten(spark, sf, ["cholesky"])
+
+
 def sts_whitened(spark, sf):
     scores = score_pairs(t.sides(spark, sf), t.gold(spark, sf), whiten.METHODS)
     return scores.select("pair_id", label_of("whitening").alias("whitening"), at_places(F.col("cos_sim")).alias("cos_sim"))
@@ -424,7 +433,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         src_dataset, src_embeddings, src_union_splits, contract, assemble, class_count, text_clean, prompt, truncate,
         sts_pairs, pair_labels, sts_scores, pairwise_l2, pair_features, pair_integrity,
         center, dim_mean, dim_std, cov, cor_matrix, isoscore, isoscore_whitened, anisotropy, pearson, spearman,
-        dewhiten, sts_whitened, eval_sts, pca2d,
+        dewhiten, dewhiten_cholesky, sts_whitened, eval_sts, pca2d,
         pool_mean, pool_masked, pool_layer, pool_range, pool_pair, pool_last, encode_hash, encode_job, encode_w2v,
         stratified_folds, nested_folds, holdout, clf_nb, accuracy, f1_weighted, confusion, rocauc_weighted,
         fold_summary, best_reg, standardize, nested_cv, eval_classify, eval_classify_nb, eval_classify_whitened,
@@ -432,6 +441,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         kmeans_lloyd, kmeans, kmeans_runs, eval_cluster,
     ]
     named = {f.__name__: f for f in plain}
+    named |= {f"{f.__name__}_all": _of_all(f) for f in (src_dataset, src_union_splits, contract)}
     named |= {"cosine": cosine_query, "silhouette": silhouette_query}
     named |= {f"whiten_{m}": _whitened(m) for m in whiten.METHODS}
     named |= {f"clf_{c}": _probed(c) for c in ("softmax", "mlp", "lr", "svm", "rf")}

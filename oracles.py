@@ -11,6 +11,7 @@ p AS (SELECT a.pair_id, a.e AS e1, b.e AS e2, 5e0 - abs(a.label - b.label) * 5e0
 DOCS = """d AS (SELECT d.doc_id AS row_id, d.text, l.quality AS label,
   CASE WHEN substr(md5(d.doc_id::VARCHAR), 32, 1) IN ('0','1','2') THEN 'test' ELSE 'train' END AS split
   FROM documents d JOIN labels l USING (doc_id))"""
+ALL_DOCS = DOCS.replace("documents d JOIN", "documents d LEFT JOIN")
 COV = """cv AS (SELECT a.dim AS i, b.dim AS j, covar_samp(a.v, b.v) AS v
   FROM l a JOIN l b USING (row_id) GROUP BY ALL),
 mu AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS s FROM l GROUP BY dim),
@@ -373,6 +374,10 @@ def sql() -> dict[str, str]:
         "sts_whitened": WHITENED_PAIRS + f"SELECT pair_id, whitening, {r6('cos_sim')} AS cos_sim FROM cs WHERE whitening <> 'none'",
         "dewhiten": base + f"""SELECT whitening, row_id, dim, {r6('v')} AS value
             FROM l, (SELECT unnest(['pca', 'zca', 'pca_cor', 'zca_cor']) AS whitening)""",
+        "src_dataset_all": with_(ALL_DOCS) + "SELECT 'docs' AS dataset, split, row_id, md5(text) AS text_md5, label FROM d",
+        "src_union_splits_all": with_(ALL_DOCS) + """SELECT split, label, count(*) AS n, sum(length(text))::BIGINT AS chars
+            FROM d GROUP BY ALL""",
+        "contract_all": with_(ALL_DOCS) + "SELECT row_id, md5(text) AS text_md5, label FROM d",
         "pca2d": PCA,
         "standardize": moments + f"SELECT row_id, dim, {r6('(v - m) / s')} AS value FROM l JOIN mu USING (dim)",
         "truncate": with_(TOKENS) + """SELECT row_id, count(*) AS n_tokens, sum(length(token))::BIGINT AS chars,

@@ -46,8 +46,17 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
     """``(dataset, split, row_id, text, label)``: documents that have a quality label."""
+    return _with_labels(spark, sf, "inner")
+
+
+def all_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """``(dataset, split, row_id, text, label)`` of every document; the label is null where there is none."""
+    return _with_labels(spark, sf, "left")
+
+
+def _with_labels(spark: SparkSession, sf: str, how: str) -> DataFrame:
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
-    rows = read_dataset(spark, "docs", catalogue(sf)).join(labels, "row_id")
+    rows = read_dataset(spark, "docs", catalogue(sf)).join(labels, "row_id", how)
     last = F.substring(F.md5(F.col("row_id").cast("string")), 32, 1)
     return rows.withColumn("split", F.when(last.isin("0", "1", "2"), "test").otherwise("train")).select(
         "dataset", "split", "row_id", "text", "label"
