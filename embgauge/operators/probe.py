@@ -221,7 +221,8 @@ class ProbeSettings:
     k: int = 5
     seed: int = 0
     l2_grid: tuple = tuple(L2_GRID)
-    max_iter: int = 100
+    max_iter: int = 5000
+    mlp_iter: int = 100
     hidden: int = 32
     trees: int = FOREST_TREES
     depth: int = 20
@@ -241,7 +242,7 @@ def _estimator(name: str, rows: int, width: int, n_classes: int, s: ProbeSetting
         return LogisticRegression(regParam=1.0 / rows, standardization=False, maxIter=s.max_iter, **common)
     if name == "mlp":
         return MultilayerPerceptronClassifier(
-            layers=[width, s.hidden, n_classes], seed=s.seed, maxIter=s.max_iter, **common
+            layers=[width, s.hidden, n_classes], seed=s.seed, maxIter=min(s.max_iter, s.mlp_iter), **common
         )
     if name == "svm":
         svc = LinearSVC(regParam=1.0 / rows, standardization=False, maxIter=s.svm_iter, **common)
@@ -253,6 +254,25 @@ def _estimator(name: str, rows: int, width: int, n_classes: int, s: ProbeSetting
     raise ValueError(f"unknown classifier {name!r}")
 
 
+def fit_ends(model, s: ProbeSettings) -> tuple[int, bool]:
+    """The iterations of a fit, the most of its parts, and whether it ended by its tolerance. For a forest: the deepest
+    tree's depth, and whether none was stopped by the limit."""
+    if hasattr(model, "trees"):
+        deepest = max(tree.depth for tree in model.trees)
+        return deepest, deepest < s.depth
+    ends = []
+    for part in getattr(model, "models", [model]):
+        summary = part.summary() if callable(part.summary) else part.summary
+        ends.append((summary.totalIterations, summary.totalIterations < part.getMaxIter()))
+    return max(n for n, _ in ends), all(settled for _, settled in ends)
+
+
+def _end_rows(fold: int, ends: list[tuple[int, bool]]) -> list[tuple]:
+    """Result rows on how the fits of a fold ended: the most iterations, and 1 if all of them converged, else 0."""
+    most, settled = max(n for n, _ in ends), all(done for _, done in ends)
+    return [(fold, "iterations", float(most)), (fold, "converged", float(settled))]
+
+
 def _table(df: DataFrame, classes: list, vectors: list) -> DataFrame:
     """Cached ML table with class positions as labels and the vector columns a classifier reads."""
     position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
@@ -282,7 +302,7 @@ def _in_threads(work, items, threads: int) -> list:
 
 
 def grid_scores(table: DataFrame, outer: list[int], estimator, s: ProbeSettings) -> dict:
-    """Mean inner-fold accuracy (percent, two places) of each L2 setting, per outer fold.
+    """Mean inner-fold accuracy (percent, two places) of each L2 setting, per outer fold, and how the fits ended.
 
     All (outer fold, setting, inner fold) fits are independent jobs over the cached table and run
     side by side.
@@ -293,21 +313,23 @@ def grid_scores(table: DataFrame, outer: list[int], estimator, s: ProbeSettings)
         at = F.col("inner")[held_out]
         model = estimator.copy({estimator.regParam: reg}).fit(table.where(at != inner))
         hit = F.avg((F.col("prediction") == F.col("label_ix")).cast("int"))
-        return model.transform(table.where(at == inner)).agg(hit).first()[0]
+        return model.transform(table.where(at == inner)).agg(hit).first()[0], fit_ends(model, s)
 
     tasks = [(o, reg, i) for o in outer for reg in s.l2_grid for i in range(s.k)]
     found = dict(zip(tasks, _in_threads(score, tasks, s.parallelism)))
 
     def mean(held_out, reg):
-        scored = [v for i in range(s.k) if (v := found[(held_out, reg, i)]) is not None]
+        scored = [v for i in range(s.k) if (v := found[(held_out, reg, i)][0]) is not None]
         return round(100 * float(np.mean(scored)), 2)
 
-    return {o: [mean(o, reg) for reg in s.l2_grid] for o in outer}
+    ends = lambda held_out: [found[(held_out, reg, i)][1] for reg in s.l2_grid for i in range(s.k)]
+    return {o: ([mean(o, reg) for reg in s.l2_grid], ends(o)) for o in outer}
 
 
 @dataclass
 class ProbeResult:
-    """Out-of-fold predictions, and for the tuned classifier its settings and dev figures per fold."""
+    """Out-of-fold predictions, how the fits of each fold ended, and for the tuned classifier its settings and dev
+    figures per fold."""
 
     predictions: DataFrame
     classes: list
@@ -330,7 +352,7 @@ class ProbeResult:
             tuned = spark.createDataFrame(self.tuning, "fold int, metric string, value double")
             long = long.unionByName(tuned)
         long = fetched(long)
-        mean = metrics.fold_summary(long.where(F.col("metric") != "best_l2"), ["metric"])
+        mean = metrics.fold_summary(long.where(~F.col("metric").isin("best_l2", "iterations", "converged")), ["metric"])
         return long.unionByName(mean.withColumn("fold", F.lit(None).cast("int")))
 
 
@@ -386,8 +408,9 @@ def probe(
             cached = lifted.where(F.col("fold") != held_out).persist()
             model = estimator.fit(cached)
             cached.unpersist()
-            return _predicted(model, lifted.where(F.col("fold") == held_out), classes), []
-        return _predicted(estimator.fit(train), test, classes), []
+            return _predicted(model, lifted.where(F.col("fold") == held_out), classes), _end_rows(held_out, [fit_ends(model, s)])
+        model = estimator.fit(train)
+        return _predicted(model, test, classes), _end_rows(held_out, [fit_ends(model, s)])
 
     # An SVM fold caches its own wide features, so few of them run at once.
     done = _in_threads(run, wanted, 2 if classifier == "svm" else s.parallelism)
@@ -396,8 +419,9 @@ def probe(
     return ProbeResult(predictions, classes, scored, [row for _, rows in done for row in rows])
 
 
-def _tuned(table: DataFrame, outer: int, scores: list, estimator, classes: list, s: ProbeSettings):
+def _tuned(table: DataFrame, outer: int, tuning: tuple, estimator, classes: list, s: ProbeSettings):
     """Take the best L2 setting, the first among equals, and fit on the outer train set less a 5 % dev split."""
+    scores, ends = tuning
     best = int(np.argmax(scores))
     train = table.where(F.col("fold") != outer)
     model = estimator.copy({estimator.regParam: s.l2_grid[best]}).fit(train.where(~F.col("dev")))
@@ -406,4 +430,5 @@ def _tuned(table: DataFrame, outer: int, scores: list, estimator, classes: list,
     rows = [(outer, "dev_accuracy", scores[best]), (outer, "best_l2", float(s.l2_grid[best]))]
     if held and held["accuracy"] is not None:
         rows.append((outer, "holdout_accuracy", float(held["accuracy"])))
+    rows += _end_rows(outer, [*ends, fit_ends(model, s)])
     return _predicted(model, table.where(F.col("fold") == outer), classes), rows

@@ -125,6 +125,19 @@ def test_every_classifier_separates_blobs(spark, blobs, classifier):
         assert {"dev_accuracy", "holdout_accuracy"} <= set(means)
 
 
+@pytest.mark.parametrize("classifier", ["softmax", "mlp", "lr", "svm", "rf"])
+def test_results_say_how_the_fits_ended(spark, classifier):
+    draw = np.random.default_rng(5)
+    df = frame(spark, draw.normal(size=(90, 4)) * [1, 10, 100, 1000], draw.integers(0, 3, 90))
+    short = probe.ProbeSettings(k=2, trees=3, depth=1, svm_width=8, svm_iter=1, max_iter=1, l2_grid=(1e-4,))
+    ended = lambda s: {(r.metric, r.fold): r.value for r in probe.probe(df, classifier, s).results().collect()}
+    found = ended(short)
+    assert [found["converged", f] for f in (0, 1)] == [0.0, 0.0] and [found["iterations", f] for f in (0, 1)] == [1.0, 1.0]
+    if classifier == "lr":
+        full = ended(probe.ProbeSettings(k=2))
+        assert [full["converged", f] for f in (0, 1)] == [1.0, 1.0] and full["iterations", 0] > 1
+
+
 def test_naive_bayes_matches_brute_force(spark, blobs):
     x, labels, df = blobs
     noisy = x + np.random.default_rng(0).normal(scale=6, size=x.shape)
