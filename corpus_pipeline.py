@@ -27,8 +27,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     classes = ngram_join.jaccard_components(docs, n=5, num=80, den=100)
     gone = classes.where("id <> component_id").select("id").distinct()
     left = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return left.withColumn("__nth", nth).where("doc_id is null or __nth = 1").drop("__nth")
+    # rows without an id stay as they are, and out of the window, where they would be one group
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    named = left.where("doc_id is not null").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return named.unionByName(left.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

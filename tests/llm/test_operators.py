@@ -415,6 +415,19 @@ def test_chain_uses_earlier_categories_out_of_fold():
     assert toxicity.probability(x, flat[0]).max() < 0.01
 
 
+def test_rows_without_an_id_stay_out_of_the_window_and_repeated_ids_do_not_follow_the_order(spark):
+    import corpus_pipeline
+
+    rows = [(1, "one two three"), (1, "four five six"), (None, "same text"), (None, "same text"), (2, "seven")]
+    kept = []
+    for given in (rows, rows[::-1]):
+        frame = spark.createDataFrame(given, "doc_id long, text string").coalesce(1)
+        left = corpus_pipeline.keep_one_of_each_group(spark, frame, SF)
+        assert "Union" in left._jdf.queryExecution().optimizedPlan().toString()
+        kept.append(sorted((str(r.doc_id), r.text) for r in left.collect()))
+    assert kept[0] == kept[1] and [i for i, _ in kept[0]] == ["1", "2", "None", "None"]
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     import sentencepiece
 
