@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from embgauge.llm import ann, decontaminate, html_extract, line_dedup, ngram_join, piece_bpe, secrets, sharding
-from embgauge.llm import sql, suffix_dedup, toxicity
+from embgauge.llm import ann, decontaminate, html_extract, line_dedup, ngram_join, packing, phrases, piece_bpe, secrets
+from embgauge.llm import sharding, sql, suffix_dedup, token_align, toxicity
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 SLOTS = 2039
@@ -23,6 +23,15 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_bpe_path() -> str:
+    """The byte-level tokenizer's file: ``LLM_BYTE_BPE``, or the one of the installed public tokenizers."""
+    if named := os.environ.get("LLM_BYTE_BPE"):
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -96,12 +105,28 @@ def op10_html_extraction(spark, sf):
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_phrase_collocations(spark, sf):
+    # a file's rows stay in one shard, so that tasks add up before they send
+    return phrases.collocations(table(spark, sf, "documents"), shard=F.input_file_name())
+
+
+def op12_packing(spark, sf):
+    found = packing.pack(table(spark, sf, "documents"), byte_bpe_path())
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_token_alignment(spark, sf):
+    found = token_align.align(table(spark, sf, "documents"), byte_bpe_path(), model_path())
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries():
     import corpus_pipeline
 
     named = [
         op1_ngram_jaccard_join, op2_toxicity_chain, op3_decontamination, op4_sharding, op5_secret_scan,
         op6_sentencepiece, op7_line_dedup, op8_ann, op9_suffix_array_dedup, op10_html_extraction,
+        op11_phrase_collocations, op12_packing, op13_token_alignment,
     ]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
@@ -113,4 +138,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_sharding": sql.op4(SHARDS, SLOTS),
         "op5_secret_scan": sql.op5(secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.LOOSE, secrets.ASSIGN_LEAST, 3),
         "op7_line_dedup": sql.OP7,
+        "op11_phrase_collocations": sql.OP11,
     }

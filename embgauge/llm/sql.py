@@ -111,3 +111,43 @@ r AS (SELECT doc_id, count(*) AS n_lines, count_if(NOT keep) AS n_removed,
   string_agg(line, chr(10) ORDER BY i) FILTER (keep) AS kept FROM k GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN r USING (doc_id)"""
+
+
+OP11 = rf"""WITH own AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         {LOWER.format("coalesce(text, '')")} AS text
+  FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM own
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang
+), sizes AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS m
+), grams AS (
+  SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM w, sizes WHERE len(w) >= m
+), f AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 100
+), parts AS (
+  SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w FROM f
+), inner_ AS (
+  SELECT DISTINCT lang, f, array_to_string(w[a : b], ' ') AS phrase
+  FROM (SELECT lang, m, f, w, a, unnest(range(a + 1, m + 1)) AS b
+        FROM (SELECT lang, m, f, w, unnest(range(1, m)) AS a FROM parts WHERE m >= 3))
+  WHERE b - a + 1 < m
+), cuts AS (
+  SELECT p.lang, p.phrase, p.f AS a, k, array_to_string(w[1 : k], ' ') AS first_, array_to_string(w[k + 1 : m], ' ') AS rest
+  FROM (SELECT lang, m, phrase, f, w, unnest(range(1, m)) AS k FROM parts WHERE m >= 2) p
+  ANTI JOIN inner_ i ON p.lang = i.lang AND p.phrase = i.phrase AND p.f = i.f
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, t.n, (1000 * c.a * t.n) // (x.f * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first_
+  JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM weakest QUALIFY rank <= 2000"""

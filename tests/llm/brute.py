@@ -101,3 +101,33 @@ def repeats_cut(rows, width):
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out[i] = (len(raw), sum(gone), runs, bytes(b for b, g in zip(raw, gone) if not g))
     return out
+
+
+def collocations(rows, least, top, longest=5):
+    """Sorted ``(lang, rank, phrase, a, l, r, n, score)`` of rows ``(lang, text)``."""
+    f, total = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in range(1, longest + 1):
+                f[lang].update(" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, count in f.items():
+        held = set()
+        for phrase, c in count.items():
+            words = phrase.split(" ")
+            if len(words) > 2 and c >= least:
+                parts = {" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 2, len(words) + 1)}
+                held |= {p for p in parts - {phrase} if 100 * c >= 100 * count[p]}
+        scored = []
+        for phrase, a in count.items():
+            words = phrase.split(" ")
+            if len(words) < 2 or a < least or phrase in held:
+                continue
+            sides = [(count[" ".join(words[:k])], count[" ".join(words[k:])]) for k in range(1, len(words))]
+            score, k = min((1000 * a * total[lang] // (l * r), k) for k, (l, r) in enumerate(sides))
+            scored.append((-score, -a, phrase.encode(), phrase, a, *sides[k], total[lang], score))
+        out += [(lang, i + 1, *x[3:]) for i, x in enumerate(sorted(scored)[:top])]
+    return sorted(out)
