@@ -3,7 +3,8 @@
 A chunk is spaces, tabs and line feeds and what follows them up to the next. Byte-level BPE splits a text before white
 space that follows another character, and no piece of the SentencePiece model has one of these three after another
 character; so neither merges across a border of chunks. Most words of a corpus repeat: a worker keeps the tokens of
-the chunks that it has met most, up to a fixed number and size, and encodes the others when they come.
+the chunks that it has met most, up to a fixed number and size, and encodes the others when they come. Equal 64-bit
+hashes of their bytes make chunks equal.
 """
 
 from __future__ import annotations
@@ -13,31 +14,61 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
-#: Bytes of text that one step works on; chunks and characters that a worker keeps; bytes of chunks encoded together.
-BLOCK, MOST, MOST_CHARS, TOGETHER = 2 << 20, 1 << 19, 1 << 24, 1 << 15
-_CHUNKS = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
+from embgauge.llm import words
+
+#: Bytes of text that one step works on; chunks and bytes of chunks that a worker keeps; bytes encoded together.
+BLOCK, MOST, MOST_BYTES, TOGETHER = 2 << 20, 1 << 20, 1 << 24, 1 << 15
+_VALUES = words.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(words.BASE))
+_is_space = np.zeros(256, bool)
+_is_space[[0x20, 0x09, 0x0A]] = True
 #: Other white space, of Python or of a tokenizer, which may also end a piece; texts with it are cut at fewer places.
-_ODD = re.compile("[\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_BYTES = np.zeros(256, bool)
+_ODD_BYTES[[0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+_ODD = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUTS = re.compile(r"(?<=\S)(?=[ \n])")
 
 
-def split(text: str) -> list[str]:
-    """The chunks of a text; together they are the text."""
-    if not text:
-        return []
-    return _CUTS.split(text) if _ODD.search(text) else _CHUNKS.findall(text)
-
-
-def groups(chunks: list[str]) -> list[tuple[int, int]]:
+def _odd_places(data: np.ndarray) -> np.ndarray:
+    found = [np.flatnonzero(_ODD_BYTES[data])]
+    for lead in {c.encode()[0] for c in _ODD}:
+        at = np.flatnonzero(data == lead)
+        tails = [c.encode()[1:] for c in _ODD if c.encode()[0] == lead]
+        at = at[at + len(tails[0]) < len(data)]
+        rest = data[at[:, None] + np.arange(1, len(tails[0]) + 1)] if len(at) else np.zeros((0, len(tails[0])), np.uint8)
+        hit = np.zeros(len(at), bool)
+        for tail in tails:
+            hit |= (rest == np.frombuffer(tail, np.uint8)).all(1)
+        found.append(at[hit])
+    return np.concatenate(found)
+
+
+def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts start in their bytes."""
+    space = _is_space[data]
+    start = np.zeros(len(data), bool)
+    start[1:] = space[1:] & ~space[:-1]
+    odd = np.unique(np.searchsorted(bounds, _odd_places(data), "right") - 1)
+    for row in odd.tolist():
+        low, high = int(bounds[row]), int(bounds[row + 1])
+        text = data[low:high].tobytes().decode()
+        sizes = [len(c.encode()) for c in _CUTS.split(text)]
+        start[low:high] = False
+        start[low + np.cumsum([0, *sizes[:-1]])] = True
+    start[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    return np.flatnonzero(start)
+
+
+def groups(chunks: list[str], sizes: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of neighbours that can be encoded as one string: all start with white space and end with something else."""
     out, low, size = [], 0, 0
-    for i, chunk in enumerate(chunks):
+    for i, (chunk, n) in enumerate(zip(chunks, sizes.tolist())):
         joins = chunk[0] in " \t\n" and not chunk[-1].isspace()
-        if i > low and (not joins or size + len(chunk) > TOGETHER):
+        if i > low and (not joins or size + n > TOGETHER):
             out.append((low, i))
             low, size = i, 0
-        size += len(chunk)
+        size += n
         if not joins:
             out.append((low, i + 1))
             low, size = i + 1, 0
@@ -68,52 +99,58 @@ class Ragged:
         self.values, self.bounds = values, np.concatenate([[0], np.cumsum(counts)])
 
 
-class _Codes(dict):
-    def __init__(self):
-        super().__init__()
-        self.order: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        code = self[chunk] = len(self.order)
-        self.order.append(chunk)
-        return code
-
-
 class Table:
-    """Codes of distinct chunks. ``learn(chunks)`` is told of new ones in order, ``thin(codes)`` which of them stay."""
+    """Codes of distinct chunks. ``learn(chunks, sizes)`` is told of new ones in order, ``thin(codes)`` which stay."""
 
-    def __init__(self, learn, thin, most: int = MOST, most_chars: int = MOST_CHARS):
-        self.learn, self.thin, self.most, self.most_chars = learn, thin, most, most_chars
-        self.codes, self.uses, self.chars = _Codes(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, learn, thin, most: int = MOST, most_bytes: int = MOST_BYTES):
+        self.learn, self.thin, self.most, self.most_bytes = learn, thin, most, most_bytes
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.uses, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The codes of all chunks of the texts, and the bounds of each text. They hold until the next call."""
-        if len(self.codes) > self.most or self.chars.sum() > self.most_chars:
+        if len(self.hashes) > self.most or self.sizes.sum() > self.most_bytes:
             self._thin()
-        before, code, flat, counts = len(self.codes), self.codes.__getitem__, [], [0]
-        for text in texts:
-            flat.extend(map(code, split(text)))
-            counts.append(len(flat))
-        new = self.codes.order[before:]
-        if new:
-            self.learn(new)
-            self.chars = np.append(self.chars, [len(c) for c in new])
-            self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
-        found = np.array(flat, np.int64)
-        self.uses += np.bincount(found, minlength=len(self.uses))
-        return found, np.array(counts, np.int64)
+        starts = cuts(data, bounds)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        hashes = words.span_hashes(data, starts, ends, _VALUES)
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, unique)
+        new = np.ones(len(unique), bool)
+        inner = place < len(self.hashes)
+        new[inner] = self.hashes[place[inner]] != unique[inner]
+        fresh = np.flatnonzero(new)
+        if len(fresh):
+            low, high = starts[first[fresh]], ends[first[fresh]]
+            self.learn([data[s:e].tobytes().decode() for s, e in zip(low.tolist(), high.tolist())], high - low)
+            codes = len(self.uses) + np.arange(len(fresh))
+            self.hashes = np.insert(self.hashes, place[fresh], unique[fresh])
+            self.places = np.insert(self.places, place[fresh], codes)
+            self.sizes = np.append(self.sizes, high - low)
+            self.uses = np.append(self.uses, np.zeros(len(fresh), np.int64))
+            place = place + np.cumsum(new) - new
+        code = self.places[place]
+        self.uses[code] += np.bincount(inverse, minlength=len(unique))
+        return code[inverse], np.searchsorted(starts, bounds)
 
     def _thin(self) -> None:
         order = np.argsort(-self.uses, kind="stable")[: self.most // 2]
-        order = np.sort(order[np.cumsum(self.chars[order]) <= self.most_chars // 2])
-        names = self.codes.order
-        self.codes = _Codes()
-        for i in order.tolist():
-            self.codes[names[i]]
-        self.uses, self.chars = self.uses[order] // 2, self.chars[order]
+        order = np.sort(order[np.cumsum(self.sizes[order]) <= self.most_bytes // 2])
+        code = np.full(len(self.uses), -1)
+        code[order] = np.arange(len(order))
+        own = code[self.places]
+        self.hashes, self.places = self.hashes[own >= 0], own[own >= 0]
+        self.uses, self.sizes = self.uses[order] // 2, self.sizes[order]
         self.thin(order)
 
 
+def with_space(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and bounds of a column of texts with a space in front of each that is not null or empty."""
+    data, bounds = words.text_bytes(column)
+    full = bounds[:-1] < bounds[1:]
+    return np.insert(data, bounds[:-1][full], 0x20), bounds + np.concatenate([[0], np.cumsum(full)])
+
+
 class ByteBpe:
     """A byte-level BPE tokenizer of the ``tokenizers`` library, from its JSON file's bytes.
 

@@ -38,19 +38,18 @@ class Ids:
         self.bpe, self.ids = ByteBpe(raw), Ragged(np.uint32)
         self.table = Table(self._learn, self.ids.only)
 
-    def _learn(self, chunks: list[str]) -> None:
-        for low, high in groups(chunks):
+    def _learn(self, chunks: list[str], sizes: np.ndarray) -> None:
+        found, counts = [], []
+        for low, high in groups(chunks, sizes):
             ids = np.array(self.bpe.encode("".join(chunks[low:high])).ids, np.int64)
-            if high == low + 1:
-                self.ids.add(np.array([len(ids)]), ids)
-                continue
-            ends = np.cumsum([len(c.encode()) for c in chunks[low:high]])
-            upto = np.searchsorted(np.cumsum(self.bpe.size[ids]), ends, "right")
-            self.ids.add(np.diff(upto, prepend=0), ids)
-
-    def __call__(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by ``end``, and the bounds of each text."""
-        codes, bounds = self.table(texts)
+            upto = np.searchsorted(np.cumsum(self.bpe.size[ids]), np.cumsum(sizes[low:high]), "right")
+            found.append(ids)
+            counts.append(np.diff(upto, prepend=0))
+        self.ids.add(np.concatenate(counts), np.concatenate(found))
+
+    def __call__(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, each text's followed by ``end``, and the bounds of each text."""
+        codes, bounds = self.table(*words.text_bytes(column))
         ids, counts = self.ids.at(codes)
         upto = np.concatenate([[0], np.cumsum(counts)])[bounds]
         return np.insert(ids, upto[1:], end).astype(np.uint32), upto + np.arange(len(upto))
@@ -192,8 +191,7 @@ def _packed(sent, id_type, longest, shortest, step_tokens, end, with_ids):
             _, bounds = words.text_bytes(big.column("text"))
             for low, high in words.blocks(bounds, BLOCK):
                 part = big.slice(low, high - low)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids, upto = encode(texts, end)
+                ids, upto = encode(part.column("text"), end)
                 for doc, a, b in zip(part.column("id").to_pylist(), upto[:-1].tolist(), upto[1:].tolist()):
                     packer.add(doc, ids[a:b])
                 packer.pack(WAITING)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from embgauge.llm import words
-from embgauge.llm.chunks import BLOCK, ByteBpe, Ragged, Table, groups, kept
+from embgauge.llm.chunks import BLOCK, ByteBpe, Ragged, Table, groups, kept, with_space
 from embgauge.llm.shared import discard, stored
 
 #: A link's key is the first id times 2^32 and the second id. Pairs that a task counts before it sends them on.
@@ -86,25 +86,20 @@ class Aligner:
         self.facts = self.facts[codes]
         self.groups = [self.groups[i] for i in codes.tolist()]
 
-    def _learn(self, chunks: list[str]) -> None:
-        facts = []
-        for low, high in groups(chunks):
-            found = self._aligned(chunks[low:high])
+    def _learn(self, chunks: list[str], sizes: np.ndarray) -> None:
+        learned = []
+        for low, high in groups(chunks, sizes):
+            found = self._aligned(chunks[low:high], sizes[low:high])
             if found is None and high > low + 1:
-                found = [x for c in chunks[low:high] for x in [self._aligned([c])]]
-            elif found is not None:
-                found = [found]
-            for part in found or [None]:
-                if part is None:
-                    self.links.add(np.zeros(1, np.int64), np.zeros(0, np.int64))
-                    self.groups.append("")
-                    facts.append(np.array([[0, 0, 0, 1]]))
-                else:
-                    counts, links, own, strings = part
-                    self.links.add(counts, links)
-                    self.groups.extend(strings)
-                    facts.append(own)
+                learned += [self._aligned(chunks[i : i + 1], sizes[i : i + 1]) for i in range(low, high)]
+            else:
+                learned.append(found)
+        none = np.zeros(1, np.int64), np.zeros(0, np.int64), np.array([[0, 0, 0, 1]]), [""]
+        counts, links, facts, strings = zip(*[none if part is None else part for part in learned])
+        self.links.add(np.concatenate(counts), np.concatenate(links))
         self.facts = np.concatenate([self.facts, *facts])
+        for own in strings:
+            self.groups.extend(own)
 
     def _sides(self, chunks: list[str]):
         """Ids and byte ends of both sides, or None if their bytes are not the chunks'."""
@@ -133,12 +128,12 @@ class Aligner:
             out.append((ids[inside], ends[inside]))
         return out
 
-    def _aligned(self, chunks: list[str]):
+    def _aligned(self, chunks: list[str], sizes: np.ndarray):
         sides = self._sides(chunks)
         if sides is None:
             return None
         (a, a_ends), (b, b_ends) = sides
-        borders = np.cumsum([len(c.encode()) for c in chunks])
+        borders = np.cumsum(sizes)
         cuts = np.union1d(a_ends, b_ends)
         links = a[np.searchsorted(a_ends, cuts)] << SHIFT | b[np.searchsorted(b_ends, cuts)]
         both = np.intersect1d(a_ends, b_ends)
@@ -158,12 +153,11 @@ class Aligner:
         strings = ["".join(spelt[s:e]) for s, e in zip([0, *upto[:-1]], upto)]
         return count(cuts), links, facts, strings
 
-    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the chunks of each text with a space in front, and bounds; a text that has no tokens has none."""
-        codes, bounds = self.table([" " + t if t else "" for t in texts])
+        codes, bounds = self.table(*with_space(column))
         sizes = np.diff(bounds)
-        bad = np.zeros(len(codes) + 1, np.int64)
-        np.cumsum(self.facts[codes, 3], out=bad[1:])
+        bad = np.concatenate([[0], np.cumsum(self.facts[codes, 3])])
         good = bad[bounds[1:]] == bad[bounds[:-1]]
         return codes[np.repeat(good, sizes)], np.concatenate([[0], np.cumsum(np.where(good, sizes, 0))])
 
@@ -176,8 +170,7 @@ def _aligner(sent) -> Aligner:
 def _slices(batch: pa.RecordBatch):
     _, bounds = words.text_bytes(batch.column("text"))
     for low, high in words.blocks(bounds, BLOCK):
-        part = batch.slice(low, high - low)
-        yield part, part.column("text").to_pylist()
+        yield batch.slice(low, high - low)
 
 
 def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -195,8 +188,8 @@ def _counted(sent):
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
         for big in batches:
-            for _, texts in _slices(big):
-                codes, _ = align(texts)
+            for part in _slices(big):
+                codes, _ = align(part.column("text"))
                 own, uses = np.unique(codes, return_counts=True)
                 links, each = align.links.at(own)
                 if not len(links):
@@ -249,8 +242,8 @@ def _described(sent, id_type, counts):
                 held = stream.read_all()
             pairs, n, best = (held[c].to_numpy() for c in ("pair", "n", "best"))
         for big in batches:
-            for part, texts in _slices(big):
-                codes, bounds = align(texts)
+            for part in _slices(big):
+                codes, bounds = align(part.column("text"))
                 made = _facts(align, codes, bounds)
                 own, place = np.unique(codes, return_inverse=True)
                 links, each = align.links.at(own)
@@ -263,9 +256,9 @@ def _described(sent, id_type, counts):
                         made.append(pa.array(np.diff(total[bounds])))
                     names = ["n_best", "count_sum"]
                 else:
-                    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+                    text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
                     flat, sizes = align.links.at(codes)
-                    made.append(_own_pairs(flat, np.repeat(text, sizes), len(texts)))
+                    made.append(_own_pairs(flat, np.repeat(text, sizes), part.num_rows))
                     names = ["pairs"]
                 ids = part.column("id").cast(id_type)
                 yield pa.RecordBatch.from_arrays(

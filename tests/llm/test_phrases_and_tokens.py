@@ -5,12 +5,14 @@ import sys
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
-from embgauge.llm import chunks, packing, phrases, queries, token_align
+from embgauge.llm import chunks, packing, phrases, queries, token_align, words
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, shard string, cell int, ids string, n int, pairs int, words int, rank int"
@@ -50,8 +52,6 @@ def test_phrases_equal_brute_force(docs, rows, monkeypatch, least, top, shards):
 
 def test_long_texts_are_cut_between_pieces(spark, monkeypatch):
     monkeypatch.setattr(phrases, "BLOCK", 50)
-    import pyarrow as pa
-
     text = "one two, three four five six seven eight. nine ten\n" * 9 + "x " * 60 + ". last"
     batch = pa.RecordBatch.from_arrays([pa.array(["a", text, None, text])], names=["text"])
     steps = [(bytes(d), r.tolist(), b.tolist()) for d, b, r in phrases._steps(batch)]
@@ -67,8 +67,6 @@ def test_phrases_of_nothing(docs, spark):
 
 def test_bitmaps_hold_their_keys(spark):
     keys = spark.range(-3000, 3000).selectExpr("xxhash64(id) AS key", "id % 4 AS shard").collect()
-    import numpy as np
-
     rows = spark.createDataFrame([(k.key, k.shard % 4) for k in keys], "gram long, shard long")
     sent = phrases._bitmap(rows.select(phrases._mark(rows["gram"], rows["shard"]).alias("key")))
     gram, shard = np.array([k.key for k in keys]).view(np.uint64), np.array([k.shard % 4 for k in keys])
@@ -84,10 +82,21 @@ def byte_bpe():
 
 
 def test_chunks_are_the_text(rows):
-    for _, text, _ in rows:
-        found = chunks.split(text or "")
-        assert "".join(found) == (text or "") and "" not in found
-        assert [c for low, high in chunks.groups(found) for c in found[low:high]] == found
+    texts = [t or "" for _, t, _ in rows]
+    data, bounds = words.text_bytes(pa.array(texts))
+    starts = chunks.cuts(data, bounds)
+    found = [data[s:e].tobytes().decode() for s, e in zip(starts, [*starts[1:], len(data)])]
+    assert "".join(found) == "".join(texts) and "" not in found
+    assert set(bounds[:-1][np.diff(bounds) > 0]) <= set(starts)
+    ranges = chunks.groups(found, np.array([len(c.encode()) for c in found]))
+    assert [i for low, high in ranges for i in range(low, high)] == list(range(len(found)))
+    odd = ["a\u3000  b", "a\x85 b", "a\r b\x1c c", "x\u2009y z", "plain text\there"]
+    data, bounds = words.text_bytes(pa.array(odd))
+    text = lambda s, e: data[s:e].tobytes().decode()
+    starts = chunks.cuts(data, bounds).tolist()
+    assert [text(s, e) for s, e in zip(starts, [*starts[1:], len(data)])] == [
+        "a\u3000  b", "a\x85 b", "a\r b\x1c c", "x\u2009y", " z", "plain", " text", "\there"
+    ]
 
 
 def test_a_full_table_keeps_what_it_met_most(byte_bpe, rows):
@@ -96,9 +105,9 @@ def test_a_full_table_keeps_what_it_met_most(byte_bpe, rows):
     ids.table.most = 50
     for _ in range(2):
         for _, text, _ in rows:
-            found, bounds = ids([text or ""], 1)
+            found, bounds = ids(pa.array([text], pa.string()), 1)
             assert found.tolist() == byte_bpe.encode(text or "", add_special_tokens=False).ids + [1]
-    assert len(ids.table.codes) < 3000
+    assert len(ids.table.hashes) == len(ids.table.uses) == len(ids.ids.bounds) - 1 < 3000
 
 
 @pytest.mark.parametrize("window, shortest, step", [(2048, 256, 32768), (64, 8, 128), (16, 16, 16)])
@@ -212,8 +221,6 @@ def test_alignment_equals_brute_force(spark, docs, rows, byte_bpe):
 
 
 def test_offsets_are_refined_inside_characters():
-    import numpy as np
-
     # a character of three bytes in two tokens: the libraries give both the whole character
     ends = token_align._ends(np.array([0, 1, 2]), np.array([[0, 1], [1, 2], [1, 2]]), np.array([1, 2, 1]), np.array([0, 1, 4]))
     assert ends.tolist() == [1, 3, 4]
