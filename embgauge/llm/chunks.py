@@ -19,7 +19,7 @@ import pyarrow as pa
 from embgauge.llm import words
 
 #: Bytes of text that one step works on; chunks and bytes of chunks that a worker keeps; bytes encoded together.
-BLOCK, MOST, MOST_BYTES, TOGETHER = 2 << 20, 1 << 20, 1 << 24, 1 << 15
+BLOCK, MOST, MOST_BYTES, TOGETHER = 2 << 20, 3 << 19, 1 << 25, 1 << 15
 _VALUES = words.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(words.BASE))
 _is_space = np.zeros(256, bool)
 _is_space[[0x20, 0x09, 0x0A]] = True

@@ -3,7 +3,8 @@
 Partitions (SON): the corpus is dealt into a few shards, and a phrase that is frequent in the corpus is frequent in
 some shard at a support lowered to the shard's share of the language's words. Each shard is mined completely, order by
 order: a phrase is counted in a shard only if the shorter ones inside it are frequent there. The phrases frequent in
-any shard are united, and a last pass counts all of them in the whole corpus.
+any shard are united, without those that the bounds of the other shards keep from being frequent, and a last pass counts
+them in the shards that have not counted them yet. So counts are those of the whole corpus.
 
 A shard is as large as the corpus allows and is mined by many tasks: they count in numpy, and Spark adds up. Which
 phrases an earlier pass found reaches the tasks as a bitmap of bounded size. It says yes for all of them and for a few
@@ -20,11 +21,13 @@ from embgauge.llm import words
 from embgauge.llm.shared import discard, stored
 
 #: Words of the longest phrase; bytes of text that one step works on; phrases that a task counts before it sends them.
-LONGEST, BLOCK, HELD = 5, 2 << 20, 1 << 22
-#: Phrases with their texts that the last pass holds in a task. Sizes of a bitmap, in bits.
-HELD_TEXTS, FEWEST_BITS, MOST_BITS = 1 << 18, 1 << 16, 1 << 27
+LONGEST, BLOCK, HELD = 5, 2 << 20, 3 << 20
+#: Phrases that the last pass holds in a task. Sizes of a bitmap, in bits.
+HELD_LAST, FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 16, 1 << 27
 #: The passes over a shard: the orders each counts, and the order that must be frequent for it.
 PASSES = (((1, 2), None), ((3,), 2), ((4, 5), 3))
+#: A cell is a shard, times 2^48, and two numbers of a language there: see ``_cells``.
+SHARD, NEED, MOST_SHARDS = 48, 32, 62
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 
 _is_break = np.zeros(256, bool)
@@ -132,7 +135,7 @@ def _mined(orders, below, bitmap):
 
         def batch():
             gram, cell, n = (np.concatenate(x) for x in (grams, cells, counts))
-            _, first, place = np.unique(_marked(gram, cell >> 32), return_index=True, return_inverse=True)
+            _, first, place = np.unique(_marked(gram, cell >> SHARD), return_index=True, return_inverse=True)
             n = np.bincount(place, n).astype(np.int64)
             made = [words.signed(gram[first]), pa.array(cell[first]), pa.array(n)]
             return pa.RecordBatch.from_arrays(made, names=["gram", "cell", "n"])
@@ -146,7 +149,7 @@ def _mined(orders, below, bitmap):
                 if below:
                     known = found.inside[below].copy()
                     at = np.flatnonzero(known)
-                    known[at] = _held(bitmap.value, _marked(found.keys[below][at], cell[at] >> 32))
+                    known[at] = _held(bitmap.value, _marked(found.keys[below][at], cell[at] >> SHARD))
                 for n in orders:
                     taken = found.inside[n].copy()
                     if below:
@@ -156,7 +159,7 @@ def _mined(orders, below, bitmap):
                     if not len(at):
                         continue
                     gram, own = found.keys[n][at], cell[at]
-                    _, first, uses = np.unique(_marked(gram, own >> 32), return_index=True, return_counts=True)
+                    _, first, uses = np.unique(_marked(gram, own >> SHARD), return_index=True, return_counts=True)
                     grams.append(gram[first])
                     cells.append(own[first])
                     counts.append(uses)
@@ -170,42 +173,49 @@ def _mined(orders, below, bitmap):
     return run
 
 
-def _counted(bitmap):
-    """``(lang, phrase, words, n)`` of all phrases that the bitmap holds, with texts."""
+def _counted(asked, homes):
+    """``(gram, shard, n, words, lang, phrase)`` of the phrases asked for in a shard; with their texts at home only."""
 
     def run(batches):
-        slots: dict[int, int] = {}
-        langs, texts, orders, counts = [], [], [], []
+        slots: dict[tuple, int] = {}
+        grams, shards, counts, orders, langs, texts = [], [], [], [], [], []
 
         def batch():
-            made = [pa.array(langs, pa.string()), pa.array([t.decode() for t in texts], pa.string())]
-            made += [pa.array(orders, pa.int32()), pa.array(counts, pa.int64())]
+            made = [words.signed(np.array(grams, np.uint64)), pa.array(shards, pa.int64()), pa.array(counts, pa.int64())]
+            made += [pa.array(orders, pa.int32()), pa.array(langs, pa.string()), pa.array(texts, pa.string())]
             slots.clear()
-            for own in (langs, texts, orders, counts):
+            for own in (grams, shards, counts, orders, langs, texts):
                 own.clear()
-            return pa.RecordBatch.from_arrays(made, names=["lang", "phrase", "words", "n"])
+            return pa.RecordBatch.from_arrays(made, names=["gram", "shard", "n", "words", "lang", "phrase"])
 
         for big in batches:
             key, lang = _column(big, "lang_key", np.int64).view(np.uint64), big.column("lang").to_pylist()
+            shard_of = _column(big, "cell", np.int64) >> SHARD
             for data, bounds, rows in _steps(big):
                 found, flat = _Grams(data, bounds, key[rows]), _plain[data].tobytes()
+                shard = shard_of[rows][found.row]
                 for n in range(1, LONGEST + 1):
                     at = np.flatnonzero(found.inside[n])
-                    at = at[_held(bitmap.value, found.keys[n][at])]
-                    unique, first, uses = np.unique(found.keys[n][at], return_index=True, return_counts=True)
-                    at = at[first]
-                    low, high, row = found.starts[at].tolist(), found.ends[at + n - 1].tolist(), rows[found.row[at]].tolist()
-                    for i, (gram, times) in enumerate(zip(unique.tolist(), uses.tolist())):
-                        slot = slots.setdefault(gram, len(counts))
-                        if slot < len(counts):
-                            counts[slot] += times
-                            continue
-                        counts.append(times)
-                        orders.append(n)
-                        langs.append(lang[row[i]])
-                        text = flat[low[i] : high[i]]
-                        texts.append(b" ".join(text.split(b" ")) if b"  " not in text else b" ".join(text.split()))
-                if len(counts) > HELD_TEXTS:
+                    marked = _marked(found.keys[n][at], shard[at])
+                    held = _held(asked.value, marked)
+                    at, marked = at[held], marked[held]
+                    unique, first, uses = np.unique(marked, return_index=True, return_counts=True)
+                    slot = np.array([slots.get(k, -1) for k in unique.tolist()], np.int64)
+                    for i, times in zip(slot[slot >= 0].tolist(), uses[slot >= 0].tolist()):
+                        counts[i] += times
+                    fresh = np.flatnonzero(slot < 0)
+                    slots.update(zip(unique[fresh].tolist(), range(len(counts), len(counts) + len(fresh))))
+                    at, home = at[first[fresh]], _held(homes.value, unique[fresh])
+                    counts.extend(uses[fresh].tolist())
+                    grams.extend(found.keys[n][at].tolist())
+                    shards.extend(shard[at].tolist())
+                    orders.extend([n] * len(at))
+                    low, high = found.starts[at].tolist(), found.ends[at + n - 1].tolist()
+                    for s, e, row, own in zip(low, high, rows[found.row[at]].tolist(), home.tolist()):
+                        langs.append(lang[row] if own else None)
+                        text = flat[s:e] if own else None
+                        texts.append(b" ".join(text.split()).decode() if own else None)
+                if len(counts) > HELD_LAST:
                     yield batch()
         if counts:
             yield batch()
@@ -213,6 +223,22 @@ def _counted(bitmap):
     return run
 
 
+def _cells(totals: DataFrame, least: int) -> DataFrame:
+    """``(lang, shard, cell)``: the shard's number, what the known shards of a phrase must have beyond their bounds, and
+    the bound of this one.
+
+    A phrase with ``least`` occurrences in the corpus has at least ``bound = ceil(least * words of the shard / words)``
+    in one of its shards. Where it has not, it has ``bound - 1`` at most; so it is frequent only if the counts of the
+    shards where it has exceed their ``bound - 1`` by ``need = least - sum(bound - 1)`` together.
+    """
+    by_lang = totals.groupBy("lang").agg(F.sum("n").alias("all"))
+    bound = F.ceil(F.col("n").cast("decimal(20,0)") * least / F.col("all")).cast("long")
+    bounds = totals.where("n > 0").join(by_lang, "lang").select("lang", "shard", bound.alias("bound"))
+    need = bounds.groupBy("lang").agg((F.lit(least) - F.sum(F.col("bound") - 1)).alias("need"))
+    cell = F.shiftleft("shard", SHARD).bitwiseOR(F.shiftleft("need", NEED)).bitwiseOR(F.col("bound"))
+    return bounds.join(need, "lang").select("lang", "shard", cell.alias("cell"))
+
+
 def frequent_phrases(
     docs: DataFrame, least: int = 100, shards: int = 8, lang_col: str = "lang", text_col: str = "text", shard=None
 ) -> tuple[DataFrame, DataFrame]:
@@ -222,6 +248,8 @@ def frequent_phrases(
     ``shard`` is a column that a row has in every scan (such as its file's name), by default a hash of its text; equal
     values meet in one of ``shards`` shards. Fewer, larger shards leave fewer phrases to count in the end.
     """
+    if not 0 < shards <= MOST_SHARDS:
+        raise ValueError(f"from 1 to {MOST_SHARDS} shards")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     named = F.xxhash64(F.col(text_col) if shard is None else shard)
     rows = docs.select(
@@ -231,36 +259,49 @@ def frequent_phrases(
     )
     totals = rows.mapInArrow(_word_totals, "lang string, shard long, n long").groupBy("lang", "shard").agg(F.sum("n").alias("n"))
     totals = stored(totals)
-    by_lang = totals.groupBy("lang").agg(F.sum("n").alias("n"))
-    # a phrase that is frequent in the corpus has at least this many occurrences in one of its shards
-    lowered = F.ceil(F.col("n").cast("decimal(20,0)") * least / F.col("all")).cast("long")
-    cells = totals.join(by_lang.withColumnRenamed("n", "all"), "lang").where("n > 0")
-    cells = stored(cells.select("lang", "shard", F.shiftleft("shard", 32).bitwiseOR(lowered).alias("cell")))
+    cells = stored(_cells(totals, least))
     rows = rows.join(cells, ["lang", "shard"]).select("lang", F.xxhash64("lang").alias("lang_key"), "cell", "text")
+    part = F.shiftright("cell", SHARD)
+    bound = F.col("cell").bitwiseAND(F.lit((1 << NEED) - 1))
+    need = F.shiftright("cell", NEED).bitwiseAND(F.lit((1 << SHARD - NEED) - 1))
     passes, bitmap = [], None
     for orders, below in PASSES:
         found = rows.drop("lang").mapInArrow(_mined(orders, below, bitmap), "gram long, cell long, n long")
-        found = found.groupBy("gram", "cell").agg(F.sum("n").alias("n"))
-        in_shard = F.col("n") >= F.col("cell").bitwiseAND(F.lit((1 << 32) - 1))
-        found = stored(found.where(in_shard).select("gram", F.shiftright("cell", 32).alias("shard")))
+        found = stored(found.groupBy("gram", "cell").agg(F.sum("n").alias("n")).where(F.col("n") >= bound))
         if bitmap is not None:
             bitmap.unpersist()
-        bitmap = _bitmap(found.select(_mark(F.col("gram"), F.col("shard")).alias("key")))
+        bitmap = _bitmap(found.select(_mark(F.col("gram"), part).alias("key")))
         passes.append(found)
     bitmap.unpersist()
-    united = passes[0].unionByName(passes[1]).unionByName(passes[2]).select(F.col("gram").alias("key")).distinct()
-    united = stored(united)
-    bitmap = _bitmap(united)
-    counted = rows.drop("cell").mapInArrow(_counted(bitmap), "lang string, phrase string, words int, n long")
-    counted = counted.groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("n").alias("n"))
-    counted = stored(counted.where(F.col("n") >= least))
-    discard(*passes, united, cells)
-    bitmap.unpersist()
-    return counted, by_lang
-
-
-def _big(name: str):
-    return F.col(name).cast("decimal(38,0)")
+    united = passes[0].unionByName(passes[1]).unionByName(passes[2]).withColumn("shard", part).groupBy("gram").agg(
+        F.sum("n").alias("known"),
+        F.sum(F.col("n") - bound + 1).alias("beyond"),
+        F.max(need).alias("need"),
+        F.collect_set("shard").alias("counted"),
+        F.max_by("shard", "n").alias("home"),
+    )
+    united = stored(united.where("beyond >= need").drop("beyond", "need"))
+    discard(*passes)
+    others = F.array_except(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"), F.col("counted"))
+    pairs = stored(united.select("gram", F.explode(F.array_append(others, F.col("home"))).alias("shard")))
+    asked = _bitmap(pairs.select(_mark(F.col("gram"), F.col("shard")).alias("key")))
+    homes = _bitmap(united.select(_mark(F.col("gram"), F.col("home")).alias("key")))
+    last = "gram long, shard long, n long, words int, lang string, phrase string"
+    found = rows.mapInArrow(_counted(asked, homes), last).groupBy("gram", "shard").agg(
+        F.sum("n").alias("n"), F.max("words").alias("words"), F.max("lang").alias("lang"), F.max("phrase").alias("phrase")
+    )
+    fresh = F.when(~F.array_contains("counted", F.col("shard")), F.col("n")).otherwise(0)
+    found = found.join(united, "gram").groupBy("gram").agg(
+        F.max("lang").alias("lang"),
+        F.max("phrase").alias("phrase"),
+        F.max("words").alias("words"),
+        (F.max("known") + F.sum(fresh)).alias("n"),
+    )
+    found = stored(found.where(F.col("n") >= least).select("lang", "phrase", "words", "n"))
+    discard(united, pairs, cells)
+    asked.unpersist()
+    homes.unpersist()
+    return found, totals.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def collocations(

@@ -6,8 +6,8 @@ a token that covers whole characters ends where they say. Tokens inside a charac
 and halves of multibyte characters, have no cut of their own there; they end where their decoded bytes do. Two tokens
 are linked if their byte ranges overlap, so every stretch between neighbouring cuts of either side is one link.
 
-Chunks of text are aligned once (``chunks``). Links are counted by id pair in the tasks, then in Spark; the second pass
-over the texts adds up what the counts of its links are.
+Chunks of text are aligned once (``chunks``), and texts once: what each row has of each id pair is written to a table,
+with the pair counts of its task. Spark adds these up, and a pass over that table looks up what its pairs count.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from embgauge.llm import words
 from embgauge.llm.chunks import BLOCK, ByteBpe, Ragged, Table, groups, kept, with_space
 from embgauge.llm.shared import discard, stored
 
-#: A link's key is the first id times 2^32 and the second id. Pairs that a task counts before it sends them on.
-SHIFT, MOST_PAIRS = 32, 1 << 21
+#: A pair's key is the first id times 2^32 and the second id.
+SHIFT = 32
 #: Pairs whose counts are sent to all executors (17 bytes each); beyond it documents meet counts in a join.
 SENT_PAIRS = 1 << 22
 #: Put before chunks that are encoded, so that they stand inside a text; its tokens are left out.
@@ -75,7 +75,9 @@ class Aligner:
         self.forget()
 
     def forget(self):
-        self.links = Ragged(np.int64)
+        #: the keys of all pairs met, and of each chunk the numbers of its links' pairs
+        self.keys, self.numbers = np.zeros(0, np.int64), {}
+        self.links = Ragged(np.int32)
         #: per chunk: tokens of both sides, groups, and whether its bytes are not those of the text
         self.facts = np.zeros((0, 4), np.int64)
         self.groups: list[str] = []
@@ -96,7 +98,10 @@ class Aligner:
                 learned.append(found)
         none = np.zeros(1, np.int64), np.zeros(0, np.int64), np.array([[0, 0, 0, 1]]), [""]
         counts, links, facts, strings = zip(*[none if part is None else part for part in learned])
-        self.links.add(np.concatenate(counts), np.concatenate(links))
+        pairs, inverse = np.unique(np.concatenate(links), return_inverse=True)
+        number = np.array([self.numbers.setdefault(k, len(self.numbers)) for k in pairs.tolist()], np.int32)
+        self.keys = np.append(self.keys, pairs[number >= len(self.keys)])
+        self.links.add(np.concatenate(counts), number[inverse])
         self.facts = np.concatenate([self.facts, *facts])
         for own in strings:
             self.groups.extend(own)
@@ -134,9 +139,10 @@ class Aligner:
             return None
         (a, a_ends), (b, b_ends) = sides
         borders = np.cumsum(sizes)
-        cuts = np.union1d(a_ends, b_ends)
+        every = np.sort(np.concatenate([a_ends, b_ends]))
+        again = every[1:] == every[:-1]
+        cuts, both = every[np.append(True, ~again)], every[1:][again]
         links = a[np.searchsorted(a_ends, cuts)] << SHIFT | b[np.searchsorted(b_ends, cuts)]
-        both = np.intersect1d(a_ends, b_ends)
         count = lambda ends: np.diff(np.searchsorted(ends, borders, "right"), prepend=0)
         facts = np.stack([count(a_ends), count(b_ends), count(both), np.zeros(len(chunks), np.int64)], 1)
         # tokens of both sides by group, the first side's first
@@ -173,50 +179,6 @@ def _slices(batch: pa.RecordBatch):
         yield batch.slice(low, high - low)
 
 
-def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return unique, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
-
-
-def _counted(sent):
-    def run(batches):
-        align = _aligner(sent)
-        keys, counts, size = [], [], 0
-
-        def batch():
-            pairs, n = _summed(keys, counts)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
-
-        for big in batches:
-            for part in _slices(big):
-                codes, _ = align(part.column("text"))
-                own, uses = np.unique(codes, return_counts=True)
-                links, each = align.links.at(own)
-                if not len(links):
-                    continue
-                found = _summed([links], [np.repeat(uses, each)])
-                keys.append(found[0])
-                counts.append(found[1])
-                size += len(found[0])
-                if size > MOST_PAIRS:
-                    merged = _summed(keys, counts)
-                    keys, counts, size = [merged[0]], [merged[1]], len(merged[0])
-                    if size > MOST_PAIRS // 2:
-                        yield batch()
-                        keys, counts, size = [], [], 0
-        if keys:
-            yield batch()
-
-    return run
-
-
-def pair_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
-    """``(a, b, n)``: how many links of the corpus hold the ids ``a`` and ``b`` linked."""
-    pairs = _pairs(docs.select(F.col(text_col).cast("string").alias("text")), _send(docs, a_path, b_path))
-    a, b = F.shiftright("pair", SHIFT).alias("a"), F.expr(f"pair & {(1 << SHIFT) - 1}L").alias("b")
-    return pairs.select(a, b, "n")
-
-
 def _send(docs, a_path, b_path):
     files = []
     for path in (a_path, b_path):
@@ -225,59 +187,79 @@ def _send(docs, a_path, b_path):
     return docs.sparkSession.sparkContext.broadcast(tuple(files))
 
 
-def _pairs(texts: DataFrame, sent) -> DataFrame:
-    return texts.mapInArrow(_counted(sent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+FACTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
+PAIRS = "array<struct<pair:bigint,times:bigint>>"
+NAMES = ["id", *[c.split()[0] for c in FACTS.split(", ")], "pairs", "whole"]
 
 
-FACTS = "n_a long, n_b long, n_groups long, n_links long"
+def _lists(bounds, keys, times) -> pa.Array:
+    rows = pa.StructArray.from_arrays([pa.array(keys), pa.array(times)], names=["pair", "times"])
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), rows)
 
 
-def _described(sent, id_type, counts):
-    """Facts of each row; with the sums over its links if ``counts`` is there, else with its distinct pairs."""
+def _aligned(sent, id_type):
+    """``NAMES`` of each row: facts, and how often it has each pair; last the pairs of the ``whole`` task."""
 
     def run(batches):
-        align = _aligner(sent)
-        if counts is not None:
-            with pa.ipc.open_stream(io.BytesIO(counts.value)) as stream:
-                held = stream.read_all()
-            pairs, n, best = (held[c].to_numpy() for c in ("pair", "n", "best"))
+        align, total = _aligner(sent), np.zeros(0, np.int64)
         for big in batches:
             for part in _slices(big):
                 codes, bounds = align(part.column("text"))
-                made = _facts(align, codes, bounds)
-                own, place = np.unique(codes, return_inverse=True)
-                links, each = align.links.at(own)
-                if counts is not None:
-                    at = np.searchsorted(pairs, links)
-                    ends = np.concatenate([[0], np.cumsum(each)])
-                    per_chunk = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)])[ends])
-                    for x in (best, n):
-                        total = np.concatenate([[0], np.cumsum(per_chunk(x)[place])])
-                        made.append(pa.array(np.diff(total[bounds])))
-                    names = ["n_best", "count_sum"]
-                else:
-                    text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                    flat, sizes = align.links.at(codes)
-                    made.append(_own_pairs(flat, np.repeat(text, sizes), part.num_rows))
-                    names = ["pairs"]
-                ids = part.column("id").cast(id_type)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *made], names=["id", *[c.split()[0] for c in FACTS.split(", ")], "groups_sha256", *names]
-                )
+                links, sizes = align.links.at(codes)
+                text = np.repeat(np.repeat(np.arange(part.num_rows), np.diff(bounds)), sizes)
+                n = len(align.keys)
+                found, times = np.unique(text * max(n, 1) + links, return_counts=True)
+                text, pair = np.divmod(found, max(n, 1))
+                total = np.append(total, np.zeros(n - len(total), np.int64)) + np.bincount(pair, times, n).astype(np.int64)
+                pairs = _lists(np.searchsorted(text, np.arange(part.num_rows + 1)), align.keys[pair], times)
+                made = [part.column("id").cast(id_type), *_facts(align, codes, bounds), pairs]
+                yield pa.RecordBatch.from_arrays([*made, pa.array(np.zeros(part.num_rows, bool))], names=NAMES)
+        held = np.flatnonzero(total)
+        void = [pa.nulls(1, t) for t in (id_type, *[pa.int64()] * 4, pa.string())]
+        pairs = _lists(np.array([0, len(held)]), align.keys[held], total[held])
+        yield pa.RecordBatch.from_arrays([*void, pairs, pa.array([True])], names=NAMES)
 
     return run
 
 
-def _own_pairs(links, text, n_texts):
-    """Each text's distinct pairs and how often it has them."""
-    order = np.lexsort((links, text))
-    links, text = links[order], text[order]
-    new = np.append(True, (links[1:] != links[:-1]) | (text[1:] != text[:-1])) if len(links) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(links)))
-    bounds = np.searchsorted(text[first], np.arange(n_texts + 1)).astype(np.int32)
-    rows = pa.StructArray.from_arrays([pa.array(links[first]), pa.array(times)], names=["pair", "times"])
-    return pa.ListArray.from_arrays(pa.array(bounds), rows)
+def _described(rows: DataFrame, sent) -> DataFrame:
+    kind = rows.schema["id"].dataType
+    schema = f"id {kind.simpleString()}, {FACTS}, pairs {PAIRS}, whole boolean"
+    return stored(rows.mapInArrow(_aligned(sent, to_arrow_type(kind)), schema))
+
+
+def _counts(described: DataFrame) -> DataFrame:
+    pairs = described.where("whole").select(F.explode("pairs").alias("p")).select("p.*")
+    return pairs.groupBy("pair").agg(F.sum("times").alias("n"))
+
+
+def pair_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
+    """``(a, b, n)``: how many links of the corpus hold the ids ``a`` and ``b`` linked."""
+    rows = docs.select(F.lit(0).alias("id"), F.col(text_col).cast("string").alias("text"))
+    a, b = F.shiftright("pair", SHIFT).alias("a"), F.expr(f"pair & {(1 << SHIFT) - 1}L").alias("b")
+    return _counts(_described(rows, _send(docs, a_path, b_path))).select(a, b, "n")
+
+
+def _sums(sent):
+    """Each row with what the counts of its pairs are."""
+
+    def run(batches):
+        with pa.ipc.open_stream(io.BytesIO(sent.value)) as stream:
+            held = stream.read_all()
+        keys, n, best = (held[c].to_numpy() for c in ("pair", "n", "best"))
+        for batch in batches:
+            lists = batch.column("pairs")
+            pairs, times = lists.flatten().flatten()
+            bounds, times = lists.offsets.to_numpy(), times.to_numpy()
+            at = np.searchsorted(keys, pairs.to_numpy())
+            made = []
+            for x in (best, n):
+                total = np.concatenate([[0], np.cumsum(x[at] * times, dtype=np.int64)])
+                made.append(pa.array(np.diff(total[bounds - bounds[0]])))
+            rest = [batch.column(c) for c in NAMES[:-2]]
+            yield pa.RecordBatch.from_arrays([*rest, *made], names=[*NAMES[:-2], "n_best", "count_sum"])
+
+    return run
 
 
 def _facts(align, codes, bounds) -> list:
@@ -313,12 +295,12 @@ def align(
     """
     spark, sent = docs.sparkSession, _send(docs, a_path, b_path)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType
-    counted = stored(_pairs(rows.select("text"), sent))
+    described = _described(rows, sent)
+    counted = stored(_counts(described))
     token = F.expr(f"pair & {(1 << SHIFT) - 1}L")
     most = counted.groupBy(token.alias("b")).agg(F.max("n").alias("most"))
     counts = counted.withColumn("b", token).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    facts = f"id {kind.simpleString()}, {FACTS}, groups_sha256 string"
+    own = described.where("not whole").drop("whole")
     if counted.count() <= sent_pairs:
         table = counts.toArrow().sort_by("pair").combine_chunks()
         held = io.BytesIO()
@@ -326,15 +308,13 @@ def align(
             stream.write_table(table)
         discard(counted)
         known = spark.sparkContext.broadcast(held.getvalue())
-        return rows.mapInArrow(_described(sent, to_arrow_type(kind), known), f"{facts}, n_best long, count_sum long")
-    # rows of one id and text have equal results, and meet their sums by a digest of both
-    listed = "pairs array<struct<pair: bigint, times: bigint>>"
-    own = stored(rows.mapInArrow(_described(sent, to_arrow_type(kind), None), f"{facts}, {listed}"))
-    keyed = own.withColumn("row", F.col("groups_sha256"))
-    links = keyed.dropDuplicates(["row"]).select("row", F.explode("pairs").alias("p")).select("row", "p.*")
-    sums = links.join(counts, "pair").groupBy("row").agg(
+        kind = rows.schema["id"].dataType.simpleString()
+        return own.mapInArrow(_sums(known), f"id {kind}, {FACTS}, n_best long, count_sum long")
+    # texts with equal groups have equal pairs, and meet their sums by that digest
+    links = own.dropDuplicates(["groups_sha256"]).select("groups_sha256", F.explode("pairs").alias("p"))
+    links = links.select("groups_sha256", "p.*")
+    sums = links.join(counts, "pair").groupBy("groups_sha256").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
         F.sum(F.col("times") * F.col("n")).alias("count_sum"),
     )
-    joined = keyed.drop("pairs").join(sums, "row", "left").drop("row")
-    return joined.fillna(0, ["n_best", "count_sum"])
+    return own.drop("pairs").join(sums, "groups_sha256", "left").fillna(0, ["n_best", "count_sum"])
