@@ -21,9 +21,11 @@ from embgauge.llm import words
 from embgauge.llm.shared import discard, stored
 
 #: Words of the longest phrase; bytes of text that one step works on; phrases that a task counts before it sends them.
-LONGEST, BLOCK, HELD = 5, 2 << 20, 3 << 20
+LONGEST, BLOCK, HELD = 5, 2 << 20, 1 << 21
 #: Phrases that the last pass holds in a task. Sizes of a bitmap, in bits.
-HELD_LAST, FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 16, 1 << 27
+HELD_LAST, FEWEST_BITS, MOST_BITS = 1 << 18, 1 << 16, 1 << 27
+#: Rows of a batch that is sent to Spark.
+ROWS = 1 << 16
 #: The passes over a shard: the orders each counts, and the order that must be frequent for it.
 PASSES = (((1, 2), None), ((3,), 2), ((4, 5), 3))
 #: A cell is a shard, times 2^48, and two numbers of a language there: see ``_cells``.
@@ -133,12 +135,20 @@ def _mined(orders, below, bitmap):
     def run(batches):
         grams, cells, counts, size = [], [], [], 0
 
-        def batch():
+        def sent():
             gram, cell, n = (np.concatenate(x) for x in (grams, cells, counts))
-            _, first, place = np.unique(_marked(gram, cell >> SHARD), return_index=True, return_inverse=True)
-            n = np.bincount(place, n).astype(np.int64)
-            made = [words.signed(gram[first]), pa.array(cell[first]), pa.array(n)]
-            return pa.RecordBatch.from_arrays(made, names=["gram", "cell", "n"])
+            for own in (grams, cells, counts):
+                own.clear()
+            marked = _marked(gram, cell >> SHARD)
+            order = np.argsort(marked)
+            marked = marked[order]
+            first = np.flatnonzero(np.append(True, marked[1:] != marked[:-1]))
+            n = np.add.reduceat(n[order], first)
+            order = order[first]
+            for at in range(0, len(first), ROWS):
+                own = order[at : at + ROWS]
+                made = [words.signed(gram[own]), pa.array(cell[own]), pa.array(n[at : at + ROWS])]
+                yield pa.RecordBatch.from_arrays(made, names=["gram", "cell", "n"])
 
         for big in batches:
             lang, cell_of = _column(big, "lang_key", np.int64).view(np.uint64), _column(big, "cell", np.int64)
@@ -165,10 +175,10 @@ def _mined(orders, below, bitmap):
                     counts.append(uses)
                     size += len(first)
                 if size > HELD:
-                    yield batch()
-                    grams, cells, counts, size = [], [], [], 0
+                    yield from sent()
+                    size = 0
         if size:
-            yield batch()
+            yield from sent()
 
     return run
 
