@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embgauge.functions.kernels import MAX_WIDTH, to_lists, to_matrix
+from embgauge.functions.kernels import MAX_WIDTH, row_chunks, to_lists, to_matrix
 from embgauge.functions.vectors import mean_vector, subtract, sum_vector
+from embgauge.session import parallelism
 
 
 @dataclass(frozen=True)
@@ -58,31 +59,54 @@ def isoscore_of(cov: np.ndarray) -> float:
     return (float(np.trace(cov)) ** 2 / norm - 1.0) / (d - 1)
 
 
-def _gram_rows(df: DataFrame, column: str, origin: np.ndarray) -> DataFrame:
-    """Rows ``(i, g)`` of the Gram matrix of ``[1, x - origin]``.
+#: Columns of a tile of the Gram matrix.
+TILE = 256
 
-    Every task folds its rows into one (d+1) x (d+1) matrix with BLAS and emits it row by row; the
-    shuffle then adds d+1 equally large keys, so the work spreads over the cluster and no task
-    holds more than one matrix.
+
+def _gram_tiles(df: DataFrame, column: str, origin: np.ndarray) -> DataFrame:
+    """Rows ``(i, j, g)``: tiles of the upper triangle of the Gram matrix of ``[1, x - origin]``, by block pair.
+
+    Splits are merged before anything is shuffled: there are as many tasks as the cluster has cores, each folds the
+    rows of its splits with BLAS, block pair by block pair, and emits one set of tiles. The shuffle adds up the tiles,
+    equally large keys that spread over the cluster; what it moves follows the cores, not the splits. A task holds
+    half a matrix.
     """
-    width = len(origin)
+    width = len(origin) + 1
+    cuts = [slice(at, min(at + TILE, width)) for at in range(0, width, TILE)]
 
     def fold(batches):
-        total = np.zeros((width + 1, width + 1))
+        tiles = {}
         for batch in batches:
-            x = to_matrix(batch.column(0), width) - origin
-            total[0, 0] += len(x)
-            total[0, 1:] += x.sum(axis=0)
-            total[1:, 1:] += x.T @ x
-        if total[0, 0]:
-            total[1:, 0] = total[0, 1:]
-            for start in range(0, width + 1, 256):
-                part = total[start : start + 256]
-                index = pa.array(np.arange(start, start + len(part), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([index, to_lists(part)], names=["i", "g"])
-
-    partial = df.select(column).mapInArrow(fold, "i int, g array<double>")
-    return partial.groupBy("i").agg(sum_vector("g").alias("g"))
+            vectors = batch.column(0)
+            for part in row_chunks(len(vectors), width):
+                x = to_matrix(vectors.slice(part.start, part.stop - part.start), width - 1) - origin
+                x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+                for i, left in enumerate(cuts):
+                    for j in range(i, len(cuts)):
+                        g = x[:, left].T @ x[:, cuts[j]]
+                        if (i, j) in tiles:
+                            tiles[i, j] += g
+                        else:
+                            tiles[i, j] = g
+        for (i, j), g in tiles.items():
+            place = [pa.array([n], pa.int32()) for n in (i, j)]
+            yield pa.RecordBatch.from_arrays([*place, to_lists(g.reshape(1, -1))], names=["i", "j", "g"])
+
+    merged = df.select(column).coalesce(parallelism(df.sparkSession))
+    partial = merged.mapInArrow(fold, "i int, j int, g array<double>")
+    return partial.groupBy("i", "j").agg(sum_vector("g").alias("g"))
+
+
+def _gram(df: DataFrame, column: str, origin: np.ndarray) -> np.ndarray:
+    width = len(origin) + 1
+    gram = np.zeros((width, width))
+    tiles = _gram_tiles(df, column, origin).toArrow()
+    for i, j, g in zip(*(tiles[c] for c in ("i", "j", "g"))):
+        left, right = (slice(n.as_py() * TILE, min(n.as_py() * TILE + TILE, width)) for n in (i, j))
+        tile = g.values.to_numpy().reshape(left.stop - left.start, -1)
+        gram[left, right] = tile
+        gram[right, left] = tile.T
+    return gram
 
 
 def moments(df: DataFrame, column: str = "embedding") -> Moments:
@@ -97,10 +121,7 @@ def moments(df: DataFrame, column: str = "embedding") -> Moments:
     origin = np.asarray(first.v, dtype=np.float64)
     if len(origin) > MAX_WIDTH:
         raise ValueError(f"embedding width {len(origin)} is above {MAX_WIDTH}")
-    rows = _gram_rows(df, column, origin).collect()
-    gram = np.zeros((len(origin) + 1, len(origin) + 1))
-    for row in rows:
-        gram[row.i] = row.g
+    gram = _gram(df, column, origin)
     if not np.isfinite(gram).all():
         raise ValueError("embedding column holds NaN or infinite entries")
     n = int(round(gram[0, 0]))

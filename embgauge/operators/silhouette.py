@@ -24,11 +24,15 @@ MIN_BLOCK_ROWS = 512
 MAX_CLUSTERS = 10_000
 
 
-def _block_count(rows: int, width: int, tasks: int, block_rows: int | None) -> int:
-    """Blocks small enough for a task, and enough of them to give every core a pair of blocks."""
+def _block_count(rows: int, width: int, tasks: int, block_rows: int | None, codes: int = 1) -> int:
+    """Blocks small enough for a task, and enough of them to give every core a pair of blocks.
+
+    A block's vectors and its sums per cluster both fit. Of b blocks b * (b + 1) / 2 pairs are tasks, and a row is sent
+    to b of them, about the root of twice their number.
+    """
     if block_rows is not None:
         return max(1, math.ceil(rows / block_rows))
-    fits = math.ceil(rows * width * 8 / BLOCK_BYTES)
+    fits = math.ceil(rows * max(width, codes) * 8 / BLOCK_BYTES)
     busy = min(math.ceil(math.sqrt(2 * tasks)), math.ceil(rows / MIN_BLOCK_ROWS))
     return max(1, fits, busy)
 
@@ -53,7 +57,7 @@ def silhouette_samples(
     run_of = np.array([run for run, _ in sorted(sizes)])
     total = int(counts[run_of == 0].sum())
     width = df.select(F.size(column)).first()[0]
-    blocks = _block_count(total, width, parallelism(df.sparkSession), block_rows)
+    blocks = _block_count(total, width, parallelism(df.sparkSession), block_rows, len(codes))
 
     sums = _distance_sums(rows, blocks, codes)
     scored = sums.select("id", "clusters", "sums").mapInArrow(
@@ -98,19 +102,19 @@ def _distance_sums(rows: DataFrame, blocks: int, codes: dict) -> DataFrame:
             return _sum_table([], np.zeros((0, len(codes))))
         center = x.mean(axis=0)
         x, y = x - center, y - center
-        mark_x, mark_y = _marks(left, codes), _marks(right, codes)
+        sum_x, sum_y = _Sums(left, codes), _Sums(right, codes)
         xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
-        to_right = np.empty((len(x), len(codes)))
+        to_right = np.zeros((len(x), len(codes)))
         to_left = np.zeros((len(y), len(codes)))
-        for part in row_chunks(len(x), len(y)):
+        for part in row_chunks(len(x), max(len(y), len(codes))):
             gap = xx[part, None] + yy[None, :] - 2.0 * (x[part] @ y.T)
             distance = np.sqrt(np.maximum(gap, 0.0, out=gap), out=gap)
             if left is right:
                 own = np.arange(part.start, part.stop)
                 distance[own - part.start, own] = 0.0
-            to_right[part] = distance @ mark_y
+            sum_y.add(distance, to_right[part])
             if left is not right:
-                to_left += distance.T @ mark_x[part]
+                sum_x.add(distance.T, to_left, part)
         if left is right:
             return _sum_table([left], to_right)
         return _sum_table([left, right], np.vstack([to_right, to_left]))
@@ -137,12 +141,19 @@ def _codes_of(clusters: pa.Array, codes: dict) -> np.ndarray:
     return out
 
 
-def _marks(side: pa.Table, codes: dict) -> np.ndarray:
-    """0/1 matrix telling to which codes a row belongs."""
-    member = _codes_of(side.column("clusters"), codes)
-    marks = np.zeros((len(member), len(codes)))
-    marks[np.arange(len(member))[:, None], member] = 1.0
-    return marks
+class _Sums:
+    """Sums of distances over the rows of each code: rows are sorted by code once, and neighbours added up."""
+
+    def __init__(self, side: pa.Table, codes: dict):
+        self.member = _codes_of(side.column("clusters"), codes)
+
+    def add(self, distance: np.ndarray, out: np.ndarray, part: slice = slice(None)) -> None:
+        """Add the sums over the columns of ``distance``, which are the rows ``part`` of the side, to ``out`` by code."""
+        for member in self.member[part].T:
+            order = np.argsort(member, kind="stable")
+            member = member[order]
+            first = np.flatnonzero(np.append(True, member[1:] != member[:-1]))
+            out[:, member[first]] += np.add.reduceat(distance[:, order], first, axis=1)
 
 
 def _scorer(codes: dict, counts: np.ndarray, run_of: np.ndarray, runs: int):

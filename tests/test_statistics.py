@@ -35,6 +35,26 @@ def test_moments_refuse_bad_input(spark, x):
         moments.moments(frame(spark, y)).scaled_cov
 
 
+def test_what_moments_shuffle_follows_the_cores_not_the_splits(spark, x):
+    df = frame(spark, x)
+    counts = []
+    for parts in (16, 64):
+        tiles = moments._gram_tiles(df.repartition(parts), "embedding", np.zeros(x.shape[1]))
+        plan = tiles._jdf.queryExecution().executedPlan().toString()
+        assert "Coalesce" in plan
+        counts.append(df.repartition(parts).select("embedding").coalesce(8).rdd.getNumPartitions())
+    assert counts == [8, 8]
+
+
+@pytest.mark.parametrize("width, tile", [(7, 3), (9, 4), (300, 256), (4096, 256)])
+def test_moments_by_column_blocks(spark, monkeypatch, width, tile):
+    monkeypatch.setattr(moments, "TILE", tile)
+    x = np.random.default_rng(2).normal(size=(30, width)) + 5
+    found = moments.moments(frame(spark, x))
+    np.testing.assert_allclose(found.cov, np.cov(x.T), atol=1e-10)
+    np.testing.assert_allclose(found.mean, x.mean(axis=0), atol=1e-10)
+
+
 def test_isoscore_equals_spectral_form(spark, x):
     cov = np.cov(x.T)
     d = len(cov)
