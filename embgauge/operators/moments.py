@@ -97,16 +97,17 @@ def _gram_tiles(df: DataFrame, column: str, origin: np.ndarray) -> DataFrame:
     return partial.groupBy("i", "j").agg(sum_vector("g").alias("g"))
 
 
-def _gram(df: DataFrame, column: str, origin: np.ndarray) -> np.ndarray:
+def gram(df: DataFrame, column: str, origin: np.ndarray) -> np.ndarray:
+    """Sums of products of ``[1, x - origin]``, from one scan."""
     width = len(origin) + 1
-    gram = np.zeros((width, width))
+    out = np.zeros((width, width))
     tiles = _gram_tiles(df, column, origin).toArrow()
     for i, j, g in zip(*(tiles[c] for c in ("i", "j", "g"))):
         left, right = (slice(n.as_py() * TILE, min(n.as_py() * TILE + TILE, width)) for n in (i, j))
         tile = g.values.to_numpy().reshape(left.stop - left.start, -1)
-        gram[left, right] = tile
-        gram[right, left] = tile.T
-    return gram
+        out[left, right] = tile
+        out[right, left] = tile.T
+    return out
 
 
 def moments(df: DataFrame, column: str = "embedding") -> Moments:
@@ -121,12 +122,12 @@ def moments(df: DataFrame, column: str = "embedding") -> Moments:
     origin = np.asarray(first.v, dtype=np.float64)
     if len(origin) > MAX_WIDTH:
         raise ValueError(f"embedding width {len(origin)} is above {MAX_WIDTH}")
-    gram = _gram(df, column, origin)
-    if not np.isfinite(gram).all():
+    sums_of = gram(df, column, origin)
+    if not np.isfinite(sums_of).all():
         raise ValueError("embedding column holds NaN or infinite entries")
-    n = int(round(gram[0, 0]))
-    sums = gram[0, 1:]
-    cov = (gram[1:, 1:] - np.outer(sums, sums) / n) / max(n - 1, 1)
+    n = int(round(sums_of[0, 0]))
+    sums = sums_of[0, 1:]
+    cov = (sums_of[1:, 1:] - np.outer(sums, sums) / n) / max(n - 1, 1)
     return Moments(n, origin + sums / n, (cov + cov.T) / 2)
 
 

@@ -1,8 +1,8 @@
 """Probing classifiers over folds.
 
-``softmax``, ``lr``, ``mlp``, ``svm`` and ``rf`` are MLlib estimators fitted per fold from driver
-threads over one cached table. ``nb`` needs only per-class sums, so all folds are fitted by one
-aggregation and scored by one pass.
+``softmax`` and ``lr`` are convex: the models of all folds, settings and inner folds are fitted side by side, each step of
+all of them in one scan. ``nb`` needs only per-class sums, so all folds are fitted by one aggregation and scored by one
+pass. ``mlp``, ``svm`` and ``rf`` are MLlib estimators fitted per fold from driver threads over one cached table.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import (
     LinearSVC,
-    LogisticRegression,
     MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from embgauge.functions import kernels
 from embgauge.functions.kernels import share, to_lists, to_matrix
 from embgauge.functions.vectors import as_doubles
-from embgauge.operators import metrics
+from embgauge.operators import logistic, metrics
 from embgauge.operators.folds import holdout, nested_folds, stratified_folds
 from embgauge.session import checkpointed, fetched, keep
 
@@ -222,6 +221,7 @@ class ProbeSettings:
     seed: int = 0
     l2_grid: tuple = tuple(L2_GRID)
     max_iter: int = 5000
+    tolerance: float = 1e-6
     mlp_iter: int = 100
     hidden: int = 32
     trees: int = FOREST_TREES
@@ -233,13 +233,6 @@ class ProbeSettings:
 
 def _estimator(name: str, rows: int, width: int, n_classes: int, s: ProbeSettings):
     common = dict(featuresCol="features", labelCol="label_ix")
-    if name == "softmax":
-        return LogisticRegression(
-            family="multinomial", elasticNetParam=0.0, standardization=False, maxIter=s.max_iter, **common
-        )
-    if name == "lr":
-        # Penalty 1/(C n) with C = 1, as the loss here is a mean.
-        return LogisticRegression(regParam=1.0 / rows, standardization=False, maxIter=s.max_iter, **common)
     if name == "mlp":
         return MultilayerPerceptronClassifier(
             layers=[width, s.hidden, n_classes], seed=s.seed, maxIter=min(s.max_iter, s.mlp_iter), **common
@@ -301,29 +294,38 @@ def _in_threads(work, items, threads: int) -> list:
         return pool.map(work, items, chunksize=1)
 
 
-def grid_scores(table: DataFrame, outer: list[int], estimator, s: ProbeSettings) -> dict:
-    """Mean inner-fold accuracy (percent, two places) of each L2 setting, per outer fold, and how the fits ended.
+def _logistic(table: DataFrame, classifier: str, outer: list[int], sizes: dict, classes: list, width: int, s: ProbeSettings):
+    """Predictions and result rows of the logistic classifiers.
 
-    All (outer fold, setting, inner fold) fits are independent jobs over the cached table and run
-    side by side.
+    ``lr`` has the penalty 1/(C n) with C = 1, as the loss is a mean. ``softmax`` first fits a model for every outer fold,
+    L2 setting and inner fold, all in the same scans; the setting with the best mean accuracy on the inner folds (percent,
+    two places), the first among equals, is fitted on the outer train set less a 5 % dev split.
     """
-
-    def score(task):
-        held_out, reg, inner = task
-        at = F.col("inner")[held_out]
-        model = estimator.copy({estimator.regParam: reg}).fit(table.where(at != inner))
-        hit = F.avg((F.col("prediction") == F.col("label_ix")).cast("int"))
-        return model.transform(table.where(at == inner)).agg(hit).first()[0], fit_ends(model, s)
-
-    tasks = [(o, reg, i) for o in outer for reg in s.l2_grid for i in range(s.k)]
-    found = dict(zip(tasks, _in_threads(score, tasks, s.parallelism)))
-
-    def mean(held_out, reg):
-        scored = [v for i in range(s.k) if (v := found[(held_out, reg, i)][0]) is not None]
-        return round(100 * float(np.mean(scored)), 2)
-
-    ends = lambda held_out: [found[(held_out, reg, i)][1] for reg in s.l2_grid for i in range(s.k)]
-    return {o: ([mean(o, reg) for reg in s.l2_grid], ends(o)) for o in outer}
+    size = dict(classes=len(classes), width=width, most=s.max_iter, tolerance=s.tolerance)
+    if classifier == "lr":
+        parts = [logistic.Part(o) for o in outer]
+        penalties = [1.0 / (sum(sizes.values()) - sizes[o]) for o in outer]
+        models = logistic.fit(table, parts, penalties, one_sided=len(classes) == 2, **size)
+        ends = {o: [(int(n), bool(c))] for o, n, c in zip(outer, models.iterations, models.converged)}
+        rows = [row for o in outer for row in _end_rows(o, ends[o])]
+        return logistic.predictions(table, outer, models.weights, classes), rows
+    grid = [(o, reg, i) for o in outer for reg in s.l2_grid for i in range(s.k)]
+    parts = [logistic.Part(o, inner=i) for o, _, i in grid]
+    tried = logistic.fit(table, parts, [reg for _, reg, _ in grid], one_sided=False, **size)
+    right = dict(zip(grid, logistic.hits(table, parts, tried.weights)))
+    ends = dict(zip(grid, zip(tried.iterations.tolist(), tried.converged.tolist())))
+    scores = {o: [round(100 * float(np.nanmean([right[o, reg, i] for i in range(s.k)])), 2) for reg in s.l2_grid] for o in outer}
+    best = {o: int(np.argmax(scores[o])) for o in outer}
+    parts = [logistic.Part(o, dev=True) for o in outer]
+    models = logistic.fit(table, parts, [s.l2_grid[best[o]] for o in outer], one_sided=False, **size)
+    rows = []
+    for o, held, n, settled in zip(outer, logistic.hits(table, parts, models.weights), models.iterations, models.converged):
+        rows += [(o, "dev_accuracy", scores[o][best[o]]), (o, "best_l2", float(s.l2_grid[best[o]]))]
+        if not np.isnan(held):
+            rows.append((o, "holdout_accuracy", round(100 * float(held), 2)))
+        own = [ends[o, reg, i] for reg in s.l2_grid for i in range(s.k)]
+        rows += _end_rows(o, [*own, (int(n), bool(settled))])
+    return logistic.predictions(table, outer, models.weights, classes), rows
 
 
 @dataclass
@@ -385,22 +387,20 @@ def probe(
             predictions = predictions.where(F.col("fold").isin(outer))
         return ProbeResult(keep(predictions), classes, True, [])
     features = array_to_vector(as_doubles("embedding")).alias("features")
-    vector = F.col("embedding") if classifier == "svm" else features
+    vector = F.col("embedding") if classifier in ("softmax", "lr", "svm") else features
     # Written once: the many fits then plan against a plain table and survive lost executors.
     table = keep(checkpointed(_table(folds, classes, [vector])))
     sizes = {r["fold"]: r["n"] for r in table.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     total, width = sum(sizes.values()), df.select(F.size("embedding")).first()[0]
     wanted = sorted(sizes) if outer is None else outer
-    tuning = {}
-    if classifier == "softmax":
-        tuning = grid_scores(table, wanted, _estimator(classifier, total, width, len(classes), s), s)
+    if classifier in ("softmax", "lr"):
+        predictions, rows = _logistic(table, classifier, wanted, sizes, classes, width, s)
+        return ProbeResult(keep(predictions), classes, True, rows)
     fold_stats = group_moments(table.select("fold", "embedding"), ["fold"]) if classifier == "svm" else {}
 
     def run(held_out: int):
         train, test = table.where(F.col("fold") != held_out), table.where(F.col("fold") == held_out)
         estimator = _estimator(classifier, total - sizes[held_out], width, len(classes), s)
-        if classifier == "softmax":
-            return _tuned(table, held_out, tuning[held_out], estimator, classes, s)
         if classifier == "svm":
             fit = _sum([m for (f,), m in fold_stats.items() if f != held_out])
             lifted = fourier_features(table, fit, s.svm_width, s.seed)
@@ -418,17 +418,3 @@ def probe(
     scored = "scores" in predictions.columns
     return ProbeResult(predictions, classes, scored, [row for _, rows in done for row in rows])
 
-
-def _tuned(table: DataFrame, outer: int, tuning: tuple, estimator, classes: list, s: ProbeSettings):
-    """Take the best L2 setting, the first among equals, and fit on the outer train set less a 5 % dev split."""
-    scores, ends = tuning
-    best = int(np.argmax(scores))
-    train = table.where(F.col("fold") != outer)
-    model = estimator.copy({estimator.regParam: s.l2_grid[best]}).fit(train.where(~F.col("dev")))
-    dev = _predicted(model, train.where(F.col("dev")), classes)
-    held = metrics.accuracy(dev).first()
-    rows = [(outer, "dev_accuracy", scores[best]), (outer, "best_l2", float(s.l2_grid[best]))]
-    if held and held["accuracy"] is not None:
-        rows.append((outer, "holdout_accuracy", float(held["accuracy"])))
-    rows += _end_rows(outer, [*ends, fit_ends(model, s)])
-    return _predicted(model, table.where(F.col("fold") == outer), classes), rows

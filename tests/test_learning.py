@@ -177,6 +177,58 @@ def test_logistic_regression_solves_the_stated_objective(spark):
         np.testing.assert_allclose([s[1] for s in rows.scores[test]], expected, atol=2e-3)
 
 
+def test_models_side_by_side_meet_their_optimum(spark):
+    """The gradient of every model, computed here from its weights, is nought; equal settings alone give the same."""
+    from embgauge.operators import logistic
+
+    draw = np.random.default_rng(8)
+    x, labels = draw.normal(size=(150, 5)) * [1, 3, 0.2, 10, 1] + 2, draw.integers(0, 3, 150)
+    rows = probe.with_folds(frame(spark, x, labels), "softmax", probe.ProbeSettings(k=3, seed=1))
+    table = probe._table(rows, [0, 1, 2], [F.col("embedding")]).cache()
+    held = table.orderBy("row_id").toPandas()
+    parts = [logistic.Part(o, inner=i) for o in range(3) for i in range(3)] + [logistic.Part(1, dev=True), logistic.Part(2)]
+    penalties = [(1e-5, 1e-3, 1e-1)[j % 3] for j in range(len(parts))]
+    found = logistic.fit(table, parts, penalties, 3, 5, False, 500, 1e-6)
+    assert found.converged.all() and 3 < found.iterations.max() < 200
+    a = np.insert(np.array(held.embedding.tolist()), 0, 1.0, axis=1)
+    inner = np.array([[-1 if v is None else v for v in r] for r in held.inner], dtype=float)
+    for part, penalty, w in zip(parts, penalties, found.weights):
+        seen = (held.fold != part.outer).to_numpy()
+        if part.inner is not None:
+            seen &= np.nan_to_num(inner[:, part.outer], nan=-1) != part.inner
+        if part.dev:
+            seen &= ~held.dev.to_numpy()
+        z = a[seen] @ w
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(seen.sum()), held.label_ix[seen].astype(int)] -= 1
+        free = np.insert(w[1:], 0, 0.0, axis=0)
+        assert np.abs(a[seen].T @ p / seen.sum() + penalty * free).max() <= 1.1e-6
+    alone = logistic.fit(table, parts[4:5], penalties[4:5], 3, 5, False, 500, 1e-6)
+    np.testing.assert_allclose(alone.weights[0], found.weights[4], atol=1e-9)
+    share = logistic.hits(table, parts, found.weights)
+    seen = np.nan_to_num(inner[:, 0], nan=-1) == 1
+    assert abs(share[1] - ((a[seen] @ found.weights[1]).argmax(axis=1) == held.label_ix[seen]).mean()) < 1e-12
+    with pytest.raises(ValueError, match="no rows"):
+        logistic.fit(table.where("fold = 0"), [logistic.Part(0)], [1.0], 3, 5, False, 5, 1e-6)
+
+
+def test_a_step_of_all_models_is_one_scan(spark, blobs):
+    from embgauge.operators import logistic
+
+    _, _, df = blobs
+    rows = probe.with_folds(df, "softmax", probe.ProbeSettings(k=3))
+    table = probe._table(rows, [0, 1, 2], [F.col("embedding")]).cache()
+    calls, plain = [], logistic._losses
+    logistic._losses = lambda t, parts, w: calls.append(len(parts)) or plain(t, parts, w)
+    try:
+        parts = [logistic.Part(o, inner=i) for o in range(3) for i in range(3)]
+        found = logistic.fit(table, parts, [1e-2] * 9, 3, 8, False, 50, 1e-6)
+    finally:
+        logistic._losses = plain
+    assert calls[0] == 9 and len(calls) <= found.iterations.max() + 15
+
+
 def test_models_too_large_to_send_are_refused(spark, blobs, monkeypatch):
     x, _, df = blobs
     monkeypatch.setattr(kernels, "MAX_BROADCAST_BYTES", 200)
