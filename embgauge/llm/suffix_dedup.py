@@ -26,10 +26,11 @@ LOW = np.uint64((1 << 22) - 1)
 #: Windows that share a core, at most.
 SLIDE = 11
 
-PIECES = "gram long, piece long, id long, place long, gone boolean"
-CORES = "core long, id long, at int, length int"
-STRING = "core long, part int, id long, at int, string binary"
-SPAN = "id long, start int, stop int"
+PIECES = "gram long, piece long, id long, version long, place long, gone boolean"
+CORES = "core long, id long, version long, at int, length int"
+STRING = "core long, part int, id long, version long, at int, string binary"
+SPAN = "id long, version long, start int, stop int"
+TEXTS = "id long, text string, version long"
 
 
 def _totals(data: np.ndarray, values: np.ndarray, up: np.ndarray) -> np.ndarray:
@@ -97,19 +98,19 @@ def long_bounds(bounds: np.ndarray, width: int):
     return out
 
 
-def _spans(ids, starts, stops):
-    """Overlapping or touching spans of one id as one, sorted."""
-    order = np.lexsort((starts, ids))
-    ids, starts, stops = ids[order], starts[order], stops[order]
+def _spans(ids, versions, starts, stops):
+    """Overlapping or touching spans of one text as one, sorted."""
+    order = np.lexsort((starts, versions, ids))
+    ids, versions, starts, stops = (x[order] for x in (ids, versions, starts, stops))
     if not len(ids):
-        return ids, starts, stops
-    _, rank = np.unique(ids, return_inverse=True)
-    reach = np.maximum.accumulate((rank.astype(np.int64) << 40) + stops)
+        return ids, versions, starts, stops
+    rank = np.cumsum(np.append(False, (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1]))).astype(np.int64)
+    reach = np.maximum.accumulate((rank << 40) + stops)
     fresh = np.ones(len(ids), bool)
-    fresh[1:] = ((rank[1:].astype(np.int64) << 40) + starts[1:]) > reach[:-1]
+    fresh[1:] = ((rank[1:] << 40) + starts[1:]) > reach[:-1]
     head = np.flatnonzero(fresh)
     last = np.append(head[1:], len(ids)) - 1
-    return ids[head], starts[head], reach[last] - (rank[last].astype(np.int64) << 40)
+    return ids[head], versions[head], starts[head], reach[last] - (rank[last] << 40)
 
 
 def _packed(at, length, mark):
@@ -123,7 +124,7 @@ def _pieces(width: int):
         values = words._VALUES
         up, down = words.powers(2 * BLOCK + width)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, versions = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, bounds = words.text_bytes(batch.column(1))
             for low, high, begin, end in long_bounds(bounds, width):
                 part = data[bounds[low] + begin : bounds[low] + end]
@@ -131,16 +132,18 @@ def _pieces(width: int):
                 doc, at, length, mark, gram, piece = cut_pieces(part, inner, width, values, up, down)
                 if not len(doc):
                     continue
-                own, at = ids[low:high][doc], at + begin
-                order = np.lexsort((at, own, piece, gram))
-                own, at, length, mark, gram, piece = (x[order] for x in (own, at, length, mark, gram, piece))
+                own, version, at = ids[low:high][doc], versions[low:high][doc], at + begin
+                order = np.lexsort((at, version, own, piece, gram))
+                own, version, at, length, mark, gram, piece = (
+                    x[order] for x in (own, version, at, length, mark, gram, piece)
+                )
                 same = np.zeros(len(own), bool)
                 same[1:] = (gram[1:] == gram[:-1]) & (piece[1:] == piece[:-1])
                 head = np.flatnonzero(~same)
                 first = np.repeat(head, np.diff(np.append(head, len(own))))
-                later = same & ((own != own[first]) | (at != at[first]))
+                later = same & ((own != own[first]) | (version != version[first]) | (at != at[first]))
                 keep = ~same
-                s_id, s_start, s_stop = _spans(own[later], at[later], (at + length)[later])
+                s_id, s_version, s_start, s_stop = _spans(own[later], version[later], at[later], (at + length)[later])
                 # spans that are gone are spread by their place
                 spread = words.mix(s_id.astype(np.uint64) ^ words.mix(s_start.astype(np.uint64)))
                 place = _packed(at[keep], length[keep], mark[keep])
@@ -149,10 +152,11 @@ def _pieces(width: int):
                         words.signed(np.append(gram[keep], spread)),
                         pa.concat_arrays([words.signed(piece[keep]), pa.array(s_stop)]),
                         pa.array(np.append(own[keep], s_id)),
+                        pa.array(np.append(version[keep], s_version)),
                         pa.array(np.append(place, s_start)),
                         pa.array(np.arange(len(place) + len(s_id)) >= len(place)),
                     ],
-                    names=["gram", "piece", "id", "place", "gone"],
+                    names=["gram", "piece", "id", "version", "place", "gone"],
                 )
 
     return run
@@ -181,7 +185,7 @@ def _cores(width: int):
             place = lists.flatten().to_numpy()
             row = np.repeat(np.arange(len(held)), held)
             at, length, mark = place >> 20, (place >> 10) & 1023, place & 1023
-            ids = batch.column("id").to_numpy()
+            ids, versions = batch.column("id").to_numpy(), batch.column("version").to_numpy()
             for low, high in words.blocks(bounds, BLOCK):
                 here = slice(*np.searchsorted(row, [low, high]))
                 part = data[bounds[low] : bounds[high]]
@@ -195,12 +199,12 @@ def _cores(width: int):
                     start = (bounds[row[here]] - bounds[low] + at[here] + mark[here] - SLIDE * k)[ok]
                     core = words.mix(((total[start + most] - total[start]) * down[start]) ^ np.uint64(k))
                     size = (last - first)[ok] + width
-                    out.append((core, ids[row[here]][ok], (at[here] + first)[ok], size))
-                core, own, begin, size = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [words.signed(core), pa.array(own), pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32))],
-                    names=["core", "id", "at", "length"],
-                )
+                    doc = row[here][ok]
+                    out.append((core, ids[doc], versions[doc], (at[here] + first)[ok], size))
+                core, own, version, begin, size = (np.concatenate(x) for x in zip(*out))
+                made = [words.signed(core), pa.array(own), pa.array(version)]
+                made += [pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(made, names=["core", "id", "version", "at", "length"])
 
     return run
 
@@ -210,8 +214,9 @@ def _strings(width: int):
 
     def run(batches):
         for batch in batches:
-            core, part, own, at, out = [], [], [], [], []
-            for doc, text, pieces in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "strings"))):
+            core, part, own, versions, at, out = [], [], [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("id", "version", "text", "strings"))
+            for doc, version, text, pieces in zip(*columns):
                 raw = text.encode()
                 for piece in pieces:
                     low, high, parts = piece["at"], piece["at"] + piece["length"], piece["parts"]
@@ -225,12 +230,13 @@ def _strings(width: int):
                         core.append(piece["core"])
                         part.append(share)
                         own.append(doc)
+                        versions.append(version)
                         at.append(low)
                         out.append(raw[low:high])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(core, pa.int64()), pa.array(part, pa.int32()), pa.array(own, pa.int64()), pa.array(at, pa.int32())]
-                + [pa.array(out, pa.binary())],
-                names=["core", "part", "id", "at", "string"],
+                [pa.array(core, pa.int64()), pa.array(part, pa.int32()), pa.array(own, pa.int64())]
+                + [pa.array(versions, pa.int64()), pa.array(at, pa.int32()), pa.array(out, pa.binary())],
+                names=["core", "part", "id", "version", "at", "string"],
             )
 
     return run
@@ -241,13 +247,17 @@ def _collections(width: int):
 
     def solve(batch):
         data, bounds = words.text_bytes(batch.column("string"))
-        own, at = batch.column("id").to_numpy(), batch.column("at").to_numpy().astype(np.int64)
-        string, offset = repeats(data, bounds[:-1], np.diff(bounds), own, at, width)
+        own, version = batch.column("id").to_numpy(), batch.column("version").to_numpy()
+        at = batch.column("at").to_numpy().astype(np.int64)
+        order = np.lexsort((version, own))
+        new = (np.diff(own[order]) != 0) | (np.diff(version[order]) != 0)
+        text = np.empty(len(own), np.int64)
+        text[order] = np.cumsum(np.append(False, new))
+        string, offset = repeats(data, bounds[:-1], np.diff(bounds), text, at, width)
         start = at[string] + offset
-        ids, start, stop = _spans(own[string], start, start + width)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["id", "start", "stop"]
-        )
+        ids, versions, start, stop = _spans(own[string], version[string], start, start + width)
+        made = [pa.array(ids), pa.array(versions), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(made, names=["id", "version", "start", "stop"])
 
     def run(batches):
         rest = None
@@ -267,39 +277,45 @@ def _collections(width: int):
     return run
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("version"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
-    """``(id, start, stop)``: spans of bytes that together hold every window of ``width`` bytes that also starts
-    earlier, in a smaller id or before in the same one. Spans may overlap."""
+    """``(id, version, start, stop)``: spans of bytes that together hold every window of ``width`` bytes that also starts
+    earlier, in a smaller id or before in the same one. Spans may overlap. ``version`` is a hash of the text, and
+    orders different texts of one id."""
     if width < 2 * GRAM or width > 1000:
         raise ValueError(f"width must be from {2 * GRAM} to 1000")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.where("id is not null and text is not null")
+    texts = _texts(docs, id_col, text_col).where("id is not null and text is not null")
     held = Window.partitionBy("gram")
-    place = F.struct("id", "place")
+    place = F.struct("id", "version", "place")
     met = texts.mapInArrow(_pieces(width), PIECES).select(
         "*",
         F.count("*").over(held).alias("n"),
         (F.min("piece").over(held) != F.max("piece").over(held)).alias("mixed"),
     )
     met = met.where("gone or n > 1").withColumn("first", F.min(place).over(Window.partitionBy("gram", "piece")) == place)
-    met = stored(met.select("id", "place", "piece", "gone", "first", "mixed"))
-    local = met.where("gone").select("id", F.col("place").cast("int").alias("start"), F.col("piece").cast("int").alias("stop"))
+    met = stored(met.select("id", "version", "place", "piece", "gone", "first", "mixed"))
+    gone = F.col("place").cast("int").alias("start"), F.col("piece").cast("int").alias("stop")
+    local = met.where("gone").select("id", "version", *gone)
     at = F.shiftright("place", 20)
     length = F.shiftright("place", 10).bitwiseAND(F.lit(1023))
     equal = met.where("not gone and not first").select(
-        "id", at.cast("int").alias("start"), (at + length).cast("int").alias("stop")
+        "id", "version", at.cast("int").alias("start"), (at + length).cast("int").alias("stop")
     )
-    asked = met.where("not gone and first and mixed").groupBy("id").agg(F.collect_set("place").alias("pieces"))
+    asked = met.where("not gone and first and mixed").groupBy("id", "version").agg(F.collect_set("place").alias("pieces"))
     asked = stored(asked)
-    some = texts.mapInArrow(_only(id_filter(asked.select("id"))), "id long, text string")
-    cores = some.join(asked, "id").mapInArrow(_cores(width), CORES)
+    some = texts.mapInArrow(_only(id_filter(asked.select("id"))), TEXTS)
+    cores = some.dropDuplicates(["id", "version"]).join(asked, ["id", "version"]).mapInArrow(_cores(width), CORES)
     count = F.count("*").over(Window.partitionBy("core"))
     parts = F.ceil(F.col("n") / STRINGS).cast("int").alias("parts")
     twice = cores.withColumn("n", count).where("n > 1")
-    twice = stored(twice.groupBy("id").agg(F.collect_set(F.struct("core", "at", "length", parts)).alias("strings")))
-    some = texts.mapInArrow(_only(id_filter(twice.select("id"))), "id long, text string")
-    strings = some.join(twice, "id").mapInArrow(_strings(width), STRING)
-    strings = strings.repartition("core", "part").sortWithinPartitions("core", "part", "id", "at")
+    twice = stored(twice.groupBy("id", "version").agg(F.collect_set(F.struct("core", "at", "length", parts)).alias("strings")))
+    some = texts.mapInArrow(_only(id_filter(twice.select("id"))), TEXTS)
+    strings = some.dropDuplicates(["id", "version"]).join(twice, ["id", "version"]).mapInArrow(_strings(width), STRING)
+    strings = strings.repartition("core", "part").sortWithinPartitions("core", "part", "id", "version", "at")
     found = strings.mapInArrow(_collections(width), SPAN)
     return local.unionByName(equal).unionByName(found)
 
@@ -360,12 +376,13 @@ def remove_repeats(
     ``columns`` are any of ``id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans``; ``n_spans`` counts
     maximal removed runs. The kept bytes may begin or end inside a character.
 
-    Null and empty texts have no bytes; shorter texts than ``width`` lose nothing. Rows that share an id are one
-    document: equal texts lose the same bytes. Rows with a null id keep all and are not looked at. Ids are
+    Null and empty texts have no bytes; shorter texts than ``width`` lose nothing. Rows that share an id and a text are
+    one document and lose the same bytes; different texts of one id are documents of their own, ordered by a hash of the
+    text. Rows with a null id keep all and are not looked at. Ids are
     integers. Of other columns none is read.
     """
     found = repeated_spans(docs, id_col, text_col, width)
-    spans = found.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    spans = found.groupBy("id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    texts = _texts(docs, id_col, text_col)
     schema = ", ".join(f"{c} {KINDS[c]}" for c in columns)
-    return texts.join(spans, "id", "left").mapInArrow(_cut(columns), schema)
+    return texts.join(spans, ["id", "version"], "left").mapInArrow(_cut(columns), schema)

@@ -296,6 +296,19 @@ def test_repeats_equal_brute_force(docs, rows, monkeypatch, most):
     assert all(r.kept_sha256 == hashlib.sha256(bytes(r.kept)).hexdigest() for r in found.values())
 
 
+def test_different_texts_of_one_id_are_documents_of_their_own(spark):
+    draw = random.Random(11)
+    noise = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    shared, other = noise(160), noise(150)
+    rows = [(1, noise(50) + shared + other), (1, noise(70)), (2, noise(90) + shared), (3, shared + noise(30)), (3, other), (3, other)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted((r.id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(frame).collect())
+    assert found == sorted([(1, 360, 0), (1, 70, 0), (2, 250, 160), (3, 190, 160), (3, 150, 150), (3, 150, 150)])
+    twin = [(5, shared + noise(40)), (5, noise(20) + shared)]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(twin, "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in found) == [0, 160]
+
+
 def test_repeats_inside_one_long_text(spark, empty, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 5000)
     draw = random.Random(5)
