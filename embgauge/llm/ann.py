@@ -83,37 +83,53 @@ def _probes(sent, k: int, share: float):
     return run
 
 
+def _tightened(limit, part, x, q, k):
+    """The k-th best distance is at most the largest one of any k rows: those of the smallest partial distances."""
+    first = np.argpartition(part, k - 1, axis=1)[:, :k]
+    gap = x[first] - q[:, None]
+    found = np.einsum("ijk,ijk->ij", gap, gap).max(axis=1) * (1 + 1e-9) + 1e-12
+    return found if limit is None else np.minimum(limit, found)
+
+
 def scan(x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """``(query, row)`` of the rows of ``x`` that may be among the ``k`` nearest of each row of ``q``; rotated vectors.
 
-    As long as most candidates are left their columns are summed up as matrix products, then one by one.
+    As long as most candidates are left their columns are summed up as matrix products, then one by one. The k-th
+    best distance known so far gets tighter after each block. In the end partial distances are whole: of what is left, the
+    k smallest and what ties with them remain.
     """
     width = x.shape[1]
     if len(x) <= k:
         return np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q))
-    part, alive, pairs, limit = np.zeros((len(q), len(x))), None, None, None
+    part, pairs, limit = np.zeros((len(q), len(x))), None, None
     for low in range(0, width, COLUMNS):
         high = min(low + COLUMNS, width)
         a, b = q[:, low:high], x[:, low:high]
         if pairs is None:
-            part += np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b) - 2 * a @ b.T
+            part += np.einsum("ij,ij->i", a, a)[:, None]
+            part += np.einsum("ij,ij->i", b, b)
+            part -= 2 * (a @ b.T)
+            limit = _tightened(limit, part, x, q, k)
         else:
             gap = a[pairs[0]] - b[pairs[1]]
             part = part + np.einsum("ij,ij->i", gap, gap)
-        if limit is None:  # the distances of the k most promising ones bound the k-th best
-            first = np.argpartition(part, k - 1, axis=1)[:, :k]
-            gap = x[first] - q[:, None]
-            limit = np.einsum("ijk,ijk->ij", gap, gap).max(axis=1) * (1 + 1e-9) + 1e-12
         bound = limit * (high / width) * (1 + EPSILON / np.sqrt(high) * (high < width)) ** 2
         if pairs is None:
-            alive = part <= bound[:, None] if alive is None else alive & (part <= bound[:, None])
-            if alive.mean() < 0.25 or high == width:
-                pairs = np.nonzero(alive)
+            given_up = part > bound[:, None]
+            part[given_up] = np.inf
+            if high == width or given_up.mean() > 0.9:
+                pairs = np.nonzero(np.isfinite(part))
                 part = part[pairs]
         else:
             keep = part <= bound[pairs[0]]
             pairs, part = (pairs[0][keep], pairs[1][keep]), part[keep]
-    return pairs
+    # each query's k-th smallest whole distance
+    order = np.lexsort((part, pairs[0]))
+    query, row, part = pairs[0][order], pairs[1][order], part[order]
+    first = np.searchsorted(query, np.arange(len(q)))
+    last = np.minimum(first + k, np.append(first[1:], len(query))) - 1
+    near = part <= (part[np.maximum(last, 0)] * (1 + 1e-9) + 1e-12)[query] if len(part) else np.zeros(0, bool)
+    return query[near], row[near]
 
 
 def _searched(sent, k: int):
