@@ -22,9 +22,9 @@ from embgauge.llm.shared import components, discard, id_filter, may_hold, stored
 BLOCK = 4 << 20
 #: Min-hashes of a document, and how many of them it must share with a hub to be compared with it.
 HASHES, SHARED = 4, 2
-#: Documents in a chunk of a group, about.
-CHUNK = 64
-#: Passes over the groups when they are opened; a pass has its share of the token sets in shuffles.
+#: Documents and tokens in a chunk of a group, about.
+CHUNK, CHUNK_TOKENS = 64, 1 << 17
+#: Passes over the groups when they are opened; a pass shuffles the token sets that are part of it.
 PASSES = 4
 
 PROFILE = "id long, n long, k1 long, k2 long, mins array<long>, token long, cnt long"
@@ -165,8 +165,8 @@ def jaccard_components(
     tied = components(stars)
     member = sets.select("rep", "n").join(tied, F.col("rep") == F.col("node"), "left")
     member = member.select("rep", "n", F.coalesce("component", "rep").alias("comp"))
-    sizes = member.groupBy("comp").agg(F.count("*").alias("held"))
-    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("held") / CHUNK))
+    sizes = member.groupBy("comp").agg(F.count("*").alias("held"), F.sum("n").alias("all"))
+    chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.greatest(F.col("held") / CHUNK, F.col("all") / CHUNK_TOKENS)))
     member = member.join(sizes, "comp").select("rep", "n", "comp", "held", chunk.alias("chunk"))
     member = stored(member)
 
@@ -184,21 +184,31 @@ def jaccard_components(
     open_ = stored(query.join(matrix, "token").where(match).select("q", "n", "comp", "chunk").distinct())
     discard(rare)
 
-    # bound by the union of the group's tokens, then compare with its members
-    ids = open_.select(F.col("q").alias("id")).unionByName(
-        member.join(open_.select("comp", "chunk").distinct(), ["comp", "chunk"], "left_semi").select(F.col("rep").alias("id"))
+    # bound by the union of the group's tokens, then compare with its members; a token set knows the passes it is part
+    # of, as a member and as a query, so that a pass shuffles its own sets only
+    nth_of = F.pmod(F.xxhash64("comp", "chunk"), F.lit(PASSES)).cast("int")
+    wanted = open_.select("comp", "chunk").distinct()
+    inside = member.join(wanted, ["comp", "chunk"], "left_semi").select(
+        F.col("rep").alias("id"), nth_of.alias("as_member"), F.lit(0).alias("as_query")
+    )
+    asking = open_.select(F.col("q").alias("id"), nth_of.alias("nth")).distinct().select(
+        "id", F.lit(None).cast("int").alias("as_member"), F.expr("shiftleft(1, nth)").alias("as_query")
+    )
+    ids = stored(
+        inside.unionByName(asking).groupBy("id").agg(F.max("as_member").alias("as_member"), F.bit_or("as_query").alias("as_query"))
     )
-    ids = stored(ids.distinct())
     held = stored(
-        named.mapInArrow(_token_rows(n, id_filter(ids)), TOKENS).join(ids, "id", "left_semi").dropDuplicates(["id"])
+        named.mapInArrow(_token_rows(n, id_filter(ids.select("id"))), TOKENS).join(ids, "id").dropDuplicates(["id"])
     )
-    found = stars
+    found, written = stars, [stars]
     for nth in range(PASSES):
-        turn = F.pmod(F.xxhash64("comp", "chunk"), F.lit(PASSES)) == nth
-        parts = member.where(turn).join(held, F.col("rep") == F.col("id"))
+        turn = nth_of == nth
+        own = held.where(F.col("as_member") == nth).select("id", "tokens")
+        parts = member.where(turn).join(own, F.col("rep") == F.col("id"))
         parts = parts.select("comp", "chunk", "rep", F.col("n").alias("m"), "tokens")
         unions = parts.groupBy("comp", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-        asked = open_.where(turn).join(held.select(F.col("id").alias("q"), F.col("tokens").alias("sought")), "q")
+        sought = held.where(F.col("as_query").bitwiseAND(F.lit(1 << nth)) != 0)
+        asked = open_.where(turn).join(sought.select(F.col("id").alias("q"), F.col("tokens").alias("sought")), "q")
         opened = asked.join(unions, ["comp", "chunk"]).where(
             F.size(F.array_intersect("sought", "union")) * den >= F.col("n") * num
         )
@@ -209,9 +219,11 @@ def jaccard_components(
             .where(_similar(F.size(F.array_intersect("sought", "tokens")), F.col("n"), F.col("m"), F.lit(num), F.lit(den)))
             .select(F.col("q").alias("a"), F.col("rep").alias("b"))
         )
-        found = found.unionByName(stored(links))
-    discard(open_, ids, held)
+        written.append(stored(links))
+        found = found.unionByName(written[-1])
+    discard(open_, ids, held, member)
     classes = components(found)
+    discard(*written)
     final = sets.select("k1", "k2", "n", "rep").join(classes, F.col("rep") == F.col("node"), "left")
     final = final.select("k1", "k2", "n", F.coalesce("component", "rep").alias("linked"))
     out = rows.drop("mins").join(final, ["k1", "k2", "n"], "left")
