@@ -3,8 +3,9 @@
 A token is an element's opening tag in its role (its path of enclosing elements, with classes and ids) or a block of
 text in its place. Tokens of one host that occur equally often on every page share an occurrence vector and form a
 class. Vectors are compared by order-free digests that Spark sums up by host and token, so no host is ever gathered.
-Classes of two tokens or more that stand on nearly all pages are the host's template: its elements that stand once a
-page are its slots, its text is deducted. On a page the template's text is what stands there in the template's order.
+Classes that stand on nearly all pages are the host's template: its elements that stand once a page are its slots, and
+the text of classes of two tokens or more is deducted, but for headings, paragraphs, list items and table cells: these
+are text wherever they stand, and an article may share them with others. On a page the template's text is what stands there in the template's order.
 The slot that holds the article is the innermost template element with all of the host's text that is not
 menus, notices, template and the like; what stands in it on each page is extracted.
 """
@@ -116,22 +117,23 @@ def _hidden(elements: list[list], texts: list[tuple]) -> list[bool]:
 
 
 def blocks(page: str):
-    """``(path, depth, hidden, text)`` of elements as they open, with no text, and of blocks of text, in page order.
+    """``(path, depth, hidden, text, leaf)`` of elements as they open, with no text, and of blocks of text, in page order.
 
-    The path has the enclosing elements; inline elements and those that end by themselves are not part of it.
+    The path has the enclosing elements; inline elements and those that end by themselves are not part of it. ``leaf``
+    tells blocks of the latter: headings, paragraphs, list items, table cells and the like.
     """
     stack: list[tuple[str, str, int, bool]] = []  # tag, path, element, inside the article
     elements: list[list] = []
-    events: list[tuple] = []  # path, depth, element, text
+    events: list[tuple] = []  # path, depth, element, text, in a leaf
     pieces: list[str] = []
-    at = 0
+    at, leaf = 0, False
 
     def flush():
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
             _, path, element, _ = stack[-1] if stack else ("", "", -1, False)
-            events.append((path, len(stack), element, text))
+            events.append((path, len(stack), element, text, leaf))
 
     for found in _TOKEN.finditer(page):
         if found.start() > at:
@@ -146,7 +148,9 @@ def blocks(page: str):
             continue
         flush()
         if tag in LEAF or tag in VOID:
+            leaf = not found[2] if tag in LEAF else leaf
             continue
+        leaf = False
         if found[2]:
             k = len(stack) - 1
             while k >= 0 and stack[k][0] != tag:
@@ -158,15 +162,15 @@ def blocks(page: str):
         role, off, named = _opened(tag, found[4], inside)
         elements.append([parent, tag, off, named])
         stack.append((tag, f"{path}/{role}", len(elements) - 1, inside or tag in MAIN))
-        events.append((stack[-1][1], len(stack), len(elements) - 1, None))
+        events.append((stack[-1][1], len(stack), len(elements) - 1, None, False))
         if found[4].endswith("/") and tag not in MAIN:
             stack.pop()
     if at < len(page):
         pieces.append(html.unescape(page[at:]))
     flush()
-    hidden = _hidden(elements, [(element, text) for _, _, element, text in events if text is not None])
-    for path, depth, element, text in events:
-        yield path, depth, element >= 0 and hidden[element], text
+    hidden = _hidden(elements, [(element, text) for _, _, element, text, _ in events if text is not None])
+    for path, depth, element, text, inner in events:
+        yield path, depth, element >= 0 and hidden[element], text, inner
 
 
 def _is_main(path: str) -> bool:
@@ -179,18 +183,20 @@ def _text_token(path: str, text: str) -> int:
 
 def _counted(page: str) -> dict:
     """For each ``(path, text)`` on the page that is not hidden: its depth, how often it stands there, how much text
-    it holds, and after how many blocks of text it comes first. Elements have no text, blocks of text a digest."""
+    it holds, and after how many blocks of text it comes first. Elements have no text, blocks of text a digest; blocks in
+    leaves are no template's and only count."""
     seen: dict[tuple, list] = {}
     at = 0
-    for path, depth, hidden, text in blocks(page):
+    for path, depth, hidden, text, leaf in blocks(page):
         if hidden:
             continue
         if text is None:
             seen.setdefault((path, None), [depth, 0, 0, at])[1] += 1
         else:
-            token = seen.setdefault((path, _text_token(path, text)), [depth, 0, 0, at])
-            token[1] += 1
-            token[2] += len(text)
+            if not leaf:
+                token = seen.setdefault((path, _text_token(path, text)), [depth, 0, 0, at])
+                token[1] += 1
+                token[2] += len(text)
             at += 1
             while path:
                 if (path, None) in seen:
@@ -230,15 +236,16 @@ def _in_order(places: list[int]) -> set[int]:
 def article(page: str, template: str | None, fixed: list[int] | None = None) -> str:
     """The blocks in the template's slot less its text tokens ``fixed``; on a page without that element, in its own
     article or all that is shown. A page with none but template text is all there is to tell, and keeps it."""
-    shown = [(path, text) for path, _, hidden, text in blocks(page) if not hidden]
-    opened = {path for path, text in shown if text is None}
+    shown = [(path, text, leaf) for path, _, hidden, text, leaf in blocks(page) if not hidden]
+    opened = {path for path, text, _ in shown if text is None}
     under = lambda path, top: path == top or path.startswith(top + "/")
     if template in opened:
         tops = [template]
     else:
         mains = sorted((p for p in opened if _is_main(p)), key=lambda p: p.count("/"))
         tops = [p for i, p in enumerate(mains) if not any(under(p, q) for q in mains[:i])] or [""]
-    said = [(_text_token(path, text) if fixed else 0, path, text) for path, text in shown if text is not None]
+    token_of = lambda path, text, leaf: None if leaf or not fixed else _text_token(path, text)
+    said = [(token_of(path, text, leaf), path, text) for path, text, leaf in shown if text is not None]
     place = {token: i for i, token in enumerate(fixed or ())}
     run = _in_order([place[token] for token in dict.fromkeys(token for token, _, _ in said) if token in place])
     held = [(token, text) for token, path, text in said if any(under(path, top) for top in tops)]
@@ -335,7 +342,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     A block's character references are decoded and its white space is one space each, trimmed. Left out are
     elements that are menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles
     or reader comments by their tag, class, id or role, and whole blocks of text that the host's pages share as their
-    template.
+    template. Headings, paragraphs, list items and table cells of the article stay, however many pages have them.
 
     Null and empty pages have an empty text. Rows without a url, or whose url has no host, are one host. Repeated
     rows give a result row each. A host of one page is its own template. Of other columns none is read.

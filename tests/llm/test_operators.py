@@ -367,6 +367,20 @@ def test_text_of_the_template_is_deducted(spark):
     assert len(classes) == 4 and all(r.size > 1 for r in classes)
 
 
+def test_what_articles_share_stays(spark):
+    dish = "<article><h1>Dish {i}</h1><h2>Ingredients</h2><p>Salt {i} times</p><h2>Method</h2><p>Stir {i} times</p></article>"
+    grid = "<main><table><tr><th>Size</th><th>Unit</th></tr><tr><td>{i} of 9</td><td>metres</td></tr></table></main>"
+    rows = [(i, f"https://a.example/{i}", f"<body><div>Kitchen</div>{dish.format(i=i)}<div>The end</div></body>") for i in range(4)]
+    rows += [(10 + i, f"https://b.example/{i}", f"<body>{grid.format(i=i)}</body>") for i in range(4)]
+    rows += [(20 + i, f"https://c.example/{i}", f"<body><div id=top>Site</div><div id=text><h2>Notes</h2><p>{i} words</p></div></body>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    for i in range(4):
+        assert found[i] == f"Dish {i}\nIngredients\nSalt {i} times\nMethod\nStir {i} times"
+        assert found[10 + i] == f"Size\nUnit\n{i} of 9\nmetres"
+        assert found[20 + i].endswith(f"Notes\n{i} words")
+
+
 def test_an_article_in_two_elements_is_whole(spark):
     body = "<div class=head>The site</div><div id=content><div class=lead><p>{a}</div><div class=story><p>{b}</div></div>"
     rows = [(i, f"https://a.example/{i}", body.format(a=f"{i} lead" * 4, b=f"{i} tale" * 6)) for i in range(6)]
