@@ -189,13 +189,14 @@ def jaccard_components(
     nth_of = F.pmod(F.xxhash64("comp", "chunk"), F.lit(PASSES)).cast("int")
     wanted = open_.select("comp", "chunk").distinct()
     inside = member.join(wanted, ["comp", "chunk"], "left_semi").select(
-        F.col("rep").alias("id"), nth_of.alias("as_member"), F.lit(0).alias("as_query")
+        F.col("rep").alias("id"), "comp", "chunk", F.col("n").alias("m"), nth_of.alias("as_member"), F.lit(0).alias("as_query")
     )
     asking = open_.select(F.col("q").alias("id"), nth_of.alias("nth")).distinct().select(
-        "id", F.lit(None).cast("int").alias("as_member"), F.expr("shiftleft(1, nth)").alias("as_query")
+        "id", F.expr("shiftleft(1, nth)").alias("as_query")
     )
+    place = [F.max(c).alias(c) for c in ("comp", "chunk", "m", "as_member")]
     ids = stored(
-        inside.unionByName(asking).groupBy("id").agg(F.max("as_member").alias("as_member"), F.bit_or("as_query").alias("as_query"))
+        inside.unionByName(asking, allowMissingColumns=True).groupBy("id").agg(*place, F.bit_or("as_query").alias("as_query"))
     )
     held = stored(
         named.mapInArrow(_token_rows(n, id_filter(ids.select("id"))), TOKENS).join(ids, "id").dropDuplicates(["id"])
@@ -203,9 +204,7 @@ def jaccard_components(
     found, written = stars, [stars]
     for nth in range(PASSES):
         turn = nth_of == nth
-        own = held.where(F.col("as_member") == nth).select("id", "tokens")
-        parts = member.where(turn).join(own, F.col("rep") == F.col("id"))
-        parts = parts.select("comp", "chunk", "rep", F.col("n").alias("m"), "tokens")
+        parts = held.where(F.col("as_member") == nth).select("comp", "chunk", F.col("id").alias("rep"), "m", "tokens")
         unions = parts.groupBy("comp", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
         sought = held.where(F.col("as_query").bitwiseAND(F.lit(1 << nth)) != 0)
         asked = open_.where(turn).join(sought.select(F.col("id").alias("q"), F.col("tokens").alias("sought")), "q")
