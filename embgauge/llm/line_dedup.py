@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from embgauge.llm import rarity, words
 from embgauge.llm.shared import discard, id_filter, may_hold, stored
 
-#: Bytes of text that one numpy step works on.
-BLOCK = 4 << 20
+#: Bytes of text that one numpy step works on, and steps whose tokens are looked through for repeats together.
+STEP, STEPS = 1 << 20, 4
 NEWLINE, BLANKS = 0x0A, " \t\n\x0b\x0c\r"
 
 LINES = "id long, line int, n int, k1 long, k2 long, m1 long, m2 long, token long, cnt long"
@@ -28,12 +28,15 @@ TOKENS = "id long, line int, tokens array<long>"
 PREFIX = "id long, line int, short int, tokens array<long>"
 
 
-def _lines(batch: pa.RecordBatch, n: int, wanted: np.ndarray | None = None):
-    """For blocks of documents: id and number of each line, sorted distinct shingle hashes and their line bounds."""
+def _lines(batch: pa.RecordBatch, n: int, wanted: np.ndarray | None = None, level: np.ndarray | None = None):
+    """For some documents at a time: id and number of each line, distinct shingle hashes and their line bounds.
+
+    With ``level`` the hashes are ``rarity.ranked``, and in order.
+    """
     is_word, values = words.byte_class("space"), words.folded_values()
     data, bounds = words.text_bytes(batch.column(1))
     ids = batch.column(0).to_numpy()
-    for low, high in words.blocks(bounds, BLOCK):
+    for low, high in words.blocks(bounds, STEP):
         part, docs = data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]
         breaks = np.flatnonzero(part == NEWLINE)
         held = np.diff(np.searchsorted(breaks, docs)) + 1
@@ -54,7 +57,11 @@ def _lines(batch: pa.RecordBatch, n: int, wanted: np.ndarray | None = None):
             starts = ends - length
         hashes, rows = words.row_words(part, np.append(starts, len(part)), is_word, values)
         tokens, row = words.shingles(hashes, rows, n)
-        yield at, number.astype(np.int32), *words.distinct(tokens, row, len(at))
+        if level is None:
+            tokens, rows = words.once(tokens, row, len(at))
+        else:
+            tokens, rows = words.distinct(rarity.ranked(tokens, level), row, len(at))
+        yield at, number.astype(np.int32), tokens, rows
 
 
 #: Odd multipliers of fewer than 32 bits: products of 31-bit numbers with them stay within a long.
@@ -74,15 +81,22 @@ def place_column(ids, lines):
 
 def _scan(n: int):
     """All lines that have words, with what names their set and two min-hashes; and the tokens that several lines
-    of a block hold."""
+    of a few steps hold."""
+    names = ["id", "line", "n", "k1", "k2", "m1", "m2", "token", "cnt"]
+
+    def repeated(seen):
+        token, cnt = rarity.repeats(np.concatenate(seen))
+        void = [pa.nulls(len(token), t) for t in (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4)]
+        return pa.RecordBatch.from_arrays([*void, token, cnt], names=names)
 
     def run(batches):
-        names = ["id", "line", "n", "k1", "k2", "m1", "m2", "token", "cnt"]
         for batch in batches:
+            seen = []
             for ids, lines, tokens, at in _lines(batch, n):
-                token, cnt = rarity.repeats(tokens)
-                void = [pa.nulls(len(token), t) for t in (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4)]
-                yield pa.RecordBatch.from_arrays([*void, token, cnt], names=names)
+                seen.append(tokens)
+                if len(seen) == STEPS:
+                    yield repeated(seen)
+                    seen = []
                 full = np.flatnonzero(np.diff(at))
                 if not len(full):
                     continue
@@ -92,6 +106,8 @@ def _scan(n: int):
                 columns = [pa.array(ids[full]), pa.array(lines[full]), pa.array(np.diff(at)[full].astype(np.int32))]
                 columns += [words.signed(s) for s in (*sums, a, b)]
                 yield pa.RecordBatch.from_arrays([*columns, *none], names=names)
+            if seen:
+                yield repeated(seen)
 
     return run
 
@@ -114,11 +130,7 @@ def _token_rows(n: int, wanted):
 def _prefixes(n: int, num: int, den: int, level, wanted):
     def run(batches):
         for batch in batches:
-            for ids, lines, tokens, at in _lines(batch, n, wanted.value):
-                count = np.diff(at)
-                order, bounds = words.distinct(
-                    rarity.ranked(tokens, level.value), np.repeat(np.arange(len(count)), count), len(count)
-                )
+            for ids, lines, order, bounds in _lines(batch, n, wanted.value, level.value):
                 size = np.diff(bounds)
                 long = np.where(size > 0, size - -(-num * size // den) + 1, 0)
                 short = np.where(size > 0, size - -(-2 * num * size // (num + den)) + 1, 0)
@@ -144,10 +156,10 @@ def _fetch(texts: DataFrame, lines: DataFrame, kernel, schema: str) -> DataFrame
     return found.dropDuplicates(["id", "line"]).select(F.struct("id", "line").alias("at"), *found.columns[2:])
 
 
-def _first(*columns: str) -> list:
-    """The row of the smallest ``(id, line)`` of a group; one number orders it, so groups are hashed, not sorted."""
+def _first() -> list:
+    """The smallest ``(id, line)`` of a group; one number orders the lines, so groups are hashed, not sorted."""
     place = F.col("id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
-    return [F.min_by(c, place).alias(c) for c in ("id", "line", *columns)]
+    return [F.min("id").alias("id"), F.min_by("line", place).alias("line")]
 
 
 def kept_lines(
@@ -157,14 +169,14 @@ def kept_lines(
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.where("id is not null")
-    scan = stored(texts.mapInArrow(_scan(n), LINES))
+    scan = stored(texts.mapInArrow(_scan(n), LINES), hashes=True)
     level = spark.sparkContext.broadcast(
         rarity.repeat_levels(scan.where("token is not null").select("token", F.col("cnt").alias("n")))
     )
     sets = scan.where("token is null").groupBy("k1", "k2", "n").agg(
         *_first(), F.min("m1").alias("m1"), F.min("m2").alias("m2")
     )
-    sets = stored(sets.select(F.struct("id", "line").alias("first"), "n", "m1", "m2"))
+    sets = stored(sets.select(F.struct("id", "line").alias("first"), "n", "m1", "m2"), hashes=True)
     discard(scan)
     # smaller sets are similar to equal ones only
     large = sets.where(F.col("n") * (den - num) >= num)
@@ -173,15 +185,18 @@ def kept_lines(
         both = F.size(F.array_intersect(t1, t2))
         return both * (num + den) >= (F.size(t1) + F.size(t2)) * num
 
-    # every set against the earliest ones of its min-hashes, if their sizes are close
+    # every set against a set of its min-hashes in the first document that has one, if it is earlier and their sizes
+    # are close; which of a document's sets is of no matter, as the join below finds what this does not
     slots = large.select("first", "n", F.explode(F.array("m1", "m2")).alias("least"))
-    hubs = slots.select("first.*", "n", "least").groupBy("least").agg(*_first("n"), F.count("*").alias("held"))
+    hubs = slots.select("first.*", "n", "least").groupBy("least").agg(
+        F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in ("line", "n")], F.count("*").alias("held")
+    )
     hubs = hubs.where("held > 1").select("least", F.struct("id", "line").alias("hub"), F.col("n").alias("m"))
     m = F.col("m")
-    close = (m * den >= F.col("n") * num) & (F.col("n") * den >= m * num) & (F.col("first") != F.col("hub"))
+    close = (m * den >= F.col("n") * num) & (F.col("n") * den >= m * num) & (F.col("first") > F.col("hub"))
     pairs = stored(slots.join(hubs, "least").where(close).select("first", "hub").distinct())
     lines = pairs.select(F.explode(F.array("first", "hub")).alias("at")).select("at.*").distinct()
-    held = stored(_fetch(texts, lines, lambda wanted: _token_rows(n, wanted), TOKENS))
+    held = stored(_fetch(texts, lines, lambda wanted: _token_rows(n, wanted), TOKENS), hashes=True)
     decided = (
         pairs.join(held.select(F.col("at").alias("first"), F.col("tokens").alias("t1")), "first")
         .join(held.select(F.col("at").alias("hub"), F.col("tokens").alias("t2")), "hub")
@@ -196,7 +211,7 @@ def kept_lines(
     large = state.where(F.col("n") * (den - num) >= num)
     lines = large.select("first.*", "n", "decided")
     rare = _fetch(texts, lines, lambda wanted: _prefixes(n, num, den, level, wanted), PREFIX)
-    rare = stored(rare.withColumnRenamed("at", "first").select("first", "n", "decided", "short", "tokens"))
+    rare = stored(rare.withColumnRenamed("at", "first").select("first", "n", "decided", "short", "tokens"), hashes=True)
     place = F.col("first.id"), F.col("first.line")
     left = rare.where("not decided").select(F.posexplode("tokens").alias("i", "token"), *place, "n").toDF(
         "i", "token", "q_id", "q_line", "n"
@@ -219,7 +234,7 @@ def kept_lines(
     )
     discard(rare)
     lines = pairs.select(F.explode(F.array("q", "s")).alias("at")).select("at.*").distinct()
-    held = stored(_fetch(texts, lines, lambda wanted: _token_rows(n, wanted), TOKENS))
+    held = stored(_fetch(texts, lines, lambda wanted: _token_rows(n, wanted), TOKENS), hashes=True)
     found = (
         pairs.join(held.select(F.col("at").alias("q"), F.col("tokens").alias("t1")), "q")
         .join(held.select(F.col("at").alias("s"), F.col("tokens").alias("t2")), "s")

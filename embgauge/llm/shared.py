@@ -22,15 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, hashes: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage is cut, a lost executor costs a re-read.
 
+    Of a table that is mostly ``hashes`` no dictionaries are tried: they would not get smaller by it.
+
     The table is deleted by ``discard``, or when the application ends. The shuffles it came from are of no more
     use; a collection on the driver lets Spark's cleaner delete their files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     place, files = _place(spark, path)
     files.deleteOnExit(place)
     spark.sparkContext._jvm.System.gc()
