@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from embgauge.llm import rarity, words
 from embgauge.llm.shared import components, discard, id_filter, may_hold, stored
 
-#: Bytes of text that one numpy step works on.
-BLOCK = 4 << 20
+#: Bytes of text that one numpy step works on, and steps whose tokens are looked through for repeats together.
+STEP, STEPS = 1 << 20, 4
 #: Min-hashes of a document, and how many of them it must share with a hub to be compared with it.
 HASHES, SHARED = 4, 2
 #: Documents and tokens in a chunk of a group, about.
@@ -36,28 +36,42 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), words.signed(values))
 
 
-def _sets(batch: pa.RecordBatch, n: int):
-    """For blocks of rows: ids, sorted distinct shingle hashes and their row bounds."""
+def _sets(batch: pa.RecordBatch, n: int, level: np.ndarray | None = None):
+    """For some rows at a time: ids, distinct shingle hashes and their row bounds.
+
+    With ``level`` the hashes are ``rarity.ranked``, and in order.
+    """
     is_word, values = words.byte_class("space"), words.folded_values()
     data, bounds = words.text_bytes(batch.column(1))
     ids = batch.column(0)
-    for low, high in words.blocks(bounds, BLOCK):
+    for low, high in words.blocks(bounds, STEP):
         part = data[bounds[low] : bounds[high]]
         hashes, rows = words.row_words(part, bounds[low : high + 1] - bounds[low], is_word, values)
         tokens, row = words.shingles(hashes, rows, n)
-        tokens, at = words.distinct(tokens, row, high - low)
+        if level is None:
+            tokens, at = words.once(tokens, row, high - low)
+        else:
+            tokens, at = words.distinct(rarity.ranked(tokens, level), row, high - low)
         yield ids.slice(low, high - low), tokens, at
 
 
 def _profiles(n: int):
+    names = ["id", "n", "k1", "k2", "mins", "token", "cnt"]
+
+    def repeated(seen):
+        token, cnt = rarity.repeats(np.concatenate(seen))
+        void = [*[pa.nulls(len(token), pa.int64())] * 4, pa.nulls(len(token), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*void, token, cnt], names=names)
+
     def run(batches):
-        names = ["id", "n", "k1", "k2", "mins", "token", "cnt"]
         seeds = np.random.default_rng(7).integers(0, 1 << 64, HASHES, dtype=np.uint64)
         for batch in batches:
+            seen = []
             for ids, tokens, at in _sets(batch, n):
-                token, cnt = rarity.repeats(tokens)
-                void = [*[pa.nulls(len(token), pa.int64())] * 4, pa.nulls(len(token), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*void, token, cnt], names=names)
+                seen.append(tokens)
+                if len(seen) == STEPS:
+                    yield repeated(seen)
+                    seen = []
                 count, full = np.diff(at), np.flatnonzero(np.diff(at))
                 least = np.zeros((len(count), HASHES), np.uint64)
                 for j, seed in enumerate(seeds):
@@ -69,6 +83,8 @@ def _profiles(n: int):
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(count), words.signed(sums[0]), words.signed(sums[1]), mins, *none], names=names
                 )
+            if seen:
+                yield repeated(seen)
 
     return run
 
@@ -95,11 +111,7 @@ def _prefixes(n: int, num: int, den: int, level, wanted):
         table, bitmap = level.value, wanted.value
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(bitmap, batch.column(0).to_numpy())))
-            for ids, tokens, at in _sets(batch, n):
-                count = np.diff(at)
-                order, bounds = words.distinct(
-                    rarity.ranked(tokens, table), np.repeat(np.arange(len(count)), count), len(count)
-                )
+            for ids, order, bounds in _sets(batch, n, table):
                 size = np.diff(bounds)
                 long = size - -(-num * size // den) + 1
                 short = size - -(-2 * num * size // (num + den)) + 1
@@ -133,7 +145,7 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profile = stored(texts.mapInArrow(_profiles(n), PROFILE))
+    profile = stored(texts.mapInArrow(_profiles(n), PROFILE), hashes=True)
     level = spark.sparkContext.broadcast(
         rarity.repeat_levels(profile.where("token is not null").select("token", F.col("cnt").alias("n")))
     )
@@ -150,7 +162,8 @@ def jaccard_components(
     near = stored(near.where(F.col("same") >= SHARED).select("rep", "hub"))
     ids = near.select(F.explode(F.array("rep", "hub")).alias("id")).distinct()
     held = stored(
-        named.mapInArrow(_token_rows(n, id_filter(ids)), TOKENS).join(ids, "id", "left_semi").dropDuplicates(["id"])
+        named.mapInArrow(_token_rows(n, id_filter(ids)), TOKENS).join(ids, "id", "left_semi").dropDuplicates(["id"]),
+        hashes=True,
     )
     stars = (
         near.join(held.select(F.col("id").alias("rep"), F.col("tokens").alias("t1")), "rep")
@@ -174,7 +187,7 @@ def jaccard_components(
     wanted = id_filter(member.select(F.col("rep").alias("id")))
     rare = named.mapInArrow(_prefixes(n, num, den, level, wanted), PREFIX).dropDuplicates(["id"])
     rare = rare.drop("n").join(member, F.col("id") == F.col("rep"))
-    rare = stored(rare.select("rep", "n", "comp", "chunk", "held", "short", "tokens"))
+    rare = stored(rare.select("rep", "n", "comp", "chunk", "held", "short", "tokens"), hashes=True)
     indexed = rare.select("n", "comp", "chunk", "held", F.explode(F.slice("tokens", 1, F.col("short"))).alias("token"))
     lone = indexed.where("held = 1").select("token", "comp", "chunk", F.col("n").alias("low"), F.col("n").alias("high"))
     grouped = indexed.where("held > 1").groupBy("token", "comp", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -199,7 +212,8 @@ def jaccard_components(
         inside.unionByName(asking, allowMissingColumns=True).groupBy("id").agg(*place, F.bit_or("as_query").alias("as_query"))
     )
     held = stored(
-        named.mapInArrow(_token_rows(n, id_filter(ids.select("id"))), TOKENS).join(ids, "id").dropDuplicates(["id"])
+        named.mapInArrow(_token_rows(n, id_filter(ids.select("id"))), TOKENS).join(ids, "id").dropDuplicates(["id"]),
+        hashes=True,
     )
     found, written = stars, [stars]
     for nth in range(PASSES):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from embgauge.llm import words
 
 #: Bytes of text that one numpy step works on; beginnings of words that are features too, in bytes.
-BLOCK, BEGINNINGS = 2 << 20, (4, 5, 6)
+BLOCK, BEGINNINGS = 1 << 19, (4, 5, 6)
 SLOTS = 22
 
 
