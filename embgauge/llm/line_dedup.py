@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from embgauge.llm import rarity, words
-from embgauge.llm.shared import discard, id_filter, may_hold, stored
+from embgauge.llm.shared import discard, free_name, id_filter, may_hold, stored
 
 #: Bytes of text that one numpy step works on, and steps whose tokens are looked through for repeats together.
 STEP, STEPS = 1 << 20, 4
@@ -273,14 +273,14 @@ def dedup_lines(
     Lines without words stay.
 
     A null text stays null, with no lines; a document may be left with an empty text. Rows that share an id are
-    one document and keep the same lines. Rows with a null id stay as they are. All columns of ``docs`` stay;
-    ``line_count`` and ``lines_removed`` must not be among them.
+    one document and keep the same lines. Rows with a null id stay as they are. All columns of ``docs`` stay; where one
+    has the name of a new column, the new one's gets underscores (``line_count_``). The new ones come last.
     """
-    kept = kept_lines(docs, id_col, text_col, n, num, den).select(F.col("id").alias("__id"), F.col("lines").alias("__lines"))
-    both = docs.join(kept, F.col(id_col).cast("long") == F.col("__id"), "left")
-    lines = F.when(F.col(id_col).isNotNull(), F.coalesce("__lines", F.array().cast("array<int>")))
-    both = both.withColumn("__new", _rewritten(F.col(text_col).cast("string"), lines))
-    columns = [F.col("__new.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return both.select(
-        *columns, F.col("__new.n_lines").alias("line_count"), F.col("__new.n_removed").alias("lines_removed")
-    )
+    at, left, new = (free_name(docs.columns, c) for c in ("kept_id", "kept_lines", "rewritten"))
+    count, removed = (free_name(docs.columns, c) for c in ("line_count", "lines_removed"))
+    kept = kept_lines(docs, id_col, text_col, n, num, den).select(F.col("id").alias(at), F.col("lines").alias(left))
+    both = docs.join(kept, F.col(id_col).cast("long") == F.col(at), "left")
+    lines = F.when(F.col(id_col).isNotNull(), F.coalesce(left, F.array().cast("array<int>")))
+    both = both.withColumn(new, _rewritten(F.col(text_col).cast("string"), lines))
+    columns = [F.col(f"{new}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return both.select(*columns, F.col(f"{new}.n_lines").alias(count), F.col(f"{new}.n_removed").alias(removed))

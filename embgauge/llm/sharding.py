@@ -11,6 +11,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from embgauge.llm.shared import free_name
+
 #: Slots in a table, at most: what is broadcast stays under about 16 MB.
 MOST_SLOTS = 1_000_003
 
@@ -49,13 +51,16 @@ def slot_of(key: Column, slots: int) -> Column:
 
 
 def place(df: DataFrame, shards: list[str], key_col: str, slots: int = 65537) -> DataFrame:
-    """``df`` with ``slot`` and ``shard``; no row moves. These names must not be among its columns.
+    """``df`` with ``slot`` and ``shard`` as its last columns; no row moves.
 
-    Equal keys share a slot; null keys are placed like empty ones. An empty table stays empty.
+    Equal keys share a slot; null keys are placed like empty ones. An empty table stays empty. All columns of ``df``
+    stay; where one has the name of a new column, the new one's gets underscores (``slot_``).
     """
     spark = df.sparkSession
     table = lookup_table(shards, slots)
-    known = spark.createDataFrame(list(enumerate(table)), "__slot int, shard string")
+    slot, shard = (free_name(df.columns, c) for c in ("slot", "shard"))
+    at = free_name([*df.columns, slot, shard], "at")
+    known = spark.createDataFrame(list(enumerate(table)), f"{at} int, {shard} string")
     # at most MOST_SLOTS short rows
-    placed = df.withColumn("slot", slot_of(F.col(key_col), slots))
-    return placed.join(F.broadcast(known), F.col("slot") == F.col("__slot")).drop("__slot")
+    placed = df.withColumn(slot, slot_of(F.col(key_col), slots))
+    return placed.join(F.broadcast(known), F.col(slot) == F.col(at)).drop(at)

@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as it takes to differ from all ``columns``, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, hashes: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage is cut, a lost executor costs a re-read.
 

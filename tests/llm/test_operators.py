@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import pytest
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -14,6 +15,7 @@ import brute
 
 from embgauge.llm import ann, collection_bwt, decontaminate, html_extract, line_dedup, ngram_join, piece_bpe, queries
 from embgauge.llm import secrets, sharding, shared, suffix_dedup, toxicity
+from embgauge.llm import words as shared_words
 
 DOC = "doc_id long, text string, source string, id string, n int, tokens string, at int, value int, p int, list int, v int"
 SF = "/root/testdata/sf0.001"
@@ -96,6 +98,36 @@ def test_line_dedup_equals_brute_force(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_new_columns_make_way_for_those_of_the_input(spark):
+    text = "one line of seven words in all\nanother line"
+    frame = spark.createDataFrame(
+        [(1, text, 7, 8, "a", 9, 10), (2, text, 70, 80, "b", 90, 100)],
+        "doc_id long, text string, line_count int, Lines_Removed int, kept_lines string, slot int, rewritten int",
+    )
+    found = line_dedup.dedup_lines(frame)
+    assert found.columns == [*frame.columns, "line_count_", "lines_removed_"]
+    first, second = sorted(found.collect())
+    assert first[1:] == (text, 7, 8, "a", 9, 10, 2, 0) and second[1:] == ("", 70, 80, "b", 90, 100, 2, 2)
+    placed = sharding.place(frame.withColumnRenamed("kept_lines", "shard"), ["x", "y"], "doc_id", 11)
+    assert placed.columns[-2:] == ["slot_", "shard_"]
+    for r in placed.collect():
+        at = sharding.digest(str(r.doc_id)) % 11
+        assert (r.slot, r.shard) == ((9, "a") if r.doc_id == 1 else (90, "b"))
+        assert (r.slot_, r.shard_) == (at, sharding.lookup_table(["x", "y"], 11)[at])
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 12)), max_size=60))
+def test_tokens_of_a_row_once_equal_its_distinct_ones(pairs):
+    pairs = sorted(pairs, key=lambda p: p[0])
+    row = np.array([r for r, _ in pairs], np.int64)
+    tokens = shared_words.mix(np.array([t for _, t in pairs], np.uint64) + np.uint64(1))
+    once, bounds = shared_words.once(tokens, row, 7)
+    want, ends = shared_words.distinct(tokens, row, 7)
+    assert list(bounds) == list(ends)
+    for low, high in zip(bounds, bounds[1:]):
+        assert sorted(once[low:high]) == list(want[low:high])
+
+
 def test_decontamination_equals_brute_force(spark, docs, rows, empty):
     long = next(t for _, t, _ in rows if len(t) > 100_000).split()
     items = [(i, " ".join(long[i * 50 : i * 50 + 25])) for i in range(30)]
@@ -455,6 +487,21 @@ def test_rows_without_an_id_stay_out_of_the_window_and_repeated_ids_do_not_follo
     assert kept[0] == kept[1] and [i for i, _ in kept[0]] == ["1", "2", "None", "None"]
 
 
+def test_pipeline_stages_keep_columns_whose_names_they_use_inside(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a line of some six words", None, 7, 5), (2, "a line of some six words\nmore", 3, 7, 6), (None, None, 1, 7, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, lines_removed int, nth int")
+    left = corpus_pipeline.drop_repeated_lines(spark, frame, SF)
+    assert left.columns == frame.columns
+    got = {r.doc_id: tuple(r)[1:] for r in left.collect()}
+    assert got == {1: rows[0][1:], 2: ("more", 4, 7, 6), None: rows[2][1:]}
+    left = corpus_pipeline.keep_one_of_each_group(spark, frame, SF)
+    assert left.columns == frame.columns and sorted(r.nth for r in left.collect()) == [5, 6, 7]
+    empty = frame.where("false")
+    assert corpus_pipeline.drop_repeated_lines(spark, empty, SF).count() == 0
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     import sentencepiece
 
