@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embgauge.functions.kernels import MAX_WIDTH, row_chunks, to_lists, to_matrix
+from embgauge.functions.kernels import MAX_BROADCAST_BYTES, MAX_WIDTH, row_chunks, to_lists, to_matrix
 from embgauge.functions.vectors import mean_vector, subtract, sum_vector
 from embgauge.session import parallelism
 
@@ -63,13 +63,14 @@ def isoscore_of(cov: np.ndarray) -> float:
 TILE = 256
 
 
-def _gram_tiles(df: DataFrame, column: str, origin: np.ndarray) -> DataFrame:
-    """Rows ``(i, j, g)``: tiles of the upper triangle of the Gram matrix of ``[1, x - origin]``, by block pair.
+def _gram_tiles(df: DataFrame, column: str, origin: np.ndarray, by: str | None = None) -> DataFrame:
+    """Rows ``(part, i, j, g)``: tiles of the upper triangle of the Gram matrix of ``[1, x - origin]``, by block pair, for
+    each value of the integer column ``by`` (without it, part 0).
 
     Splits are merged before anything is shuffled: there are as many tasks as the cluster has cores, each folds the
     rows of its splits with BLAS, block pair by block pair, and emits one set of tiles. The shuffle adds up the tiles,
     equally large keys that spread over the cluster; what it moves follows the cores, not the splits. A task holds
-    half a matrix.
+    half a matrix per part.
     """
     width = len(origin) + 1
     cuts = [slice(at, min(at + TILE, width)) for at in range(0, width, TILE)]
@@ -77,52 +78,84 @@ def _gram_tiles(df: DataFrame, column: str, origin: np.ndarray) -> DataFrame:
     def fold(batches):
         tiles = {}
         for batch in batches:
-            vectors = batch.column(0)
-            for part in row_chunks(len(vectors), width):
-                x = to_matrix(vectors.slice(part.start, part.stop - part.start), width - 1) - origin
+            parts, vectors = batch.column(0).to_numpy(), batch.column(1)
+            for rows in row_chunks(len(vectors), width):
+                x = to_matrix(vectors.slice(rows.start, rows.stop - rows.start), width - 1) - origin
                 x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-                for i, left in enumerate(cuts):
-                    for j in range(i, len(cuts)):
-                        g = x[:, left].T @ x[:, cuts[j]]
-                        if (i, j) in tiles:
-                            tiles[i, j] += g
-                        else:
-                            tiles[i, j] = g
-        for (i, j), g in tiles.items():
-            place = [pa.array([n], pa.int32()) for n in (i, j)]
-            yield pa.RecordBatch.from_arrays([*place, to_lists(g.reshape(1, -1))], names=["i", "j", "g"])
-
-    merged = df.select(column).coalesce(parallelism(df.sparkSession))
-    partial = merged.mapInArrow(fold, "i int, j int, g array<double>")
-    return partial.groupBy("i", "j").agg(sum_vector("g").alias("g"))
-
-
-def gram(df: DataFrame, column: str, origin: np.ndarray) -> np.ndarray:
-    """Sums of products of ``[1, x - origin]``, from one scan."""
+                found = np.unique(parts[rows])
+                for part in found.tolist():
+                    y = x if len(found) == 1 else x[parts[rows] == part]
+                    for i, left in enumerate(cuts):
+                        for j in range(i, len(cuts)):
+                            g = y[:, left].T @ y[:, cuts[j]]
+                            if (part, i, j) in tiles:
+                                tiles[part, i, j] += g
+                            else:
+                                tiles[part, i, j] = g
+        for key, g in tiles.items():
+            place = [pa.array([n], pa.int32()) for n in key]
+            yield pa.RecordBatch.from_arrays([*place, to_lists(g.reshape(1, -1))], names=["part", "i", "j", "g"])
+
+    group = F.lit(0) if by is None else F.col(by).cast("int")
+    merged = df.select(group.alias("part"), column).coalesce(parallelism(df.sparkSession))
+    partial = merged.mapInArrow(fold, "part int, i int, j int, g array<double>")
+    return partial.groupBy("part", "i", "j").agg(sum_vector("g").alias("g"))
+
+
+def grams(df: DataFrame, column: str, origin: np.ndarray, by: str | None = None) -> dict[int, np.ndarray]:
+    """Sums of products of ``[1, x - origin]`` for each value of ``by``, from one scan."""
     width = len(origin) + 1
-    out = np.zeros((width, width))
-    tiles = _gram_tiles(df, column, origin).toArrow()
-    for i, j, g in zip(*(tiles[c] for c in ("i", "j", "g"))):
+    out = {}
+    tiles = _gram_tiles(df, column, origin, by).toArrow()
+    for part, i, j, g in zip(*(tiles[c] for c in ("part", "i", "j", "g"))):
         left, right = (slice(n.as_py() * TILE, min(n.as_py() * TILE + TILE, width)) for n in (i, j))
         tile = g.values.to_numpy().reshape(left.stop - left.start, -1)
-        out[left, right] = tile
-        out[right, left] = tile.T
+        whole = out.setdefault(part.as_py(), np.zeros((width, width)))
+        whole[left, right] = tile
+        whole[right, left] = tile.T
     return out
 
 
+def gram(df: DataFrame, column: str, origin: np.ndarray) -> np.ndarray:
+    """Sums of products of ``[1, x - origin]``, from one scan."""
+    return grams(df, column, origin).get(0, np.zeros((len(origin) + 1,) * 2))
+
+
 def moments(df: DataFrame, column: str = "embedding") -> Moments:
     """Count, mean and covariance in one pass.
 
     The data are shifted by one of their own rows, which keeps the one-pass sums free of
     cancellation. Only the (d+1)^2 sums reach the driver; d is bounded.
     """
+    origin = _origin(df, column)
+    return _moments_of(gram(df, column, origin), origin)
+
+
+def moments_without(df: DataFrame, by: str = "fold", column: str = "embedding") -> dict[int, Moments]:
+    """For each value of the integer column ``by`` the moments of all rows of other values.
+
+    One scan adds up each value's rows; the sums of the others are added, not subtracted from a total, so nothing
+    cancels. As many matrices as values reach the driver; where they are too large for that, each value has its own scan.
+    """
+    origin = _origin(df, column)
+    parts = sorted(r[0] for r in df.select(F.col(by).cast("int")).distinct().collect())
+    if len(parts) * (len(origin) + 1) ** 2 * 8 > MAX_BROADCAST_BYTES:
+        return {part: moments(df.where(F.col(by) != part), column) for part in parts}
+    sums = grams(df, column, origin, by)
+    return {part: _moments_of(sum(sums[other] for other in parts if other != part), origin) for part in parts}
+
+
+def _origin(df: DataFrame, column: str) -> np.ndarray:
     first = df.select(F.col(column).alias("v")).first()
     if first is None or first.v is None:
         raise ValueError("moments need at least one vector")
     origin = np.asarray(first.v, dtype=np.float64)
     if len(origin) > MAX_WIDTH:
         raise ValueError(f"embedding width {len(origin)} is above {MAX_WIDTH}")
-    sums_of = gram(df, column, origin)
+    return origin
+
+
+def _moments_of(sums_of: np.ndarray, origin: np.ndarray) -> Moments:
     if not np.isfinite(sums_of).all():
         raise ValueError("embedding column holds NaN or infinite entries")
     n = int(round(sums_of[0, 0]))

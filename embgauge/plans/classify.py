@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embgauge.operators.metrics import fold_summary
-from embgauge.operators.moments import isoscore_of, moments
+from embgauge.operators.moments import isoscore_of, moments, moments_without
 from embgauge.operators.probe import ProbeSettings, probe, with_folds
 from embgauge.operators.whiten import NONE, solve_whitening, whiten
 from embgauge.plans.sweep import Sweep, load_features, run_sweep
@@ -25,27 +25,29 @@ def evaluate_classification(
 
     The moments are taken once and give the isotropy and every whitening map; the isotropy of
     whitened vectors follows from the mapped covariance without another scan. ``fit_on='all'`` fits
-    the map on all rows, test folds included; ``'train'`` fits it anew on each train set.
+    the map on all rows, test folds included; ``'train'`` fits it anew on each train set, from
+    sums per fold that one more scan takes for all folds and methods.
     """
     if fit_on not in ("all", "train"):
         raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
     with cache_scope():
         base = keep(with_folds(rows.select("row_id", "label", "embedding"), classifier, settings))
         whole = moments(base)
-        parts = [_one_method(base, whole, m, classifier, settings, fit_on) for m in methods]
+        seen = moments_without(base) if fit_on == "train" and set(methods) != {NONE} else None
+        parts = [_one_method(base, whole, m, classifier, settings, seen) for m in methods]
         return reduce(DataFrame.unionByName, parts)
 
 
-def _one_method(base: DataFrame, whole, method: str, classifier: str, settings: ProbeSettings, fit_on: str):
+def _one_method(base: DataFrame, whole, method: str, classifier: str, settings: ProbeSettings, seen: dict | None):
     if method == NONE:
         isotropy, found = whole.isoscore, _figures(base, classifier, settings)
     else:
         model = solve_whitening(whole, method)
         isotropy = isoscore_of(model.whiten @ whole.cov @ model.whiten.T)
-        if fit_on == "all":
+        if seen is None:
             found = _figures(whiten(base, [model]).drop("whitening"), classifier, settings)
         else:
-            found = _figures_by_fold(base, method, classifier, settings)
+            found = _figures_by_fold(base, method, classifier, settings, seen)
     constant = base.sparkSession.createDataFrame([("isoscore", None, isotropy)], "metric string, fold int, value double")
     return found.unionByName(constant).select(F.lit(method).alias("whitening"), "metric", "fold", "value")
 
@@ -56,14 +58,14 @@ def _figures(table: DataFrame, classifier: str, settings: ProbeSettings, outer:
         return fetched(probe(table, classifier, settings, outer).results().select("metric", "fold", "value"))
 
 
-def _figures_by_fold(base: DataFrame, method: str, classifier: str, settings: ProbeSettings) -> DataFrame:
-    """As ``_figures``, with the map fitted anew without each held-out fold."""
+def _figures_by_fold(base: DataFrame, method: str, classifier: str, settings: ProbeSettings, seen: dict) -> DataFrame:
+    """As ``_figures``, with the map of each held-out fold fitted on the moments of the others."""
     parts = []
-    for held_out in range(settings.k):
-        seen = solve_whitening(moments(base.where(F.col("fold") != held_out)), method)
-        parts.append(_figures(whiten(base, [seen]).drop("whitening"), classifier, settings, [held_out]))
+    for held_out in sorted(seen):
+        model = solve_whitening(seen[held_out], method)
+        parts.append(_figures(whiten(base, [model]).drop("whitening"), classifier, settings, [held_out]))
     per_fold = reduce(DataFrame.unionByName, parts).where(F.col("fold").isNotNull())
-    means = fold_summary(per_fold.where(F.col("metric") != "best_l2"), ["metric"])
+    means = fold_summary(per_fold.where(~F.col("metric").isin("best_l2", "iterations", "converged")), ["metric"])
     return per_fold.unionByName(means.withColumn("fold", F.lit(None).cast("int")))
 
 

@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from embgauge.sources.catalogue import Catalogue
+from embgauge.sources.tsv import FORMAT, read_records
 
 
-TSV_OPTIONS = {"sep": "\t", "header": True, "quote": '"', "escape": '"'}
+TSV_OPTIONS = {**FORMAT, "header": True}
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Tab-separated file with a header; quoted fields may hold line ends. Without a schema all
-    columns are strings, named by the header; nothing is inferred."""
+    columns are strings, named by the header; nothing is inferred. A file is one task: ``read_records`` reads it in blocks."""
     reader = spark.read.options(**TSV_OPTIONS, multiLine=True, mode="FAILFAST")
     return (reader.schema(schema) if schema else reader).csv(path)
 
@@ -49,16 +50,24 @@ def with_row_ids(df: DataFrame, column: str = "row_id", first: list[str] = ()) -
 def read_dataset(spark: SparkSession, name: str, catalogue: Catalogue, schema: str = "text string, label int") -> DataFrame:
     """One dataset as ``(dataset, split, side, row_id, <schema columns>)``.
 
-    A keyless TSV gets ``row_id`` by position, counted over its splits together; a Parquet entry
-    must carry ``row_id`` itself. Where the entry asks for it, rows are dealt out by ``row_id``, which
+    A keyless TSV is read in blocks and gets ``row_id`` by position, counted over its splits together; a Parquet
+    entry must carry ``row_id`` itself. Where the entry asks for it, rows are dealt out by ``row_id``, which
     a later aggregation by that key reuses.
     """
     entry = catalogue[name]
-    parts = []
+    keyed = "row_id" in [*T.StructType.fromDDL(schema).names, *(entry.columns or ())]
+    parts, seen = [], 0
     for number, (split, path) in enumerate(entry.files.items()):
-        part = spark.read.parquet(path) if entry.format == "parquet" else read_tsv(spark, path, schema)
+        ids = []
+        if entry.format == "parquet":
+            part = spark.read.parquet(path)
+        elif keyed:
+            part = read_tsv(spark, path, schema)
+        else:
+            part, count = read_records(spark, path, schema, "row_id", seen)
+            ids, seen = ["row_id"], seen + count
         if entry.columns:
-            part = part.select(*[F.col(theirs).alias(ours) for ours, theirs in entry.columns.items()])
+            part = part.select(*ids, *[F.col(theirs).alias(ours) for ours, theirs in entry.columns.items()])
         parts.append(part.withColumns({"split": F.lit(split), "_number": F.lit(number)}))
     rows = reduce(DataFrame.unionByName, parts)
     if "row_id" not in rows.columns:
@@ -77,17 +86,17 @@ def read_dataset(spark: SparkSession, name: str, catalogue: Catalogue, schema: s
 
 def read_scores(spark: SparkSession, path: str, key: str = "pair_id") -> DataFrame:
     """Gold scores of a pair dataset, one column ``score``, keyed by position."""
-    return with_row_ids(read_tsv(spark, path, "score double"), key)
+    return read_records(spark, path, "score double", key)[0]
 
 
 def read_pair_labels(spark: SparkSession, train: str, test: str) -> DataFrame:
     """Pair labels of both splits stacked, train first: ``(pair_id, split, label)``."""
-    parts = [
-        read_tsv(spark, path, "score int").withColumns({"split": F.lit(split), "_number": F.lit(number)})
-        for number, (split, path) in enumerate([("train", train), ("test", test)])
-    ]
-    stacked = with_row_ids(parts[0].unionByName(parts[1]), "pair_id", ["_number"])
-    return stacked.select("pair_id", "split", F.col("score").alias("label"))
+    parts, seen = [], 0
+    for split, path in (("train", train), ("test", test)):
+        rows, count = read_records(spark, path, "score int", "pair_id", seen)
+        parts.append(rows.select("pair_id", F.lit(split).alias("split"), F.col("score").alias("label")))
+        seen += count
+    return parts[0].unionByName(parts[1])
 
 
 def apply_contract(df: DataFrame, aliases: dict | None = None) -> DataFrame:

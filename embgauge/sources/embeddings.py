@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embgauge.functions.vectors import assemble
-from embgauge.sources.datasets import TSV_OPTIONS, read_tsv, with_row_ids
+from embgauge.sources.datasets import TSV_OPTIONS, read_tsv
+from embgauge.sources.tsv import read_records
 
 PARTITIONS = ["dataset", "encoder"]
 
@@ -40,7 +41,8 @@ def from_wide(df: DataFrame, leading: int = 2) -> DataFrame:
 
 def read_wide(spark: SparkSession, path: str, leading: int = 2) -> DataFrame:
     """Wide TSV embeddings as ``(row_id, <leading columns>, embedding)``, numbered in file order."""
-    wide = with_row_ids(read_tsv(spark, path))
+    header = ", ".join(f"`{name}` string" for name in read_tsv(spark, path).columns)
+    wide, _ = read_records(spark, path, header, "row_id")
     return from_wide(wide, leading + 1)
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from embgauge.operators import pairs, probe
+from embgauge.operators import moments, pairs, probe, whiten
 from embgauge.plans import classify, clustering, sts
 from embgauge.plans.sweep import Sweep
 from embgauge.sources.embeddings import write_embeddings
@@ -76,6 +76,22 @@ def test_whitening_fitted_without_the_test_fold(spark, blobs):
         classify.evaluate_classification(df, "nb", ["pca"], quick, fit_on="half")
 
 
+def test_all_methods_without_the_test_fold_share_one_scan(spark, blobs, monkeypatch):
+    _, _, df = blobs
+    scans, tiles = [], moments._gram_tiles
+    monkeypatch.setattr(moments, "_gram_tiles", lambda *a: scans.append(a) or tiles(*a))
+    quick = probe.ProbeSettings(k=3)
+    found = classify.evaluate_classification(df, "nb", ["pca", "zca"], quick, fit_on="train").collect()
+    assert len(scans) == 2
+    base = probe.with_folds(df, "nb", quick)
+    seen = whiten.fit_whitening(base.where("fold <> 1"), ["pca"])
+    alone = probe.probe(whiten.whiten(base, seen).drop("whitening"), "nb", quick, [1]).results().collect()
+    accuracy = lambda rows, method=None: [
+        r.value for r in rows if r.metric == "accuracy" and r.fold == 1 and (method is None or r["whitening"] == method)
+    ]
+    assert accuracy(found, "pca") == accuracy(alone)
+
+
 def test_missing_gold_labels_or_sides_are_errors(spark, blobs):
     _, _, df = blobs
     rows = df.selectExpr("cast(row_id div 2 as bigint) pair_id", "cast(row_id % 2 + 1 as int) side", "embedding")

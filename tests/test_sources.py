@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from embgauge.sources import datasets, embeddings, results
 from embgauge.sources.catalogue import Catalogue, Entry
+from embgauge.sources.tsv import ends_inside, read_records
 
 
 def write(path, *lines):
@@ -109,6 +112,69 @@ def test_row_ids_follow_file_names_whatever_their_size(spark, tmp_path):
     assert [r.text for r in rows] == expected and [r.row_id for r in rows] == list(range(424))
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read in blocks of some hundred bytes."""
+    names = {"maxPartitionBytes": 700, "openCostInBytes": 100, "minPartitionNum": 1}
+    for name, value in names.items():
+        spark.conf.set(f"spark.sql.files.{name}", value)
+    yield
+    for name in names:
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+@pytest.mark.parametrize("line, inside, after", [
+    ("a\tb", False, False), ("a\tb", True, True), ('a\t"b', False, True), ('b"\t1', True, False), ('"a ""b""', False, True),
+    ('""\t""', False, False), ('5" pipe', False, False), ('b"\t"c', True, True), ('"a"b\t"c', False, True), ('"a""', False, True),
+])
+def test_state_at_line_ends(line, inside, after):
+    assert ends_inside(line, inside) is after
+
+
+@pytest.mark.parametrize("letters, longest, end", [
+    ('ab "\t\n', 20, "\n"), ('ab "\t\n\r', 300, "\n"), ("ab é\n", 3000, "\n"), ("ab c", 40, "\r\n"), ('a"\n', 60, "\r\n"),
+])
+def test_blocks_of_a_quoted_tsv_equal_the_whole_file(spark, tmp_path, small_blocks, letters, longest, end):
+    draw = random.Random(longest)
+    quoted = lambda s: '"' + s.replace('"', '""') + '"' if any(c in s for c in '"\t\n\r') else s
+    text = lambda: "".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 3, 20, longest])))
+    for name, count in (("a", 150), ("b", 0), ("c", 1), ("d", 90)):
+        lines = "".join(f"{quoted(text())}\t{draw.randrange(5)}{end}" for _ in range(count))
+        (tmp_path / f"{name}.csv").write_bytes(f"text\tlabel{end}{lines}".encode())
+    (tmp_path / "e.csv").write_bytes(b"")
+    schema = "text string, label int"
+    plain = datasets.with_row_ids(datasets.read_tsv(spark, str(tmp_path), schema), first=[])
+    found, count = read_records(spark, str(tmp_path), schema, "row_id", 7)
+    assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 3
+    rows = [(r.row_id - 7, r.text, r.label) for r in found.orderBy("row_id").collect()]
+    assert rows == [(r.row_id, r.text, r.label) for r in plain.orderBy("row_id").collect()]
+    assert count == len(rows) == 241
+
+
+def test_blocks_joined_without_a_broadcast(spark, tmp_path, small_blocks, monkeypatch):
+    lines = [f'"{"x" * (i % 50)}\n""{i}"""\t{i}' for i in range(200)]
+    path = write(tmp_path / "a.csv", "text\tlabel", *lines)
+    monkeypatch.setattr("embgauge.functions.kernels.MAX_BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found, _ = read_records(spark, path, "text string, label int", "row_id")
+        rows = [(r.row_id, r.text, r.label) for r in found.orderBy("row_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == [(i, f'{"x" * (i % 50)}\n"{i}"', i) for i in range(200)]
+
+
+def test_an_open_quote_reaches_the_end_and_bad_records_fail(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "text\tlabel", "one\t1", '"two\t2', "three\t3")
+    found, count = read_records(spark, path, "text string, label string", "row_id")
+    with pytest.raises(Exception, match="MALFORMED_RECORD|Malformed"):
+        found.collect()
+    assert count == 2
+    path = write(tmp_path / "b.csv", "text", "one", '"two', "three")
+    found, _ = read_records(spark, path, "text string", "row_id")
+    assert [r.row_id for r in found.orderBy("row_id").collect()] == [0, 1]
+
+
 def test_results_resume(spark, tmp_path):
     root = str(tmp_path / "results")
     assert results.read_results(spark, root).count() == 0

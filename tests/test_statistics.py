@@ -168,6 +168,26 @@ def test_rotations_leave_cosine_alone(spark, x):
     np.testing.assert_allclose(wide["zca_cor"], wide["pca_cor"], atol=1e-8)
 
 
+def test_moments_without_each_fold(spark, x):
+    df = frame(spark, x, np.arange(len(x)) % 4).withColumnRenamed("label", "fold")
+    found = moments.moments_without(df)
+    assert sorted(found) == [0, 1, 2, 3]
+    for fold, m in found.items():
+        rest = x[np.arange(len(x)) % 4 != fold]
+        assert m.n == len(rest)
+        np.testing.assert_allclose(m.mean, rest.mean(axis=0), rtol=1e-12)
+        np.testing.assert_allclose(m.cov, np.cov(rest.T), rtol=1e-9)
+
+
+def test_moments_without_folds_too_large_to_fetch_together(spark, x, monkeypatch):
+    df = frame(spark, x, np.arange(len(x)) % 3).withColumnRenamed("label", "fold")
+    together = moments.moments_without(df)
+    monkeypatch.setattr(moments, "MAX_BROADCAST_BYTES", 0)
+    apart = moments.moments_without(df)
+    for fold, m in together.items():
+        np.testing.assert_allclose(m.cov, apart[fold].cov, rtol=1e-9)
+
+
 def test_pca_2d(spark, x):
     found = matrix(whiten.pca_2d(frame(spark, x).select("row_id", "embedding")).selectExpr("row_id", "array(x, y) embedding"))
     u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
