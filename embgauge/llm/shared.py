@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,17 +31,35 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+#: Bytes of an Arrow batch that a text kernel gets: a task holds a batch in the JVM, on its way and in Python.
+BATCH = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH):
+    """Jobs started inside send Python batches of at most ``size`` bytes; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before.rstrip("b")), size) if before.rstrip("b").isdigit() else size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, hashes: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage is cut, a lost executor costs a re-read.
 
-    Of a table that is mostly ``hashes`` no dictionaries are tried: they would not get smaller by it.
+    ``hashes`` says that a kernel makes the table of texts and that it is mostly hashes: the kernel gets small batches,
+    and no dictionaries are tried, as hashes would not get smaller by it.
 
     The table is deleted by ``discard``, or when the application ends. The shuffles it came from are of no more
     use; a collection on the driver lets Spark's cleaner delete their files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
+    with small_batches(spark) if hashes else nullcontext():
+        df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     place, files = _place(spark, path)
     files.deleteOnExit(place)
     spark.sparkContext._jvm.System.gc()

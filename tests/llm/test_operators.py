@@ -6,6 +6,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
@@ -532,3 +533,20 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
             assert {r.doc_id: r.ids for r in kept.collect()} == {i: library.encode(t, add_eos=True) for i, t in before}
         if name != "sentencepiece":
             assert kept.columns == docs.columns
+
+
+def test_small_batches_are_for_the_jobs_inside(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    sizes = lambda: [r.n for r in rows.mapInArrow(_batch_bytes, "n long").collect()]
+    with shared.small_batches(spark, 100_000):
+        assert len(sizes()) > 10 and max(sizes()) < 200_000
+        with shared.small_batches(spark, 1 << 20):
+            assert spark.conf.get(name).rstrip("b") == "100000"
+    assert spark.conf.get(name) == before and len(sizes()) == 1
+
+
+def _batch_bytes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
