@@ -536,17 +536,16 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
 
 
 def test_small_batches_are_for_the_jobs_inside(spark):
+    def batch_bytes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
     rows = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text"))
-    sizes = lambda: [r.n for r in rows.mapInArrow(_batch_bytes, "n long").collect()]
+    sizes = lambda: [r.n for r in rows.mapInArrow(batch_bytes, "n long").collect()]
     with shared.small_batches(spark, 100_000):
         assert len(sizes()) > 10 and max(sizes()) < 200_000
         with shared.small_batches(spark, 1 << 20):
             assert spark.conf.get(name).rstrip("b") == "100000"
     assert spark.conf.get(name) == before and len(sizes()) == 1
-
-
-def _batch_bytes(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
