@@ -260,27 +260,27 @@ def _layer(n):
 
 
 def pool_mean(spark, sf):
-    return t.entries(pool.mean_pool(_layer(3)(spark, sf)), "row_id")
+    return t.entries(pool.mean_pool(_layer(3)(spark, sf), width=t.TOKEN_WIDTH), "row_id")
 
 
 def pool_masked(spark, sf):
-    return t.entries(pool.mean_pool(_layer(3)(spark, sf), masked=True), "row_id")
+    return t.entries(pool.mean_pool(_layer(3)(spark, sf), masked=True, width=t.TOKEN_WIDTH), "row_id")
 
 
 def pool_layer(spark, sf):
-    return t.entries(pool.pool(t.tokens(spark, sf), "layer", 2), "row_id")
+    return t.entries(pool.pool(t.tokens(spark, sf), "layer", 2, width=t.TOKEN_WIDTH), "row_id")
 
 
 def pool_range(spark, sf):
-    return t.entries(pool.pool(t.tokens(spark, sf), "range", 2, layers=t.LAYERS), "row_id")
+    return t.entries(pool.pool(t.tokens(spark, sf), "range", 2, layers=t.LAYERS, width=t.TOKEN_WIDTH), "row_id")
 
 
 def pool_pair(spark, sf):
-    return t.entries(pool.pool(t.tokens(spark, sf), "pair", (0, 3)), "row_id")
+    return t.entries(pool.pool(t.tokens(spark, sf), "pair", (0, 3), width=t.TOKEN_WIDTH), "row_id")
 
 
 def pool_last(spark, sf):
-    return t.entries(pool.last_token(t.tokens(spark, sf), layers=t.LAYERS), "row_id")
+    return t.entries(pool.last_token(t.tokens(spark, sf), layers=t.LAYERS, width=t.TOKEN_WIDTH), "row_id")
 
 
 def encode_hash(spark, sf):

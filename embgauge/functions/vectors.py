@@ -79,6 +79,28 @@ def mean_vector(vector) -> Column:
     return vector_to_array(Summarizer.mean(array_to_vector(as_doubles(vector))))
 
 
+def mean_by_entry(vector, width: int) -> Column:
+    """Aggregate: element-wise mean of vectors of one width, by numbers that a hash aggregation holds.
+
+    Missing vectors, missing entries and other widths fail.
+    """
+    v = _col(vector)
+    wrong = F.raise_error(f"a vector is missing, holds nulls or has another width than {width}").cast("double")
+    entries = [F.coalesce(F.get(v, F.lit(i)).cast("double"), wrong) for i in range(width)]
+    if entries:
+        entries[0] = F.when(F.size(v) == width, entries[0]).otherwise(wrong)
+    return F.array(*[F.avg(entry) for entry in entries]).cast("array<double>")
+
+
+def vector_at_most(vector, order, width: int) -> Column:
+    """Aggregate: the vector where ``order`` is greatest, by numbers that a hash aggregation holds."""
+    v = _col(vector)
+    whole = F.array(*[F.max_by(F.get(v, F.lit(i)), _col(order)) for i in range(width)])
+    found = F.max_by(F.size(v), _col(order))
+    wrong = F.raise_error(f"a vector has another width than {width}")
+    return F.when(found == width, whole).when(found >= 0, F.array(wrong.cast("double")))
+
+
 def sum_vector(vector) -> Column:
     """Aggregate: element-wise sum, partially aggregated on the map side."""
     return vector_to_array(Summarizer.sum(array_to_vector(as_doubles(vector))))

@@ -99,6 +99,31 @@ def test_pooling_strategies(states):
             np.testing.assert_allclose(found[text], expected(h), atol=1e-12)
 
 
+def test_pooling_hashes_tokens_and_sorts_none(states):
+    _, tokens = states
+    found = [pool.mean_pool(tokens), pool.mean_pool(tokens, masked=True), pool.last_token(tokens, layers=4)]
+    found += [pool.pool(tokens, s, p, layers=4) for s, p in (("layer", 1), ("range", 2), ("pair", (0, 2)))]
+    for frame in found:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan
+        assert not any(node in plan for node in ("ObjectHashAggregate", "SortAggregate", "Sort ["))
+
+
+def test_pooling_of_vectors_of_two_widths_or_none(spark):
+    schema = "row_id long, layer int, token_pos int, attended boolean, embedding array<float>"
+    rows = spark.createDataFrame([(0, 0, 0, True, [1.0, 2.0]), (0, 0, 1, True, [1.0, 2.0, 3.0])], schema)
+    for width in (2, 3):
+        with pytest.raises(Exception, match="another width"):
+            pool.mean_pool(rows, width=width).collect()
+    with pytest.raises(Exception, match="another width"):
+        pool.last_token(rows, width=2).collect()
+    assert pool.last_token(rows, width=3).first().embedding == [1.0, 2.0, 3.0]
+    nothing = rows.where("row_id > 0")
+    assert pool.mean_pool(nothing).collect() == pool.last_token(nothing, layers=1).collect() == []
+    missing = spark.createDataFrame([(0, 0, 0, True, None)], schema)
+    assert pool.last_token(missing, width=2).first().embedding is None
+
+
 @pytest.mark.parametrize("strategy, pooling", [("layer", (1, 2)), ("pair", 3), ("mean", 1), ("pair", (1, 2, 3))])
 def test_unknown_pooling(states, strategy, pooling):
     with pytest.raises(ValueError, match="unknown pooling"):
