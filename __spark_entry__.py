@@ -390,7 +390,8 @@ def eval_classify_pairs(spark, sf):
 def encode_classify(spark, sf):
     rows = encode(t.labelled_documents(spark, sf), hashed_ngrams(), profile=Profile.of("all-mpnet-base-v2"))
     rounded = F.transform("embedding", lambda v: at_places(v))
-    coded = folds.stratified_folds(rows.select("row_id", "label", rounded.alias("embedding")))
+    # kept, as the cuts between folds are looked for in several scans, and a scan must not encode again
+    coded = folds.stratified_folds(keep(rows.select("row_id", "label", rounded.alias("embedding"))))
     return metrics.accuracy(probe.nb_predictions(keep(coded)), ["fold"])
 
 

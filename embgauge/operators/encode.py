@@ -60,7 +60,14 @@ def encode(
 
 
 def _ngrams(tokens: list[str], n: int) -> list[str]:
-    return [" ".join(tokens[i : i + size]) for size in range(1, n + 1) for i in range(len(tokens) - size + 1)]
+    grams = list(tokens)
+    for size in range(2, n + 1):
+        grams += map(" ".join, zip(*[tokens[i:] for i in range(size)]))
+    return grams
+
+
+# Bytes of digests that are looked at together.
+DIGEST_BYTES = 4 << 20
 
 
 class HashedNgrams:
@@ -71,12 +78,17 @@ class HashedNgrams:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.width))
+        split, md5 = re.compile(r"[ \t\r\n]+").split, hashlib.md5
         for row, text in enumerate(texts):
             trimmed = text.strip(" \t\r\n")
-            tokens = re.split(r"[ \t\r\n]+", trimmed) if trimmed else []
-            for gram in _ngrams(tokens, self.n):
-                digest = hashlib.md5(gram.encode()).hexdigest()
-                out[row, int(digest[:8], 16) % self.width] += 1 if int(digest[8], 16) < 8 else -1
+            grams = _ngrams(split(trimmed), self.n) if trimmed else []
+            for start in range(0, len(grams), DIGEST_BYTES // 16):
+                digests = b"".join([md5(g.encode()).digest() for g in grams[start : start + DIGEST_BYTES // 16]])
+                numbers = np.frombuffer(digests, dtype=">u4").reshape(-1, 4)
+                # the bucket by the first eight digits, the sign by the ninth
+                bucket, minus = numbers[:, 0] % self.width, numbers[:, 1] >> 31
+                cells = np.bincount(bucket + self.width * minus.astype(np.int64), minlength=2 * self.width)
+                out[row] += cells[: self.width] - cells[self.width :]
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=out, where=norms > 0)
 
@@ -90,24 +102,31 @@ def encode_hashed(
 ) -> DataFrame:
     """The hashed n-gram encoding with built-in functions only: ``(key, embedding)``.
 
-    One aggregation by text; the partial aggregate turns the tokens of a text into one row before
-    the shuffle.
+    One aggregation by text and bucket, then one by text; the partial aggregate turns the tokens of a
+    text into a row per bucket before the shuffle.
     """
     tokens = words(F.coalesce(F.col(text_col), F.lit("")))
-    grams = [F.col("_t")]
-    for size in range(2, n + 1):
-        left = F.greatest(F.size("_t") - (size - 1), F.lit(0))
-        join = lambda a, b: F.concat_ws(" ", a, b)
-        grams.append(F.zip_with(F.slice(grams[-1], F.lit(1), left), F.slice("_t", F.lit(size), left), join))
-    exploded = df.select(key, tokens.alias("_t")).select(key, F.explode_outer(F.concat(*grams)).alias("gram"))
+    # word i of a gram stands in its own column, null beyond the text's end, so that grams are put together row by row
+    shifted = [F.col("_t").alias("w0")]
+    for i in range(1, n):
+        left = F.greatest(F.size("_t") - i, F.lit(0))
+        shifted.append(F.slice("_t", F.lit(i + 1), left).alias(f"w{i}"))
+    placed = df.select(key, tokens.alias("_t")).select(key, F.explode_outer(F.arrays_zip(*shifted)).alias("_w"))
+    each = placed.select(key, *[F.col(f"_w.w{i}").alias(f"_w{i}") for i in range(n)])
+    grams = [F.col("_w0")]
+    for i in range(1, n):
+        grams.append(F.when(F.col(f"_w{i}").isNotNull(), F.concat_ws(" ", *[f"_w{j}" for j in range(i + 1)])))
+    exploded = each.select(key, F.explode(F.array(*grams)).alias("gram"))
     digest = F.md5(F.col("gram"))
     hashed = exploded.select(
         key,
         (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % width).cast("int").alias("bucket"),
         F.when(F.substring(digest, 9, 1) < "8", 1).otherwise(-1).alias("sign"),
     )
-    cells = [F.coalesce(F.sum(F.when(F.col("bucket") == i, F.col("sign"))), F.lit(0)) for i in range(width)]
-    counts = hashed.groupBy(key).agg(*[c.cast("double").alias(f"_{i}") for i, c in enumerate(cells)])
+    # one sum for a text's bucket; the buckets of a text, few rows, are set side by side after that
+    totals = hashed.groupBy(key, "bucket").agg(F.sum("sign").alias("total"))
+    cells = [F.coalesce(F.sum(F.when(F.col("bucket") == i, F.col("total"))), F.lit(0)) for i in range(width)]
+    counts = totals.groupBy(key).agg(*[c.cast("double").alias(f"_{i}") for i, c in enumerate(cells)])
     vector = counts.select(key, F.array(*[f"_{i}" for i in range(width)]).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     return vector.withColumn("norm", norm).select(

@@ -51,6 +51,19 @@ def test_hashed_ngrams_by_sql_and_by_worker_agree(texts):
     assert by_sql[1] == [0.0] * 8 and np.linalg.norm(by_sql[3]) == pytest.approx(1.0)
 
 
+def test_hashed_ngrams_of_more_words_than_digests_are_looked_at_together(monkeypatch):
+    text = "über b c a b\t\tc a"
+    whole = encode.HashedNgrams(8, 3).encode([text, ""])
+    monkeypatch.setattr(encode, "DIGEST_BYTES", 64)
+    np.testing.assert_array_equal(encode.HashedNgrams(8, 3).encode([text, ""]), whole)
+
+
+def test_a_bucket_of_a_text_is_one_sum(texts):
+    plan = encode.encode_hashed(texts, n=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "sum(sign" in plan.replace("`", "")
+    assert len(encode.encode_hashed(texts.unionByName(texts)).collect()) == 5
+
+
 def test_word_vectors(spark):
     df = spark.createDataFrame([(i, "red blue green " * 3) for i in range(20)] + [(20, "")], "row_id long, text string")
     rows = encode.encode_word2vec(df, width=4).collect()
