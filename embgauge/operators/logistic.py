@@ -24,6 +24,9 @@ MEMORY = 10
 DESCENT = 1e-4
 SHORTEST = 1e-10
 
+# Bytes of the class probabilities that a task computes at a time, for all models; a few such matrices are held at once.
+CHUNK_BYTES = 8 << 20
+
 
 @dataclass(frozen=True)
 class Part:
@@ -90,7 +93,7 @@ def _losses(table: DataFrame, parts: list, weights: np.ndarray) -> tuple[np.ndar
         own, matrix = sent.value
         loss, n, slope = np.zeros(models), np.zeros(models, np.int64), np.zeros(matrix.shape)
         for batch in batches:
-            for rows_at in row_chunks(len(batch), 2 * matrix.shape[1]):
+            for rows_at in row_chunks(len(batch), matrix.shape[1], CHUNK_BYTES):
                 x, label, rows = _batch(batch, rows_at, size - 1)
                 mask = np.stack([part.seen(rows) for part in own], axis=1)
                 p = _probabilities(x, matrix, models)
@@ -208,7 +211,7 @@ def hits(table: DataFrame, parts: list, weights: np.ndarray) -> np.ndarray:
         own, matrix = sent.value
         n, right = np.zeros(models, np.int64), np.zeros(models, np.int64)
         for batch in batches:
-            for rows_at in row_chunks(len(batch), 2 * matrix.shape[1]):
+            for rows_at in row_chunks(len(batch), matrix.shape[1], CHUNK_BYTES):
                 x, label, rows = _batch(batch, rows_at, size - 1)
                 mask = np.stack([part.held(rows) for part in own], axis=1)
                 pick = (x @ matrix).reshape(len(x), models, -1).argmax(axis=2)
