@@ -2,12 +2,13 @@
 
 ``softmax`` and ``lr`` are convex: the models of all folds, settings and inner folds are fitted side by side, each step of
 all of them in one scan. ``nb`` needs only per-class sums, so all folds are fitted by one aggregation and scored by one
-pass. ``mlp``, ``svm`` and ``rf`` are MLlib estimators fitted per fold from driver threads over one cached table.
+pass. ``mlp`` and ``svm`` are MLlib estimators fitted per fold from driver threads over one cached table; so is ``rf``,
+a fold and a few trees at a time.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -28,7 +29,7 @@ from embgauge.functions.kernels import share, to_lists, to_matrix
 from embgauge.functions.vectors import as_doubles
 from embgauge.operators import logistic, metrics
 from embgauge.operators.folds import holdout, nested_folds, stratified_folds
-from embgauge.session import checkpointed, fetched, keep
+from embgauge.session import checkpointed, discard, fetched, keep, stored
 
 # The L2 settings tried, the forest size, and the share added to variances.
 L2_GRID = [1e-5, 1e-4, 1e-3, 1e-2]
@@ -36,6 +37,10 @@ FOREST_TREES = 100
 VAR_SMOOTHING = 1e-9
 DEV_SHARE = 0.05
 
+# MLlib grows trees on the driver: bytes of them that are held at a time, and bytes of a node without and per class.
+FOREST_BYTES = 128 << 20
+NODE_BYTES, NODE_CLASS_BYTES = 250, 24
+
 CLASSIFIERS = ["softmax", "mlp", "lr", "svm", "rf", "nb"]
 MAX_CLASSES = 10_000
 
@@ -328,6 +333,39 @@ def _logistic(table: DataFrame, classifier: str, outer: list[int], sizes: dict,
     return logistic.predictions(table, outer, models.weights, classes), rows
 
 
+def trees_at_a_time(rows: int, n_classes: int, s: ProbeSettings) -> int:
+    """Trees whose nodes fit in ``FOREST_BYTES``, one at least: a tree has no more leaves than rows or than its depth allows."""
+    nodes = min(2 * rows, 2 ** (s.depth + 1))
+    return max(1, min(s.trees, FOREST_BYTES // (nodes * (NODE_BYTES + NODE_CLASS_BYTES * n_classes))))
+
+
+def _forest(table: DataFrame, held_out: int, rows: int, classes: list, s: ProbeSettings) -> tuple[DataFrame, list[tuple]]:
+    """Predictions for a fold by a forest that is grown a few trees at a time, and how its fits ended.
+
+    The driver holds these trees only: their votes are added to the rows', which are written, and the trees let go. The
+    first trees have the settings' seed, so a forest that is grown at once is the plain one; later ones count on from it.
+    """
+    train, at_once = table.where(F.col("fold") != held_out), trees_at_a_time(rows, len(classes), s)
+    voted = table.where(F.col("fold") == held_out).withColumn("votes", F.array_repeat(F.lit(0.0), len(classes)))
+    ends, before = [], None
+    for first in range(0, s.trees, at_once):
+        own = replace(s, trees=min(at_once, s.trees - first), seed=s.seed + first)
+        model = _estimator("rf", rows, 0, len(classes), own).fit(train)
+        ends.append(fit_ends(model, own))
+        added = F.zip_with("votes", vector_to_array("rawPrediction"), lambda a, b: a + b)
+        voted = stored(model.transform(voted).withColumn("votes", added).select(*voted.columns))
+        del model
+        if before is not None:
+            discard(before)
+        before = voted
+    # array_position finds the first of equal votes, as the plain forest does
+    best = F.array_position("votes", F.array_max("votes")).cast("int")
+    pred = F.element_at(F.array(*[F.lit(int(c)) for c in classes]), best)
+    share = F.transform("votes", lambda v: v / F.lit(float(s.trees)))
+    found = voted.select("row_id", "fold", "label", pred.alias("pred"), share.alias("scores"))
+    return found, _end_rows(held_out, ends)
+
+
 @dataclass
 class ProbeResult:
     """Out-of-fold predictions, how the fits of each fold ended, and for the tuned classifier its settings and dev
@@ -399,6 +437,8 @@ def probe(
     fold_stats = group_moments(table.select("fold", "embedding"), ["fold"]) if classifier == "svm" else {}
 
     def run(held_out: int):
+        if classifier == "rf":
+            return _forest(table, held_out, total - sizes[held_out], classes, s)
         train, test = table.where(F.col("fold") != held_out), table.where(F.col("fold") == held_out)
         estimator = _estimator(classifier, total - sizes[held_out], width, len(classes), s)
         if classifier == "svm":
@@ -412,8 +452,8 @@ def probe(
         model = estimator.fit(train)
         return _predicted(model, test, classes), _end_rows(held_out, [fit_ends(model, s)])
 
-    # An SVM fold caches its own wide features, so few of them run at once.
-    done = _in_threads(run, wanted, 2 if classifier == "svm" else s.parallelism)
+    # An SVM fold caches its own wide features, so few of them run at once; a forest's trees are on the driver.
+    done = _in_threads(run, wanted, {"svm": 2, "rf": 1}.get(classifier, s.parallelism))
     predictions = keep(reduce(DataFrame.unionByName, [p for p, _ in done]))
     scored = "scores" in predictions.columns
     return ProbeResult(predictions, classes, scored, [row for _, rows in done for row in rows])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from embgauge import session
 from embgauge.functions import kernels
-from embgauge.operators import cluster, folds, metrics, moments, probe, silhouette, whiten
+from embgauge.operators import cluster, folds, logistic, metrics, moments, probe, silhouette, whiten
 from embgauge.plans.clustering import evaluate_clustering
 
 # ------------------------------------------------------------------ folds
@@ -476,3 +476,41 @@ def test_mllib_kmeans(spark, blobs):
     _, labels, df = blobs
     found = cluster.kmeans(df, 3, seed=1).withColumn("clusters", F.array("cluster"))
     assert silhouette.silhouette(found).first().silhouette > 0.5
+
+
+def test_a_forest_grown_in_parts_votes_as_its_trees_together(spark, blobs, monkeypatch):
+    _, _, rows = blobs
+    settings = probe.ProbeSettings(k=2, trees=3, depth=3)
+    assert probe.trees_at_a_time(180, 3, settings) == 3
+    assert probe.trees_at_a_time(10**9, 3, probe.ProbeSettings()) == 1
+    folded = probe.with_folds(rows, "rf", settings)
+    kept = lambda seed: probe.probe(folded, "rf", probe.ProbeSettings(k=2, trees=1, depth=3, seed=seed)).predictions
+    votes = [{r.row_id: np.array(r.scores) for r in kept(seed).collect()} for seed in range(3)]
+    monkeypatch.setattr(probe, "FOREST_BYTES", 1)
+    found = probe.probe(folded, "rf", settings)
+    got = found.predictions.collect()
+    assert sorted(r.row_id for r in got) == list(range(180)) and len(found.tuning) == 4
+    for r in got:
+        expected = sum(v[r.row_id] for v in votes) / 3
+        np.testing.assert_allclose(r.scores, expected, atol=1e-12)
+        assert r.pred == found.classes[int(np.argmax(expected))]
+
+
+def test_a_forest_grown_at_once_is_the_plain_one(spark, blobs):
+    _, _, rows = blobs
+    settings = probe.ProbeSettings(k=2, trees=5, depth=3)
+    folded = probe.with_folds(rows, "rf", settings).localCheckpoint()
+    got = {r.row_id: r for r in probe.probe(folded, "rf", settings, outer=[0]).predictions.collect()}
+    table = probe._table(folded, [0, 1, 2], [probe.array_to_vector("embedding").alias("features")])
+    model = probe._estimator("rf", 90, 8, 3, settings).fit(table.where("fold <> 0"))
+    plain = probe._predicted(model, table.where("fold = 0"), [0, 1, 2]).collect()
+    assert {r.row_id for r in plain} == set(got)
+    for r in plain:
+        assert r.pred == got[r.row_id].pred
+        np.testing.assert_allclose(r.scores, got[r.row_id].scores, atol=1e-12)
+
+
+def test_probabilities_of_many_models_are_computed_in_small_steps():
+    assert logistic.CHUNK_BYTES <= 8 << 20
+    steps = list(logistic.row_chunks(10_000, 1050, logistic.CHUNK_BYTES))
+    assert max(s.stop - s.start for s in steps) * 1050 * 8 <= 8 << 20 and steps[-1].stop == 10_000
