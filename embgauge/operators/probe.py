@@ -361,8 +361,10 @@ def _forest(table: DataFrame, held_out: int, rows: int, classes: list, s: ProbeS
     # array_position finds the first of equal votes, as the plain forest does
     best = F.array_position("votes", F.array_max("votes")).cast("int")
     pred = F.element_at(F.array(*[F.lit(int(c)) for c in classes]), best)
-    share = F.transform("votes", lambda v: v / F.lit(float(s.trees)))
-    found = voted.select("row_id", "fold", "label", pred.alias("pred"), share.alias("scores"))
+    # divided by their own sum, as MLlib does, so that equal probabilities are the same ones
+    total = F.aggregate("votes", F.lit(0.0), lambda a, b: a + b)
+    named = voted.withColumn("_total", total).withColumn("_share", F.transform("votes", lambda v: v / F.col("_total")))
+    found = named.select("row_id", "fold", "label", pred.alias("pred"), F.col("_share").alias("scores"))
     return found, _end_rows(held_out, ends)
 
 
