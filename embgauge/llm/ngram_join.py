@@ -3,7 +3,8 @@
 Similar documents are put into groups: documents with the same shingle set are one, and documents that a
 verified link ties to the first holder of their min-hashes form a group, cut into chunks. The matrix holds for
 each token the groups whose union has it. A query document opens a group only if its overlap with the
-group's union can reach the threshold; then it is compared with the group's members, exactly.
+group's union can reach the threshold, first by bitmaps of the tokens, which are a small part of their size, then by
+the tokens themselves; then it is compared with the group's members, exactly.
 
 Nothing is quadratic in a group of copies: copies of one set are one row, members of one group are already
 linked and never compared again, and a token has one matrix row for a whole chunk of a group.
@@ -26,10 +27,12 @@ HASHES, SHARED = 4, 2
 CHUNK, CHUNK_TOKENS = 64, 1 << 17
 #: Passes over the groups when they are opened; a pass shuffles the token sets that are part of it.
 PASSES = 4
+#: Bits of a document's bitmap: the least power of two that gives each token two, within these.
+BITS_LEAST, BITS_MOST = 64, 1 << 20
 
 PROFILE = "id long, n long, k1 long, k2 long, mins array<long>, token long, cnt long"
 TOKENS = "id long, tokens array<long>"
-PREFIX = "id long, n long, short int, tokens array<long>"
+PREFIX = "id long, n long, short int, tokens array<long>, bits array<long>"
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -89,6 +92,16 @@ def _profiles(n: int):
     return run
 
 
+def _bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's tokens in a bitmap of 64-bit words, by their lowest bits, and the bounds of each row in words."""
+    count = np.diff(bounds)
+    size = np.left_shift(1, np.ceil(np.log2(np.clip(2 * count, BITS_LEAST, BITS_MOST))).astype(np.int64))
+    ends = np.append(0, np.cumsum(size))
+    held = np.zeros(ends[-1], bool)
+    held[np.repeat(ends[:-1], count) + (tokens & np.repeat(size - 1, count).astype(np.uint64)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").view("<u8"), ends // 64
+
+
 def _token_rows(n: int, wanted):
     def run(batches):
         bitmap = wanted.value
@@ -101,7 +114,7 @@ def _token_rows(n: int, wanted):
 
 
 def _prefixes(n: int, num: int, den: int, level, wanted):
-    """The rarest tokens of each document: enough that two linked ones share one of them.
+    """The rarest tokens of each document: enough that two linked ones share one of them; all its tokens as a bitmap.
 
     A query looks with ``n - ceil(t n) + 1`` tokens; the ``short`` first ones are enough for a document
     that is looked for by queries of its own size or larger.
@@ -118,9 +131,10 @@ def _prefixes(n: int, num: int, den: int, level, wanted):
                 long, short = np.where(size > 0, long, 0), np.where(size > 0, short, 0)
                 ends = np.cumsum(long)
                 pick = np.repeat(bounds[:-1] - (ends - long), long) + np.arange(ends[-1] if len(ends) else 0)
+                rarest, bits = _lists(order[pick], np.append(0, ends)), _lists(*_bitmaps(order, bounds))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(size), pa.array(short.astype(np.int32)), _lists(order[pick], np.append(0, ends))],
-                    names=["id", "n", "short", "tokens"],
+                    [ids, pa.array(size), pa.array(short.astype(np.int32)), rarest, bits],
+                    names=["id", "n", "short", "tokens", "bits"],
                 )
 
     return run
@@ -130,6 +144,27 @@ def _similar(overlap, a, b, num, den):
     return overlap * (num + den) >= (a + b) * num
 
 
+def _may_open(met: DataFrame, rare: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows ``(q, n, comp, chunk)`` of ``met`` whose query may share enough tokens with the union of the chunk.
+
+    A bit that the query has and the union has not stands for a token, or more, that the union has not. The union's
+    bitmap is as long as its shortest member's, and never longer than a query's that has no fewer tokens.
+    """
+    many = rare.where("held > 1").select("comp", "chunk", "bits")
+    least = many.groupBy("comp", "chunk").agg(F.min(F.size("bits")).alias("words"))
+    at = F.col("pos") % F.col("words")
+    words_ = many.join(least, ["comp", "chunk"]).select("comp", "chunk", "words", F.posexplode("bits").alias("pos", "word"))
+    words_ = words_.groupBy("comp", "chunk", at.alias("at")).agg(F.bit_or("word").alias("word"))
+    unions = words_.groupBy("comp", "chunk").agg(F.sort_array(F.collect_list(F.struct("at", "word")))["word"].alias("union"))
+    unions = rare.where("held = 1").select("comp", "chunk", F.col("bits").alias("union")).unionByName(unions)
+    sought = rare.select(F.col("rep").alias("q"), "size", "bits").dropDuplicates(["q"])
+    both = met.join(sought, "q").join(unions, ["comp", "chunk"])
+    word = lambda x, i: F.bit_count(x.bitwiseAND(F.bitwise_not(F.get("union", i % F.size("union")))))
+    missing = F.aggregate(F.transform("bits", word), F.lit(0), lambda s, x: s + x)
+    enough = (F.col("size") - missing) * den >= F.col("n") * num
+    return both.where((F.size("union") > F.size("bits")) | enough).select("q", "n", "comp", "chunk")
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
@@ -186,16 +221,17 @@ def jaccard_components(
     # the matrix, and the queries that share a rare token with a group they are not part of
     wanted = id_filter(member.select(F.col("rep").alias("id")))
     rare = named.mapInArrow(_prefixes(n, num, den, level, wanted), PREFIX).dropDuplicates(["id"])
-    rare = rare.drop("n").join(member, F.col("id") == F.col("rep"))
-    rare = stored(rare.select("rep", "n", "comp", "chunk", "held", "short", "tokens"), hashes=True)
+    rare = rare.withColumnRenamed("n", "size").join(member, F.col("id") == F.col("rep"))
+    rare = stored(rare.select("rep", "n", "comp", "chunk", "held", "short", "tokens", "size", "bits"), hashes=True)
     indexed = rare.select("n", "comp", "chunk", "held", F.explode(F.slice("tokens", 1, F.col("short"))).alias("token"))
     lone = indexed.where("held = 1").select("token", "comp", "chunk", F.col("n").alias("low"), F.col("n").alias("high"))
     grouped = indexed.where("held > 1").groupBy("token", "comp", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = lone.unionByName(grouped)
     query = rare.select(F.explode("tokens").alias("token"), F.col("rep").alias("q"), F.col("comp").alias("own"), "n")
     match = (F.col("own") != F.col("comp")) & (F.col("n") >= F.col("low")) & (F.col("high") * den >= F.col("n") * num)
-    open_ = stored(query.join(matrix, "token").where(match).select("q", "n", "comp", "chunk").distinct())
-    discard(rare)
+    met = stored(query.join(matrix, "token").where(match).select("q", "n", "comp", "chunk").distinct())
+    open_ = stored(_may_open(met, rare, num, den))
+    discard(met, rare)
 
     # bound by the union of the group's tokens, then compare with its members; a token set knows the passes it is part
     # of, as a member and as a query, so that a pass shuffles its own sets only

@@ -78,6 +78,39 @@ def test_ngram_join_equals_brute_force(docs, rows, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_ngram_join_fetches_tokens_of_few_documents_that_only_share_a_passage(spark, monkeypatch):
+    own = lambda i, k: [f"d{i}w{j}" for j in range(k)]
+    passage = [[f"p{i}w{j}" for j in range(14)] for i in range(61)]
+    texts = [own(i, 40) + passage[i] + passage[i + 1] for i in range(60)]
+    for i in range(0, 60, 10):
+        texts += [texts[i][:-2] + [f"x{i}"], texts[i][2:] + [f"y{i}"], [f"z{i}", f"z{i}z"] + texts[i][1:-1]]
+    rows = [(i, " ".join(t), "s") for i, t in enumerate(texts)]
+    counts, stored = [], ngram_join.stored
+
+    def counted(df, **settings):
+        out = stored(df, **settings)
+        counts.extend([out.count()] if {"tokens", "as_query"} <= set(out.columns) else [])
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    # one document a batch, so that no token is seen to repeat and the passages are no rarer than other words
+    found = ngram_join.jaccard_components(table(spark, rows, 60), n=3, num=80, den=100)
+    assert {r.id: (r.n_shingles, r.component_id) for r in found.collect()} == brute.classes([r[:2] for r in rows], 3, 80, 100)
+    assert len(counts) == 1 and counts[0] <= 35
+
+
+def test_ngram_join_bitmaps_hold_each_row_s_tokens():
+    draw = np.random.default_rng(3)
+    sizes = [0, 1, 31, 32, 33, 500, 0, 5000]
+    tokens, bounds = draw.integers(0, 1 << 64, sum(sizes), dtype=np.uint64), np.append(0, np.cumsum(sizes))
+    bits, at = ngram_join._bitmaps(tokens, bounds)
+    for i, size in enumerate(sizes):
+        words, own = bits[at[i] : at[i + 1]], tokens[bounds[i] : bounds[i + 1]]
+        assert 64 * len(words) == max(64, 1 << (2 * size - 1).bit_length() if size else 0)
+        want = {int(t) % (64 * len(words)) for t in own}
+        assert {64 * j + b for j, w in enumerate(words) for b in range(64) if int(w) >> b & 1} == want
+
+
 def test_components_of_a_path_a_star_and_loops(spark):
     path = [(i, i + 1) for i in range(100, 140)]
     star = [(7, i) for i in range(1000, 1300)]
