@@ -262,6 +262,10 @@ def _rewritten(text: pd.Series, lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
 
+# A filter on what it finds would else be a second run of it on all texts, in workers of its own.
+_rewritten = _rewritten.asNondeterministic()
+
+
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:

@@ -536,6 +536,15 @@ def test_pipeline_stages_keep_columns_whose_names_they_use_inside(spark):
     assert corpus_pipeline.drop_repeated_lines(spark, empty, SF).count() == 0
 
 
+def test_pipeline_rewrites_a_text_once(spark):
+    import corpus_pipeline
+
+    frame = spark.createDataFrame([(1, "a line\na line", 13), (2, "a line", 6)], "doc_id long, text string, n_chars long")
+    left = corpus_pipeline.drop_repeated_lines(spark, frame, SF)
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in left.collect()] == [(1, "a line", 6)]
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     import sentencepiece
 
