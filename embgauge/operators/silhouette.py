@@ -3,8 +3,8 @@
 The measure needs the summed distance of every row to every cluster, so it is quadratic by
 definition. Rows are put into blocks of bounded size by a hash of their key, whatever cluster they
 are in. Every pair of blocks is one small task that computes its distances with BLAS and emits, per
-row, the distance sums per cluster; the sums are added up by row. Distances are never emitted and
-no task holds more than two blocks.
+row, the distance sums per cluster; the sums are added up by row. Distances are computed a tile at a
+time and never emitted, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from embgauge.functions.kernels import row_chunks, to_lists, to_matrix
+from embgauge.functions.kernels import to_lists, to_matrix
 from embgauge.functions.vectors import sum_vector
 from embgauge.session import parallelism
 
@@ -23,6 +23,12 @@ BLOCK_BYTES = 32 << 20
 MIN_BLOCK_ROWS = 512
 MAX_CLUSTERS = 10_000
 
+# Rows of each side whose distances are computed at a time: their matrix stays in the processor's cache.
+TILE = 512
+
+# Up to so many clusters a run, sums by cluster are a product with the matrix of members; beyond, rows are sorted.
+MATRIX_CLUSTERS = 64
+
 
 def _block_count(rows: int, width: int, tasks: int, block_rows: int | None, codes: int = 1) -> int:
     """Blocks small enough for a task, and enough of them to give every core a pair of blocks.
@@ -106,15 +112,17 @@ def _distance_sums(rows: DataFrame, blocks: int, codes: dict) -> DataFrame:
         xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
         to_right = np.zeros((len(x), len(codes)))
         to_left = np.zeros((len(y), len(codes)))
-        for part in row_chunks(len(x), max(len(y), len(codes))):
-            gap = xx[part, None] + yy[None, :] - 2.0 * (x[part] @ y.T)
-            distance = np.sqrt(np.maximum(gap, 0.0, out=gap), out=gap)
-            if left is right:
-                own = np.arange(part.start, part.stop)
-                distance[own - part.start, own] = 0.0
-            sum_y.add(distance, to_right[part])
-            if left is not right:
-                sum_x.add(distance.T, to_left, part)
+        y = 2.0 * y
+        for rows in _tiles(len(x)):
+            for others in _tiles(len(y)):
+                gap = np.add.outer(xx[rows], yy[others])
+                gap -= x[rows] @ y[others].T
+                distance = np.sqrt(np.maximum(gap, 0.0, out=gap), out=gap)
+                if left is right and rows == others:
+                    np.fill_diagonal(distance, 0.0)
+                sum_y.add(distance, to_right[rows], others)
+                if left is not right:
+                    sum_x.add(distance.T, to_left[others], rows)
         if left is right:
             return _sum_table([left], to_right)
         return _sum_table([left, right], np.vstack([to_right, to_left]))
@@ -141,14 +149,24 @@ def _codes_of(clusters: pa.Array, codes: dict) -> np.ndarray:
     return out
 
 
+def _tiles(rows: int):
+    return [slice(start, min(start + TILE, rows)) for start in range(0, rows, TILE)]
+
+
 class _Sums:
-    """Sums of distances over the rows of each code: rows are sorted by code once, and neighbours added up."""
+    """Sums of distances over the rows of each code."""
 
     def __init__(self, side: pa.Table, codes: dict):
-        self.member = _codes_of(side.column("clusters"), codes)
+        self.member, self.marks = _codes_of(side.column("clusters"), codes), None
+        if len(codes) <= MATRIX_CLUSTERS * self.member.shape[1]:
+            self.marks = np.zeros((len(self.member), len(codes)))
+            np.put_along_axis(self.marks, self.member, 1.0, axis=1)
 
-    def add(self, distance: np.ndarray, out: np.ndarray, part: slice = slice(None)) -> None:
+    def add(self, distance: np.ndarray, out: np.ndarray, part: slice) -> None:
         """Add the sums over the columns of ``distance``, which are the rows ``part`` of the side, to ``out`` by code."""
+        if self.marks is not None:
+            out += distance @ self.marks[part]
+            return
         for member in self.member[part].T:
             order = np.argsort(member, kind="stable")
             member = member[order]

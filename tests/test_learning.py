@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from conftest import frame, matrix
@@ -279,6 +280,30 @@ def brute_silhouette(x, own):
     return np.array(out)
 
 
+def test_distance_sums_by_cluster_need_no_sort_for_few_clusters():
+    draw = np.random.default_rng(4)
+    distance = draw.random((7, 40))
+    for k, matrix in ((3, True), (2000, False)):
+        clusters = draw.integers(0, k, (40, 2))
+        codes = {(run, c): run * k + c for run in range(2) for c in range(k)}
+        sums = silhouette._Sums(pa.table({"clusters": pa.array(clusters.tolist(), pa.list_(pa.int32()))}), codes)
+        assert (sums.marks is not None) == matrix
+        found = np.zeros((7, 2 * k))
+        for part in (slice(0, 25), slice(25, 40)):
+            sums.add(distance[:, part], found, part)
+        for (run, c), code in codes.items():
+            np.testing.assert_allclose(found[:, code], distance[:, clusters[:, run] == c].sum(axis=1))
+
+
+def test_silhouette_of_blocks_of_several_tiles(spark):
+    draw = np.random.default_rng(5)
+    x, own = draw.normal(size=(1300, 3)), draw.integers(0, 4, 1300)
+    df = spark.createDataFrame([(i, v.tolist(), [int(c)]) for i, (v, c) in enumerate(zip(x, own))], "row_id long, embedding array<double>, clusters array<int>")
+    for block_rows in (1300, 800):
+        found = silhouette.silhouette_samples(df, block_rows=block_rows).toPandas().sort_values("row_id")
+        np.testing.assert_allclose(found.silhouette, brute_silhouette(x, own), atol=1e-6)
+
+
 @pytest.mark.parametrize("block_rows", [None, 40])
 def test_silhouette_of_several_runs_with_a_singleton_and_a_hot_cluster(spark, block_rows):
     draw = np.random.default_rng(4)
