@@ -41,6 +41,9 @@ DEV_SHARE = 0.05
 FOREST_BYTES = 128 << 20
 NODE_BYTES, NODE_CLASS_BYTES = 250, 24
 
+# Bytes of wide SVM features that all executors together hold at a time.
+SVM_BYTES = 4 << 30
+
 CLASSIFIERS = ["softmax", "mlp", "lr", "svm", "rf", "nb"]
 MAX_CLASSES = 10_000
 
@@ -339,6 +342,15 @@ def trees_at_a_time(rows: int, n_classes: int, s: ProbeSettings) -> int:
     return max(1, min(s.trees, FOREST_BYTES // (nodes * (NODE_BYTES + NODE_CLASS_BYTES * n_classes))))
 
 
+def svm_fits_at_a_time(rows: int, n_classes: int, s: ProbeSettings) -> tuple[int, int]:
+    """Folds, and classes of each, whose copies of the wide features fit in ``SVM_BYTES``, one at least: a fold caches its
+    train rows, and the fit of each class blocks of its own."""
+    copies = SVM_BYTES // max(rows * s.svm_width * 8, 1)
+    most = max(min(s.parallelism, n_classes), 1)
+    folds = 2 if copies >= 2 * (most + 1) else 1
+    return folds, max(1, min(most, copies // folds - 1))
+
+
 def _forest(table: DataFrame, held_out: int, rows: int, classes: list, s: ProbeSettings) -> tuple[DataFrame, list[tuple]]:
     """Predictions for a fold by a forest that is grown a few trees at a time, and how its fits ended.
 
@@ -437,12 +449,14 @@ def probe(
         predictions, rows = _logistic(table, classifier, wanted, sizes, classes, width, s)
         return ProbeResult(keep(predictions), classes, True, rows)
     fold_stats = group_moments(table.select("fold", "embedding"), ["fold"]) if classifier == "svm" else {}
+    svm_folds, svm_classes = svm_fits_at_a_time(total, len(classes), s)
 
     def run(held_out: int):
         if classifier == "rf":
             return _forest(table, held_out, total - sizes[held_out], classes, s)
         train, test = table.where(F.col("fold") != held_out), table.where(F.col("fold") == held_out)
-        estimator = _estimator(classifier, total - sizes[held_out], width, len(classes), s)
+        own = replace(s, parallelism=svm_classes) if classifier == "svm" else s
+        estimator = _estimator(classifier, total - sizes[held_out], width, len(classes), own)
         if classifier == "svm":
             fit = _sum([m for (f,), m in fold_stats.items() if f != held_out])
             lifted = fourier_features(table, fit, s.svm_width, s.seed)
@@ -455,7 +469,7 @@ def probe(
         return _predicted(model, test, classes), _end_rows(held_out, [fit_ends(model, s)])
 
     # An SVM fold caches its own wide features, so few of them run at once; a forest's trees are on the driver.
-    done = _in_threads(run, wanted, {"svm": 2, "rf": 1}.get(classifier, s.parallelism))
+    done = _in_threads(run, wanted, {"svm": svm_folds, "rf": 1}.get(classifier, s.parallelism))
     predictions = keep(reduce(DataFrame.unionByName, [p for p, _ in done]))
     scored = "scores" in predictions.columns
     return ProbeResult(predictions, classes, scored, [row for _, rows in done for row in rows])

@@ -266,6 +266,17 @@ def test_fourier_features_approximate_the_kernel(spark):
 # ------------------------------------------------------------------ clusters
 
 
+def test_svm_fits_hold_bounded_copies_of_the_wide_features():
+    s = probe.ProbeSettings()
+    for rows in (0, 10_256, 102_564, 615_384, 50_000_000):
+        for classes in (2, 10, 100):
+            at_once, each = probe.svm_fits_at_a_time(rows, classes, s)
+            held = at_once * (each + 1) * rows * s.svm_width * 8
+            assert 1 <= at_once <= 2 and 1 <= each <= s.parallelism and (held <= probe.SVM_BYTES or at_once == each == 1)
+    assert probe.svm_fits_at_a_time(10_256, 10, s) == (2, 8)
+    assert probe.svm_fits_at_a_time(615_384, 10, s) == (1, 1)
+
+
 def brute_silhouette(x, own):
     distance = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     out = []
