@@ -12,14 +12,16 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from embgauge.llm import words
 
-#: Bytes of text that one step works on; chunks and bytes of chunks that a worker keeps; bytes encoded together.
-BLOCK, MOST, MOST_BYTES, TOGETHER = 2 << 20, 3 << 19, 1 << 25, 1 << 15
+#: Bytes of text that one step works on; chunks and bytes of chunks that a worker keeps; bytes encoded together,
+#: and characters of such strings in one call of a tokenizer.
+BLOCK, MOST, MOST_BYTES, TOGETHER, AT_ONCE = 2 << 20, 3 << 19, 1 << 25, 1 << 15, 1 << 18
 _VALUES = words.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(words.BASE))
 _is_space = np.zeros(256, bool)
 _is_space[[0x20, 0x09, 0x0A]] = True
@@ -182,6 +184,16 @@ class ByteBpe:
     def encode(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
 
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has; no offsets are made, and a call has a bounded size."""
+        sizes = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        found, counts = [np.zeros(0, np.int64)], []
+        for low, high in words.blocks(sizes, AT_ONCE):
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(texts[low:high], add_special_tokens=False)]
+            counts += map(len, made)
+            found.append(np.fromiter(chain.from_iterable(made), np.int64))
+        return np.concatenate(found), np.array(counts, np.int64)
+
 
 _kept: dict = {}
 

@@ -39,13 +39,15 @@ class Ids:
         self.table = Table(self._learn, self.ids.only)
 
     def _learn(self, chunks: list[str], sizes: np.ndarray) -> None:
-        found, counts = [], []
-        for low, high in groups(chunks, sizes):
-            ids = np.array(self.bpe.encode("".join(chunks[low:high])).ids, np.int64)
-            upto = np.searchsorted(np.cumsum(self.bpe.size[ids]), np.cumsum(sizes[low:high]), "right")
-            found.append(ids)
-            counts.append(np.diff(upto, prepend=0))
-        self.ids.add(np.concatenate(counts), np.concatenate(found))
+        cut = groups(chunks, sizes)
+        ids, held = self.bpe.ids(["".join(chunks[low:high]) for low, high in cut])
+        # the tokens of a chunk end where its bytes do, group by group
+        bounds, ends = np.append([low for low, _ in cut], len(chunks)), np.cumsum(held)
+        own = np.repeat(np.arange(len(cut)), np.diff(bounds))
+        spelled, size = np.append(0, np.cumsum(self.bpe.size[ids])), np.append(0, np.cumsum(sizes))
+        place = spelled[(ends - held)[own]] + size[1:] - size[bounds[own]]
+        upto = np.minimum(np.searchsorted(spelled[1:], place, "right"), ends[own])
+        self.ids.add(np.diff(upto, prepend=0), ids)
 
     def __call__(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, each text's followed by ``end``, and the bounds of each text."""

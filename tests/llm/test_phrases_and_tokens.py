@@ -110,6 +110,20 @@ def test_a_full_table_keeps_what_it_met_most(byte_bpe, rows):
     assert len(ids.table.hashes) == len(ids.table.uses) == len(ids.ids.bounds) - 1 < 3000
 
 
+def test_new_chunks_are_encoded_in_few_calls(byte_bpe, monkeypatch):
+    with open(queries.byte_bpe_path(), "rb") as file:
+        ids = packing.Ids(file.read())
+    calls, batch = [], ids.bpe.ids
+    monkeypatch.setattr(chunks, "AT_ONCE", 1 << 12)
+    monkeypatch.setattr(ids.bpe, "ids", lambda texts: calls.append(len(texts)) or batch(texts))
+    monkeypatch.setattr(ids.bpe, "encode", lambda text: pytest.fail("a call for one string"))
+    texts = [f"w{i} <|endoftext|> \u00e9t\u00e9{i}\u3000 x{'y' * (i % 700)}{' ' * (i % 3)}" for i in range(300)] + ["", None, " "]
+    found, bounds = ids(pa.array(texts, pa.string()), 1)
+    want = [byte_bpe.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    assert len(calls) == 1 < calls[0]
+
+
 @pytest.mark.parametrize("window, shortest, step", [(2048, 256, 32768), (64, 8, 128), (16, 16, 16)])
 def test_packing_is_whole_and_full(docs, rows, byte_bpe, window, shortest, step):
     found = packing.pack(docs, queries.byte_bpe_path(), window=window, shortest=shortest, step_tokens=step, with_ids=True).collect()
