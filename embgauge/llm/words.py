@@ -38,11 +38,12 @@ def folded_values() -> np.ndarray:
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers."""
     h = h.copy()
-    h ^= h >> np.uint64(30)
+    part = np.empty_like(h)
+    h ^= np.right_shift(h, np.uint64(30), out=part)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
+    h ^= np.right_shift(h, np.uint64(27), out=part)
     h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
+    h ^= np.right_shift(h, np.uint64(31), out=part)
     return h
 
 
@@ -131,15 +132,22 @@ def shingles(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, n
     count = np.diff(rows)
     kept = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(len(count)), kept)
-    first = rows[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(kept) - kept, kept)
-    length = np.minimum(count[row], n)
-    total = length.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    padded = np.concatenate([words, np.zeros(n, np.uint64)])
-    factor = 0xE7037ED1A0B428DB
-    for j in range(n):
-        part = padded[first + j] * np.uint64(factor)
-        total += part if (length > j).all() else np.where(length > j, part, np.uint64(0))
+    first = np.arange(len(row)) + np.repeat(rows[:-1] - (np.cumsum(kept) - kept), kept)
+    # sums of n neighbours at every word, also across rows; those that are a row's are taken after that
+    total, part = np.zeros(len(words), np.uint64), np.empty(len(words), np.uint64)
+    factor, factors = 0xE7037ED1A0B428DB, []
+    for j in range(min(n, len(words))):
+        total[: len(words) - j] += np.multiply(words[j:], np.uint64(factor), out=part[: len(words) - j])
+        factors.append(np.uint64(factor))
         factor = factor * 0x8EBC6AF09C88C6E3 & (1 << 64) - 1 | 1
+    total = total[first]
+    length = np.minimum(count, n)
+    for size in range(1, n):  # rows with fewer words: their own sums
+        of = np.flatnonzero(length == size)
+        if len(of):
+            place = np.cumsum(kept)[of] - 1
+            total[place] = sum(words[rows[of] + j] * factors[j] for j in range(size))
+    total += np.repeat(length, kept).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
     return mix(total), row
 
 

@@ -132,6 +132,15 @@ def test_line_dedup_equals_brute_force(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("shift", [0, -(1 << 31), 1 << 31, 1 << 40, -(1 << 62)])
+def test_first_lines_are_ordered_by_a_long_where_ids_fit(spark, shift):
+    rows = [(i + shift, line) for i, line in [(2, 0), (1, 7), (1, 3), (1, (1 << 31) - 1), (3, 1)]]
+    frame = spark.createDataFrame(rows, "id long, line int")
+    first = line_dedup._first(frame)
+    assert frame.agg(*first).collect() == [(1 + shift, 3)]
+    assert ("decimal" in str(first[1]).lower()) == (shift not in (0, -(1 << 31)))
+
+
 def test_new_columns_make_way_for_those_of_the_input(spark):
     text = "one line of seven words in all\nanother line"
     frame = spark.createDataFrame(
