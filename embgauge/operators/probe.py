@@ -3,7 +3,7 @@
 ``softmax`` and ``lr`` are convex: the models of all folds, settings and inner folds are fitted side by side, each step of
 all of them in one scan. ``nb`` needs only per-class sums, so all folds are fitted by one aggregation and scored by one
 pass. ``mlp`` and ``svm`` are MLlib estimators fitted per fold from driver threads over one cached table; so is ``rf``,
-a fold and a few trees at a time.
+a fold and a few trees at a time, but for deep trees over many rows, which ``forest`` grows for all folds at once.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from embgauge.functions import kernels
 from embgauge.functions.kernels import share, to_lists, to_matrix
 from embgauge.functions.vectors import as_doubles
-from embgauge.operators import logistic, metrics
+from embgauge.operators import forest, logistic, metrics
 from embgauge.operators.folds import holdout, nested_folds, stratified_folds
 from embgauge.session import checkpointed, discard, fetched, keep, stored
 
@@ -40,6 +40,8 @@ DEV_SHARE = 0.05
 # MLlib grows trees on the driver: bytes of them that are held at a time, and bytes of a node without and per class.
 FOREST_BYTES = 128 << 20
 NODE_BYTES, NODE_CLASS_BYTES = 250, 24
+# Nodes a tree may have for MLlib, which gathers a table of statistics for each of them from each partition.
+MLLIB_NODES = 4096
 
 # Bytes of wide SVM features that all executors together hold at a time.
 SVM_BYTES = 4 << 30
@@ -336,10 +338,14 @@ def _logistic(table: DataFrame, classifier: str, outer: list[int], sizes: dict,
     return logistic.predictions(table, outer, models.weights, classes), rows
 
 
+def tree_nodes(rows: int, s: ProbeSettings) -> int:
+    """A bound: a tree has no more leaves than rows or than its depth allows."""
+    return min(2 * rows, 2 ** (s.depth + 1))
+
+
 def trees_at_a_time(rows: int, n_classes: int, s: ProbeSettings) -> int:
-    """Trees whose nodes fit in ``FOREST_BYTES``, one at least: a tree has no more leaves than rows or than its depth allows."""
-    nodes = min(2 * rows, 2 ** (s.depth + 1))
-    return max(1, min(s.trees, FOREST_BYTES // (nodes * (NODE_BYTES + NODE_CLASS_BYTES * n_classes))))
+    """Trees whose nodes fit in ``FOREST_BYTES``, one at least."""
+    return max(1, min(s.trees, FOREST_BYTES // (tree_nodes(rows, s) * (NODE_BYTES + NODE_CLASS_BYTES * n_classes))))
 
 
 def svm_fits_at_a_time(rows: int, n_classes: int, s: ProbeSettings) -> tuple[int, int]:
@@ -370,14 +376,25 @@ def _forest(table: DataFrame, held_out: int, rows: int, classes: list, s: ProbeS
         if before is not None:
             discard(before)
         before = voted
+    return _elected(voted, classes), _end_rows(held_out, ends)
+
+
+def _elected(voted: DataFrame, classes: list) -> DataFrame:
+    """Predictions from the rows' votes."""
     # array_position finds the first of equal votes, as the plain forest does
     best = F.array_position("votes", F.array_max("votes")).cast("int")
     pred = F.element_at(F.array(*[F.lit(int(c)) for c in classes]), best)
     # divided by their own sum, as MLlib does, so that equal probabilities are the same ones
     total = F.aggregate("votes", F.lit(0.0), lambda a, b: a + b)
     named = voted.withColumn("_total", total).withColumn("_share", F.transform("votes", lambda v: v / F.col("_total")))
-    found = named.select("row_id", "fold", "label", pred.alias("pred"), F.col("_share").alias("scores"))
-    return found, _end_rows(held_out, ends)
+    return named.select("row_id", "fold", "label", pred.alias("pred"), F.col("_share").alias("scores"))
+
+
+def _deep_forests(table: DataFrame, wanted: list[int], width: int, classes: list, s: ProbeSettings) -> tuple[DataFrame, list[tuple]]:
+    """Predictions for all wanted folds by forests that are grown whole trees at a time, and how they ended."""
+    voted = forest.votes(table, wanted, width, len(classes), s.trees, s.depth, s.seed)
+    deepest = {r["fold"]: r["d"] for r in voted.groupBy("fold").agg(F.max("depth").alias("d")).collect()}
+    return _elected(voted, classes), [row for f in wanted for row in _end_rows(f, [(deepest[f], deepest[f] < s.depth)])]
 
 
 @dataclass
@@ -448,6 +465,9 @@ def probe(
     if classifier in ("softmax", "lr"):
         predictions, rows = _logistic(table, classifier, wanted, sizes, classes, width, s)
         return ProbeResult(keep(predictions), classes, True, rows)
+    if classifier == "rf" and tree_nodes(total, s) > MLLIB_NODES and forest.fits_task(total, width, len(classes)):
+        predictions, rows = _deep_forests(table, wanted, width, classes, s)
+        return ProbeResult(keep(predictions), classes, True, rows)
     fold_stats = group_moments(table.select("fold", "embedding"), ["fold"]) if classifier == "svm" else {}
     svm_folds, svm_classes = svm_fits_at_a_time(total, len(classes), s)
 
